@@ -25,16 +25,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while seen[0]:
         # large star: every larger neighbour of a node moves to the smallest member of its star
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "star-minima")  # written, so the join below can split a hot node
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("low").alias("a"), "b").filter(F.col("a") < F.col("b")).distinct()
         large = materialize(large, "large-star")
         # small star: a node and its smaller neighbours move to the smallest of them
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("low"))
+        low = materialize(down.groupBy("u").agg(F.min("v").alias("low")), "star-minima")
         small = down.join(low, "u").select(F.col("low").alias("a"), F.col("v").alias("b")).union(low.select(F.col("low").alias("a"), F.col("u").alias("b")))
         step = materialize(small.filter(F.col("a") < F.col("b")).distinct(), "small-star")
         release(e)
         release(large)
+        release(least)
+        release(low)
         now = _digest(step)
         e, done = step, now == seen
         seen = now

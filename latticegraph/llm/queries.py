@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, sharding, simhash, suffix
+from . import bpe, decontam, quality, sharding, simhash, substring, suffix, tokencount, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_passages(_read(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digests(_read(spark, sf_dir, "documents"))
 
@@ -38,31 +43,70 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(_read(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve_revisits(warc.records_of_pages(_read(spark, sf_dir, "pages")))
+    return done.select(F.col("id").alias("page_id"), "canonical_url", "type", "outcome", "source_id", F.char_length("payload").cast("long").alias("n_chars"), F.md5(F.encode("payload", "UTF-8")).alias("payload_md5"), F.element_at("headers", "date").alias("date_header"), F.element_at("headers", "content-type").alias("content_type"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op8_warc_revisits": r"""
+WITH a AS (
+  SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
+         coalesce(regexp_matches(url, '#|[?&]utm_'), false) AS revisit
+  FROM pages),
+b AS (
+  SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS front,
+         list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'),
+                   lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|sessionid)='))) AS kept
+  FROM a),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(front, '^([^/]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+         || regexp_replace(regexp_extract(front, '^[^/]*(.*)$', 1), '/+$', '')
+         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url
+  FROM b),
+s AS (
+  SELECT *, max(CASE WHEN NOT revisit THEN page_id END) OVER (PARTITION BY canonical_url ORDER BY page_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src
+  FROM c)
+SELECT s.page_id, s.canonical_url, CASE WHEN s.revisit THEN 'revisit' ELSE 'response' END AS type,
+       CASE WHEN NOT s.revisit THEN 'full' WHEN f.page_id IS NULL THEN 'missing' ELSE 'resolved' END AS outcome,
+       CASE WHEN s.revisit THEN f.page_id END AS source_id,
+       length(CASE WHEN s.revisit THEN f.html ELSE s.html END)::BIGINT AS n_chars,
+       md5(CASE WHEN s.revisit THEN f.html ELSE s.html END) AS payload_md5,
+       't' || s.page_id AS date_header,
+       CASE WHEN NOT s.revisit OR f.page_id IS NOT NULL THEN 'text/html' END AS content_type
+FROM s LEFT JOIN c f ON s.revisit AND f.page_id = s.src AND s.canonical_url IS NOT NULL""",
     "op9_quality_rules": r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 g AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
 n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
 f AS (
-  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(ls) - list_unique(ls))::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
   FROM w LEFT JOIN n USING (doc_id)),
