@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, sharding, simhash, substring, suffix, tokencount, warc
+from . import bpe, decontam, html, quality, sharding, simhash, substring, suffix, tokencount, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -66,6 +70,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {
