@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import store_queries
+
+QUERIES = dict(store_queries.QUERIES)
+ORACLE_SQL = dict(store_queries.ORACLE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["f10_volume_filter"](spark, sf_dir)
+    """Canonical lattice forms: scan, array algebra, reduction, catalog join and lexicographic minimum."""
+    return QUERIES["k5_lattice_form"](spark, sf_dir)
