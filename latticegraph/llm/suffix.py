@@ -214,7 +214,8 @@ def repeated_spans(keyed: DataFrame, key_type: str, *, length: int = LENGTH, gra
     keyed has columns key and text, one text per key.
     """
     entries = _entry_table(keyed, key_type, length, gram)
-    again = entries.groupBy("gram").count().filter("count > 1").select("gram")
+    # written, not joined in place: a join of two plain exchanges is one whose hot grams can be split
+    again = materialize(entries.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams")
     shared = materialize(entries.join(again, "gram", "left_semi"), "shared-grams")
     least = shared.groupBy("gram", "span").agg(F.min(F.struct("key", "first", "last", "at")).alias("least"), F.count("*").alias("n"))
     least = materialize(least, "spans")
@@ -223,7 +224,7 @@ def repeated_spans(keyed: DataFrame, key_type: str, *, length: int = LENGTH, gra
     whole = shared.join(same, ["gram", "span"]).filter(F.struct("key", "first") > F.struct(F.col("k0").alias("key"), F.col("f0").alias("first")))
     parts = [whole.select("key", "first", "last")]
     # earliest entries of different spans with one gram
-    several = least.groupBy("gram").count().filter("count > 1").select("gram")
+    several = materialize(least.groupBy("gram").count().filter("count > 1").select("gram"), "rival-grams")
     rivals = least.join(several, "gram", "left_semi").select("gram", "least.*")
     wanted = rivals.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "first", "last")).alias("wanted"))
     both = keyed.join(wanted, "key")
