@@ -21,6 +21,8 @@ from concurrent.futures import ThreadPoolExecutor
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import thrifty
+
 #: Characters of a piece of ordinary text, and bytes of a leaf of an unsplit pre-token.
 LEAF = 1 << 14
 LEAF_BYTES = 1 << 12
@@ -153,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 ids = [t.encode(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(t.decode, ids), pa.string())], [id_col, "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), f"`{id_col}` {id_type}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -175,4 +177,4 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
                     b.append(sha(t.decode(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,7 @@ The array code works on the raw UTF-8 buffers of Arrow columns. Nulls count as e
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -58,6 +59,20 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def thrifty(run):
+    """run for mapInArrow, followed by handing freed memory back: workers are used again by later stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- Arrow columns as arrays
 
 

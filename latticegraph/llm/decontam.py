@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, ranges, small_side, utf8_views, word_table
+from .common import U64, materialize, mix, ranges, small_side, thrifty, utf8_views, word_table
 
 #: Fixed masks. At the similarity below, an overlap of 13 or more words has few ways to miss all of them.
 MASKS = ("1111", "11011", "1101011", "110101", "1100101")
@@ -136,7 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                     doc, item, _, start, end, equal = index.search(words, first, similarity, min_words)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *map(pa.array, (index.ids[item], start, end, equal, end - start))], [id_col, "item_id", "start_word", "end_word", "n_equal", "n_overlap"])
 
-        one = docs.select(id_col, text_col).mapInArrow(run, schema)
+        one = docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
         out = one if out is None else out.union(one)
     return spark.createDataFrame([], schema) if out is None else out
 

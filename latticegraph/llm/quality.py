@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -146,7 +148,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names, "base_failed", "kept", "rejected_by"])
 
     schema = f"`{id_col}` {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, rejected_by string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,4 +161,4 @@ def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col
             keep = [first_rejection(Features(t), order) is None for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, small_side
+from .common import U64, materialize, small_side, thrifty
 from .components import connected_components
 
 MAX_BITS = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), U64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), f"`{id_col}` {id_type}, fp long")
 
 
 # ---------------------------------------------------------------- candidates
@@ -185,11 +185,11 @@ def near_links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     else:
         few = small_side(hot)
         cold = keyed.join(few, "key", "left_anti")
-        filed = keyed.join(few, "key", "left_semi").select("key", "fp").mapInArrow(_variants, "key long, node long, fp long, centre boolean")
+        filed = keyed.join(few, "key", "left_semi").select("key", "fp").mapInArrow(thrifty(_variants), "key long, node long, fp long, centre boolean")
         centres = filed.filter("centre").groupBy("key", "node").agg(F.min("fp").alias("b"))
         links = filed.join(centres, ["key", "node"]).select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cold.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_near_links, "a long, b long").distinct()
+    found = cold.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(thrifty(_near_links), "a long, b long").distinct()
     return found if links is None else found.union(links)
 
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _TABLE, U64, doc_chunks, has_repeated_ids, materialize, mix, powers, ranges, sliding_min, small_side, utf8_views
+from .common import _BASE, _BASE_INV, _TABLE, U64, doc_chunks, has_repeated_ids, materialize, mix, powers, ranges, sliding_min, small_side, thrifty, utf8_views
 
 LENGTH = 100
 GRAM = 32
@@ -112,7 +112,7 @@ def _entry_table(docs: DataFrame, key_type: str, length: int, q: int) -> DataFra
                 ints = [pa.array(x.astype(np.int32)) for x in (gram, first, last)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(gram_bucket.view(np.int64)), pa.array(span_bucket.view(np.int64)), *ints], ["key", "gram", "span", "at", "first", "last"])
 
-    return docs.mapInArrow(run, f"key {key_type}, gram long, span long, at int, first int, last int")
+    return docs.mapInArrow(thrifty(run), f"key {key_type}, gram long, span long, at int, first int, last int")
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def _compare_spans(spans: DataFrame, key_type: str, length: int, q: int, dense:
         few = crowded if none else small_side(crowded, 200_000)
         calm = todo if none else todo.join(few, "bucket", "left_anti")
         done = calm.select("bucket", "key", "start", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "key", "start")
-        out.append(done.mapInArrow(_finish_buckets(length, key_type), f"key {key_type}, first int, last int"))
+        out.append(done.mapInArrow(thrifty(_finish_buckets(length, key_type)), f"key {key_type}, first int, last int"))
         if none:
             return out
         hot = todo.join(few, "bucket", "left_semi").select("bucket", "key", "at", "start", "text", "low", "high")
@@ -194,7 +194,7 @@ def _compare_spans(spans: DataFrame, key_type: str, length: int, q: int, dense:
             lows = single.groupBy("bucket").agg(F.min(F.struct("key", "start")).alias("least"))
             later = single.join(lows, "bucket").filter(F.struct("key", "start") > F.col("least"))
             out.append(later.select("key", F.col("start").alias("first"), F.col("start").alias("last")))
-        todo = materialize(hot.filter("low < high").mapInArrow(_refine(length), shape), "refined")
+        todo = materialize(hot.filter("low < high").mapInArrow(thrifty(_refine(length)), shape), "refined")
         lone = todo.groupBy("bucket").count().filter("count > 1").select("bucket")
         todo = todo.join(lone, "bucket", "left_semi")
 
@@ -246,7 +246,7 @@ def repeated_spans(keyed: DataFrame, key_type: str, *, length: int = LENGTH, gra
                 grams = pa.array([x.tobytes() for x in g], pa.binary())
                 yield pa.RecordBatch.from_arrays([grams, part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), texts], ["bucket", "key", "at", "start", "text"])
 
-    spans = both.select("key", "text", "wanted").mapInArrow(cut, f"bucket binary, key {key_type}, at int, start int, text binary")
+    spans = both.select("key", "text", "wanted").mapInArrow(thrifty(cut), f"bucket binary, key {key_type}, at int, start int, text binary")
     spans = materialize(spans, "rival-spans")
     parts += _compare_spans(spans, key_type, length, gram, dense)
     found = parts[0]
@@ -267,7 +267,7 @@ def repeated_spans(keyed: DataFrame, key_type: str, *, length: int = LENGTH, gra
                 out.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["key", "spans"])
 
-    return materialize(listed.mapInArrow(merge, f"key {key_type}, spans array<array<int>>"), "removed-spans")
+    return materialize(listed.mapInArrow(thrifty(merge), f"key {key_type}, spans array<array<int>>"), "removed-spans")
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
@@ -306,7 +306,7 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     both = _with_spans(docs.select(id_col, text_col), id_col, text_col, **options)
-    return both.select(id_col, text_col, "__spans").mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.select(id_col, text_col, "__spans").mapInArrow(thrifty(run), f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
@@ -331,4 +331,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, [n for k, n in enumerate(batch.schema.names) if k != last])
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(thrifty(run), docs.schema)
