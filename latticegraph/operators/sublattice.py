@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,25 @@ def hermite_matrices(spark: SparkSession, index: int) -> DataFrame:
     sides = sides.select("a", F.explode(F.sequence(F.lit(1), F.lit(index))).alias("b")).filter(F.lit(index) % (F.col("a") * F.col("b")) == 0)
     sides = sides.select("a", "b", (F.lit(index) / (F.col("a") * F.col("b"))).cast("int").alias("c"))
     return sides.select("*", span(F.col("a")).alias("d")).select("*", span(F.col("a")).alias("e")).select("*", span(F.col("b")).alias("f"))
+
+
+def supercell_atoms(atoms: DataFrame, index: int, delta: int) -> DataFrame:
+    """Atoms (id, label, x, y, z in delta-ths) of every supercell of an index, in units of 1 / (index * delta).
+
+    The old vectors times the matrix are the new ones, so coordinates are turned by its adjugate, once for every
+    translation of the old lattice inside the new cell. The table of matrices depends on the index alone.
+    """
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    moves = hermite_matrices(atoms.sparkSession, index).select("*", span("a").alias("z1")).select("*", span("b").alias("z2")).select("*", span("c").alias("z3"))
+    rows = atoms.crossJoin(F.broadcast(moves))
+    y1, y2, y3 = (F.col(n) + F.col(z) * delta for n, z in (("x", "z1"), ("y", "z2"), ("z", "z3")))
+    a, b, c, d, e, f = (F.col(n) for n in "abcdef")
+    new = (y1 * b * c - y2 * d * c + y3 * (d * f - b * e), y2 * a * c - y3 * a * f, y3 * a * b)
+    return rows.select("id", *"abcdef", "label", *(F.pmod(v, F.lit(index * delta)).cast("long").alias(n) for v, n in zip(new, "xyz")))
+
+
+def common_atoms(m: str, n: str, least: str) -> Column:
+    """Least common multiple of two columns of at least 1, or its least multiple that is not below a third column."""
+    gcd = f"aggregate(sequence(1, cast(least({m}, {n}) as int)), 1, (g, k) -> if({m} % k = 0 and {n} % k = 0, k, g))"
+    lcm = F.expr(f"cast({m} * {n} div {gcd} as bigint)")
+    return F.when(F.col(least) > lcm, lcm * F.ceil(F.col(least) / lcm)).otherwise(lcm)

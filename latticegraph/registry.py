@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import store_queries
+from .plans import crystal_queries, store_queries
 
-QUERIES = dict(store_queries.QUERIES)
-ORACLE_SQL = dict(store_queries.ORACLE_SQL)
+QUERIES = store_queries.QUERIES | crystal_queries.QUERIES
+ORACLE_SQL = store_queries.ORACLE_SQL | crystal_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

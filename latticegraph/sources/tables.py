@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,12 +10,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and three integer lattice vectors per part; lower triangular, so always invertible."""
+def _vectors() -> Column:
     pk, size = F.col("p_partkey"), F.col("p_size").cast("long")
     zero = F.lit(0).cast("long")
-    rows = F.array(F.array(pk % 5 + 3, zero, zero), F.array(pk % 3 - 1, F.floor(pk / 5.0) % 5 + 3, zero), F.array(size % 3 - 1, (pk + size) % 3 - 1, size % 5 + 3))
-    return read(spark, sf_dir, "part").select(pk.alias("id"), rows.alias("vectors"))
+    return F.array(F.array(pk % 5 + 3, zero, zero), F.array(pk % 3 - 1, F.floor(pk / 5.0) % 5 + 3, zero), F.array(size % 3 - 1, (pk + size) % 3 - 1, size % 5 + 3))
+
+
+def lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and three integer lattice vectors per part; lower triangular, so always invertible."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _vectors().alias("vectors"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +36,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and energy of the points that edges run between."""
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("energy"))
+
+
+#: Intervals that a cell edge of the projected crystals is divided into.
+DELTA = 12
+
+
+def crystals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, three lattice vectors, labels and flat integer coordinates of one to three atoms per part."""
+    pk, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    ks = F.sequence(F.lit(0).cast("long"), pk % 3)
+    labels = F.transform(ks, lambda k: F.when((k == 0) | ((k == 1) & (pk % 2 == 0)), 0).otherwise(1))
+    at = lambda k: F.array((pk * (k + 1) + k * k * 5) % DELTA, (size * (k + 2) + k) % DELTA, (pk + size * k + k * 3) % DELTA)
+    return read(spark, sf_dir, "part").select(pk.alias("id"), _vectors().alias("vectors"), labels.alias("labels"), F.flatten(F.transform(ks, at)).alias("coords"))
