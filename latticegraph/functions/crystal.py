@@ -210,3 +210,57 @@ def discretize_vonorms(v: np.ndarray, xi: float) -> np.ndarray:
         k = int(cost.argmin())
         w[k] += unit[k]
     return w
+
+
+#: Resolution at which real coordinates are compared, and how near zero a real conorm counts as zero.
+FINE, TOLERANCE = 100_000, 1e-4
+
+
+def real_key(cell, fractions, labels, xi: float, delta: int) -> tuple[int, ...]:
+    """Key of a crystal given by real vectors (rows) and fractions.
+
+    The real lattice is reduced and put in canonical form with a tolerance, then rounded to xi and delta, and the rounded
+    crystal is put in canonical form again, exactly.
+    """
+    basis = np.vstack([cell, -np.sum(cell, 0)])
+    d, rows = np.array([2 * basis[i] @ basis[j] for i, j in lattice.PAIRS]), np.vstack([np.eye(3, dtype=int), -np.ones((1, 3), int)])
+    for _ in range(500):
+        if d.max() <= TOLERANCE:
+            break
+        rows = _turned(rows, int(np.round(d, 4).argmax()))
+        turned = rows @ np.asarray(cell, float)
+        d = np.array([2 * turned[i] @ turned[j] for i, j in lattice.PAIRS])
+    else:
+        raise ValueError("the lattice was not reduced in 500 steps")
+    m = rows[:3].T
+    back = np.rint(np.linalg.inv(m * round(np.linalg.det(m)))).astype(int)
+    d[np.abs(d) <= TOLERANCE] = 0
+    _, places, inverses = orientations(zero_mask(d))
+    v = -(_SUPPORT[:, :6] @ d) / 2
+    images = np.round(v[places], 4)
+    best = _first_row(images)
+    same = (images == best).all(1)
+    turns = np.unique(inverses[same] @ back, axis=0)
+    fine = np.rint(np.asarray(fractions, float) * FINE).astype(int)[None]
+    labels = np.asarray(labels, int)
+    motif = np.concatenate([np.zeros((1, 3), int), motif_forms(fine, labels, turns, FINE)[0].reshape(-1, 3)])
+    rounded = np.rint(motif * (delta / FINE)).astype(int) % delta
+    return canonical_key(discretize_vonorms(v[places[same.argmax()]], xi), rounded, labels, delta)
+
+
+def supercell(cell, fractions, labels, matrix: np.ndarray):
+    """Cell, fractions and labels of the supercell of an upper triangular matrix of whole numbers."""
+    inverse = np.linalg.inv(matrix)
+    moves = np.array(list(itertools.product(*(range(n) for n in np.diag(matrix)))))
+    new = ((np.asarray(fractions)[:, None] + moves) @ inverse.T).reshape(-1, 3) % 1
+    return matrix.T @ np.asarray(cell), new, np.repeat(labels, len(moves))
+
+
+def hermite_matrices(index: int) -> list[np.ndarray]:
+    """The matrices of operators.sublattice.hermite_matrices, for use inside a task."""
+    out = []
+    for a in (x for x in range(1, index + 1) if index % x == 0):
+        for b in (x for x in range(1, index // a + 1) if index // a % x == 0):
+            for d, e, f in itertools.product(range(a), range(a), range(b)):
+                out.append(np.array([[a, d, e], [0, b, f], [0, 0, index // (a * b)]]))
+    return out

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions import crystal, geometry
+from ..functions import crystal, geometry, pathfinding
 
 KEYS = "id bigint, key array<bigint>, labels array<int>"
 PAIRS = "key array<bigint>, labels array<int>, neighbour array<bigint>"
@@ -58,3 +58,35 @@ def geometry_of(keys: DataFrame, xi: float, delta: int, k: int = 20) -> DataFram
             yield pd.DataFrame(rows, columns=["key", "volume", "bond", "energy", "amd"])
 
     return keys.filter("key is not null").select("key").distinct().mapInPandas(each, "key array<bigint>, volume double, bond double, energy double, amd array<double>")
+
+
+def relax(keys: DataFrame, xi: float, delta: int, max_steps: int = 1000) -> DataFrame:
+    """key, labels, the path of falling energy from it and the energy at its end, for distinct keys."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, labels in zip(batch["key"], batch["labels"]):
+                energies = pathfinding.Energies(xi, delta)
+                path = pathfinding.descend(tuple(key), labels, delta, energies, max_steps)
+                yield pd.DataFrame({"key": [key], "labels": [labels], "path": [[list(k) for k in path]], "energy": [energies(path[-1])]})
+
+    spread = keys.filter("key is not null").select("key", "labels").distinct()
+    return spread.mapInPandas(each, "key array<bigint>, labels array<int>, path array<array<bigint>>, energy double")
+
+
+def endpoint_keys(structures: DataFrame, xi: float, delta: int) -> DataFrame:
+    """Distinct keys of all supercells of structures (id, cell, fractions, labels, index), labels sorted.
+
+    cell is three vectors and fractions a flat array. A structure gives one row per supercell form.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                cell, at = np.array([list(v) for v in r.cell]), np.array(r.fractions).reshape(-1, 3)
+                for matrix in crystal.hermite_matrices(int(r.index)):
+                    big, places, labels = crystal.supercell(cell, at, np.asarray(r.labels), matrix)
+                    key = crystal.real_key(big, places, labels, xi, delta)
+                    yield pd.DataFrame({"id": [r.id], "key": [list(key)], "labels": [labels.tolist()]})
+
+    return structures.select("id", "cell", "fractions", "labels", "index").mapInPandas(each, KEYS).distinct()

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import crystal, lattice
-from ..operators import canonical, sublattice
+from ..operators import barrier, canonical, sublattice
+from ..operators.search import _written
 from ..sources import cif
 from ..sources import tables as T
 from .store_queries import _LATTICE
@@ -245,3 +246,70 @@ def cif_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cos = {n: F.cos(F.radians(n)) for n in ("alpha", "beta", "gamma")}
     volume = F.col("a") * F.col("b") * F.col("c") * F.sqrt(1 + cos["alpha"] * cos["beta"] * cos["gamma"] * 2 - sum(x * x for x in cos.values()))
     return back.select(F.col("structure_id").cast("long").alias("id"), F.size("atoms").alias("n_atoms"), F.round(volume, 2).alias("volume"))
+
+
+# ---------------------------------------------------------------- searches
+
+
+@query("g15_relaxed_points")
+def relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key, where falling energy leads it within three steps, and the energy there."""
+    rows = canonical.relax(_keys(spark, sf_dir), 1.0, T.DELTA, 3)
+    return rows.select(_text(F.col("key")).alias("key"), _text(F.element_at("path", -1)).alias("end"), (F.size("path") - 1).alias("steps"), F.round("energy", 6).alias("energy"))
+
+
+def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search per supplier: from the crystal of its number to where falling energy leads within two steps."""
+    owner = T.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("search"))
+    keys = _keys(spark, sf_dir).withColumnRenamed("id", "search").join(owner, "search").select("search", "key", "labels")
+    ends = canonical.relax(keys, 1.0, T.DELTA, 2).select("key", "labels", F.element_at("path", -1).alias("end"))
+    rows = keys.join(ends, ["key", "labels"]).filter("key <> end")
+    return _written(rows.select("search", F.array("key").alias("starts"), F.array("end").alias("goals"), "labels", F.lit(1.0).alias("xi"), F.lit(T.DELTA).alias("delta")), "searches")
+
+
+_BOUNDS = {"max_iterations": 30, "beam": 200}
+
+
+@query("g1_paths")
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the path of every search."""
+    steps = barrier.path_steps(barrier.run(barrier.tasks(_searches(spark, sf_dir), **_BOUNDS)))
+    return steps.select("search", "step", _text(F.col("key")).alias("key"), F.round("energy", 6).alias("energy"), "kind")
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    return barrier.summary(rows).select("search", "n", "n_found", F.round("rate", 6).alias("rate"), "most_iterations", F.round("barrier", 6).alias("barrier"))
+
+
+@query("g18_path_samples")
+def path_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(barrier.sample(_searches(spark, sf_dir), 3, **_BOUNDS))
+
+
+@query("g19_ceiling_sweep")
+def ceiling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    searches = _searches(spark, sf_dir)
+    known = _written(barrier.run(barrier.tasks(searches, **_BOUNDS)), "known")
+    return _summary(barrier.sweep(searches, known, 2, 1, **_BOUNDS))
+
+
+@query("g20_ratchet")
+def ratcheted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    searches = _searches(spark, sf_dir)
+    known = _written(barrier.run(barrier.tasks(searches, **_BOUNDS)), "known")
+    rows = barrier.ratchet(searches, known, 0.05, rounds=2, failures=2, max_iterations=20, beam=100)
+    return rows.select("search", F.round("barrier", 6).alias("barrier"), "rounds")
+
+
+@query("g17_parameter_search")
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest least distance, within 0.75, at which a search still finds its path."""
+    return barrier.parameter_search(_searches(spark, sf_dir), low=0.0, high=3.0, tolerance=0.75, **_BOUNDS)
+
+
+@query("k24_end_points")
+def end_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the supercells of index two of every crystal, at the half of its resolution."""
+    rows = T.crystals(spark, sf_dir).select("id", F.transform("vectors", lambda v: v.cast("array<double>")).alias("cell"), F.transform("coords", lambda x: x / T.DELTA).alias("fractions"), "labels", F.lit(2).alias("index"))
+    keys = canonical.endpoint_keys(rows, 1.5, T.DELTA)
+    return keys.select("id", _text(F.col("key")).alias("key"))
