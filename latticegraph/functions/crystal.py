@@ -76,7 +76,10 @@ def zero_mask(d: np.ndarray) -> int:
 
 def reduce(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vonorms of an obtuse superbasis of the same lattice and the inverse of the matrix that leads to it."""
-    d, rows = doubled_conorms(np.asarray(v)), np.vstack([np.eye(3, dtype=int), -np.ones((1, 3), int)])
+    d = doubled_conorms(np.asarray(v))
+    if d.max() <= 0:
+        return np.asarray(v), np.eye(3, dtype=int)
+    rows = np.vstack([np.eye(3, dtype=int), -np.ones((1, 3), int)])
     while d.max() > 0:
         pair = int(d.argmax())
         rows = _turned(rows, pair)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -62,15 +63,23 @@ def shortest_bond(cell: np.ndarray, fractions: np.ndarray) -> float:
 def near_distances(cell: np.ndarray, fractions: np.ndarray, k: int) -> np.ndarray:
     """Sorted distances of every atom to its k nearest others in the infinite crystal."""
     heights = 1 / np.linalg.norm(np.linalg.inv(cell), axis=0)
-    radius = (3 * (k + 1) * abs(np.linalg.det(cell)) / (4 * math.pi * len(fractions))) ** (1 / 3) + heights.max()
+    radius = 1.4 * (3 * (k + 1) * abs(np.linalg.det(cell)) / (4 * math.pi * len(fractions))) ** (1 / 3)
+    fractions = fractions % 1
+    starts = (fractions @ cell)[None, :] - (fractions @ cell)[:, None]
     while True:
-        reach = [math.ceil(radius / h) + 1 for h in heights]
-        cells = np.array(list(itertools.product(*(range(-r, r + 1) for r in reach))))
-        apart = (fractions[None, :, None] - fractions[:, None, None] + cells[None, None]).reshape(len(fractions), -1, 3)
-        near = np.sort(np.linalg.norm(apart @ cell, axis=2), 1)[:, 1 : k + 1]
-        if near.shape[1] == k and near.max() <= radius:
-            return near
-        radius *= 1.5
+        cells = _cells(*(int(radius / h) + 1 for h in heights)) @ cell
+        apart = (starts[:, :, None] + cells).reshape(len(fractions), -1, 3)
+        squares = np.einsum("nij,nij->ni", apart, apart)
+        if squares.shape[1] > k:
+            near = np.sort(np.partition(squares, k, 1)[:, : k + 1], 1)[:, 1:]
+            if near[:, -1].max() <= radius * radius:
+                return np.sqrt(near)
+        radius *= 1.3
+
+
+@lru_cache(256)
+def _cells(i: int, j: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.product(range(-i, i + 1), range(-j, j + 1), range(-k, k + 1))), float)
 
 
 def amd(cell: np.ndarray, fractions: np.ndarray, k: int = 100) -> np.ndarray:

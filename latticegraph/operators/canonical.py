@@ -12,13 +12,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import crystal, geometry, pathfinding
+from .search import _written
 
 KEYS = "id bigint, key array<bigint>, labels array<int>"
 PAIRS = "key array<bigint>, labels array<int>, neighbour array<bigint>"
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out by columns into as many partitions as a shuffle has.
+
+    The number is given, so that adaptive execution does not join partitions: the work of a row here is far more than
+    its bytes tell.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def canonical_keys(crystals: DataFrame, delta: int) -> DataFrame:
     """id, key and labels of crystals; a crystal without atoms, or with a null, has a null key."""
 
@@ -41,8 +52,7 @@ def neighbour_keys(keys: DataFrame, delta: int, kind: Callable = crystal.neighbo
                 if near:
                     yield pd.DataFrame({"key": [key] * len(near), "labels": [labels] * len(near), "neighbour": near})
 
-    spread = keys.filter("key is not null").select("key", "labels").distinct()
-    return spread.mapInPandas(each, PAIRS)
+    return spread(keys.filter("key is not null").select("key", "labels").distinct(), "key").mapInPandas(each, PAIRS)
 
 
 def geometry_of(keys: DataFrame, xi: float, delta: int, k: int = 20) -> DataFrame:
@@ -57,7 +67,7 @@ def geometry_of(keys: DataFrame, xi: float, delta: int, k: int = 20) -> DataFram
                 rows.append((key, abs(float(np.linalg.det(cell))), bond if np.isfinite(bond) else None, geometry.pair_energy(cell, at), geometry.amd(cell, at, k).tolist()))
             yield pd.DataFrame(rows, columns=["key", "volume", "bond", "energy", "amd"])
 
-    return keys.filter("key is not null").select("key").distinct().mapInPandas(each, "key array<bigint>, volume double, bond double, energy double, amd array<double>")
+    return spread(keys.filter("key is not null").select("key").distinct(), "key").mapInPandas(each, "key array<bigint>, volume double, bond double, energy double, amd array<double>")
 
 
 def relax(keys: DataFrame, xi: float, delta: int, max_steps: int = 1000) -> DataFrame:
@@ -70,8 +80,7 @@ def relax(keys: DataFrame, xi: float, delta: int, max_steps: int = 1000) -> Data
                 path = pathfinding.descend(tuple(key), labels, delta, energies, max_steps)
                 yield pd.DataFrame({"key": [key], "labels": [labels], "path": [[list(k) for k in path]], "energy": [energies(path[-1])]})
 
-    spread = keys.filter("key is not null").select("key", "labels").distinct()
-    return spread.mapInPandas(each, "key array<bigint>, labels array<int>, path array<array<bigint>>, energy double")
+    return spread(keys.filter("key is not null").select("key", "labels").distinct(), "key").mapInPandas(each, "key array<bigint>, labels array<int>, path array<array<bigint>>, energy double")
 
 
 def endpoint_keys(structures: DataFrame, xi: float, delta: int) -> DataFrame:
@@ -89,4 +98,40 @@ def endpoint_keys(structures: DataFrame, xi: float, delta: int) -> DataFrame:
                     key = crystal.real_key(big, places, labels, xi, delta)
                     yield pd.DataFrame({"id": [r.id], "key": [list(key)], "labels": [labels.tolist()]})
 
-    return structures.select("id", "cell", "fractions", "labels", "index").mapInPandas(each, KEYS).distinct()
+    return spread(structures.select("id", "cell", "fractions", "labels", "index"), "id").mapInPandas(each, KEYS).distinct()
+
+
+def energies_of(keys: DataFrame, xi: float, delta: int) -> DataFrame:
+    """key and energy of distinct keys."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            energies = pathfinding.Energies(xi, delta)
+            yield pd.DataFrame({"key": batch["key"], "energy": [energies(tuple(k)) for k in batch["key"]]})
+
+    return spread(keys.select("key").distinct(), "key").mapInPandas(each, "key array<bigint>, energy double")
+
+
+def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, width: float = 0.0, batch: int = 1000, max_steps: int = 50) -> DataFrame:
+    """key, parent, energy and step of the points flooded from start (key, labels), over computed neighbours.
+
+    A step explores the open points at most width above the lowest open energy, batch of them at most, lowest first.
+    Energies are computed for points not seen before alone. It ends when a goal (key) is seen, nothing is open, or after
+    max_steps steps. All starts share one list of labels; no start gives no rows.
+    """
+    first = start.select("key", "labels").distinct()
+    columns = ["key", "labels", F.lit(None).cast("array<bigint>").alias("parent"), "energy", F.lit(0).alias("step"), F.lit(True).alias("open")]
+    state = _written(first.join(energies_of(first, xi, delta), "key").select(*columns), "flood")
+    for step in range(1, max_steps + 1):
+        if not state.join(goals.select("key").distinct(), "key", "left_semi").isEmpty():
+            break
+        level = state.filter("open").agg(F.min("energy")).first()[0]
+        if level is None:
+            break
+        now = _written(state.filter(F.col("open") & (F.col("energy") <= level + width)).orderBy("energy", "key").limit(batch).select("key", "labels"), "front")
+        reached = neighbour_keys(now, delta).groupBy(F.col("neighbour").alias("to")).agg(F.min("key").alias("parent"), F.first("labels").alias("labels")).withColumnRenamed("to", "key")
+        fresh = _written(reached.join(state, "key", "left_anti"), "fresh")
+        fresh = fresh.join(energies_of(fresh, xi, delta), "key").select("key", "labels", "parent", "energy", F.lit(step).alias("step"), F.lit(True).alias("open"))
+        closed = state.join(now.select("key", F.lit(True).alias("done")), "key", "left").withColumn("open", F.col("open") & F.col("done").isNull()).drop("done")
+        state = _written(closed.unionByName(fresh), "flood")
+    return state.select("key", "parent", "energy", "step")

@@ -288,9 +288,10 @@ def path_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g19_ceiling_sweep")
 def ceiling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First attempts and those under ceilings below their barriers; a path that only falls has no room for a ceiling."""
     searches = _searches(spark, sf_dir)
     known = _written(barrier.run(barrier.tasks(searches, **_BOUNDS)), "known")
-    return _summary(barrier.sweep(searches, known, 2, 1, **_BOUNDS))
+    return _summary(known.union(barrier.sweep(searches, known, 2, 1, **_BOUNDS)))
 
 
 @query("g20_ratchet")
@@ -307,6 +308,32 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return barrier.parameter_search(_searches(spark, sf_dir), low=0.0, high=3.0, tolerance=0.75, **_BOUNDS)
 
 
+@query("g10_computed_flood")
+def computed_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of flooding from the keys of two atoms of one kind, 100 points a step at most."""
+    start = _keys(spark, sf_dir).filter("size(labels) = 2 and labels[1] = 0").select("key", "labels")
+    rows = canonical.flood_keys(start, start.select("key").limit(0), 1.0, T.DELTA, width=0.5, batch=100, max_steps=3)
+    return rows.select(_text(F.col("key")).alias("key"), _text(F.col("parent")).alias("parent"), F.round("energy", 6).alias("energy"), "step")
+
+
+@query("w3_resampled_paths", """WITH s AS (SELECT l_orderkey AS path, l_linenumber AS n, min(l_partkey) AS x FROM lineitem GROUP BY ALL),
+a AS (SELECT path, n, x, coalesce(sum(abs(x - px)) OVER (PARTITION BY path ORDER BY n), 0)::BIGINT AS along FROM (SELECT *, lag(x) OVER (PARTITION BY path ORDER BY n) AS px FROM s)),
+b AS (SELECT *, lead(x) OVER w AS nx, lead(along) OVER w AS nalong, max(along) OVER (PARTITION BY path) AS whole FROM a WINDOW w AS (PARTITION BY path ORDER BY n)),
+t AS (SELECT DISTINCT path, k, whole * k AS at4 FROM b, range(0, 5) r(k))
+SELECT t.path, k::INT AS k, round(max_by(CASE WHEN nalong IS NULL OR nalong = along THEN x::DOUBLE ELSE x + (nx - x) * (at4 / 4.0 - along) / (nalong - along)::DOUBLE END, n), 6) AS x
+FROM t JOIN b ON t.path = b.path AND along * 4 <= at4 GROUP BY ALL""")
+def resampled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five points of every path, evenly spaced along its length, between the last point passed and the next."""
+    rows = T.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("x"))
+    w = Window.partitionBy("path").orderBy("n")
+    rows = rows.withColumn("step", F.coalesce(F.abs(F.col("x") - F.lag("x").over(w)), F.lit(0))).withColumn("along", F.sum("step").over(w))
+    rows = rows.select("path", "n", "x", "along", F.lead("x").over(w).alias("nx"), F.lead("along").over(w).alias("nalong"), F.max("along").over(Window.partitionBy("path")).alias("whole"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("at4", F.col("whole") * F.col("k")).filter("along * 4 <= at4")
+    flat = F.col("nalong").isNull() | (F.col("nalong") == F.col("along"))
+    between = F.col("x") + (F.col("nx") - F.col("x")) * (F.col("at4") / 4 - F.col("along")) / (F.col("nalong") - F.col("along"))
+    return rows.groupBy("path", "k").agg(F.round(F.max_by(F.when(flat, F.col("x").cast("double")).otherwise(between), "n"), 6).alias("x"))
+
+
 @query("k24_end_points")
 def end_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the supercells of index two of every crystal, at the half of its resolution."""

@@ -179,3 +179,18 @@ def test_key_operators(spark):
     atoms = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 1, 5, 5, 5)], "id long, label int, x long, y long, z long")
     cells = sublattice.supercell_atoms(atoms, 3, 10).groupBy(*"abcdef").agg(F.count("*").alias("n"), F.count_distinct("label", "x", "y", "z").alias("m")).collect()
     assert len(cells) == 13 and all(r.n == 6 == r.m for r in cells)
+
+
+def test_flood_over_computed_neighbours(spark):
+    energies = pathfinding.Energies(1.0, 10)
+    start = spark.createDataFrame([(list(KEY), [0, 0])], "key array<bigint>, labels array<int>")
+    seen, opened = {KEY}, {KEY}
+    for _ in range(2):
+        low = min(opened, key=lambda k: (energies(k), k))
+        fresh = set(crystal.neighbours(low, [0, 0], 10)) - seen
+        seen |= fresh
+        opened = (opened - {low}) | fresh
+    rows = canonical.flood_keys(start, start.select("key").limit(0), 1.0, 10, batch=1, max_steps=2).collect()
+    assert {tuple(r.key) for r in rows} == seen and len(rows) == len(seen)
+    goal = spark.createDataFrame([(list(crystal.neighbours(KEY, [0, 0], 10)[0]),)], "key array<bigint>")
+    assert canonical.flood_keys(start, goal, 1.0, 10, batch=1, max_steps=5).agg(F.max("step")).first()[0] == 1
