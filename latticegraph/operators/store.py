@@ -61,3 +61,59 @@ def statistics(points: DataFrame) -> DataFrame:
         F.max(F.when(closed, F.col("energy"))).alias("high_water"),
         F.min(F.when(is_open, F.col("energy"))).alias("water_level"),
     )
+
+
+def bounded_statistics(points: DataFrame, buckets: int) -> DataFrame:
+    """The statistics of every bucket of ids, as one partition of a store would report them."""
+    return statistics(points.withColumn("search", F.pmod("id", F.lit(buckets)))).withColumnRenamed("search", "bucket")
+
+
+def delete(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """table without the rows whose key is in gone; a null key is never deleted."""
+    return table.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges and both directions of the new ones. Repeats are kept, readers take distinct pairs."""
+    return edges.unionByName(new.select("src", "dst")).unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those that join a pair of gone, in either direction."""
+    both = gone.select("src", "dst").union(gone.select("dst", "src")).distinct()
+    return edges.join(both, ["src", "dst"], "left_anti")
+
+
+def set_values(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """table with column replaced where changes (one row per key) has a value; unknown keys are ignored."""
+    new = changes.select(key, F.col(column).alias("_new"))
+    return table.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def status_points(status: DataFrame, points: DataFrame, wanted: str, *, stored_only: bool = False) -> DataFrame:
+    """id and energy of ids with a status; the energy of an id that is not stored is null, unless only stored ones count."""
+    rows = status.filter(F.col("status") == wanted).select("id")
+    return rows.join(points.select("id", "energy"), "id", "inner" if stored_only else "left")
+
+
+def lowest_neighbour(edges: DataFrame, energies: DataFrame) -> DataFrame:
+    """For every source the neighbour of lowest energy (ties: smallest id); neighbours without energy do not count."""
+    rows = edges.select("src", "dst").join(energies.filter("energy is not null").select(F.col("id").alias("dst"), "energy"), "dst")
+    return rows.groupBy("src").agg(F.min(F.struct("energy", "dst")).alias("low")).select("src", "low.dst", "low.energy")
+
+
+def end_point_report(ends: DataFrame, status: DataFrame, edges: DataFrame) -> DataFrame:
+    """For every end point: whether it is stored with a status, which, its degree, and whether it counts as reached.
+
+    An end point is reached if it is in the frontier or has an edge.
+    """
+    wanted = ends.select("id").distinct()
+    touching = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).join(F.broadcast(wanted) if _is_small(wanted) else wanted, "id", "left_semi")
+    degree = touching.groupBy("id").agg(F.count("*").alias("degree"))
+    rows = wanted.join(status.select("id", "status"), "id", "left").join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    is_open, closed = F.coalesce(F.col("status") == "OPEN", F.lit(False)), F.coalesce(F.col("status") == "CLOSED", F.lit(False))
+    return rows.select("id", is_open.alias("in_frontier"), closed.alias("searched"), "degree", (is_open | (F.col("degree") > 0)).alias("reached"))
+
+
+def _is_small(rows: DataFrame, bound: int = 100_000) -> bool:
+    return rows.limit(bound + 1).count() <= bound

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import crystal_queries, store_queries
+from .plans import crystal_queries, relational_queries, store_queries
 
-QUERIES = store_queries.QUERIES | crystal_queries.QUERIES
-ORACLE_SQL = store_queries.ORACLE_SQL | crystal_queries.ORACLE_SQL
+PLANS = (store_queries, crystal_queries, relational_queries)
+QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
