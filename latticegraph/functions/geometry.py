@@ -145,3 +145,50 @@ def pair_energy(cell: np.ndarray, fractions: np.ndarray, length: float = 3.0) ->
     near = np.maximum(near_distances(cell, fractions, 12), length / 2)
     q = (length / near) ** 3
     return float((q * q - 2 * q).sum() / 2)
+
+
+@lru_cache(4)
+def unimodular(largest: int = 1) -> np.ndarray:
+    """All matrices of determinant one whose entries are at most largest in size."""
+    rows = np.array(list(itertools.product(range(-largest, largest + 1), repeat=3)))
+    cross = np.cross(rows[:, None], rows[None])
+    det = np.einsum("ik,jlk->ijl", rows, cross)
+    i, j, k = np.nonzero(det == 1)
+    return np.stack([rows[i], rows[j], rows[k]], 1)
+
+
+def align(cell, fractions, next_cell, next_fractions, labels, largest: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
+    """The second crystal in the axes and the order of atoms that bring it nearest to the first, and the distance left.
+
+    The distance is the Frobenius norm of the difference of the cells plus the sum of the distances of matched atoms. All changes of axes of determinant one with entries up to largest are tried, and all
+    shifts that take an atom of the first label to the first atom. Orders of increasing cell difference end the search
+    exactly, since atoms only add to it.
+    """
+    first, labels = lower_triangular(cell), np.asarray(labels)
+    at, to = np.asarray(fractions, float), np.asarray(next_fractions, float)
+    turns = unimodular(largest)
+    gram = np.asarray(next_cell, float) @ np.asarray(next_cell, float).T
+    cells = np.linalg.cholesky(np.einsum("tij,jk,tlk->til", turns, gram, turns))
+    gaps = np.linalg.norm(cells - first, axis=(1, 2))
+    best = (math.inf, None, None)
+    for k in np.argsort(gaps, kind="stable"):
+        if gaps[k] >= best[0]:
+            break
+        moved = to @ np.rint(np.linalg.inv(turns[k]))
+        for o in np.flatnonzero(labels == labels[0]):
+            shifted = (moved - moved[o] + at[0]) % 1
+            partner, cost = match_atoms(first, at, shifted, labels)
+            if gaps[k] + cost < best[0]:
+                best = (float(gaps[k] + cost), cells[k], shifted[partner])
+    return best[1], best[2], best[0]
+
+
+def align_path(cells, fractions, labels, largest: int = 1) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
+    """Every crystal of a path in axes near those of the one before it, with the distance left at every step."""
+    out_cells, out_at, left = [lower_triangular(cells[0])], [np.asarray(fractions[0], float)], [0.0]
+    for cell, at in zip(cells[1:], fractions[1:]):
+        cell, at, gap = align(out_cells[-1], out_at[-1], cell, at, labels, largest)
+        out_cells.append(cell)
+        out_at.append(at)
+        left.append(gap)
+    return out_cells, out_at, left
