@@ -160,3 +160,18 @@ def step_vectors() -> list[tuple[int, ...]]:
 def determinant(m: Column) -> Column:
     x = lambda i, j: m[i][j]
     return x(0, 0) * (x(1, 1) * x(2, 2) - x(1, 2) * x(2, 1)) - x(0, 1) * (x(1, 0) * x(2, 2) - x(1, 2) * x(2, 0)) + x(0, 2) * (x(1, 0) * x(2, 1) - x(1, 1) * x(2, 0))
+
+
+def selling_reduce_vectors(basis: Column, steps: int = STEPS) -> Column:
+    """Four vectors of an obtuse superbasis of the same lattice: the pair of largest product is turned until none is positive."""
+
+    def step(state: Column, _: Column) -> Column:
+        products = F.array(*(dot(state[i], state[j]) for i, j in PAIRS))
+        at = F.array_position(products, F.array_max(products)).cast("int")
+        moves = []
+        for i, j in PAIRS:
+            row = lambda r: -state[i][r[1]] if r[0] == i else state[j][r[1]] if r[0] == j else state[r[0]][r[1]] + state[i][r[1]]  # noqa: B023, E731
+            moves.append(F.array(*(F.array(*(row((k, c)) for c in range(3))) for k in range(4))))
+        return F.when(is_obtuse(products), state).otherwise(F.element_at(F.array(*moves), at))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), basis, step)
