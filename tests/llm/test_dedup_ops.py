@@ -6,12 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from latticegraph.llm import bpe, decontam, quality, sharding, simhash, suffix
+from latticegraph.llm import bpe, decontam, quality, sharding, simhash, substring, suffix
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -288,3 +289,34 @@ def test_matrix_and_large_draws():
     rng = random.Random(0)
     draws = [sharding.hypergeometric(30, 70, 20, rng) for _ in range(4000)]
     assert abs(np.mean(draws) - 6) < 0.15 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.4
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_links_are_grouped_like_one_at_a_time(seed):
+    rng = random.Random(seed)
+    link = pa.struct([(n, pa.int32()) for n in ("c", "l", "r", "sc", "sl", "sr")] + [("f", pa.int64())])
+    lists = []
+    for _ in range(40):
+        places = [(rng.randrange(300), rng.choice([0, 3, 40])) for _ in range(rng.randrange(1, 20))]
+        lists.append([{"c": c + d, "l": max(0, c + d - rng.randrange(80)), "r": c + d + rng.randrange(90), "sc": c, "sl": 0, "sr": 900, "f": rng.randrange(4)} for c, d in places])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(lists, pa.list_(link))], ["key", "source", "links"])
+    want = []
+    for key, links in enumerate(lists):
+        for d in {x["c"] - x["sc"] for x in links}:
+            cover = {}
+            for x in links:
+                if x["c"] - x["sc"] == d:
+                    low, high = x["c"] - min(x["c"] - x["l"], x["sc"] - x["sl"], substring.WINDOW), x["c"] + min(x["r"] - x["c"], x["sr"] - x["sc"], substring.WINDOW)
+                    for at in range(low, high + 1):
+                        cover.setdefault(at, set()).add((x["f"], low, high))
+            at = sorted(cover)
+            while at:  # a run of covered places that spans join end to end
+                run, fs = [at[0]], {f for f, _, _ in cover[at[0]]}
+                while len(run) < len(at) and at[len(run)] == run[-1] + 1 and cover[at[len(run)]] & cover[run[-1]]:
+                    run.append(at[len(run)])
+                    fs |= {f for f, _, _ in cover[run[-1]]}
+                at = at[len(run) :]
+                if len(fs) >= substring.AGREE:
+                    want.append((key, key, run[0], run[-1] + 1, run[0] - d, run[-1] + 1 - d, len(fs)))
+    got = [tuple(r.values()) for part in (batch, batch.slice(0, 0)) for out in substring._candidates("bigint")(iter([part])) for r in out.to_pylist()]
+    assert sorted(got) == sorted(want)
