@@ -200,11 +200,12 @@ def _compare_spans(spans: DataFrame, key_type: str, length: int, q: int, dense:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """key and text; the key is the id, or the id with a hash of the text if ids repeat or are null."""
+    """key and text, one row per key; the key is the id, or the id with a hash of the text if ids repeat or are null."""
     if not has_repeated_ids(docs, id_col):
         out = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     else:
-        out = docs.select(F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha")).alias("key"), F.col(text_col).alias("text"))
+        key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha"))
+        out = docs.select(key.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     return out, out.schema["key"].dataType.simpleString()
 
 

@@ -83,6 +83,17 @@ def test_suffix_ties_nulls_and_empty(spark):
     assert suffix.removal_digests(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dense", [suffix.DENSE, 1])
+def test_suffix_repeated_rows_share_one_verdict(spark, dense):
+    rng = random.Random(8)
+    passage, word = prose(rng, 50), lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    distinct = [(1, f"{word(20)} {passage} {word(20)}"), (2, f"{word(9)} {passage} {word(30)}"), (3, f"{passage[:150]} {word(30)}")]
+    for twice in range(3):
+        rows = distinct + [distinct[twice]]
+        got = sorted(map(tuple, suffix.removal_digests(table(spark, rows), dense=dense).collect()))
+        assert got == sorted(brute_repeats(distinct) + [brute_repeats(distinct)[twice]])
+
+
 def test_remove_repeats_changes_the_text(spark, corpus):
     rows = [(i, t) for i, t in corpus if t is not None]
     want = {i: (n, m) for i, n, m, _, _ in brute_repeats(rows)}
