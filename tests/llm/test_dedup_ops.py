@@ -331,3 +331,30 @@ def test_links_are_grouped_like_one_at_a_time(seed):
                     want.append((key, key, run[0], run[-1] + 1, run[0] - d, run[-1] + 1 - d, len(fs)))
     got = [tuple(r.values()) for part in (batch, batch.slice(0, 0)) for out in substring._candidates("bigint")(iter([part])) for r in out.to_pylist()]
     assert sorted(got) == sorted(want)
+
+
+def brute_stretches(a, b):
+    """All stretches that satisfy the rule and are inside no other."""
+    n, ok = len(a), []
+    for i in range(n):
+        for j in range(i + substring.WINDOW, n + 1):
+            x, y = set(a[i:j]), set(b[i:j])
+            same = [k for k in range(i, j) if a[k] == b[k]]
+            if same and same[0] == i and same[-1] == j - 1 and all(q - p <= substring.GAP + substring.SHINGLE for p, q in zip(same, same[1:])) and len(x & y) >= 0.8 * len(x | y):
+                ok.append((i, j))
+    return [(i, j) for i, j in ok if not any((p, q) != (i, j) and p <= i and j <= q for p, q in ok)]
+
+
+def test_similar_parts_of_a_bridged_stretch():
+    rng = np.random.default_rng(3)
+    a = np.arange(72, dtype=np.uint32)
+    b = a.copy()
+    b[56:70] += 1000  # 60 equal words, 10 different, 6 equal
+    assert [m[:2] for m in substring.matching_stretches(a, b)] == [(0, 56)]
+    for size in (5000, 12):  # without and with repeated shingles
+        for _ in range(8):
+            a = rng.integers(0, size, 130).astype(np.uint32)
+            b = a.copy()
+            for at in rng.integers(0, 126, rng.integers(3, 9)):
+                b[at : at + 5] = rng.integers(size, 2 * size, min(5, 130 - at))
+            assert sorted(m[:2] for m in substring.matching_stretches(a, b)) == brute_stretches(a.tolist(), b.tolist())
