@@ -2,12 +2,14 @@
 
 Texts are sequences of lower-cased words. A mask is a pattern of positions that count and positions that are ignored;
 the hash of the counted words at every offset is a seed. Seeds of all benchmark items are joined with the seeds of all
-documents, each hit fixes a diagonal (document offset minus item offset), and every diagonal is verified by counting
-equal words over the whole overlap, which tolerates substitutions anywhere.
+documents, and each hit fixes a diagonal (document offset minus item offset), which is verified by counting equal words
+over the whole overlap. Where that is not similar enough, the diagonals of a document and an item that are near enough
+for one window to cross them are judged together: a window follows one diagonal and may change to another, and every
+word that a change leaves out on either side counts as one that is not equal.
 
-A document is contaminated by an item if on some diagonal the overlap has at least min(item words, MIN_WORDS) words and
-at least SIMILARITY of them are equal. Items of fewer words than the shortest mask are matched as they stand: they are
-seeded by all of their words.
+A document is contaminated by an item if some window, wherever it begins and ends in the item and the document, has at
+least min(item words, MIN_WORDS) item words and at least SIMILARITY of it is equal. Items of fewer words than the
+shortest mask are matched as they stand: they are seeded by all of their words.
 
 The benchmark is a stated query set: it is read in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters, and
 each block goes over all documents, so what is sent to the executors has a bound whatever the benchmark's size.
@@ -98,7 +100,79 @@ class SeedIndex:
             equal[part] = np.bincount(k[same], minlength=len(n))
         overlap = end - start
         ok = (overlap >= np.minimum(self.lengths[item], min_words)) & (equal >= similarity * overlap - 1e-9)
-        return np.stack([doc, item, diagonal - first[doc], start - first[doc], end - first[doc], equal])[:, ok]
+        out = [np.stack([doc, item, diagonal - first[doc], start - first[doc], end - first[doc], equal])[:, ok]]
+        # diagonals that one window can cross: a change of g leaves out g words
+        order = np.lexsort((diagonal, item, doc))
+        doc, item, diagonal, equal, ok = (x[order] for x in (doc, item, diagonal, equal, ok))
+        far = (np.diff(diagonal) > _reach(self.lengths[item[1:]], similarity)) | (np.diff(doc) != 0) | (np.diff(item) != 0)
+        begin = np.concatenate([[0], np.flatnonzero(far) + 1]) if len(doc) else np.zeros(0, np.int64)
+        if len(begin):
+            enough = np.add.reduceat(equal, begin) >= similarity * np.minimum(self.lengths[item[begin]], min_words) - 1e-9
+            enough &= ~np.logical_or.reduceat(ok, begin)
+            stop = np.append(begin[1:], len(doc))
+            for a, b in zip(begin[enough].tolist(), stop[enough].tolist()):
+                d, k = int(doc[a]), int(item[a])
+                window = best_window(words[first[d] : first[d + 1]], self.words[self.first[k] : self.first[k + 1]], diagonal[a:b] - first[d], similarity, min_words)
+                if window:
+                    out.append(np.array([d, k, *window])[:, None])
+        return np.concatenate(out, axis=1)
+
+
+def _reach(length, similarity: float):
+    """Most words that changes of diagonal may leave out in a window of an item of so many words."""
+    return np.ceil(length * (1 - similarity) / similarity).astype(np.int64)
+
+
+def best_window(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray, similarity: float, min_words: int):
+    """Diagonal, start, end and equal words of the longest window along the diagonals (ascending), or None.
+
+    Windows of many starts in the item grow together, one item word at a time; of those with one start and one diagonal
+    the one with the most to spare is kept.
+    """
+    n, m, k = len(item), min(len(item), min_words), len(diagonals)
+    place = np.arange(n)[:, None] + diagonals
+    same = (place >= 0) & (place < len(words))
+    same &= words[np.clip(place, 0, len(words) - 1)] == item[:, None]
+    # a window is made of pieces of m to 2m - 1 item words, one of them similar enough
+    lost = np.concatenate([[0], np.cumsum(~same.any(1))])
+    if (lost[m:] - lost[:-m]).min() > (1 - similarity) * (2 * m - 1) + 1e-9:
+        return None
+    step = np.diff(diagonals)
+    column = np.arange(k)
+    best = None
+    block = max(1, 500_000 // ((n + 1) * k))
+    for low in range(0, n - m + 1, block):
+        starts = np.arange(low, min(low + block, n - m + 1))
+        line = np.arange(len(starts))[:, None]
+        value = np.full((n + 1, len(starts), k), -np.inf)  # equal words less their due share, before item word x
+        equal, origin = np.zeros(value.shape, np.int32), np.zeros(value.shape, np.int32)
+        for x in range(low, n):
+            v, e, o = value[x], equal[x], origin[x]
+            if x <= starts[-1]:
+                v[x - low], e[x - low], o[x - low] = 0, 0, column
+            for j in range(k - 2, -1, -1):  # item words left out
+                was = x - int(step[j])
+                if was >= low:
+                    spare = value[was, :, j + 1] - similarity * step[j]
+                    better = spare > v[:, j]
+                    v[better, j], e[better, j], o[better, j] = spare[better], equal[was, better, j + 1], origin[was, better, j + 1]
+            if k > 1:  # document words left out
+                level = v + similarity * diagonals
+                top = np.maximum.accumulate(level, axis=1)
+                source = np.maximum.accumulate(np.where(level == top, column, 0), axis=1)
+                value[x], equal[x], origin[x] = top - similarity * diagonals, e[line, source], o[line, source]
+                v, e, o = value[x], equal[x], origin[x]
+            nxt = v + same[x] - similarity
+            value[x + 1], equal[x + 1], origin[x + 1] = nxt, e + same[x], o
+            done = np.argwhere((nxt >= -1e-9) & (x + 1 - starts[:, None] >= m))
+            if len(done) and (best is None or x + 1 - starts[done[0, 0]] > best[0]):
+                at, j = done[0]
+                first = int(diagonals[o[at, j]])
+                best = (x + 1 - starts[at], first, int(starts[at]) + first, x + 1 + int(diagonals[j]), int(equal[x + 1, at, j]))
+    if best is None:
+        return None
+    _, diagonal, start, end, count = best
+    return diagonal, max(start, 0), min(end, len(words)), count
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):

@@ -232,6 +232,40 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.find_leaks(table(spark, rows).limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_parts_and_shifted_copies(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [(k, words(n)) for k, n in enumerate([45, 45, 15, 15, 40, 45, 59])]
+    parts = [
+        items[0][1][8:38],  # 30 of 45 words
+        items[1][1][:22] + ["new"] + items[1][1][22:],
+        items[2][1][:7] + ["new"] + items[2][1][7:],
+        items[3][1][:7] + items[3][1][8:],
+        items[4][1][20:33],  # 13 words
+        items[5][1][:10],  # one too few of 13
+        items[6][1][:9] + words(9) + items[6][1][9:18],  # two pieces too far from each other
+    ]
+    rows = [(k, " ".join(words(60) + part + words(60))) for k, part in enumerate(parts)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = decontam.find_leaks(table(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(5)]
+    assert all(0 < r.start_word < r.end_word < len(rows[r.doc_id][1].split()) and 0.8 * r.n_overlap <= r.n_equal for r in got)
+    assert {r[0] for r in decontam.drop_contaminated(table(spark, rows), bench).collect()} == {5, 6}
+
+
+def test_best_window_matches_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(13, 26))
+        item, doc = rng.integers(0, 40, n).astype(np.uint64), rng.integers(0, 40, 60).astype(np.uint64)
+        doc[20 : 20 + n] = item
+        doc[20 + rng.integers(0, n, int(rng.integers(2, 9)))] = 99
+        got = decontam.best_window(doc, item, np.array([20]), 0.8, 13)
+        same = doc[20 : 20 + n] == item
+        want = max((q - p for p in range(n) for q in range(p + 13, n + 1) if same[p:q].sum() >= 0.8 * (q - p) - 1e-9), default=None)
+        assert (got and got[2] - got[1]) == want
+
+
 def test_masks_leave_few_gaps():
     """Overlaps of 13 words at 0.8: the share of substitution patterns that no mask hits."""
     rng, missed = random.Random(2), 0
