@@ -240,3 +240,12 @@ def has_repeated_ids(docs: DataFrame, id_col: str) -> bool:
     """Whether an id is null or stands in more than one row."""
     rows = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
     return not rows.isEmpty()
+
+
+#: Column of numbered_rows().
+ROW = "__row"
+
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own in every row, written, so that each reader finds the same numbers."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, ranges, small_side, thrifty, utf8_views, word_table
+from .common import ROW, U64, has_repeated_ids, materialize, mix, numbered_rows, ranges, small_side, thrifty, utf8_views, word_table
 
 #: Fixed masks. At the similarity below, an overlap of 13 or more words has few ways to miss all of them.
 MASKS = ("1111", "11011", "1101011", "110101", "1100101")
@@ -216,7 +216,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no leak, with all columns; rows without an id are kept."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = materialize(leaks.select(id_col).distinct(), "contaminated")
-    return docs.join(small_side(bad), id_col, "left_anti").select(docs.columns)
+    """The rows of docs that hold no leak, with all columns; rows with a null or repeated id are judged one by one."""
+    rows, key = (numbered_rows(docs), ROW) if has_repeated_ids(docs, id_col) else (docs, id_col)
+    leaks = find_leaks(rows, benchmark, id_col=key, text_col=text_col, **options)
+    bad = materialize(leaks.select(key).distinct(), "contaminated")
+    return rows.join(small_side(bad), key, "left_anti").select(docs.columns)

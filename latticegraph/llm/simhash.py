@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, small_side, thrifty
+from .common import ROW, U64, has_repeated_ids, materialize, numbered_rows, small_side, thrifty
 from .components import connected_components
 
 MAX_BITS = 3
@@ -205,7 +205,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, and rows without an id, with all columns."""
+    """One row of docs for each group, with all columns: that of the smallest id, nulls last.
+
+    Of rows that share that id one is kept.
+    """
+    if has_repeated_ids(docs, id_col):
+        rows = numbered_rows(docs)
+        found = near_duplicates(rows, id_col=ROW, text_col=text_col, dense=dense)
+        rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+        ranked = found.join(rows.select(ROW, rank.alias("rank")), ROW)
+        kept = ranked.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.row").alias(ROW))
+        kept = materialize(kept, "kept-rows")
+        return rows.join(small_side(kept), ROW, "left_semi").select(docs.columns)
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, dense=dense)
     dropped = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-duplicates")
     return docs.join(small_side(dropped), id_col, "left_anti").select(docs.columns)

@@ -175,6 +175,18 @@ def test_simhash_ties_nulls_and_empty(spark):
     assert simhash.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_dropping_stages_act_on_rows(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "own text of five"), (None, "x y z q"), (None, "x y z q")]
+    kept = [(r[0], r[1]) for r in simhash.drop_near_duplicates(table(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(3, "a b c d"), (5, "own text of five"), (None, "x y z q")], key=str)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (1, "clean"), (None, f"so {item}"), (None, "clean too"), (2, "clean")]
+    out = decontam.drop_contaminated(table(spark, rows), bench)
+    assert out.columns == ["doc_id", "text", "source"]
+    assert sorted(((r[0], r[1]) for r in out.collect()), key=str) == sorted([(1, "clean"), (None, "clean too"), (2, "clean")], key=str)
+
+
 # ---------------------------------------------------------------- quality rules
 
 
