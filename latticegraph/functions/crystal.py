@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from . import lattice
+from . import forms, lattice
 
 _SUPPORT = np.array([[int(k in s) for k in range(7)] for s in lattice.SUPPORT])
 _STEPS = np.array(lattice.step_vectors())
@@ -74,80 +74,117 @@ def zero_mask(d: np.ndarray) -> int:
     return sum(1 << k for k in range(6) if d[k] == 0)
 
 
+_FIRST = np.vstack([np.eye(3, dtype=np.int64), -np.ones((1, 3), np.int64)])
+
+
+def reduce_all(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Doubled conorms of obtuse superbases of the lattices (n, 7) and the inverses of the matrices that lead to them."""
+    d, rows = forms.selling(doubled_conorms(np.asarray(v, np.int64)), np.tile(_FIRST, (len(v), 1, 1)))
+    m = rows[:, :3].transpose(0, 2, 1)
+    first, second, third = m[:, 0], m[:, 1], m[:, 2]
+    # determinant one: the inverse is the adjugate
+    m = m * (first * np.cross(second, third)).sum(1)[:, None, None]
+    first, second, third = m[:, 0], m[:, 1], m[:, 2]
+    return d, np.stack([np.cross(second, third), np.cross(third, first), np.cross(first, second)], 2)
+
+
 def reduce(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vonorms of an obtuse superbasis of the same lattice and the inverse of the matrix that leads to it."""
-    d = doubled_conorms(np.asarray(v))
-    if d.max() <= 0:
-        return np.asarray(v), np.eye(3, dtype=int)
-    rows = np.vstack([np.eye(3, dtype=int), -np.ones((1, 3), int)])
-    while d.max() > 0:
-        pair = int(d.argmax())
-        rows = _turned(rows, pair)
-        d = np.array([sum(int(np.sign(t)) * d[abs(t) - 1] for t in ts) for ts in lattice.selling_step_places(pair)])
-    m = rows[:3].T
-    m = m * round(np.linalg.det(m))
-    return -(_SUPPORT[:, :6] @ d) // 2, np.rint(np.linalg.inv(m)).astype(int)
+    d, back = reduce_all(np.asarray(v)[None])
+    return forms.vonorms_of(d)[0], back[0]
 
 
-def is_valid(v: np.ndarray) -> bool:
-    """Whether vonorms are those of an obtuse superbasis with a possible zero set."""
+_POSSIBLE = np.isin(np.arange(64), forms.possible_masks())
+
+
+def are_valid(v: np.ndarray) -> np.ndarray:
+    """Whether vonorms (n, 7) are those of an obtuse superbasis with a possible zero set."""
     d = doubled_conorms(v)
-    return v[:4].sum() == v[4:].sum() and d.max() <= 0 and zero_mask(d) in _possible()
+    return (v[:, :4].sum(1) == v[:, 4:].sum(1)) & (d.max(1) <= 0) & _POSSIBLE[forms.zero_masks(d)]
+
+
+def is_valid(v: np.ndarray) -> bool:
+    return bool(are_valid(np.asarray(v)[None])[0])
 
 
-@lru_cache(1)
-def _possible() -> frozenset[int]:
-    return frozenset(lattice.possible_masks())
+#: Rows of turned motifs that are compared at once.
+_ROWS = 1 << 18
 
 
-def _first_row(rows: np.ndarray) -> np.ndarray:
-    """Lexicographically smallest row."""
-    return rows[np.lexsort(rows.T[::-1])[0]]
+def lattice_forms(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical vonorms of the lattices (n, 7), and (row, inverse) of all matrices that lead to them, sorted by row."""
+    d, back = reduce_all(v)
+    masks, w = forms.zero_masks(d), forms.vonorms_of(d)
+    best, rows, turns = np.empty_like(w), [np.zeros(0, int)], [np.zeros((0, 3, 3), int)]
+    for mask in np.unique(masks):
+        _, places, inverses = orientations(int(mask))
+        at = np.flatnonzero(masks == mask)
+        for part in np.array_split(at, len(at) // 2048 + 1):
+            images = w[part][:, places]
+            keep = forms.smallest(images)
+            best[part] = images[np.arange(len(part)), keep.argmax(1)]
+            r, t = np.nonzero(keep)
+            rows.append(part[r])
+            turns.append(inverses[t] @ back[part[r]])
+    row, turn = np.concatenate(rows), np.concatenate(turns)
+    order = np.argsort(row, kind="stable")
+    return best, row[order], turn[order]
 
 
 def lattice_form(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical vonorms and the inverses of all matrices that lead to them."""
-    v, back = reduce(v)
-    _, places, inverses = orientations(zero_mask(doubled_conorms(v)))
-    images = v[places]
-    best = _first_row(images)
-    return best, inverses[(images == best).all(1)] @ back
+    """Canonical vonorms of one lattice and the inverses of all matrices that lead to them."""
+    best, _, turns = lattice_forms(np.asarray(v)[None])
+    return best[0], turns
+
 
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place within the row of so many entries each."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-def motif_forms(coords: np.ndarray, labels: np.ndarray, turns: np.ndarray, delta: int) -> np.ndarray:
-    """The smallest sorted coordinates of motifs (b, n, 3) over turns and over which atom of label 0 is the origin.
 
-    One row of 3 (n - 1) values per motif.
+def motif_forms(coords: np.ndarray, labels: np.ndarray, row: np.ndarray, turns: np.ndarray, delta: int) -> np.ndarray:
+    """The smallest sorted coordinates of motifs (b, n, 3) over their turns and over which atom of label 0 is the origin.
+
+    (row, turn) tells which turns a motif has, sorted by row, one at least each. One row of 3 (n - 1) values per motif.
     """
     b, n, _ = coords.shape
-    if n == 1:
-        return np.zeros((b, 0), int)
-    turned = np.einsum("tij,bnj->btni", turns, coords).reshape(b, -1, n, 3)
-    best = None
-    for o in np.flatnonzero(labels == labels[0]):
-        x = np.mod(turned - turned[:, :, o : o + 1], delta)
-        codes = np.sort(((labels * delta + x[..., 0]) * delta + x[..., 1]) * delta + x[..., 2], -1)
-        codes = codes if best is None else np.concatenate([best[:, None], codes], 1)
+    if n == 1 or not b:
+        return np.zeros((b, 3 * (n - 1)), int)
+    origins = np.flatnonzero(labels == labels[0])
+    first = np.searchsorted(row, np.arange(b + 1))
+    best = np.empty((b, n), np.int64)
+    low = 0
+    while low < b:  # whole motifs, so many turns at a time
+        high = max(low + 1, int(np.searchsorted(first, first[low] + _ROWS // (n * len(origins)), side="right")) - 1)
+        own, begin = row[first[low] : first[high]], first[low:high] - first[low]
+        turned = np.einsum("pij,pnj->pni", turns[first[low] : first[high]], coords[own])
+        codes = np.empty((len(own), len(origins), n), np.int64)
+        for k, o in enumerate(origins):
+            x = np.mod(turned - turned[:, o : o + 1], delta)
+            codes[:, k] = np.sort(((labels * delta + x[..., 0]) * delta + x[..., 1]) * delta + x[..., 2], -1)
         keep = np.ones(codes.shape[:2], bool)
-        for k in range(n):  # one column after another leaves the smallest rows
+        for k in range(1, n):  # the first is the origin itself; one column after another leaves the smallest rows
             column = np.where(keep, codes[:, :, k], np.iinfo(np.int64).max)
-            keep &= column == column.min(1, keepdims=True)
-        best = codes[np.arange(b), keep.argmax(1)]
+            keep &= column == np.minimum.reduceat(column.min(1), begin)[own - low][:, None]
+        p, o = np.nonzero(keep)
+        at = np.searchsorted(own[p], np.arange(low, high))
+        best[low:high] = codes[p[at], o[at]]
+        low = high
     rest = best[:, 1:]
     return np.stack([rest // delta**2 % delta, rest // delta % delta, rest % delta], -1).reshape(b, -1)
 
 
 def canonical_keys(v: np.ndarray, coords: np.ndarray, labels: np.ndarray, delta: int) -> np.ndarray:
-    """Keys of motifs (b, n, 3) on one lattice; the atoms are in the order of the labels."""
-    form, turns = lattice_form(np.asarray(v))
-    motifs = motif_forms(coords, labels, np.unique(turns, axis=0), delta)
-    return np.concatenate([np.broadcast_to(form, (len(coords), 7)), motifs], 1)
+    """Keys of crystals (b, 7) and (b, n, 3) whose atoms have the same labels, in their order."""
+    form, row, turns = lattice_forms(v)
+    return np.concatenate([form, motif_forms(coords, labels, row, turns, delta)], 1)
 
 
 def canonical_key(v, coords, labels, delta: int) -> tuple[int, ...]:
     """Key of one crystal: vonorms, flat coordinates of all atoms, labels."""
     coords = np.asarray(coords, int).reshape(1, -1, 3)
-    return tuple(canonical_keys(np.asarray(v, int), coords, np.asarray(labels, int), delta)[0].tolist())
+    return tuple(canonical_keys(np.asarray(v, int)[None], coords, np.asarray(labels, int), delta)[0].tolist())
 
 
 def atoms_of(key) -> np.ndarray:
@@ -155,49 +192,96 @@ def atoms_of(key) -> np.ndarray:
     return np.vstack([np.zeros((1, 3), int), np.asarray(key[7:], int).reshape(-1, 3)])
 
 
-def lattice_neighbours(key, labels: np.ndarray, delta: int) -> set[tuple[int, ...]]:
-    """Keys one lattice step away.
+def _split_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vonorms and coordinates (b, n, 3) of keys."""
+    rest = keys[:, 7:].reshape(len(keys), -1, 3)
+    return keys[:, :7], np.concatenate([np.zeros((len(keys), 1, 3), np.int64), rest], 1)
+
+
+def _distinct_motifs(row: np.ndarray, motifs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, motif), sorted by row."""
+    n = motifs.shape[1]
+    both = np.unique(np.concatenate([row[:, None], motifs.reshape(len(motifs), -1)], 1), axis=0)
+    return both[:, 0], both[:, 1:].reshape(-1, n, 3)
 
-    Steps are taken from the smallest member of every class of superbases that share their four primary vonorms, with
-    the motif in each orientation that leads to it.
-    """
-    v, atoms = np.array(key[:7]), atoms_of(key)
-    _, places, inverses = orientations(zero_mask(doubled_conorms(v)))
-    images, groups = v[places], {}
-    for k, at in enumerate(map(tuple, np.sort(places[:, :4], 1).tolist())):
-        groups.setdefault(at, []).append(k)
-    out = set()
-    for start in {tuple(_first_row(images[rows]).tolist()) for rows in groups.values()}:
-        turns = np.unique(inverses[(images == start).all(1)], axis=0)
-        motifs = np.unique(np.mod(np.einsum("tij,nj->tni", turns, atoms), delta), axis=0)
-        for moved in np.array(start) + _STEPS:
-            if is_valid(moved):
-                out.update(map(tuple, canonical_keys(moved, motifs, labels, delta).tolist()))
-    return out
 
+def _starts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key row and vonorms of every start, and (start, inverse) of the orientations that show it.
 
-def motif_neighbours(key, labels: np.ndarray, delta: int) -> set[tuple[int, ...]]:
-    """Keys one move of one atom away, in every orientation that keeps the lattice; the atom at the origin moves too."""
-    v, atoms = np.array(key[:7]), atoms_of(key)
-    n = len(atoms)
+    A start is the smallest member of a class of superbases that share their four primary vonorms.
+    """
+    masks = forms.zero_masks(doubled_conorms(v))
+    rows, starts, of, turns, count = [np.zeros(0, int)], [np.zeros((0, 7), int)], [np.zeros(0, int)], [np.zeros((0, 3, 3), int)], 0
+    for mask in np.unique(masks):
+        _, places, inverses = orientations(int(mask))
+        group = np.unique(np.sort(places[:, :4], 1), axis=0, return_inverse=True)[1].ravel()
+        at = np.flatnonzero(masks == mask)
+        images = v[at][:, places]
+        least = np.stack([(part := images[:, group == g])[np.arange(len(at)), forms.smallest(part).argmax(1)] for g in range(group.max() + 1)], 1)
+        for g in range(least.shape[1]):
+            new = np.flatnonzero(~(least[:, :g] == least[:, g : g + 1]).all(2).any(1)) if g else np.arange(len(at))
+            r, t = np.nonzero((images[new] == least[new, g][:, None]).all(2))
+            rows.append(at[new])
+            starts.append(least[new, g])
+            of.append(count + r)
+            turns.append(inverses[t])
+            count += len(new)
+    return np.concatenate(rows), np.concatenate(starts), np.concatenate(of), np.concatenate(turns)
+
+
+def lattice_neighbour_rows(keys: np.ndarray, labels: np.ndarray, delta: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the keys one lattice step away, with the motif in each orientation that leads to the start."""
+    v, atoms = _split_keys(keys)
+    row, start, of, turns = _starts(v)
+    of, motifs = _distinct_motifs(of, np.mod(np.einsum("pij,pnj->pni", turns, atoms[row[of]]), delta))
+    moved = start[:, None] + _STEPS
+    s, k = np.nonzero(are_valid(moved.reshape(-1, 7)).reshape(moved.shape[:2]))
+    form, own, inverses = lattice_forms(moved[s, k])
+    # every motif of the start on every lattice reached from it
+    first = np.searchsorted(of, np.arange(len(start) + 1))
+    lattice_at, place = _spread(np.diff(first)[s])
+    motif_at = first[s][lattice_at] + place
+    begin = np.searchsorted(own, np.arange(len(form) + 1))
+    pair, place = _spread(np.diff(begin)[lattice_at])
+    best = motif_forms(motifs[motif_at], labels, pair, inverses[begin[lattice_at[pair]] + place], delta)
+    return row[s][lattice_at], np.concatenate([form[lattice_at], best], 1)
+
+
+def motif_neighbour_rows(keys: np.ndarray, labels: np.ndarray, delta: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the keys one move of one atom away, in every orientation that keeps the lattice; the atom at the
+    origin moves too."""
+    v, atoms = _split_keys(keys)
+    n = atoms.shape[1]
     if n == 1:
-        return set()
-    _, turns = lattice_form(v)
-    motifs = np.unique(np.mod(np.einsum("tij,nj->tni", turns, atoms), delta), axis=0)
+        return np.zeros(0, int), keys[:0]
+    form, row, turns = lattice_forms(v)
+    of, motifs = _distinct_motifs(row, np.mod(np.einsum("pij,pnj->pni", turns, atoms[row]), delta))
     moves = np.zeros((n * len(_MOVES), n, 3), int)
     for k in range(n):
         moves[k * len(_MOVES) : (k + 1) * len(_MOVES), k] = _MOVES
-    moved = np.unique(np.mod(motifs[:, None] + moves, delta).reshape(-1, n, 3), axis=0)
-    out: set[tuple[int, ...]] = set()
-    for part in np.array_split(moved, len(moved) // 512 + 1):
-        out.update(map(tuple, canonical_keys(v, part, labels, delta).tolist()))
-    return out
+    moved = np.mod(motifs[:, None] + moves, delta).reshape(-1, n, 3)
+    of, moved = _distinct_motifs(np.repeat(of, len(moves)), moved)
+    begin = np.searchsorted(row, np.arange(len(keys) + 1))
+    pair, place = _spread(np.diff(begin)[of])
+    return of, np.concatenate([form[of], motif_forms(moved, labels, pair, turns[begin[of[pair]] + place], delta)], 1)
+
+
+#: Kinds of neighbours.
+KINDS = {"lattice": (lattice_neighbour_rows,), "motif": (motif_neighbour_rows,), "all": (lattice_neighbour_rows, motif_neighbour_rows)}
+
+
+def neighbour_rows(keys: np.ndarray, labels: np.ndarray, delta: int, kind: str = "all") -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, key) of the neighbours of keys that share their labels, sorted, without the keys themselves."""
+    found = [f(keys, labels, delta) for f in KINDS[kind]]
+    both = np.concatenate([np.concatenate([row[:, None], key], 1) for row, key in found])
+    both = np.unique(both, axis=0)
+    both = both[(both[:, 1:] != keys[both[:, 0]]).any(1)]
+    return both[:, 0], both[:, 1:]
 
 
-def neighbours(key, labels, delta: int) -> list[tuple[int, ...]]:
+def neighbours(key, labels, delta: int, kind: str = "all") -> list[tuple[int, ...]]:
     """Sorted distinct keys one step away, without the key itself."""
-    key, labels = tuple(key), np.asarray(labels, int)
-    return sorted((lattice_neighbours(key, labels, delta) | motif_neighbours(key, labels, delta)) - {key})
+    return list(map(tuple, neighbour_rows(np.array([key], np.int64), np.asarray(labels, int), delta, kind)[1].tolist()))
 
 
 def discretize_vonorms(v: np.ndarray, xi: float) -> np.ndarray:
@@ -241,12 +325,12 @@ def real_key(cell, fractions, labels, xi: float, delta: int) -> tuple[int, ...]:
     _, places, inverses = orientations(zero_mask(d))
     v = -(_SUPPORT[:, :6] @ d) / 2
     images = np.round(v[places], 4)
-    best = _first_row(images)
+    best = images[np.lexsort(images.T[::-1])[0]]
     same = (images == best).all(1)
     turns = np.unique(inverses[same] @ back, axis=0)
     fine = np.rint(np.asarray(fractions, float) * FINE).astype(int)[None]
     labels = np.asarray(labels, int)
-    motif = np.concatenate([np.zeros((1, 3), int), motif_forms(fine, labels, turns, FINE)[0].reshape(-1, 3)])
+    motif = np.concatenate([np.zeros((1, 3), int), motif_forms(fine, labels, np.zeros(len(turns), int), turns, FINE)[0].reshape(-1, 3)])
     rounded = np.rint(motif * (delta / FINE)).astype(int) % delta
     return canonical_key(discretize_vonorms(v[places[same.argmax()]], xi), rounded, labels, delta)
 

@@ -8,25 +8,20 @@ from __future__ import annotations
 import itertools
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-#: Order of the six conorms.
-PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
-#: Characters of L/2L that go with the six conorms, and the seventh, whose conorm is zero in an obtuse superbasis.
-CHARACTERS = ((1, 1, 0), (1, 0, 1), (1, 0, 0), (0, 1, 1), (0, 1, 0), (0, 0, 1), (1, 1, 1))
-#: Classes of L/2L of the seven vonorms: v0, v1, v2, v3, v0 + v1, v0 + v2, v0 + v3.
-CLASSES = ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1))
-#: Places of the characters that a vonorm is minus the sum of.
-SUPPORT = tuple(tuple(k for k, x in enumerate(CHARACTERS) if sum(a * b for a, b in zip(x, s)) % 2) for s in CLASSES)
-#: Steps after which a lattice that is still acute is reported.
-STEPS = 40
+from . import forms
+from .forms import CHARACTERS, CLASSES, PAIRS, SUPPORT, automorphisms, permissible, possible_masks, selling_step_places  # noqa: F401
 
 
 def superbasis(vectors: Column) -> Column:
     """The three vectors and minus their sum."""
-    total = F.transform(F.array(*map(F.lit, range(3))), lambda k: -(vectors[0][k] + vectors[1][k] + vectors[2][k]))
-    return F.concat(vectors, F.array(total))
+    total = F.array(*(-(vectors[0][k] + vectors[1][k] + vectors[2][k]) for k in range(3)))
+    return F.array(vectors[0], vectors[1], vectors[2], total)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,6 +40,11 @@ def doubled_conorms(v: Column) -> Column:
     return F.array(v[4] - v[0] - v[1], v[5] - v[0] - v[2], v[6] - v[0] - v[3], v[6] - v[1] - v[2], v[5] - v[1] - v[3], v[4] - v[2] - v[3])
 
 
+def basis_conorms(basis: Column) -> Column:
+    """Twice the dot products of the six pairs, from a superbasis."""
+    return F.array(*(dot(basis[i], basis[j]) * 2 for i, j in PAIRS))
+
+
 def is_superbasis(v: Column) -> Column:
     return v[0] + v[1] + v[2] + v[3] == v[4] + v[5] + v[6]
 
@@ -60,61 +60,62 @@ def zero_mask(d: Column) -> Column:
 
 def voronoi_class(mask: Column) -> Column:
     """1 to 5 by the number of zero conorms, and for two by whether their pairs share a vector."""
-    n = F.bit_count(mask)
-    disjoint = [1 << i | 1 << j for i, j in itertools.combinations(range(6), 2) if not {*PAIRS[i]} & {*PAIRS[j]}]
-    return F.when(n == 0, 1).when(n == 1, 2).when((n == 2) & mask.isin(disjoint), 3).when(n == 2, 4).when(n == 3, 5)
+    table = []
+    for m in range(64):
+        zeros = [PAIRS[k] for k in range(6) if m >> k & 1]
+        shared = len(zeros) == 2 and bool({*zeros[0]} & {*zeros[1]})
+        table.append({0: 1, 1: 2, 2: 4 if shared else 3, 3: 5}.get(len(zeros)))
+    return F.element_at(F.array(*map(F.lit, table)), mask + 1)  # the mask is named once, so plans that inline it stay small
 
 
-def selling_step_places(pair: int) -> list[tuple[int, ...]]:
-    """How each new conorm is formed when the given pair is positive: signed places (place + 1) to add up."""
-    i, j = PAIRS[pair]
-    k, m = (x for x in range(4) if x not in (i, j))
-    at = lambda a, b: PAIRS.index((min(a, b), max(a, b))) + 1
-    p = pair + 1
-    new = {p: (-p,), at(i, k): (p, at(i, m)), at(i, m): (p, at(i, k)), at(j, k): (at(j, k), p), at(j, m): (at(j, m), p), at(k, m): (at(k, m), -p)}
-    return [new[q + 1] for q in range(6)]
+def _whole_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists of a column have width whole numbers and no null, and those lists."""
+    lists = column.to_numpy(zero_copy_only=False)
+    ok = np.array([x is not None and len(x) == width for x in lists], bool)
+    rows = np.array([x for x, good in zip(lists, ok) if good], float if column.flatten().null_count else np.int64).reshape(-1, width)
+    if rows.dtype != np.int64:
+        finite = np.isfinite(rows).all(1)
+        ok[np.flatnonzero(ok)[~finite]] = False
+        rows = rows[finite].astype(np.int64)
+    return ok, rows
 
 
-def selling_reduce(d: Column, steps: int = STEPS) -> Column:
-    """Doubled conorms of an obtuse superbasis: the largest conorm is removed until none is positive."""
+def _lists(ok: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """A column of the rows at the places that are ok, null elsewhere."""
+    offsets = np.concatenate([[0], np.cumsum(np.where(ok, rows.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1), pa.int64()), mask=pa.array(~ok))
 
-    def step(state: Column, _: Column) -> Column:
-        at = F.array_position(state, F.array_max(state)).cast("int")
-        moves = []
-        for pair in range(6):
-            terms = [[(state[abs(t) - 1] if t > 0 else -state[abs(t) - 1]) for t in ts] for ts in selling_step_places(pair)]
-            moves.append(F.array(*(sum(ts[1:], ts[0]) for ts in terms)))
-        return F.when(is_obtuse(state), state).otherwise(F.element_at(F.array(*moves), at))
 
-    return F.when(is_obtuse(d), d).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), d, step))
+@lru_cache(1)
+def _selling_udf():
+    def reduce(d: pa.Array) -> pa.Array:
+        ok, rows = _whole_rows(d, 6)
+        return _lists(ok, forms.selling(rows)[0])
 
+    return F.arrow_udf(reduce, ArrayType(LongType()))
 
-@lru_cache(1)
-def automorphisms() -> tuple[tuple[int, ...], ...]:
-    """The 168 permutations of the seven characters that a change of basis modulo two induces."""
-    rows = [r for r in itertools.product((0, 1), repeat=3) if any(r)]
-    out = set()
-    for m in itertools.product(rows, repeat=3):
-        image = [tuple(sum(m[r][c] * x[c] for c in range(3)) % 2 for r in range(3)) for x in CHARACTERS]
-        if all(any(v) for v in image) and len(set(image)) == 7:
-            out.add(tuple(CHARACTERS.index(v) for v in image))
-    return tuple(sorted(out))
 
+def selling_reduce(d: Column) -> Column:
+    """Doubled conorms of an obtuse superbasis: the largest conorm is removed until none is positive.
+
+    Loops of unknown length are beyond expressions, so whole Arrow batches are reduced at once; obtuse rows pass.
+    Null where a conorm is; numbers that are the conorms of no lattice raise.
+    """
+    return _selling_udf()(d)
+
+
+@lru_cache(1)
+def _form_udf():
+    def canonical(d: pa.Array) -> pa.Array:
+        ok, rows = _whole_rows(d, 6)
+        return _lists(ok, forms.canonical_vonorms(rows))
 
-def permissible(mask: int) -> list[tuple[int, ...]]:
-    """Automorphisms that leave a zero conorm in the seventh place."""
-    return [p for p in automorphisms() if p[6] == 6 or mask >> p[6] & 1]
+    return F.arrow_udf(canonical, ArrayType(LongType()))
 
 
-def possible_masks() -> list[int]:
-    """Zero sets of obtuse superbases: no vector of a lattice has length zero, so at most three zeros, never all of one vector."""
-    out = []
-    for mask in range(64):
-        zeros = {k for k in range(6) if mask >> k & 1}
-        full = [{k for k, p in enumerate(PAIRS) if v in p} for v in range(4)]
-        if len(zeros) <= 3 and not any(f <= zeros for f in full):
-            out.append(mask)
-    return out
+def canonical_vonorms(d: Column) -> Column:
+    """The lexicographically smallest vonorms of an obtuse superbasis over the permissible permutations."""
+    return _form_udf()(d)
 
 
 def catalog(spark: SparkSession) -> DataFrame:
@@ -124,25 +125,13 @@ def catalog(spark: SparkSession) -> DataFrame:
     return df.select("mask", voronoi_class(F.col("mask")).alias("voronoi"), "perms")
 
 
-def canonical_vonorms(d: Column, perms: Column) -> Column:
-    """The lexicographically smallest vonorms over the permissible permutations of the doubled conorms."""
-    seven = F.concat(d, F.array(F.lit(0).cast("long")))
-
-    def images(p: Column) -> Column:
-        moved = [F.element_at(seven, p[k] + 1) for k in range(7)]
-        return F.array(*((-(moved[s[0]] + moved[s[1]] + moved[s[2]] + moved[s[3]]) / 2).cast("long") for s in SUPPORT))
-
-    return F.array_min(F.transform(perms, images))
-
-
 def lattice_forms(lattices: DataFrame) -> DataFrame:
-    """id, lnf (array of seven) and voronoi of lattices (id, vectors); the catalog is joined by zero set."""
-    staged = lattices.select("id", vonorms(superbasis(F.col("vectors"))).alias("v"))
-    staged = staged.select("id", doubled_conorms(F.col("v")).alias("d"))
+    """id, lnf (array of seven) and voronoi of lattices (id, vectors), whatever basis they are given in."""
+    staged = lattices.select("id", superbasis(F.col("vectors")).alias("b"))
+    staged = staged.select("id", basis_conorms(F.col("b")).alias("d"))
     staged = staged.select("id", selling_reduce(F.col("d")).alias("d"))
-    staged = staged.select("id", "d", zero_mask(F.col("d")).alias("mask"))
-    joined = staged.join(F.broadcast(catalog(lattices.sparkSession)), "mask")
-    return joined.select("id", canonical_vonorms(F.col("d"), F.col("perms")).alias("lnf"), "voronoi")
+    staged = staged.select("id", zero_mask(F.col("d")).alias("mask"), canonical_vonorms(F.col("d")).alias("lnf"))
+    return staged.select("id", "lnf", voronoi_class(F.col("mask")).alias("voronoi"))
 
 
 def step_vectors() -> list[tuple[int, ...]]:
@@ -162,16 +151,18 @@ def determinant(m: Column) -> Column:
     return x(0, 0) * (x(1, 1) * x(2, 2) - x(1, 2) * x(2, 1)) - x(0, 1) * (x(1, 0) * x(2, 2) - x(1, 2) * x(2, 0)) + x(0, 2) * (x(1, 0) * x(2, 1) - x(1, 1) * x(2, 0))
 
 
-def selling_reduce_vectors(basis: Column, steps: int = STEPS) -> Column:
-    """Four vectors of an obtuse superbasis of the same lattice: the pair of largest product is turned until none is positive."""
+@lru_cache(1)
+def _vectors_udf():
+    def reduce(flat: pa.Array) -> pa.Array:
+        ok, rows = _whole_rows(flat, 12)
+        basis = rows.reshape(-1, 4, 3)
+        products = np.stack([2 * (basis[:, i] * basis[:, j]).sum(1) for i, j in PAIRS], 1).reshape(-1, 6)
+        return _lists(ok, forms.selling(products, basis)[1].reshape(-1, 12))
 
-    def step(state: Column, _: Column) -> Column:
-        products = F.array(*(dot(state[i], state[j]) for i, j in PAIRS))
-        at = F.array_position(products, F.array_max(products)).cast("int")
-        moves = []
-        for i, j in PAIRS:
-            row = lambda r: -state[i][r[1]] if r[0] == i else state[j][r[1]] if r[0] == j else state[r[0]][r[1]] + state[i][r[1]]  # noqa: B023, E731
-            moves.append(F.array(*(F.array(*(row((k, c)) for c in range(3))) for k in range(4))))
-        return F.when(is_obtuse(products), state).otherwise(F.element_at(F.array(*moves), at))
+    return F.arrow_udf(reduce, ArrayType(LongType()))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), basis, step)
+
+def selling_reduce_vectors(basis: Column) -> Column:
+    """Four vectors of an obtuse superbasis of the same lattice: the pair of largest product is turned until none is positive."""
+    flat = _vectors_udf()(F.flatten(basis))
+    return F.when(flat.isNotNull(), F.array(*(F.slice(flat, 3 * k + 1, 3) for k in range(4))))

@@ -1,16 +1,16 @@
 """Canonical keys and their neighbours as operators over rows of crystals.
 
 Crystals are rows of id, v (seven vonorms), labels and coords (three integers for every atom). Keys are rows of id, key
-and labels. The work is per row, in Arrow batches; a batch yields its rows in parts, so a point with many neighbours
-never meets those of the whole batch.
+and labels. Keys and neighbours are found for many rows of an Arrow batch at once, in parts of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +30,60 @@ def spread(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+#: Rows whose keys or neighbours are found at once.
+_PART = 2048
+_NEIGHBOUR_PART = 64
+
+
+def _by_shape(lists: list, *more: list) -> dict[tuple, list[int]]:
+    """Places of rows with the same labels and lengths; rows with a null, or a null inside, are left out."""
+    out: dict[tuple, list[int]] = {}
+    for k, row in enumerate(zip(lists, *more)):
+        if all(x is not None and None not in x for x in row):
+            out.setdefault((tuple(row[0]), *map(len, row[1:])), []).append(k)
+    return out
+
+
 def canonical_keys(crystals: DataFrame, delta: int) -> DataFrame:
-    """id, key and labels of crystals; a crystal without atoms, or with a null, has a null key."""
+    """id, key and labels of crystals; a crystal without atoms, or with a null, has a null key.
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The crystals of a batch that share their labels go through reduction, orientations and minima together.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [all(x is not None for x in r) and len(r[2]) > 0 for r in zip(batch["v"], batch["labels"], batch["coords"])]
-            keys = [list(crystal.canonical_key(v, c, l, delta)) if ok else None for ok, v, l, c in zip(whole, batch["v"], batch["labels"], batch["coords"])]
-            yield pd.DataFrame({"id": batch["id"], "key": keys, "labels": batch["labels"]})
+            v, labels, coords = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            keys: list = [None] * batch.num_rows
+            for (own, w, n), places in _by_shape(labels, v, coords).items():
+                if not own or w != 7 or n != 3 * len(own):
+                    continue
+                for at in range(0, len(places), _PART):
+                    part = places[at : at + _PART]
+                    found = crystal.canonical_keys(np.array([v[k] for k in part]), np.array([coords[k] for k in part]).reshape(len(part), -1, 3), np.array(own), delta)
+                    for k, key in zip(part, found.tolist()):
+                        keys[k] = key
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), batch.column(2)], ["id", "key", "labels"])
 
-    return crystals.select("id", "v", "labels", "coords").mapInPandas(each, KEYS)
+    return crystals.select(F.col("id").cast("long"), "v", F.col("labels").cast("array<int>"), "coords").mapInArrow(each, KEYS)
 
 
-def neighbour_keys(keys: DataFrame, delta: int, kind: Callable = crystal.neighbours) -> DataFrame:
-    """Distinct (key, labels, neighbour) of distinct keys; kind is one of the three functions of crystal."""
+def neighbour_keys(keys: DataFrame, delta: int, kind: str = "all") -> DataFrame:
+    """Distinct (key, labels, neighbour) of distinct keys; kind is lattice, motif or all."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, labels in zip(batch["key"], batch["labels"]):
-                near = [list(k) for k in kind(tuple(key), np.asarray(labels), delta) if k != tuple(key)]
-                if near:
-                    yield pd.DataFrame({"key": [key] * len(near), "labels": [labels] * len(near), "neighbour": near})
-
-    return spread(keys.filter("key is not null").select("key", "labels").distinct(), "key").mapInPandas(each, PAIRS)
+            key, labels = (batch.column(k).to_pylist() for k in (0, 1))
+            for (own, _), places in _by_shape(labels, key).items():
+                for at in range(0, len(places), _NEIGHBOUR_PART):
+                    part = np.array(places[at : at + _NEIGHBOUR_PART])
+                    row, near = crystal.neighbour_rows(np.array([key[k] for k in part]), np.array(own), delta, kind)
+                    if len(row):
+                        index = pa.array(part[row])
+                        offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * near.shape[1])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))], ["key", "labels", "neighbour"])
+
+    rows = keys.filter("key is not null").select("key", F.col("labels").cast("array<int>")).distinct()
+    return spread(rows, "key").mapInArrow(each, PAIRS)
 
 
 def geometry_of(keys: DataFrame, xi: float, delta: int, k: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,7 +121,8 @@ def stabilizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of orientations in which a lattice shows its canonical form; each keeps the form from any other."""
     def each(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "n": [len(crystal.lattice_form(v)[1]) for v in batch["v"]]})
+            row = crystal.lattice_forms(np.array(batch["v"].tolist(), np.int64).reshape(-1, 7))[1]
+            yield pd.DataFrame({"id": batch["id"], "n": np.bincount(row, minlength=len(batch))})
 
     return _crystals(spark, sf_dir).select("id", "v").mapInPandas(each, "id bigint, n bigint")
 
@@ -136,17 +138,17 @@ def _neighbour_rows(spark: SparkSession, sf_dir: str, kind) -> DataFrame:
 
 @query("k17_lattice_neighbours")
 def lattice_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbour_rows(spark, sf_dir, crystal.lattice_neighbours)
+    return _neighbour_rows(spark, sf_dir, "lattice")
 
 
 @query("k18_motif_neighbours")
 def motif_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbour_rows(spark, sf_dir, crystal.motif_neighbours)
+    return _neighbour_rows(spark, sf_dir, "motif")
 
 
 @query("k19_neighbours")
 def all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbour_rows(spark, sf_dir, crystal.neighbours)
+    return _neighbour_rows(spark, sf_dir, "all")
 
 
 @query("x31_geometry")

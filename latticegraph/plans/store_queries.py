@@ -40,8 +40,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _conorms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = T.lattices(spark, sf_dir).select("id", "vectors", lattice.vonorms(lattice.superbasis(F.col("vectors"))).alias("v"))
-    return v.withColumn("d", lattice.doubled_conorms(F.col("v")))
+    basis = lattice.superbasis(F.col("vectors"))
+    return T.lattices(spark, sf_dir).select("id", "vectors", lattice.vonorms(basis).alias("v"), lattice.basis_conorms(basis).alias("d"))
 
 
 _MASK = "list_sum(list_transform(range(1, 7), lambda k: CASE WHEN d[k] = 0 THEN 1 << (k - 1)::INT ELSE 0 END))::INT"
@@ -103,6 +103,17 @@ def lattice_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "voronoi", F.array_join(F.transform("lnf", lambda x: x.cast("string")), " ").alias("lnf"))
 
 
+@query("k5_sheared_form", _lnf_sql())
+def sheared_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of every lattice, found from a basis sheared by up to ten thousand; the SQL knows no shear."""
+    a, b, c = (F.col("vectors")[k] for k in range(3))
+    s, t = F.pmod(F.col("id") * 7919, F.lit(20_001)) - 10_000, F.pmod(F.col("id") * 31, F.lit(201)) - 100
+    plus = lambda x, k, y: F.zip_with(x, y, lambda p, q: p + q * k)
+    rows = T.lattices(spark, sf_dir).select("id", a.alias("a"), plus(b, s, a).alias("b"), plus(c, t, b).alias("c"))
+    rows = lattice.lattice_forms(rows.select("id", F.array("a", "b", "c").alias("vectors")))
+    return rows.select("id", "voronoi", F.array_join(F.transform("lnf", lambda x: x.cast("string")), " ").alias("lnf"))
+
+
 _STEPS = "[" + ", ".join(str(list(s)) for s in lattice.step_vectors()) + "]"
 
 

@@ -55,6 +55,56 @@ def test_one_key_for_all_descriptions_and_neighbours_are_mutual(labels):
             assert key in crystal.neighbours(other, labels, 10)
 
 
+@pytest.mark.parametrize("labels", [[0], [0, 0, 1], [0, 1, 1, 1]])
+def test_many_keys_at_once_are_those_of_each_alone(labels):
+    rng = random.Random(9)
+    v, atoms = [], []
+    for _ in range(40):
+        cell = np.diag([rng.choice([3, 4, 5]) for _ in range(3)]) + np.tril(np.array([[rng.choice([-1, 0, 1]) for _ in range(3)] for _ in range(3)]), -1)
+        v.append(vonorms(cell))
+        atoms.append([[rng.choice([0, 3, 5]) for _ in range(3)] for _ in labels])
+    keys = crystal.canonical_keys(np.array(v), np.array(atoms), np.array(labels), 10)
+    assert [tuple(k) for k in keys.tolist()] == [crystal.canonical_key(x, a, labels, 10) for x, a in zip(v, atoms)]
+    for kind in ("lattice", "motif", "all"):
+        row, near = crystal.neighbour_rows(keys[:12], np.array(labels), 10, kind)
+        for k in range(12):
+            assert list(map(tuple, near[row == k].tolist())) == crystal.neighbours(keys[k], labels, 10, kind)
+
+
+def test_lattice_neighbours_are_all_valid_steps_of_all_superbases():
+    """One atom: every superbasis of the smallest member of its class, moved, put in form by brute force."""
+    for cell in (np.diag([3, 3, 3]), np.diag([3, 4, 5]), np.array([[3, 0, 0], [1, 4, 0], [1, 1, 5]])):
+        key = crystal.canonical_key(vonorms(cell), [0, 0, 0], [0], 10)
+        classes = {}
+        for at in obtuse_superbases(key):
+            classes.setdefault(at[0], []).append(at[1])
+        moved = {tuple(np.array(min(c)) + s) for c in classes.values() for s in lattice.step_vectors()}
+        expected = {crystal.canonical_key(m, [0, 0, 0], [0], 10) for m in moved if crystal.is_valid(np.array(m))} - {key}
+        assert set(crystal.neighbours(key, [0], 10, "lattice")) == expected
+
+
+def obtuse_superbases(key):
+    """(primary class, vonorms) of every obtuse superbasis among the short vectors of a lattice, without any catalog."""
+    gram = np.array(crystal.doubled_conorms(np.array(key)))
+    g = np.zeros((4, 4))
+    for k, (i, j) in enumerate(lattice.PAIRS):
+        g[i, j] = g[j, i] = gram[k] / 2
+    for i in range(4):
+        g[i, i] = key[i]
+    g = g[:3, :3]
+    near = [np.array(x) for x in itertools.product((-2, -1, 0, 1, 2), repeat=3) if any(x)]
+    short = {}
+    for x in near:
+        short.setdefault(tuple(x % 2), []).append(x)
+    short = [x for c, xs in short.items() if any(c) for x in xs if x @ g @ x == min(y @ g @ y for y in xs)]
+    for a, b, c in itertools.permutations(short, 3):
+        if a @ g @ b <= 0 and a @ g @ c <= 0 and b @ g @ c <= 0 and abs(round(np.linalg.det(np.array([a, b, c])))) == 1:
+            d = -(a + b + c)
+            if all(d @ g @ x <= 0 for x in (a, b, c)):
+                vs = [a, b, c, d, a + b, a + c, a + d]
+                yield tuple(sorted(tuple(x % 2) for x in vs[:4])), tuple(int(round(x @ g @ x)) for x in vs)
+
+
 def test_published_lattice_forms():
     a = 4.46
     fcc = np.array([[a / 2, a / 2, 0], [0, a / 2, a / 2], [a / 2, 0, a / 2]])

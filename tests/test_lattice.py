@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticegraph.functions import distance, lattice
+from latticegraph.functions import crystal, distance, forms, lattice
 from latticegraph.operators import sublattice
 
 
@@ -49,6 +49,34 @@ def test_one_form_for_all_bases_of_a_lattice(spark):
     assert next(iter(forms[0]))[1] == 5 and next(iter(forms[4]))[1] == 1
 
 
+def test_sheared_bases_have_the_form_of_their_lattice(spark):
+    rng = random.Random(8)
+    cells = [np.eye(3, dtype=int), np.diag([3, 4, 5]), np.array([[4, 0, 0], [2, 5, 0], [1, 2, 6]])]
+    rows, names = [], []
+    for k, cell in enumerate(cells):
+        for s in (0, 20, 21, 200, 1000, 10_000, *(rng.randrange(-10_000, 10_001) for _ in range(8))):
+            shear = np.array([[1, 0, 0], [s, 1, 0], [rng.randrange(-50, 51), rng.randrange(-50, 51), 1]])
+            rows.append((len(names), (shear @ cell).tolist()))
+            names.append(k)
+    df = spark.createDataFrame([*rows, (-1, None)], "id long, vectors array<array<bigint>>")
+    got = {r.id: r.lnf for r in lattice.lattice_forms(df).collect()}
+    assert got.pop(-1) is None
+    for (i, basis), k in zip(rows, names):
+        b = np.vstack([basis, -np.sum(basis, 0)])
+        v = np.array([*(b**2).sum(1), *(((b[0] + b[j]) ** 2).sum() for j in (1, 2, 3))])
+        assert got[i] == got[names.index(k)] == crystal.lattice_form(v)[0].tolist()
+    turned = df.filter("id >= 0").select("id", lattice.selling_reduce_vectors(lattice.superbasis(F.col("vectors"))).alias("r")).collect()
+    for r in turned:
+        b = np.array(r.r)
+        assert (b.sum(0) == 0).all() and all(b[i] @ b[j] <= 0 for i, j in lattice.PAIRS)
+        assert abs(round(np.linalg.det(b[:3]))) == round(np.linalg.det(cells[names[r.id]]))
+
+
+def test_conorms_of_no_lattice_raise():
+    with pytest.raises(ValueError):
+        forms.selling(np.array([[5, 0, 0, 0, 0, 0]]))
+
+
 def test_vonorms_match_numpy(spark):
     rng = np.random.default_rng(3)
     cells = rng.integers(-6, 7, (40, 3, 3))
