@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crystal, geometry, pathfinding
-from .search import _written
+from ..storage import scratch, written
+from .search import appended, united
 
 KEYS = "id bigint, key array<bigint>, labels array<int>"
 PAIRS = "key array<bigint>, labels array<int>, neighbour array<bigint>"
@@ -151,18 +152,21 @@ def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, wid
     max_steps steps. All starts share one list of labels; no start gives no rows.
     """
     first = start.select("key", "labels").distinct()
-    columns = ["key", "labels", F.lit(None).cast("array<bigint>").alias("parent"), "energy", F.lit(0).alias("step"), F.lit(True).alias("open")]
-    state = _written(first.join(energies_of(first, xi, delta), "key").select(*columns), "flood")
-    for step in range(1, max_steps + 1):
-        if not state.join(goals.select("key").distinct(), "key", "left_semi").isEmpty():
-            break
-        level = state.filter("open").agg(F.min("energy")).first()[0]
-        if level is None:
-            break
-        now = _written(state.filter(F.col("open") & (F.col("energy") <= level + width)).orderBy("energy", "key").limit(batch).select("key", "labels"), "front")
-        reached = neighbour_keys(now, delta).groupBy(F.col("neighbour").alias("to")).agg(F.min("key").alias("parent"), F.first("labels").alias("labels")).withColumnRenamed("to", "key")
-        fresh = _written(reached.join(state, "key", "left_anti"), "fresh")
-        fresh = fresh.join(energies_of(fresh, xi, delta), "key").select("key", "labels", "parent", "energy", F.lit(step).alias("step"), F.lit(True).alias("open"))
-        closed = state.join(now.select("key", F.lit(True).alias("done")), "key", "left").withColumn("open", F.col("open") & F.col("done").isNull()).drop("done")
-        state = _written(closed.unionByName(fresh), "flood")
-    return state.select("key", "parent", "energy", "step")
+    wanted = goals.select("key").distinct()
+    columns = ["key", "labels", F.lit(None).cast("array<bigint>").alias("parent"), "energy", F.lit(0).alias("step")]
+    with scratch() as keep:
+        fresh = front = written(first.join(energies_of(first, xi, delta), "key").select(*columns), "flood")
+        seen = [fresh]
+        for step in range(1, max_steps + 1):
+            if not fresh.join(wanted, "key", "left_semi").isEmpty():
+                break
+            level = front.agg(F.min("energy")).first()[0]
+            if level is None:
+                break
+            now = written(front.filter(F.col("energy") <= level + width).orderBy("energy", "key").limit(batch).select("key", "labels"), "now")
+            reached = neighbour_keys(now, delta).groupBy(F.col("neighbour").alias("to")).agg(F.min("key").alias("parent"), F.first("labels").alias("labels")).withColumnRenamed("to", "key")
+            entered = written(reached.join(united(seen).select("key"), "key", "left_anti"), "entered")
+            fresh = written(entered.join(energies_of(entered, xi, delta), "key").select("key", "labels", "parent", "energy", F.lit(step).alias("step")), "flood")
+            front = written(front.join(now.select("key"), "key", "left_anti").select("key", "labels", "energy").unionByName(fresh.select("key", "labels", "energy")), "front")
+            seen = appended(seen, fresh)
+        return united([keep(p) for p in seen]).select("key", "parent", "energy", "step")

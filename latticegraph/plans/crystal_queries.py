@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import crystal, lattice
 from ..operators import barrier, canonical, sublattice
-from ..operators.search import _written
 from ..sources import cif
 from ..sources import tables as T
+from ..storage import written as _written
 from .store_queries import _LATTICE
 
 QUERIES: dict = {}

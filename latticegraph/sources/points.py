@@ -1,7 +1,10 @@
 """A point store in a folder: Parquet tables of points, edges, statuses and searches, written a version at a time.
 
-A version of a table is a folder of its own, and the last row of the manifest that names it makes it current. A step
-that is lost half-way leaves folders that nothing names, so a store is always read as after its last whole step.
+A version of a table is a folder of its own: either the whole table or rows added to the versions before it. The rows of
+the manifest that name versions make them current, all those of a step at once. A step that is lost half-way leaves
+folders that nothing names, so a store is always read as after its last whole step. A step adds rows only: a point that
+becomes explored and a status that becomes CLOSED are added anew, and of rows with one key the furthest counts. Tables
+of more than PARTS versions are written whole again, so no row is rewritten at every step.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import distance
 from ..operators import canonical, store
+from ..operators.search import PARTS
+from ..storage import scratch, written
 
 TABLES = {
     "point": "key array<bigint>, labels array<int>, energy double, explored boolean",
@@ -22,7 +27,7 @@ TABLES = {
     "search": "search int, description string, width double",
     "end": "search int, key array<bigint>, kind string",
 }
-_MANIFEST = "name string, version bigint, step bigint"
+_MANIFEST = "name string, version bigint, step bigint, whole boolean"
 
 
 @dataclass
@@ -49,32 +54,48 @@ class PointStore:
     def open(cls, spark: SparkSession, path: str) -> PointStore:
         meta = json.loads("".join(r.value for r in spark.read.text(f"{path}/metadata").collect()))
         out = cls(spark, path, meta["xi"], meta["delta"], meta["elements"])
-        if missing := set(TABLES) - {r.name for r in out._current()}:
+        if missing := set(TABLES) - set(out._current()):
             raise ValueError(f"tables are missing: {sorted(missing)}")
         return out
 
-    def _current(self) -> list:
-        """The newest version of every table (a handful of rows)."""
-        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
-        return rows.groupBy("name").agg(F.max("version").alias("version")).collect()
+    def _current(self) -> dict[str, list[int]]:
+        """The versions that make up every table, oldest first."""
+        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest").collect()
+        out = {}
+        for name in {r.name for r in rows}:
+            base = max(r.version for r in rows if r.name == name and r.whole)
+            out[name] = sorted(r.version for r in rows if r.name == name and r.version >= base)
+        return out
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise ValueError(f"no table {name}")
-        version = {r.name: r.version for r in self._current()}[name]
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{version}")
-
-    def put(self, tables: dict[str, DataFrame], first: bool = False) -> None:
-        """New versions of tables, which become current together."""
-        versions = {} if first else {r.name: r.version for r in self._current()}
+        versions = self._current()[name]
+        rows = self.spark.read.schema(TABLES[name]).parquet(*(f"{self.path}/{name}/{v}" for v in versions))
+        if len(versions) > 1 and name == "point":
+            rows = rows.groupBy("key").agg(F.first("labels").alias("labels"), F.first("energy").alias("energy"), F.max("explored").alias("explored"))
+        if len(versions) > 1 and name == "status":
+            rows = rows.groupBy("search", "key").agg(F.min("status").alias("status"))  # CLOSED before OPEN
+        return rows
+
+    def put(self, tables: dict[str, DataFrame], whole: bool = True, first: bool = False) -> None:
+        """New versions of tables, or rows added to them, which become current together."""
+        current = {} if first else self._current()
+        step = max((v[-1] for v in current.values()), default=-1) + 1
         rows = []
         for name, df in tables.items():
-            version = versions.get(name, -1) + 1
+            version = current.get(name, [-1])[-1] + 1
             columns = [c.split(" ")[0] for c in TABLES[name].split(", ")]
             df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{name}/{version}")
-            rows.append((name, version, max(versions.values(), default=-1) + 1))
+            rows.append((name, version, step, whole))
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
+    def add(self, tables: dict[str, DataFrame]) -> None:
+        """Rows added to tables; those of too many versions are written whole."""
+        self.put(tables, whole=False)
+        if many := [name for name, versions in self._current().items() if len(versions) > PARTS]:
+            self.put({name: self.table(name) for name in many})
+
     # ------------------------------------------------------------ searches
 
     def create_search(self, description: str, starts: DataFrame, goals: DataFrame, width: float = 0.005) -> int:
@@ -90,21 +111,21 @@ class PointStore:
         if not ends.filter(F.col("labels") != F.array(*map(F.lit, labels))).isEmpty():
             raise ValueError("ends must have the elements of the store")
         number = (self.table("search").agg(F.max("search")).first()[0] or 0) + 1
-        points = self._with_energy(ends.select("key", "labels").distinct(), self.table("point"))
+        points = self._new_points(ends.select("key", "labels").distinct(), self.table("point"))
         opened = ends.filter("kind = 'start'").select(F.lit(number).alias("search"), "key", F.lit("OPEN").alias("status"))
-        self.put({
+        self.add({
             "point": points,
-            "search": self.table("search").union(self.spark.createDataFrame([(number, description, width)], TABLES["search"])),
-            "end": self.table("end").union(ends.select(F.lit(number).alias("search"), "key", "kind")),
-            "status": self.table("status").union(opened),
+            "search": self.spark.createDataFrame([(number, description, width)], TABLES["search"]),
+            "end": ends.select(F.lit(number).alias("search"), "key", "kind"),
+            "status": opened,
         })
         return number
 
-    def _with_energy(self, new: DataFrame, points: DataFrame) -> DataFrame:
-        """points and those of new (key, labels) that it does not hold, with energies computed for these alone."""
-        fresh = new.join(points.select("key"), "key", "left_anti")
+    def _new_points(self, found: DataFrame, points: DataFrame) -> DataFrame:
+        """Rows of the points of found (key, labels) that the table does not hold, with their energies."""
+        fresh = found.join(points.select("key"), "key", "left_anti")
         energies = canonical.energies_of(fresh, self.xi, self.delta)
-        return points.unionByName(fresh.join(energies, "key").select("key", "labels", "energy", F.lit(False).alias("explored")))
+        return fresh.join(energies, "key").select("key", "labels", "energy", F.lit(False).alias("explored"))
 
     def _search(self, number: int):
         row = self.table("search").filter(F.col("search") == number).first()
@@ -134,17 +155,15 @@ class PointStore:
         level = opened.agg(F.min("energy")).first()[0]
         if level is None:
             return False
-        front = canonical._written(opened.filter(F.col("energy") <= level + width).orderBy("energy", "key").limit(batch), "front")
-        new = canonical.neighbour_keys(front.filter("not explored"), self.delta).select(F.col("key").alias("src"), F.col("neighbour").alias("dst"))
-        edges = edges.union(canonical._written(new, "edges"))
-        reached = edges.join(front.select(F.col("key").alias("src"), "labels"), "src").select(F.col("dst").alias("key"), "labels").distinct()
-        grown = canonical._written(self._with_energy(reached, points), "points")
-        done = front.select("key", F.lit(True).alias("done"))
-        grown = grown.join(done, "key", "left").withColumn("explored", F.col("explored") | F.col("done").isNotNull()).drop("done")
-        fresh = reached.select("key").join(mine.select("key"), "key", "left_anti").select(F.lit(number).alias("search"), "key", F.lit("OPEN").alias("status"))
-        closed = status.join(done.withColumn("search", F.lit(number)), ["search", "key"], "left")
-        closed = closed.select("search", "key", F.when(F.col("done"), "CLOSED").otherwise(F.col("status")).alias("status"))
-        self.put({"point": grown, "edge": edges, "status": closed.unionByName(fresh)})
+        with scratch():
+            front = written(opened.filter(F.col("energy") <= level + width).orderBy("energy", "key").limit(batch), "front")
+            new = written(canonical.neighbour_keys(front.filter("not explored"), self.delta).select(F.col("key").alias("src"), F.col("neighbour").alias("dst")), "edges")
+            reached = edges.union(new).join(front.select(F.col("key").alias("src"), "labels"), "src").select(F.col("dst").alias("key"), "labels").distinct()
+            reached = written(reached, "reached")
+            fresh = reached.select("key").join(mine.select("key"), "key", "left_anti").select(F.lit(number).alias("search"), "key", F.lit("OPEN").alias("status"))
+            done = front.select(F.lit(number).alias("search"), "key", F.lit("CLOSED").alias("status"))
+            explored = front.select("key", "labels", "energy", F.lit(True).alias("explored"))
+            self.add({"point": self._new_points(reached, points).union(explored), "edge": new, "status": fresh.union(done)})
         return True
 
     def run(self, number: int, max_steps: int, batch: int = 1000) -> int:
