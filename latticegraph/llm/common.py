@@ -6,47 +6,20 @@ The array code works on the raw UTF-8 buffers of Arrow columns. Nulls count as e
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import release, scratch  # noqa: F401
+from ..storage import written as materialize
+
 U64 = np.uint64
 
 # ---------------------------------------------------------------- shared storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="latticegraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lg_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df; df must not be read afterwards."""
-    path = getattr(df, "_lg_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-
-
 #: Rows of at most this many (each of a few numbers) may be sent whole to every executor.
 BROADCAST_ROWS = 2_000_000
 
@@ -238,14 +211,39 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 
 def has_repeated_ids(docs: DataFrame, id_col: str) -> bool:
     """Whether an id is null or stands in more than one row."""
-    rows = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
+    rows = docs.select(F.col(id_col).alias("id")).groupBy("id").count().filter((F.col("count") > 1) | F.col("id").isNull())
     return not rows.isEmpty()
 
 
-#: Column of numbered_rows().
-ROW = "__row"
+def free_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as it takes to be no column of docs in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def column(name: str):
+    """The column of this very name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def ddl_name(name: str) -> str:
+    """The name as it stands in a schema string."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own in every row, written, so that each reader finds the same numbers; and its column."""
+    (row,) = free_names(docs, "row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows"), row
 
 
-def numbered_rows(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own in every row, written, so that each reader finds the same numbers."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+def rows_with(docs: DataFrame, name: str, keys: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of docs with a table of one column of keys; columns and their order stay."""
+    (key,) = free_names(docs, "key")
+    return docs.join(keys.toDF(key), column(name) == F.col(key), how)

@@ -12,11 +12,12 @@ least min(item words, MIN_WORDS) item words and at least SIMILARITY of it is equ
 shortest mask are matched as they stand: they are seeded by all of their words.
 
 The benchmark is a stated query set: it is read in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters, and
-each block goes over all documents, so what is sent to the executors has a bound whatever the benchmark's size.
+each block goes over all documents. One block is sent to the executors at a time: of a benchmark of several blocks the
+leaks of a block are written before the next is fetched, so neither the driver nor an executor ever holds two.
 
 Defined results: null texts and items count as empty and match nothing; an item of no words matches nothing; repeated
-items and rows are each reported; empty tables give empty results; other columns are ignored by find_leaks() and kept
-by drop_contaminated().
+items and rows are each reported, with null ids as they are; ids may be of any type; empty tables give empty results;
+other columns, whatever their names, are ignored by find_leaks() and kept by drop_contaminated().
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ROW, U64, has_repeated_ids, materialize, mix, numbered_rows, ranges, small_side, thrifty, utf8_views, word_table
+from .common import U64, column, ddl_name, doc_chunks, has_repeated_ids, materialize, mix, numbered_rows, ranges, rows_with, scratch, small_side, thrifty, utf8_views, word_table
 
 #: Fixed masks. At the similarity below, an overlap of 13 or more words has few ways to miss all of them.
 MASKS = ("1111", "11011", "1101011", "110101", "1100101")
@@ -34,6 +35,9 @@ SIMILARITY = 0.8
 MIN_WORDS = 13
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
+#: Hits expanded at once, and bytes of documents searched at once.
+HITS = 1 << 20
+CHUNK = 1 << 20
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -51,8 +55,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 class SeedIndex:
     """Seeds of a block of benchmark items, sorted, with item and offset."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], masks: tuple[str, ...] = MASKS):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, texts: list[str | None], masks: tuple[str, ...] = MASKS):
         self.words, self.first = word_table(*utf8_views(pa.array(texts, pa.string())))
         self.lengths = np.diff(self.first)
         shortest = min(map(len, masks))
@@ -83,8 +86,16 @@ class SeedIndex:
             pos = pos[doc_of[pos] == doc_of[pos + len(mask) - 1]]
             lo, hi = np.searchsorted(key, own[pos]), np.searchsorted(key, own[pos], side="right")
             n = hi - lo
-            row = np.repeat(lo, n) + ranges(n)
-            found.append(np.stack([np.repeat(pos, n) - at[row], item[row], doc_of[np.repeat(pos, n)]]))
+            # hits of common seeds, a bounded number at a time; what they have in common goes at once
+            bound = np.cumsum(n)
+            begin = 0
+            while begin < len(pos):
+                stop = max(begin + 1, int(np.searchsorted(bound, (bound[begin - 1] if begin else 0) + HITS, side="right")))
+                part, m = slice(begin, stop), n[begin:stop]
+                row = np.repeat(lo[part], m) + ranges(m)
+                own_pos = np.repeat(pos[part], m)
+                found.append(np.unique(np.stack([own_pos - at[row], item[row], doc_of[own_pos]]), axis=1))
+                begin = stop
         if not found:
             return np.zeros((6, 0), np.int64)
         diagonal, item, doc = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -178,11 +189,11 @@ def best_window(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray, simi
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """Benchmark items in blocks of bounded size, fetched one partition at a time."""
     ids, texts, chars = [], [], 0
-    for i, t in benchmark.select(id_col, text_col).toLocalIterator():
+    for i, t in benchmark.select(column(id_col), column(text_col)).toLocalIterator():
         if ids and (len(ids) >= BLOCK_ITEMS or chars + len(t or "") > BLOCK_CHARS):
             yield ids, texts
             ids, texts, chars = [], [], 0
-        ids.append(i if i is not None else -1)
+        ids.append(i)
         texts.append(t)
         chars += len(t or "")
     if ids:
@@ -192,32 +203,47 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document, item and diagonal: ids, start_word, end_word (exclusive), n_equal, n_overlap.
 
-    A null item id is reported as -1.
+    The item's id keeps its name, with item_ before it if the document's id has that name.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, item_col if item_col.lower() != id_col.lower() else f"item_{item_col}", "start_word", "end_word", "n_equal", "n_overlap"]
+    types = [docs.schema[id_col].dataType, benchmark.schema[item_col].dataType]
+    schema = ", ".join(f"{ddl_name(n)} {t}" for n, t in zip(names, (*(t.simpleString() for t in types), *["long"] * 4)))
     spark = docs.sparkSession
-    schema = f"`{id_col}` {id_type}, item_id long, start_word long, end_word long, n_equal long, n_overlap long"
-    out = None
-    for ids, texts in _blocks(benchmark, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast((ids, texts))
+    item_type = to_arrow_type(types[1])
 
-        def run(batches, sent=sent):
-            index = SeedIndex(*sent.value, masks)
+    def leaks(sent):
+        def run(batches):
+            ids, texts = sent.value
+            index, ids = SeedIndex(texts, masks), pa.array(ids, item_type)
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    words, first = word_table(*utf8_views(part.column(1)))
+                data, starts, ends = utf8_views(batch.column(1))
+                for lo, hi in doc_chunks(starts, ends, CHUNK):
+                    words, first = word_table(data, starts[lo:hi], ends[lo:hi])
                     doc, item, _, start, end, equal = index.search(words, first, similarity, min_words)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *map(pa.array, (index.ids[item], start, end, equal, end - start))], [id_col, "item_id", "start_word", "end_word", "n_equal", "n_overlap"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + doc)), ids.take(pa.array(item)), *map(pa.array, (start, end, equal, end - start))], names)
 
-        one = docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
-        out = one if out is None else out.union(one)
-    return spark.createDataFrame([], schema) if out is None else out
+        return docs.select(column(id_col), column(text_col)).mapInArrow(thrifty(run), schema)
+
+    out, waiting = None, None
+    for block in _blocks(benchmark, item_col, item_text_col):
+        if waiting is not None:  # there are more blocks than one: each is done with before the next
+            one = materialize(leaks(waiting), "leaks")
+            out = one if out is None else out.union(one)
+            waiting.destroy()
+        waiting = spark.sparkContext.broadcast(block)
+    if waiting is None:
+        return spark.createDataFrame([], schema)
+    return leaks(waiting) if out is None else out.union(leaks(waiting))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no leak, with all columns; rows with a null or repeated id are judged one by one."""
-    rows, key = (numbered_rows(docs), ROW) if has_repeated_ids(docs, id_col) else (docs, id_col)
-    leaks = find_leaks(rows, benchmark, id_col=key, text_col=text_col, **options)
-    bad = materialize(leaks.select(key).distinct(), "contaminated")
-    return rows.join(small_side(bad), key, "left_anti").select(docs.columns)
+    with scratch() as keep:
+        repeated = has_repeated_ids(docs, id_col)
+        rows, key = numbered_rows(docs) if repeated else (docs, id_col)
+        leaks = find_leaks(rows, benchmark, id_col=key, text_col=text_col, **options)
+        bad = keep(materialize(leaks.select(column(key)).distinct(), "contaminated"))
+        if repeated:
+            keep(rows)
+        out = rows_with(rows, key, small_side(bad), "left_anti")
+        return out.drop(key) if repeated else out

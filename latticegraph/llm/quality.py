@@ -1,17 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a predicate over lazily computed features of one text. On a bounded sample the cost and the rejection
-rate of every rule are measured; rules then run in descending order of rejections per second, and a text stops at the
-first rule that rejects it. The order changes the work and the reported rule, never the verdict, because a text is
-kept exactly when no rule rejects it.
+Each rule is a predicate over lazily computed features of one text. On a bounded sample, drawn from every partition, the
+cost and the rejection rate of every rule are measured; rules then run in descending order of rejections per second, and
+a text stops at the first rule that rejects it. The order changes the work and the reported rule, never the verdict,
+because a text is kept exactly when no rule rejects it. The five counts that judge() reports are computed for every text;
+what only a rule looks at (letters, marks of lists, cut lines) is computed when the cascade gets there.
 
 Defined results: a null text counts as empty; an empty text has no words and is rejected; repeated rows are judged one
 by one; an empty table gives an empty result; other columns are passed through by filter_documents() and ignored
-elsewhere.
+elsewhere, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,13 +21,17 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import thrifty
+from .common import U64, column, ddl_name, mix, thrifty
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
+_LETTER = re.compile(rb"[A-Za-z]")
+#: Characters that begin the items of a list, and ends of lines that were cut.
+BULLETS = ("•", "-", "*", "‣", "▪")
+ELLIPSES = ("...", "…")
 
 
 class Features:
@@ -79,6 +85,20 @@ class Features:
         return int(covered.sum())
 
 
+    @cached_property
+    def n_wordless(self) -> int:
+        """Words of ASCII characters that hold no letter."""
+        return sum(1 for w in self.words if w.isascii() and not _LETTER.search(w))
+
+    @cached_property
+    def n_bullet_lines(self) -> int:
+        return sum(x.lstrip(_SPACES).startswith(BULLETS) for x in self.lines)
+
+    @cached_property
+    def n_cut_lines(self) -> int:
+        return sum(x.rstrip(_SPACES).endswith(ELLIPSES) for x in self.lines)
+
+
 @dataclass(frozen=True)
 class Rule:
     """rejects(features) tells whether the text fails; base rules form the contract's base verdict."""
@@ -95,10 +115,15 @@ RULES = (
     Rule("symbols", lambda f: 10 * f.n_symbols > 3 * f.n_words),
     Rule("duplicate_lines", lambda f: 2 * f.n_dup_lines > len(f.lines)),
     Rule("word_length", lambda f: not 2 * f.n_words <= f.word_chars <= 20 * f.n_words),
+    Rule("wordless", lambda f: 2 * f.n_wordless > f.n_words),
+    Rule("bullet_lines", lambda f: 10 * f.n_bullet_lines > 9 * len(f.lines)),
+    Rule("cut_lines", lambda f: 10 * f.n_cut_lines > 3 * len(f.lines)),
 )
 
-#: Rows of the sample on which costs and rejection rates are estimated.
+#: Rows of the sample on which costs and rejection rates are estimated, and rows at the head of every partition among
+#: which they are drawn.
 SAMPLE_ROWS = 400
+HEAD_ROWS = 256
 
 
 def estimate_order(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
@@ -113,10 +138,30 @@ def estimate_order(texts: list[str | None], rules: tuple[Rule, ...] = RULES) ->
     return tuple(rule for _, _, rule in sorted(scored, key=lambda x: x[:2]))
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The order of the cascade, estimated on at most sample_rows rows drawn by a hash of the id."""
-    drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(16)) == 0).select(text_col).limit(sample_rows).collect()
-    return estimate_order([r[0] for r in drawn], rules)
+def _heads(rows: int):
+    """The first rows of a partition, each with a digest of its partition and place."""
+
+    def run(batches):
+        seed = TaskContext.get().partitionId()
+        for batch in batches:
+            part = batch.slice(0, rows)
+            if not part.num_rows:
+                continue
+            rank = mix(np.arange(part.num_rows, dtype=U64) + U64(seed << 32))
+            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), part.column(0)], ["rank", "text"])
+            return
+
+    return run
+
+
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """The order of the cascade, estimated on at most sample_rows rows, drawn by a digest from the heads of all partitions.
+
+    A task stops after its first rows, so the sample reads a little of every partition and not the whole table.
+    """
+    heads = docs.select(column(text_col)).mapInArrow(_heads(HEAD_ROWS), "rank long, text string")
+    drawn = heads.orderBy("rank").limit(sample_rows).collect()
+    return estimate_order([r[1] for r in drawn], rules)
 
 
 def first_rejection(features: Features, rules: tuple[Rule, ...]) -> str | None:
@@ -129,7 +174,7 @@ def first_rejection(features: Features, rules: tuple[Rule, ...]) -> str | None:
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, the five counts, base_failed, kept and rejected_by (null if kept)."""
-    order = plan_cascade(docs, rules, id_col=id_col, text_col=text_col)
+    order = plan_cascade(docs, rules, text_col=text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     base = tuple(r for r in order if r.base)
@@ -147,13 +192,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "do
             columns += [pa.array([v[0] for v in verdicts], pa.bool_()), pa.array([v[1] is None for v in verdicts], pa.bool_()), pa.array([v[1] for v in verdicts], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names, "base_failed", "kept", "rejected_by"])
 
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, rejected_by string"
-    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
+    schema = f"{ddl_name(id_col)} {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, rejected_by string"
+    return docs.select(column(id_col), column(text_col)).mapInArrow(thrifty(run), schema)
 
 
-def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns."""
-    order = plan_cascade(docs, rules, id_col=id_col, text_col=text_col)
+    order = plan_cascade(docs, rules, text_col=text_col)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -77,7 +77,7 @@ ORACLE_SQL = {
     "op8_warc_revisits": r"""
 WITH a AS (
   SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
-         coalesce(regexp_matches(url, '#|[?&]utm_'), false) AS revisit
+         coalesce(regexp_matches(url, '#|[?&]utm_'), false) AS revisit, md5(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')) AS tag
   FROM pages),
 b AS (
   SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS front,
@@ -92,15 +92,19 @@ c AS (
 s AS (
   SELECT *, max(CASE WHEN NOT revisit THEN page_id END) OVER (PARTITION BY canonical_url ORDER BY page_id
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src
-  FROM c)
-SELECT s.page_id, s.canonical_url, CASE WHEN s.revisit THEN 'revisit' ELSE 'response' END AS type,
-       CASE WHEN NOT s.revisit THEN 'full' WHEN f.page_id IS NULL THEN 'missing' ELSE 'resolved' END AS outcome,
-       CASE WHEN s.revisit THEN f.page_id END AS source_id,
-       length(CASE WHEN s.revisit THEN f.html ELSE s.html END)::BIGINT AS n_chars,
-       md5(CASE WHEN s.revisit THEN f.html ELSE s.html END) AS payload_md5,
-       't' || s.page_id AS date_header,
-       CASE WHEN NOT s.revisit OR f.page_id IS NOT NULL THEN 'text/html' END AS content_type
-FROM s LEFT JOIN c f ON s.revisit AND f.page_id = s.src AND s.canonical_url IS NOT NULL""",
+  FROM c),
+r AS (
+  SELECT s.*, f.page_id AS full_id, f.html AS full_html,
+         CASE WHEN NOT s.revisit THEN 'full' WHEN f.page_id IS NULL THEN 'missing' WHEN left(s.tag, 16) <> left(f.tag, 16) THEN 'changed'
+              WHEN s.tag IS NULL OR f.tag IS NULL THEN 'unchecked' ELSE 'resolved' END AS outcome
+  FROM s LEFT JOIN c f ON s.revisit AND f.page_id = s.src AND s.canonical_url IS NOT NULL)
+SELECT page_id, canonical_url, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS type, outcome,
+       CASE WHEN outcome = 'resolved' THEN full_id END AS source_id,
+       length(CASE outcome WHEN 'resolved' THEN full_html WHEN 'full' THEN html END)::BIGINT AS n_chars,
+       md5(CASE outcome WHEN 'resolved' THEN full_html WHEN 'full' THEN html END) AS payload_md5,
+       't' || page_id AS date_header,
+       CASE WHEN outcome IN ('full', 'resolved') THEN 'text/html' END AS content_type
+FROM r""",
     "op9_quality_rules": r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -113,11 +117,15 @@ n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v
 f AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         (len(ls) - list_unique(ls))::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+         (len(ls) - list_unique(ls))::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+         len(list_filter(ws, lambda x: regexp_full_match(x, '[\x00-\x7F]+') AND NOT regexp_matches(x, '[A-Za-z]'))) AS n_wordless,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[•*‣▪-]'))) AS n_bullets,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut
   FROM w LEFT JOIN n USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 10 * n_symbols <= 3 * n_words AND 2 * n_dup_lines <= n_lines
-       AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
+       AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND 2 * n_wordless <= n_words
+       AND 10 * n_bullets <= 9 * n_lines AND 10 * n_cut <= 3 * n_lines AS kept
 FROM b""",
 }

@@ -13,7 +13,8 @@ at most two bits and a centre and a leaf in at most three.
 
 Defined results: a null text counts as empty and has fingerprint zero, which links like any other; rows that repeat an
 id are each reported; a null id is never the component id unless all ids of its component are null; an empty table
-gives an empty result; other columns are ignored by fingerprints() and kept by drop_near_duplicates().
+gives an empty result; other columns, whatever their names, are ignored by fingerprints() and kept by
+drop_near_duplicates(), which tells rows with a null or repeated id apart.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, U64, has_repeated_ids, materialize, numbered_rows, small_side, thrifty
+from .common import U64, column, ddl_name, has_repeated_ids, materialize, numbered_rows, rows_with, scratch, small_side, thrifty
 from .components import connected_components
 
 MAX_BITS = 3
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), U64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(thrifty(run), f"`{id_col}` {id_type}, fp long")
+    return docs.select(column(id_col), column(text_col)).mapInArrow(thrifty(run), f"{ddl_name(id_col)} {id_type}, fp long")
 
 
 # ---------------------------------------------------------------- candidates
@@ -195,13 +196,14 @@ def near_links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (smallest id reachable) of every row."""
-    own = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = materialize(own.groupBy("fp").agg(F.min(id_col).alias("low")), "fingerprint-classes")
-    parts = connected_components(near_links(classes.select("fp"), dense))
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    lows = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    of_fp = materialize(named.join(lows, "part").select("fp", "component_id"), "components")
-    return own.join(of_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch() as keep:
+        own = keep(materialize(fingerprints(docs, id_col=id_col, text_col=text_col).toDF("id", "fp"), "fingerprints"))
+        classes = materialize(own.groupBy("fp").agg(F.min("id").alias("low")), "fingerprint-classes")
+        parts = connected_components(near_links(classes.select("fp"), dense))
+        named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
+        lows = named.groupBy("part").agg(F.min("low").alias("component_id"))
+        of_fp = keep(materialize(named.join(lows, "part").select("fp", "component_id"), "components"))
+    return own.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
@@ -209,14 +211,15 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     Of rows that share that id one is kept.
     """
-    if has_repeated_ids(docs, id_col):
-        rows = numbered_rows(docs)
-        found = near_duplicates(rows, id_col=ROW, text_col=text_col, dense=dense)
-        rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
-        ranked = found.join(rows.select(ROW, rank.alias("rank")), ROW)
-        kept = ranked.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.row").alias(ROW))
-        kept = materialize(kept, "kept-rows")
-        return rows.join(small_side(kept), ROW, "left_semi").select(docs.columns)
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, dense=dense)
-    dropped = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-duplicates")
-    return docs.join(small_side(dropped), id_col, "left_anti").select(docs.columns)
+    with scratch() as keep:
+        if not has_repeated_ids(docs, id_col):
+            found = near_duplicates(docs, id_col=id_col, text_col=text_col, dense=dense).toDF("id", "fingerprint", "component_id")
+            dropped = keep(materialize(found.filter("id <> component_id").select("id").distinct(), "near-duplicates"))
+            return rows_with(docs, id_col, small_side(dropped), "left_anti")
+        rows, row = numbered_rows(docs)
+        keep(rows)
+        found = near_duplicates(rows, id_col=row, text_col=text_col, dense=dense).toDF("row", "fingerprint", "component_id")
+        rank = rows.select(F.col(row).alias("row"), F.struct(column(id_col).isNull().alias("no_id"), column(id_col).alias("id"), F.col(row).alias("row")).alias("rank"))
+        least = found.join(rank, "row").groupBy("component_id").agg(F.min("rank").alias("least"))
+        kept = keep(materialize(least.select("least.row"), "kept-rows"))
+        return rows_with(rows, row, small_side(kept), "left_semi").drop(row)

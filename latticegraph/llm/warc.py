@@ -6,10 +6,11 @@ status 200) of the same canonical URL. The reference holds if a validator that b
 compared weakly, Last-Modified literally) and none that both carry differs. A revisit that resolves gets the payload of
 the full response and its headers, with those that a 304 answer may update taken from the revisit.
 
-The as-of join is done on ids alone, in blocks of capture time: the latest full response inside a block comes from a
-window over (URL, block), the one before it from a map-side combined maximum per (URL, block) that is carried over the
-at most BLOCKS blocks of a URL. No window holds all captures of a much visited URL. Payloads are joined last, for
-referenced responses only.
+The as-of join is done on ids alone, in blocks of rank: rows are dealt out by ranges of (URL, time, id), so a block holds
+its share of rows even where one URL or one time holds most of them. The latest full response inside a block comes from
+a window over (URL, block), the one before it from a map-side combined maximum per (URL, block) that is carried over the
+blocks of a URL, of which there are no more than shuffle partitions. Payloads are joined last, for referenced responses
+only.
 
 Defined results: a null URL never resolves; records with one time are ordered by id; a null time is earliest; if full
 responses share an id, one of them (the smallest payload) is the source; every record of the input appears once; an
@@ -21,9 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-BLOCKS = 256
+from .common import materialize, scratch
 
 #: Header fields that a 304 answer carries on behalf of the stored response (RFC 9110, 15.4.5), lower-cased.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified")
@@ -49,23 +48,25 @@ def _same(a: Column, b: Column) -> Column:
     return strip(a) == strip(b)
 
 
-def latest_full(records: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """id, canonical and source_id (null if there is none) of every revisit.
+def latest_full(records: DataFrame, blocks: int | None = None) -> DataFrame:
+    """id, canonical and source_id (null if there is none) of every revisit, written.
 
-    records has id, canonical, at (long), is_full.
+    records has id, canonical, at (long), is_full; blocks is the number of shuffle partitions unless given.
     """
-    bounds = records.agg(F.min("at"), F.max("at")).first()
-    low, high = bounds[0] or 0, bounds[1] or 0
-    width = max(1, -(-(high - low + 1) // blocks))
-    rows = records.filter("canonical is not null").select("id", "canonical", "is_full", F.coalesce("at", F.lit(low - 1)).alias("at"))
-    rows = rows.withColumn("block", F.floor((F.col("at") - low) / width))
-    full = F.when(F.col("is_full"), F.struct("at", "id"))
-    ends = rows.groupBy("canonical", "block").agg(F.max(full).alias("end"))
-    earlier = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("canonical", "block", F.max("end").over(earlier).alias("carried"))
-    inside = Window.partitionBy("canonical", "block").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("inside", F.max(full).over(inside)).filter(~F.col("is_full")).join(carried, ["canonical", "block"])
-    return found.select("id", "canonical", F.coalesce("inside", "carried")["id"].alias("source_id"))
+    n = blocks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with scratch() as keep:
+        rows = records.filter("canonical is not null").select("id", "canonical", "is_full", "at")
+        dealt = rows.repartitionByRange(n, "canonical", F.col("at").asc_nulls_first(), "id")
+        # written with the block's number, which a task that runs again could otherwise change
+        rows = materialize(dealt.withColumn("block", F.spark_partition_id()), "ranked-records")
+        full = F.when(F.col("is_full"), F.struct("at", "id"))
+        ends = rows.groupBy("canonical", "block").agg(F.max(full).alias("end"))
+        earlier = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("canonical", "block", F.max("end").over(earlier).alias("carried"))
+        inside = Window.partitionBy("canonical", "block").orderBy(F.col("at").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, -1)
+        found = rows.withColumn("inside", F.max(full).over(inside)).filter(~F.col("is_full")).join(carried, ["canonical", "block"])
+        found = found.select("id", "canonical", F.coalesce("inside", "carried")["id"].alias("source_id"))
+        return keep(materialize(found, "latest-full"))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     is_full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
     is_revisit = F.coalesce(F.col("type") == "revisit", F.lit(False))
     slim = r.filter(is_full | is_revisit).select("id", F.col("canonical_url").alias("canonical"), "at", is_full.alias("is_full"))
-    refs = materialize(latest_full(slim).filter("source_id is not null").select("id", "source_id").distinct(), "revisit-sources")
+    refs = latest_full(slim).filter("source_id is not null").select("id", "source_id").distinct()
     wanted = refs.select(F.col("source_id").alias("id")).distinct()
     order = F.struct("payload", "etag", "last_modified", F.to_json("headers").alias("h"))
     sources = r.filter(is_full).join(wanted, "id", "left_semi").groupBy(F.col("id").alias("source_id")).agg(F.min_by(F.struct("etag", "last_modified", "headers", "payload"), order).alias("s"))
@@ -100,11 +101,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def records_of_pages(pages: DataFrame) -> DataFrame:
     """Pages as a capture log: page_id is id and time.
 
-    A page fetched by a fragment or feed link is a conditional request, recorded as a revisit without payload and with
-    a weak ETag; every other page is a full response. The ETag names the resource and so the canonical URL.
+    A page fetched by a fragment or feed link is a conditional request, recorded as a revisit without payload; every other
+    page is a full response. The ETag is a digest of the page's main resource, its title line, as the server saw it at
+    the time, weak for a revisit and missing where there is no title; so a revisit may find the stored page changed, or
+    have no validator to check.
     """
     revisit = F.coalesce(F.col("url").rlike(r"#|[?&]utm_"), F.lit(False))
-    tag = F.concat(F.lit('"'), F.substring(F.md5(canonical_url(F.col("url")).cast("binary")), 1, 16), F.lit('"'))
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.when(title != "", title).cast("binary")), 1, 16), F.lit('"'))
     etag = F.when(revisit, F.concat(F.lit("W/"), tag)).otherwise(tag)
     date = F.concat(F.lit("t"), F.col("page_id").cast("string"))
     headers = F.map_from_arrays(F.array(F.lit("date"), F.lit("server"), F.when(revisit, "x-cache").otherwise("content-type")), F.array(date, F.lit("nginx"), F.when(revisit, "hit").otherwise("text/html")))
