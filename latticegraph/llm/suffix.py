@@ -14,16 +14,19 @@ input. The suffix order is refined bucket by bucket, on the starts that still ma
    identifier of the bytes that all windows of their half share, and the identifiers found there are refined again;
    at single offsets the bucket is the window itself, and its earliest start is a map-side combined minimum.
 
-Bucket identifiers of step 2 are 128 bits (two independent 64-bit hashes); windows of step 3 are compared as bytes.
+Bucket identifiers of step 2 are two hashes with tables, bases and moduli of their own (2^64 and the prime 2^31 - 1) within
+one gram bucket; windows of step 3 are compared as bytes. Entries are computed in one pass over the texts and written.
 
 Defined results: a null text counts as empty; a text shorter than LENGTH loses nothing; rows with a null or repeated id
 are told apart by their text and ordered by (id, hash of the text), nulls first, and equal rows share one verdict;
-an empty table gives an empty result; other columns are ignored by repeated_spans() and kept by remove_repeats().
+an empty table gives an empty result; other columns, whatever their names, are ignored by repeated_spans() and kept by
+remove_repeats().
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _TABLE, U64, doc_chunks, has_repeated_ids, materialize, mix, powers, ranges, sliding_min, small_side, thrifty, utf8_views
+from .common import _BASE, _BASE_INV, _TABLE, U64, column, ddl_name, doc_chunks, free_names, has_repeated_ids, materialize, mix, powers, ranges, release, scratch, sliding_min, small_side, thrifty, utf8_views
 
 LENGTH = 100
 GRAM = 32
 #: Spans of one gram bucket above which refinement goes on in shuffles instead of one task.
 DENSE = 4096
+#: Spans, each of a few numbers, that are sent to every executor at most (about 100 MB); more are joined by a shuffle.
+SPAN_CELLS = 2_000_000
 
 _CHUNK = 1 << 17
+#: The second hash: prime modulus, base, and a table of its own.
+_PRIME = 2**31 - 1
+_PRIME_BASE = 1_103_515_245
+_PRIME_TABLE = np.random.Generator(np.random.PCG64(43)).integers(1, _PRIME, 256, dtype=np.int64)
+
+
+@lru_cache(1)
+def _prime_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for every place of a chunk."""
+    out = []
+    for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME)):
+        powers = np.ones(2 * _CHUNK, np.int64)
+        k = 1
+        while k < len(powers):
+            powers[k : 2 * k] = powers[:k] * pow(base, k, _PRIME) % _PRIME
+            k *= 2
+        out.append(powers)
+    return out[0], out[1]
 
 
 def _gram_buckets(data: np.ndarray, q: int) -> np.ndarray:
@@ -66,7 +89,8 @@ def _gram_buckets(data: np.ndarray, q: int) -> np.ndarray:
 
 
 def _entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, q: int):
-    """Entries of consecutive documents: document row, gram bucket, span bucket, gram, first and last window start.
+    """Entries of consecutive documents: document row, gram bucket, span bucket (two hashes), gram, first and last window
+    start.
 
     Positions are relative to the document.
     """
@@ -94,12 +118,16 @@ def _entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
                 total = np.zeros(len(part) + 1, U64)
                 np.cumsum(_TABLE[part] * powers(_BASE, len(part)), out=total[1:])
                 span = mix((total[stop + length] - total[begin]) * powers(_BASE_INV, len(part) + 1)[begin] + (stop - begin).astype(U64) * U64(0xD6E8FEB86659FD93))
+                up, down = _prime_powers()
+                total = np.zeros(len(part) + 1, np.int64)
+                np.cumsum(_PRIME_TABLE[part] * up[: len(part)] % _PRIME, out=total[1:])
+                check = (total[stop + length] - total[begin]) % _PRIME * down[begin] % _PRIME
                 d = doc[begin]
                 shift = at - starts[d]
-                out.append((d, g[gram[begin]], span, gram[begin] + shift, begin + shift, stop + shift))
+                out.append((d, g[gram[begin]], span, check, gram[begin] + shift, begin + shift, stop + shift))
             at += step
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, U64, U64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, U64, U64, np.int64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -108,11 +136,11 @@ def _entry_table(docs: DataFrame, key_type: str, length: int, q: int) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                doc, gram_bucket, span_bucket, gram, first, last = _entries(*utf8_views(part.column(1)), length, q)
-                ints = [pa.array(x.astype(np.int32)) for x in (gram, first, last)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(gram_bucket.view(np.int64)), pa.array(span_bucket.view(np.int64)), *ints], ["key", "gram", "span", "at", "first", "last"])
+                doc, gram_bucket, span_bucket, check, gram, first, last = _entries(*utf8_views(part.column(1)), length, q)
+                ints = [pa.array(x.astype(np.int32)) for x in (check, gram, first, last)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(gram_bucket.view(np.int64)), pa.array(span_bucket.view(np.int64)), *ints], ["key", "gram", "span", "check", "at", "first", "last"])
 
-    return docs.mapInArrow(thrifty(run), f"key {key_type}, gram long, span long, at int, first int, last int")
+    return docs.mapInArrow(thrifty(run), f"key {key_type}, gram long, span long, check int, at int, first int, last int")
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,30 +227,40 @@ def _compare_spans(spans: DataFrame, key_type: str, length: int, q: int, dense:
         todo = todo.join(lone, "bucket", "left_semi")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """key and text, one row per key; the key is the id, or the id with a hash of the text if ids repeat or are null."""
+def _key(docs: DataFrame, id_col: str, text_col: str):
+    """The key of a row where ids repeat or are null: the id with a hash of the text."""
+    return F.struct(column(id_col).alias("id"), F.sha2(F.coalesce(column(text_col), F.lit("")), 256).alias("sha"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """key and text, one row per key, and whether the key is the id with a hash of the text."""
     if not has_repeated_ids(docs, id_col):
-        out = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    else:
-        key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha"))
-        out = docs.select(key.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-    return out, out.schema["key"].dataType.simpleString()
+        return docs.select(column(id_col).alias("key"), column(text_col).alias("text")), False
+    return docs.select(_key(docs, id_col, text_col).alias("key"), column(text_col).alias("text")).dropDuplicates(["key"]), True
 
 
-def repeated_spans(keyed: DataFrame, key_type: str, *, length: int = LENGTH, gram: int = GRAM, dense: int = DENSE) -> DataFrame:
-    """key and spans (sorted, disjoint [start, end) byte ranges to remove) of the rows that lose anything.
+def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM, dense: int = DENSE) -> DataFrame:
+    """key and spans (sorted, disjoint [start, end) byte ranges to remove) of the rows that lose anything, written.
 
     keyed has columns key and text, one text per key.
     """
-    entries = _entry_table(keyed, key_type, length, gram)
+    with scratch() as keep:
+        return keep(_repeated_spans(keyed, length, gram, dense))
+
+
+def _repeated_spans(keyed: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
+    key_type = keyed.schema["key"].dataType.simpleString()
+    entries = materialize(_entry_table(keyed, key_type, length, gram), "entries")
     # written, not joined in place: a join of two plain exchanges is one whose hot grams can be split
     again = materialize(entries.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams")
     shared = materialize(entries.join(again, "gram", "left_semi"), "shared-grams")
-    least = shared.groupBy("gram", "span").agg(F.min(F.struct("key", "first", "last", "at")).alias("least"), F.count("*").alias("n"))
+    release(entries)
+    span = ["gram", "span", "check"]
+    least = shared.groupBy(*span).agg(F.min(F.struct("key", "first", "last", "at")).alias("least"), F.count("*").alias("n"))
     least = materialize(least, "spans")
     # entries whose whole span stands earlier
-    same = least.filter("n > 1").select("gram", "span", F.col("least.key").alias("k0"), F.col("least.first").alias("f0"))
-    whole = shared.join(same, ["gram", "span"]).filter(F.struct("key", "first") > F.struct(F.col("k0").alias("key"), F.col("f0").alias("first")))
+    same = least.filter("n > 1").select(*span, F.col("least.key").alias("k0"), F.col("least.first").alias("f0"))
+    whole = shared.join(same, span).filter(F.struct("key", "first") > F.struct(F.col("k0").alias("key"), F.col("f0").alias("first")))
     parts = [whole.select("key", "first", "last")]
     # earliest entries of different spans with one gram
     several = materialize(least.groupBy("gram").count().filter("count > 1").select("gram"), "rival-grams")
@@ -271,18 +309,16 @@ def repeated_spans(keyed: DataFrame, key_type: str, *, length: int = LENGTH, gra
     return materialize(listed.mapInArrow(thrifty(merge), f"key {key_type}, spans array<array<int>>"), "removed-spans")
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """docs with column __spans (null if nothing is removed)."""
-    keyed, key_type = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed, key_type, **options).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    if key_type.startswith("struct"):
-        key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha"))
-    else:
-        key = F.col(id_col)
-    size = spans.agg(F.sum(F.size("__spans") + 4)).first()[0] or 0
-    if size <= 4_000_000:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
+    """docs with a column of spans (null if nothing is removed), the last one, and its name."""
+    key, name = free_names(docs, "key", "spans")
+    keyed, by_text = _keyed(docs, id_col, text_col)
+    spans = repeated_spans(keyed, **options).toDF(key, name)
+    size = spans.agg(F.sum(F.size(name) + 4)).first()[0] or 0
+    if size <= SPAN_CELLS:
         spans = F.broadcast(spans)
-    return docs.withColumn("__key", key).join(spans, "__key", "left").drop("__key")
+    mine = _key(docs, id_col, text_col) if by_text else column(id_col)
+    return docs.join(spans, mine == F.col(key), "left").drop(key), name
 
 
 def _kept(raw: bytes, spans) -> bytes:
@@ -306,8 +342,8 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    both = _with_spans(docs.select(id_col, text_col), id_col, text_col, **options)
-    return both.select(id_col, text_col, "__spans").mapInArrow(thrifty(run), f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both, _ = _with_spans(docs.select(column(id_col), column(text_col)), id_col, text_col, **options)
+    return both.mapInArrow(thrifty(run), f"{ddl_name(id_col)} {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
@@ -315,10 +351,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A character that is cut in part goes whole. Rows stay, even if their text becomes empty.
     """
-    both = _with_spans(docs, id_col, text_col, **options)
-    chars = both.columns.index(chars_col) if chars_col in both.columns else None
+    both, _ = _with_spans(docs, id_col, text_col, **options)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
     chars_type = docs.schema[chars_col].dataType.simpleString() if chars is not None else ""
-    at, last = both.columns.index(text_col), both.columns.index("__spans")
+    at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for batch in batches:
