@@ -1,18 +1,18 @@
 """Quality rules, SimHash, suffix dedup, decontamination, BPE and sharding against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from latticegraph.llm import bpe, decontam, quality, sharding, simhash, substring, suffix
+from latticegraph.llm import bpe, decontam, quality, sharding, simhash, suffix
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -212,6 +212,27 @@ def test_quality_counts_and_verdict(spark, corpus):
     assert quality.judge(table(spark, rows).limit(0)).count() == 0
 
 
+def test_the_order_changes_the_work_and_not_the_verdict():
+    rng = random.Random(3)
+    texts = [prose(rng, 60) for _ in range(30)] + ["12 34 " * 40] * 5 + ["- a b c\n" * 60] * 5 + ["word " * 3]
+    work, verdicts = [], []
+    for rules in (quality.RULES, quality.RULES[::-1]):
+        asked = []
+        counting = [quality.Rule(r.name, lambda f, r=r: (asked.append(r.name), r.rejects(f))[1], r.base) for r in rules]
+        verdicts.append([quality.first_rejection(quality.Features(t), tuple(counting)) is None for t in texts])
+        work.append(len(asked))
+    assert verdicts[0] == verdicts[1] and work[0] != work[1]
+    f = quality.Features(texts[-1])
+    assert quality.first_rejection(f, quality.RULES) == "few_words" and "n_wordless" not in f.__dict__ and "lines" not in f.__dict__
+
+
+def test_the_sample_comes_from_every_partition(spark):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("cast(id as string) as text")
+    drawn = rows.mapInArrow(quality._heads(quality.HEAD_ROWS), "rank long, text string").collect()
+    assert {int(r.text) // 500 for r in drawn} == set(range(8)) and len(drawn) == 8 * quality.HEAD_ROWS
+    assert len(quality.plan_cascade(rows, sample_rows=10)) == len(quality.RULES)
+
+
 def test_quality_order_is_by_rejections_per_cost():
     slow = quality.Rule("slow", lambda f: sum(range(20000)) < 0)
     hits = quality.Rule("hits", lambda f: True)
@@ -241,6 +262,14 @@ def test_decontamination_tolerates_substitutions(spark):
     kept = {r[0] for r in decontam.drop_contaminated(table(spark, rows), bench).collect()}
     assert kept == {i for i, _ in rows} - {i for i, _ in want}
     assert decontam.find_leaks(table(spark, rows), bench.limit(0)).count() == 0
+    # several blocks, item ids of another type and of the name of the document's
+    named = bench.selectExpr("concat('i', item_id) as doc_id", "text")
+    old, decontam.BLOCK_ITEMS = decontam.BLOCK_ITEMS, 7
+    try:
+        many = decontam.find_leaks(table(spark, rows + rows[:2]), named, item_col="doc_id").collect()
+    finally:
+        decontam.BLOCK_ITEMS = old
+    assert sorted((r.doc_id, r.item_doc_id) for r in many) == sorted([(a, f"i{b}") for a, b in ((r.doc_id, r.item_id) for r in got)] + [(0, "i0"), (1, "i1")])
     assert decontam.find_leaks(table(spark, rows).limit(0), bench).count() == 0
 
 
@@ -299,7 +328,7 @@ def library():
     return Tokenizer.from_file(BPE_PATH)
 
 
-SMALL = bpe.TreeBpe(BPE_PATH, leaf=8, leaf_bytes=4)
+SMALL = bpe.TreeBpe(BPE_PATH, leaf=8, leaf_bytes=4, window=16, threads=1)
 
 
 @settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
@@ -310,6 +339,21 @@ def test_bpe_equals_the_library(library, text):
     assert SMALL.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_texts_of_the_table_go_through_joins(library):
+    import pyarrow.parquet as pq
+
+    tree = bpe.TreeBpe(BPE_PATH)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t and len(t) > bpe.LEAF]
+    for t in texts:
+        assert tree.encode(t) == library.encode(t, add_special_tokens=False).ids
+    assert tree.joins >= len(texts) > 0 and tree.windows > 0
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        bpe.TreeBpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_bpe_documents(spark, corpus, library):
     rows = corpus + [(700, "a" * 30000), (701, " " * 20000 + "x"), (702, "".join(random.Random(4).choices("abcdefgh0123=+/", k=40000))), (703, "<|endoftext|>")]
     got = {r[0]: r for r in bpe.encode_digests(table(spark, rows), BPE_PATH).collect()}
@@ -318,6 +362,14 @@ def test_bpe_documents(spark, corpus, library):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    tree = bpe.TreeBpe(BPE_PATH)
+    assert tree.threads > 1
+    for _, t in rows:
+        tree.encode(t)
+    assert tree.joins > 20 and tree.windows > 10 and tree.token_joins > 5
+    assert bpe.encode_digests(table(spark, rows).limit(0), BPE_PATH).count() == 0
+    twice = bpe.encode_digests(table(spark, [rows[0], rows[0]]), BPE_PATH).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
     one = bpe.encode_documents(table(spark, rows[:5]), BPE_PATH).collect()
     assert all(r.decoded == dict(rows)[r[0]] for r in one)
 
@@ -343,64 +395,11 @@ def test_matrix_and_large_draws():
     assert sorted(sum(c) for c in zip(*m)) == sorted([117 // 24 + (k < 117 % 24) for k in range(24)])
     big = sharding.communication_matrix([3 * 10**9, 10**9], 3, 1)
     assert [sum(r) for r in big] == [3 * 10**9, 10**9] and abs(big[0][0] - 10**9) < 10**6
+    for good, bad, draws, x in ((30, 70, 20, 6), (5000, 90_000, 3000, 150), (5, 3, 4, 2), (3, 9, 5, 0)):
+        exact = math.comb(good, x) * math.comb(bad, draws - x) / math.comb(good + bad, draws)
+        assert abs(math.exp(sharding.log_probability(x, good, bad, draws)) / exact - 1) < 1e-12
+    mean = (1 << 20) * 4 // 100
+    assert abs(sum(math.exp(sharding.log_probability(x, 4 * 10**9, 96 * 10**9, 1 << 20)) for x in range(mean - 3000, mean + 3000)) - 1) < 1e-11
     rng = random.Random(0)
     draws = [sharding.hypergeometric(30, 70, 20, rng) for _ in range(4000)]
     assert abs(np.mean(draws) - 6) < 0.15 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.4
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_links_are_grouped_like_one_at_a_time(seed):
-    rng = random.Random(seed)
-    link = pa.struct([(n, pa.int32()) for n in ("c", "l", "r", "sc", "sl", "sr")] + [("f", pa.int64())])
-    lists = []
-    for _ in range(40):
-        places = [(rng.randrange(300), rng.choice([0, 3, 40])) for _ in range(rng.randrange(1, 20))]
-        lists.append([{"c": c + d, "l": max(0, c + d - rng.randrange(80)), "r": c + d + rng.randrange(90), "sc": c, "sl": 0, "sr": 900, "f": rng.randrange(4)} for c, d in places])
-    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(lists, pa.list_(link))], ["key", "source", "links"])
-    want = []
-    for key, links in enumerate(lists):
-        for d in {x["c"] - x["sc"] for x in links}:
-            cover = {}
-            for x in links:
-                if x["c"] - x["sc"] == d:
-                    low, high = x["c"] - min(x["c"] - x["l"], x["sc"] - x["sl"], substring.WINDOW), x["c"] + min(x["r"] - x["c"], x["sr"] - x["sc"], substring.WINDOW)
-                    for at in range(low, high + 1):
-                        cover.setdefault(at, set()).add((x["f"], low, high))
-            at = sorted(cover)
-            while at:  # a run of covered places that spans join end to end
-                run, fs = [at[0]], {f for f, _, _ in cover[at[0]]}
-                while len(run) < len(at) and at[len(run)] == run[-1] + 1 and cover[at[len(run)]] & cover[run[-1]]:
-                    run.append(at[len(run)])
-                    fs |= {f for f, _, _ in cover[run[-1]]}
-                at = at[len(run) :]
-                if len(fs) >= substring.AGREE:
-                    want.append((key, key, run[0], run[-1] + 1, run[0] - d, run[-1] + 1 - d, len(fs)))
-    got = [tuple(r.values()) for part in (batch, batch.slice(0, 0)) for out in substring._candidates("bigint")(iter([part])) for r in out.to_pylist()]
-    assert sorted(got) == sorted(want)
-
-
-def brute_stretches(a, b):
-    """All stretches that satisfy the rule and are inside no other."""
-    n, ok = len(a), []
-    for i in range(n):
-        for j in range(i + substring.WINDOW, n + 1):
-            x, y = set(a[i:j]), set(b[i:j])
-            same = [k for k in range(i, j) if a[k] == b[k]]
-            if same and same[0] == i and same[-1] == j - 1 and all(q - p <= substring.GAP + substring.SHINGLE for p, q in zip(same, same[1:])) and len(x & y) >= 0.8 * len(x | y):
-                ok.append((i, j))
-    return [(i, j) for i, j in ok if not any((p, q) != (i, j) and p <= i and j <= q for p, q in ok)]
-
-
-def test_similar_parts_of_a_bridged_stretch():
-    rng = np.random.default_rng(3)
-    a = np.arange(72, dtype=np.uint32)
-    b = a.copy()
-    b[56:70] += 1000  # 60 equal words, 10 different, 6 equal
-    assert [m[:2] for m in substring.matching_stretches(a, b)] == [(0, 56)]
-    for size in (5000, 12):  # without and with repeated shingles
-        for _ in range(8):
-            a = rng.integers(0, size, 130).astype(np.uint32)
-            b = a.copy()
-            for at in rng.integers(0, 126, rng.integers(3, 9)):
-                b[at : at + 5] = rng.integers(size, 2 * size, min(5, 130 - at))
-            assert sorted(m[:2] for m in substring.matching_stretches(a, b)) == brute_stretches(a.tolist(), b.tolist())
