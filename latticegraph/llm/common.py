@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..storage import release, scratch  # noqa: F401
 from ..storage import written as materialize
@@ -247,3 +248,9 @@ def rows_with(docs: DataFrame, name: str, keys: DataFrame, how: str) -> DataFram
     """Semi- or anti-join of docs with a table of one column of keys; columns and their order stay."""
     (key,) = free_names(docs, "key")
     return docs.join(keys.toDF(key), column(name) == F.col(key), how)
+
+
+def map_rows(df: DataFrame, run, like: DataFrame) -> DataFrame:
+    """df.mapInArrow(run) with the columns of like, whatever their names: inside, column k is called ck."""
+    schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(like.schema.fields)])
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(thrifty(run), schema).toDF(*like.columns)

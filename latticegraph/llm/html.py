@@ -6,7 +6,8 @@ ancestors. Boosted trees, trained here on generated pages with known labels, giv
 belongs to the main text. Decoding chooses one state per element: content (its text is emitted), boilerplate (nothing
 below it is), or container (an ancestor of either, emitting no text itself). Only container -> any, content -> content or
 boilerplate and boilerplate -> boilerplate are allowed, and the assignment with the greatest total log-probability is
-found by dynamic programming over the tree, so an element never contradicts its ancestors.
+found by dynamic programming over the tree, so an element never contradicts its ancestors. The page itself and its body
+may be content, so text that stands in no other element is not lost.
 
 The training set is TRAIN_PAGES generated pages (a bounded sample by construction); fitting takes a few seconds on the
 driver and the model, a few thousand numbers, is sent with the task.
@@ -16,8 +17,9 @@ one space in page order. Elements that are never rendered as text (scripts, styl
 comments of the markup are left out by the parser.
 
 Defined results: a null or empty page has an empty text; broken markup (unclosed elements, stray end tags, a cut tag or
-script at the end) is parsed as far as it goes; a page without elements has no main text; repeated rows are extracted
-one by one; an empty table gives an empty result; other columns are ignored.
+script at the end) is parsed as far as it goes, and an element of hidden content that is never closed hides nothing; a
+page without elements is text as a whole if the trees say so; repeated rows are extracted one by one; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES = 600
+from .common import column, ddl_name, thrifty
+
+TRAIN_PAGES = 1200
 TREES = 60
 DEPTH = 5
 SEED = 10
@@ -39,7 +44,7 @@ SEED = 10
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head title noscript template svg iframe object canvas audio video math select textarea button datalist".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+RAW = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Start tags that close an open element of their own kind, up to the element that bounds them.
@@ -49,6 +54,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?]")
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in HIDDEN}
 
 #: Attribute tokens that the features count, by group.
 GOOD = frozenset("article content post entry story main body text articlebody richtext prose".split())
@@ -65,10 +71,11 @@ TAGS = {t: k for k, t in enumerate("article main section div p h1 h2 h3 h4 ul ol
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "good", "bad", "depth", "text", "links", "tags", "paras", "punct", "label")
+    __slots__ = ("tag", "parent", "children", "parts", "good", "bad", "depth", "text", "own", "links", "tags", "paras", "punct", "label", "block")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.children, self.parts = tag, parent, [], []
+        self.block = parent.block if parent is not None and tag in INLINE else self  # the nearest that is not inline
         self.depth = parent.depth + 1 if parent else 0
         self.good = self.bad = 0
         self.label = None
@@ -84,10 +91,26 @@ class Node:
 
 
 def parse(page: str | None) -> list[Node]:
-    """Elements in page order, the root first. parts holds strings, child nodes and None (a line break)."""
+    """Elements in page order, the root first. parts holds strings, child nodes and None (a line break).
+
+    The work grows with the length of the page: an end tag is only looked for if such an element is open, and an end
+    that is not there is not looked for twice.
+    """
     page = page or ""
     root = Node("#root", None)
     nodes, top, at = [root], root, 0
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
+
+    def up_to(node: Node) -> Node:
+        """Close everything up to and with node."""
+        at_node = top
+        while at_node is not node:
+            opened[at_node.tag] -= 1
+            at_node = at_node.parent
+        opened[node.tag] -= 1
+        return node.parent
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -99,37 +122,38 @@ def parse(page: str | None) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if opened[tag] > 0:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                top = up_to(node)
             continue
-        if tag in RAW or tag in HIDDEN:
+        if tag in HIDDEN:
             if m[3].endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in unclosed else _END[tag].search(page, at)
             if end:
                 at = end.end()
             elif tag in RAW:
                 at = len(page)
+            else:  # an element that is never closed hides nothing
+                unclosed.add(tag)
             continue
-        if tag in CLOSES_P:
-            node = top
-            while node.tag in INLINE:
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
+        if tag in CLOSES_P and opened["p"] > 0 and top.block.tag == "p":
+            top = up_to(top.block)
         if tag in CLOSES_OWN:
             own, bounds = CLOSES_OWN[tag]
             own = own.split()
-            node = top
-            while node is not root and node.tag not in bounds:
-                if node.tag in own:
-                    top = node.parent
-                    if tag != "tr":
-                        break
-                node = node.parent
+            if any(opened[t] > 0 for t in own):
+                node, last = top, None
+                while node is not root and node.tag not in bounds:
+                    if node.tag in own:
+                        last = node
+                        if tag != "tr":
+                            break
+                    node = node.parent
+                if last is not None:
+                    top = up_to(last)
         if tag == "br":
             top.parts.append(None)
             continue
@@ -138,13 +162,14 @@ def parse(page: str | None) -> list[Node]:
         top.parts.append(node)
         nodes.append(node)
         if tag not in VOID and not m[3].endswith("/"):
+            opened[tag] += 1
             top = node
     if at < len(page):
         top.parts.append(page[at:])
     return nodes
 
 
-N_FEATURES = 29
+N_FEATURES = 35
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -158,6 +183,7 @@ def features(nodes: list[Node]) -> np.ndarray:
                 if s:
                     n.text += len(s)
                     n.punct += len(_PUNCT.findall(s))
+        n.own = n.text
         for c in n.children:
             n.text += c.text
             n.links += c.links
@@ -167,18 +193,18 @@ def features(nodes: list[Node]) -> np.ndarray:
         if n.tag == "a":
             n.links = n.text
     total = max(nodes[0].text, 1)
+    page_art = any(n.tag in ("article", "main") for n in nodes)
+    page_good = any(n.good for n in nodes)
+    page_paras = sum(n.tag == "p" for n in nodes)
     up: dict[int, tuple] = {}
     out = np.zeros((len(nodes), N_FEATURES), np.float32)
     for k, n in enumerate(nodes):
         p = n.parent
-        if p is None:
-            up[id(n)] = (0, 0, 0, 0, 0)
-            continue
-        a_good, a_bad, a_art, a_edge, place = up[id(p)]
+        a_good, a_bad, a_art, a_edge, place = up[id(p)] if p is not None else (0, 0, 0, 0, 0)
         own_art = n.tag in ("article", "main")
         own_edge = n.tag in ("nav", "header", "footer", "aside", "form", "dialog", "fieldset")
         up[id(n)] = (a_good + n.good, a_bad | n.bad, a_art + own_art, a_edge + own_edge, 0)
-        kin = p.children
+        kin = p.children if p is not None else ()
         row = out[k]
         row[0] = TAGS.get(n.tag, -1)
         row[1] = n.good
@@ -195,9 +221,14 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[23] = n.text / total
         row[24] = n.depth
         row[25] = len(kin)
-        row[26] = p.text and n.text / p.text
-        row[27] = p.paras
-        row[28] = TAGS.get(p.tag, -1)
+        if p is not None:
+            row[26] = p.text and n.text / p.text
+            row[27] = p.paras
+            row[28] = TAGS.get(p.tag, -1)
+        row[29] = np.log1p(n.own)
+        row[30] = n.own / n.text if n.text else 0
+        row[31] = n.parts.count(None)
+        row[32], row[33], row[34] = page_art, page_good, min(page_paras, 20)
     return out
 
 
@@ -268,8 +299,12 @@ class Boosted:
 # ---------------------------------------------------------------- generated training pages
 
 
-def _training_page(rng: random.Random) -> list[Node]:
-    """A random page whose elements are labelled by how they were made."""
+#: Kinds of pages by where the main text stands, and how often each is generated.
+KINDS = ("marked", "marked", "marked", "section", "div", "beside", "body", "table", "bare", "rootless")
+
+
+def _training_page(rng: random.Random, kind: str) -> list[Node]:
+    """A random page of a kind whose elements are labelled by how they were made."""
     syllables = ["ta", "re", "on", "ing", "es", "ver", "sch", "ou", "ción", "ment", "ar", "li", "no", "per", "a"]
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
@@ -346,24 +381,62 @@ def _training_page(rng: random.Random) -> list[Node]:
         return "".join(out)
 
     names = "content post entry story article-body main-content post-content text"
-    shell = rng.random()
     body = content()
     tail = boilerplate(rng.choice(["comments", "more"])) if rng.random() < 0.25 else ""
-    if shell < 0.55:
-        main = f"<article data-m>{body}{tail}</article>"
-    elif shell < 0.65:
-        main = f"<article data-m{attr(names)}>{body}{tail}</article>"
-    elif shell < 0.75:
-        main = f"<main data-m>{body}{tail}</main>"
-    elif shell < 0.85:
-        main = f"<main><article data-m>{body}</article>{tail}</main>"
-    else:
-        main = f"<div data-m{attr(names)}>{body}{tail}</div>"
-    if rng.random() < 0.3:
-        main = f"<div{rng.choice(['', attr('wrapper page container layout'), attr('row grid')])}>{boilerplate(rng.choice(kinds)) if rng.random() < 0.5 else ''}{main}{boilerplate(rng.choice(kinds)) if rng.random() < 0.5 else ''}</div>"
     before = "".join(boilerplate(k) for k in rng.sample(["nav", "header", "ad", "notice", "form"], rng.randint(0, 4)))
     after = "".join(boilerplate(k) for k in rng.sample(["footer", "aside", "ad", "comments", "more", "form"], rng.randint(0, 4)))
-    nodes = parse(f"<html><head><title>{words(1, 5)}</title></head><body>{before}{main}{after}</body></html>".replace(" data-m", ' data-m="1"'))
+
+    def links() -> str:
+        """Links or a last line without any mark of their own."""
+        few = [link() for _ in range(rng.randint(2, 8))]
+        return rng.choice([f"<div>{' '.join(few)}</div>", item_list(), f"<p>{' | '.join(few)}</p>", f"<div>{item_list()}</div>", f"<div>&copy; {words(1, 3)} {' '.join(few[:2])}</div>", f"<div><h4>{words(1, 2)}</h4>{item_list()}</div>", " ".join(few)])
+
+    if kind != "marked" and rng.random() < 0.7:
+        before, after = rng.choice([before, ""]) + (links() if rng.random() < 0.6 else ""), (links() if rng.random() < 0.6 else "") + rng.choice([after, ""])
+    marked_root = False
+    if kind == "marked":
+        shell = rng.random()
+        if shell < 0.55:
+            main = f"<article data-m>{body}{tail}</article>"
+        elif shell < 0.65:
+            main = f"<article data-m{attr(names)}>{body}{tail}</article>"
+        elif shell < 0.75:
+            main = f"<main data-m>{body}{tail}</main>"
+        elif shell < 0.85:
+            main = f"<main><article data-m>{body}</article>{tail}</main>"
+        else:
+            main = f"<div data-m{attr(names)}>{body}{tail}</div>"
+        if rng.random() < 0.3:
+            main = f"<div{rng.choice(['', attr('wrapper page container layout'), attr('row grid')])}>{boilerplate(rng.choice(kinds)) if rng.random() < 0.5 else ''}{main}{boilerplate(rng.choice(kinds)) if rng.random() < 0.5 else ''}</div>"
+        page = f"<html><head><title>{words(1, 5)}</title></head><body>{before}{main}{after}</body></html>"
+    elif kind == "section":
+        page = f"<html><body>{before}<section data-m>{body}{tail}</section>{after}</body></html>"
+    elif kind == "div":
+        opened = rng.randint(1, 4)
+        page = f"<html><body>{before}{'<div data-m>' * opened}{body}{tail}{'</div>' * opened}{after}</body></html>"
+    elif kind == "beside":  # content and links without marks in one element
+        page = f"<html><body>{before}<div>{links() if rng.random() < 0.5 else ''}{body}{links()}</div>{after}</body></html>"
+    elif kind == "body":
+        page = f"<html><head><title>{words(1, 5)}</title></head><body>{before}{body}{after}</body></html>"
+    elif kind == "table":
+        cell = rng.choice([body, f"<font data-m size=2>{prose(3, 20)}<br><br>{prose(1, 9)}</font>", f"{prose(3, 20)}<br>{prose(2, 9)}"])
+        side = f"<td width=120>{rng.choice([links(), boilerplate('nav'), boilerplate('aside')])}</td>"
+        main = f"<td data-m>{cell}</td>"
+        cells = rng.choice([side + main, main + side, main])
+        top = f"<tr><td colspan=2>{rng.choice([links(), words(1, 5)])}</td></tr>" if rng.random() < 0.4 else ""
+        page = f"<html><body>{rng.choice(['', before])}<table border=0>{top}<tr>{cells}</tr></table>{after}</body></html>"
+    elif kind == "bare":  # text straight in the body, lines ended by line breaks
+        text = "<br><br>".join(rng.choice([prose(1, 9), f"{prose(1, 4)} <b data-m>{words(1, 3)}</b> {prose(1, 4)}", f"{prose(1, 3)} <a data-m href='/{word()}'>{words(1, 2)}</a> {prose(1, 5)}"]) for _ in range(rng.randint(1, 12)))
+        head = f"<h1 data-m>{words(1, 8)}</h1>" if rng.random() < 0.5 else ""
+        no_text = [x for x in (before, after) if x.startswith("<")]
+        page = f"<html><body data-m>{no_text[0] if no_text else ''}{head}{text}{item_list() if rng.random() < 0.3 else ''}</body></html>"
+    else:  # without html and body, or without any element
+        marked_root = rng.random() < 0.6
+        page = f"{prose(1, 30)}" if marked_root else f"{before}{body}{after}"
+        if marked_root and rng.random() < 0.5:
+            page = f"{prose(1, 9)}<br>{prose(1, 9)} <i data-m>{words(1, 3)}</i> {prose(1, 4)}"
+    nodes = parse(page.replace(" data-m", ' data-m="1"'))
+    nodes[0].label = marked_root
     return nodes
 
 
@@ -377,30 +450,35 @@ class _Marked(Node):
         self.label = 'data-m="1"' in attrs
 
 
-def training_set(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the elements of generated pages; containers of content are not examples."""
+def generated(pages: int, seed: int, kinds: tuple[str, ...] = KINDS) -> list[list[Node]]:
+    """Parsed pages of the kinds in turn, with labels."""
     global Node
-    plain, rng, xs, ys = Node, random.Random(seed), [], []
+    plain, rng = Node, random.Random(seed)
     Node = _Marked
     try:
-        for _ in range(pages):
-            nodes = _training_page(rng)
-            x = features(nodes)
-            holds = set()
-            for n in reversed(nodes):
-                if n.label or id(n) in holds:
-                    holds.add(id(n.parent))
-            keep = [k for k, n in enumerate(nodes) if n.parent is not None and (n.label or id(n) not in holds)]
-            xs.append(x[keep])
-            ys.append(np.array([nodes[k].label for k in keep], float))
+        return [_training_page(rng, kinds[k % len(kinds)]) for k in range(pages)]
     finally:
         Node = plain
+
+
+def training_set(pages: int = TRAIN_PAGES, seed: int = SEED, kinds: tuple[str, ...] = KINDS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the elements of generated pages; containers of content are not examples."""
+    xs, ys = [], []
+    for nodes in generated(pages, seed, kinds):
+        x = features(nodes)
+        holds = set()
+        for n in reversed(nodes):
+            if n.label or id(n) in holds:
+                holds.add(id(n.parent))
+        keep = [k for k, n in enumerate(nodes) if n.label or id(n) not in holds]
+        xs.append(x[keep])
+        ys.append(np.array([nodes[k].label for k in keep], float))
     return np.concatenate(xs), np.concatenate(ys)
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = TRAIN_PAGES, seed: int = SEED) -> Boosted:
-    return Boosted().fit(*training_set(pages, seed))
+def trained(pages: int = TRAIN_PAGES, seed: int = SEED, kinds: tuple[str, ...] = KINDS) -> Boosted:
+    return Boosted().fit(*training_set(pages, seed, kinds))
 
 
 # ---------------------------------------------------------------- decoding
@@ -412,24 +490,28 @@ HOLDERS = frozenset("#root html body div section main center table tr td tbody s
 
 def decode(nodes: list[Node], log_odds: np.ndarray) -> list[int]:
     """The best consistent state of every element."""
-    yes, no = -np.logaddexp(0, -log_odds), -np.logaddexp(0, log_odds)
+    yes, no = (-np.logaddexp(0, -log_odds)).tolist(), (-np.logaddexp(0, log_odds)).tolist()
     index = {id(n): k for k, n in enumerate(nodes)}
-    best = np.zeros((len(nodes), 3))
+    above = [index[id(n.parent)] if n.parent is not None else -1 for n in nodes]
+    # totals of each state, from the last element up; the last place takes what the root hands on
+    container, content, boilerplate = ([0.0] * (len(nodes) + 1) for _ in range(3))
     for k in range(len(nodes) - 1, -1, -1):
-        n = nodes[k]
-        own = (no[k] * 0.5 if n.tag in HOLDERS else -1e6, yes[k], no[k])
-        if n.parent is None:
-            own = (0.0, -1e6, -1e6)
-        c = best[[index[id(x)] for x in n.children]] if n.children else np.zeros((0, 3))
-        best[k, CONTAINER] = own[0] + c.max(1).sum()
-        best[k, CONTENT] = own[1] + c[:, 1:].max(1).sum()
-        best[k, BOILERPLATE] = own[2] + c[:, 2].sum()
-    state = [CONTAINER] * len(nodes)
-    for k, n in enumerate(nodes):
-        for x in n.children:
-            j = index[id(x)]
-            allowed = {CONTAINER: (0, 1, 2), CONTENT: (1, 2), BOILERPLATE: (2,)}[state[k]]
-            state[j] = max(allowed, key=lambda s, j=j: (best[j, s], -s))
+        a = container[k] + (no[k] * 0.5 if nodes[k].tag in HOLDERS else -1e6)
+        b, c = content[k] + yes[k], boilerplate[k] + no[k]
+        container[k], content[k], boilerplate[k] = a, b, c
+        up = above[k]
+        inside = b if b > c else c
+        container[up] += a if a > inside else inside
+        content[up] += inside
+        boilerplate[up] += c
+    state = [BOILERPLATE] * len(nodes)
+    for k, up in enumerate(above):
+        over = CONTAINER if up < 0 else state[up]
+        if over == BOILERPLATE:
+            continue
+        inside = CONTENT if content[k] >= boilerplate[k] else BOILERPLATE
+        best = content[k] if inside == CONTENT else boilerplate[k]
+        state[k] = CONTAINER if over == CONTAINER and container[k] >= best else inside
     return state
 
 
@@ -489,4 +571,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 texts = extract_pages(part.column(2).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {types[0]}, `{url_col}` {types[1]}, text string, n_chars long")
+    chosen = pages.select(column(id_col), column(url_col), column(html_col))
+    return chosen.mapInArrow(thrifty(run), f"{ddl_name(id_col)} {types[0]}, {ddl_name(url_col)} {types[1]}, text string, n_chars long")

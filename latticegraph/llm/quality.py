@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import U64, column, ddl_name, mix, thrifty
+from .common import U64, column, ddl_name, map_rows, mix, thrifty
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -206,4 +206,4 @@ def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_c
             keep = [first_rejection(Features(t), order) is None for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(thrifty(run), docs.schema)
+    return map_rows(docs, run, docs)

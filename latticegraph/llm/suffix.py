@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _TABLE, U64, column, ddl_name, doc_chunks, free_names, has_repeated_ids, materialize, mix, powers, ranges, release, scratch, sliding_min, small_side, thrifty, utf8_views
+from .common import _BASE, _BASE_INV, _TABLE, U64, column, ddl_name, doc_chunks, free_names, has_repeated_ids, map_rows, materialize, mix, powers, ranges, release, scratch, sliding_min, small_side, thrifty, utf8_views
 
 LENGTH = 100
 GRAM = 32
@@ -366,6 +366,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             columns[at] = pa.array(texts, columns[at].type)
             if chars is not None and chars_type in ("bigint", "int"):
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, [n for k, n in enumerate(batch.schema.names) if k != last])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last])
 
-    return both.mapInArrow(thrifty(run), docs.schema)
+    return map_rows(both, run, docs)

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -218,6 +220,34 @@ def test_held_out_accuracy(model):
     assert ((model.score(x) > 0) == y).mean() > 0.985
 
 
+@pytest.mark.parametrize("kind", dict.fromkeys(html.KINDS))
+def test_held_out_layouts(kind):
+    """Trees that saw no page of a kind, on pages of that kind: share of words found, and of words found that belong."""
+    model = html.trained(600, 10, tuple(k for k in html.KINDS if k != kind))
+    found = wanted = right = 0
+    for nodes in html.generated(60, 777, (kind,)):
+        got = Counter(html.main_text(nodes, html.decode(nodes, model.score(html.features(nodes)))).split())
+        want = Counter(html.main_text(nodes, [int(n.label) for n in nodes]).split())
+        found, wanted, right = found + got.total(), wanted + want.total(), right + (got & want).total()
+    assert right >= 0.95 * wanted and right >= 0.95 * found
+
+
+def test_plain_layouts_are_not_empty(model):
+    text = "This is a sentence of some length, with a clause. " * 6
+    for page in ("<section><p>{}</p></section>", "<h1>T</h1><p>{}</p>", "<div><div><p>{}</p></div></div>", "<table><tr><td><font size=2>{}</font></td></tr></table>", "<body>{}</body>", "<div><p>{}</p><div class=sidebar><a href=x>a</a></div></div>", "{}", "<body><noscript>x<template><p>{}</p>"):
+        assert text.strip() in html.extract_page(page.format(text), model), page
+
+
+def test_parsing_is_linear():
+    def seconds(n):
+        began = time.perf_counter()
+        nodes = html.parse("<div>" * n + "</span>" * n + "<noscript>" * n + "<p>" + "<b>" * n + "<p>x" * n + "<li>" * n)
+        return time.perf_counter() - began, nodes
+
+    seconds(100)
+    assert seconds(40_000)[0] < 40 * max(seconds(4_000)[0], 0.005)
+
+
 def test_pages_of_many_kinds(model):
     long = "This is a sentence of some length, with a clause. " * 6
     cases = [
@@ -239,8 +269,8 @@ def test_decoding_is_consistent_and_best(model):
     for _ in range(20):
         odds = rng.normal(0, 2, len(nodes))
         yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
-        cost = lambda s: sum((0 if k == 0 else no[k] / 2 if n.tag in html.HOLDERS else -1e6) if s[k] == 0 else yes[k] if s[k] == 1 else no[k] for k, n in enumerate(nodes))
-        ok = lambda s: s[0] == 0 and all(n.parent is None or s[k] in {0: (0, 1, 2), 1: (1, 2), 2: (2,)}[s[parent[id(n.parent)]]] for k, n in enumerate(nodes))
+        cost = lambda s: sum((no[k] / 2 if n.tag in html.HOLDERS else -1e6) if s[k] == 0 else yes[k] if s[k] == 1 else no[k] for k, n in enumerate(nodes))
+        ok = lambda s: all(n.parent is None or s[k] in {0: (0, 1, 2), 1: (1, 2), 2: (2,)}[s[parent[id(n.parent)]]] for k, n in enumerate(nodes))
         best = max(cost(s) for s in itertools.product((0, 1, 2), repeat=len(nodes)) if ok(s))
         state = html.decode(nodes, odds)
         assert ok(state) and abs(cost(state) - best) < 1e-9
