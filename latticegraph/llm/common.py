@@ -254,3 +254,9 @@ def map_rows(df: DataFrame, run, like: DataFrame) -> DataFrame:
     """df.mapInArrow(run) with the columns of like, whatever their names: inside, column k is called ck."""
     schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(like.schema.fields)])
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(thrifty(run), schema).toDF(*like.columns)
+
+
+def drop_finished(df: DataFrame) -> DataFrame:
+    """df, after a collection on the driver: Spark deletes the shuffle files of steps that nothing refers to any more."""
+    df.sparkSession._jvm.System.gc()
+    return df

@@ -14,8 +14,8 @@ input. The suffix order is refined bucket by bucket, on the starts that still ma
    identifier of the bytes that all windows of their half share, and the identifiers found there are refined again;
    at single offsets the bucket is the window itself, and its earliest start is a map-side combined minimum.
 
-Bucket identifiers of step 2 are two hashes with tables, bases and moduli of their own (2^64 and the prime 2^31 - 1) within
-one gram bucket; windows of step 3 are compared as bytes. Entries are computed in one pass over the texts and written.
+Bucket identifiers of step 2 are two hashes modulo primes near 2^31, with random tables and bases of their own, within one
+gram bucket; windows of step 3 are compared as bytes. Entries are computed in one pass over the texts and written.
 
 Defined results: a null text counts as empty; a text shorter than LENGTH loses nothing; rows with a null or repeated id
 are told apart by their text and ordered by (id, hash of the text), nulls first, and equal rows share one verdict;
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _TABLE, U64, column, ddl_name, doc_chunks, free_names, has_repeated_ids, map_rows, materialize, mix, powers, ranges, release, scratch, sliding_min, small_side, thrifty, utf8_views
+from .common import _TABLE, U64, column, ddl_name, doc_chunks, drop_finished, free_names, has_repeated_ids, map_rows, materialize, mix, ranges, release, scratch, sliding_min, small_side, thrifty, utf8_views
 
 LENGTH = 100
 GRAM = 32
@@ -44,26 +44,37 @@ DENSE = 4096
 SPAN_CELLS = 2_000_000
 
 _CHUNK = 1 << 17
-#: The second hash: prime modulus, base, and a table of its own.
-_PRIME = 2**31 - 1
-_PRIME_BASE = 1_103_515_245
-_PRIME_TABLE = np.random.Generator(np.random.PCG64(43)).integers(1, _PRIME, 256, dtype=np.int64)
+#: Primes and bases of the two hashes of a span; their tables of bytes are random and independent.
+_PRIMES = (2**31 - 1, 2**31 - 19)
+_BASES = (1_103_515_245, 1_664_525)
+_TABLES = np.random.Generator(np.random.PCG64(43)).integers(1, _PRIMES[1], (2, 256), dtype=np.int64)
 
 
-@lru_cache(1)
-def _prime_powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for every place of a chunk."""
-    out = []
-    for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME)):
+@lru_cache(2)
+def _prime_powers(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, for every place of a chunk."""
+    out, prime = [], _PRIMES[k]
+    for base in (_BASES[k], pow(_BASES[k], -1, prime)):
         powers = np.ones(2 * _CHUNK, np.int64)
-        k = 1
-        while k < len(powers):
-            powers[k : 2 * k] = powers[:k] * pow(base, k, _PRIME) % _PRIME
-            k *= 2
+        n = 1
+        while n < len(powers):
+            powers[n : 2 * n] = powers[:n] * pow(base, n, prime) % prime
+            n *= 2
         out.append(powers)
     return out[0], out[1]
 
 
+def _span_buckets(part: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of part[begin:stop], 62 bits; equal bytes give equal ones wherever they stand."""
+    out = np.zeros(len(begin), np.int64)
+    for k, prime in enumerate(_PRIMES):
+        up, down = _prime_powers(k)
+        total = np.zeros(len(part) + 1, np.int64)
+        np.cumsum(_TABLES[k][part] * up[: len(part)] % prime, out=total[1:])
+        out = out << 31 | (total[stop] - total[begin]) % prime * down[begin] % prime
+    return mix(out.view(U64) + (stop - begin).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def _gram_buckets(data: np.ndarray, q: int) -> np.ndarray:
     """Bucket identifiers of all q-grams, by doubling: a bucket of 2k bytes is that of k bytes and that k later."""
     h = _TABLE[data]
@@ -89,8 +100,7 @@ def _gram_buckets(data: np.ndarray, q: int) -> np.ndarray:
 
 
 def _entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, q: int):
-    """Entries of consecutive documents: document row, gram bucket, span bucket (two hashes), gram, first and last window
-    start.
+    """Entries of consecutive documents: document row, gram bucket, span bucket, gram, first and last window start.
 
     Positions are relative to the document.
     """
@@ -115,19 +125,13 @@ def _entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
             last[:-1] &= ~inside[1:] | first[1:]
             stop = np.flatnonzero(last)
             if len(begin):
-                total = np.zeros(len(part) + 1, U64)
-                np.cumsum(_TABLE[part] * powers(_BASE, len(part)), out=total[1:])
-                span = mix((total[stop + length] - total[begin]) * powers(_BASE_INV, len(part) + 1)[begin] + (stop - begin).astype(U64) * U64(0xD6E8FEB86659FD93))
-                up, down = _prime_powers()
-                total = np.zeros(len(part) + 1, np.int64)
-                np.cumsum(_PRIME_TABLE[part] * up[: len(part)] % _PRIME, out=total[1:])
-                check = (total[stop + length] - total[begin]) % _PRIME * down[begin] % _PRIME
+                span = _span_buckets(part, begin, stop + length)
                 d = doc[begin]
                 shift = at - starts[d]
-                out.append((d, g[gram[begin]], span, check, gram[begin] + shift, begin + shift, stop + shift))
+                out.append((d, g[gram[begin]], span, gram[begin] + shift, begin + shift, stop + shift))
             at += step
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, U64, U64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, U64, U64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -136,11 +140,11 @@ def _entry_table(docs: DataFrame, key_type: str, length: int, q: int) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                doc, gram_bucket, span_bucket, check, gram, first, last = _entries(*utf8_views(part.column(1)), length, q)
-                ints = [pa.array(x.astype(np.int32)) for x in (check, gram, first, last)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(gram_bucket.view(np.int64)), pa.array(span_bucket.view(np.int64)), *ints], ["key", "gram", "span", "check", "at", "first", "last"])
+                doc, gram_bucket, span_bucket, gram, first, last = _entries(*utf8_views(part.column(1)), length, q)
+                ints = [pa.array(x.astype(np.int32)) for x in (gram, first, last)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(gram_bucket.view(np.int64)), pa.array(span_bucket.view(np.int64)), *ints], ["key", "gram", "span", "at", "first", "last"])
 
-    return docs.mapInArrow(thrifty(run), f"key {key_type}, gram long, span long, check int, at int, first int, last int")
+    return docs.mapInArrow(thrifty(run), f"key {key_type}, gram long, span long, at int, first int, last int")
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,10 +256,10 @@ def _repeated_spans(keyed: DataFrame, length: int, gram: int, dense: int) -> Dat
     key_type = keyed.schema["key"].dataType.simpleString()
     entries = materialize(_entry_table(keyed, key_type, length, gram), "entries")
     # written, not joined in place: a join of two plain exchanges is one whose hot grams can be split
-    again = materialize(entries.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams")
-    shared = materialize(entries.join(again, "gram", "left_semi"), "shared-grams")
+    again = drop_finished(materialize(entries.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams"))
+    shared = drop_finished(materialize(entries.join(again, "gram", "left_semi"), "shared-grams"))
     release(entries)
-    span = ["gram", "span", "check"]
+    span = ["gram", "span"]
     least = shared.groupBy(*span).agg(F.min(F.struct("key", "first", "last", "at")).alias("least"), F.count("*").alias("n"))
     least = materialize(least, "spans")
     # entries whose whole span stands earlier
