@@ -26,7 +26,7 @@ remove_repeats().
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ LENGTH = 100
 GRAM = 32
 #: Spans of one gram bucket above which refinement goes on in shuffles instead of one task.
 DENSE = 4096
+#: Parts that the buckets are gone through in.
+SLICES = 4
 #: Spans, each of a few numbers, that are sent to every executor at most (about 100 MB); more are joined by a shuffle.
 SPAN_CELLS = 2_000_000
 
@@ -255,9 +257,13 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
 def _repeated_spans(keyed: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
     key_type = keyed.schema["key"].dataType.simpleString()
     entries = materialize(_entry_table(keyed, key_type, length, gram), "entries")
-    # written, not joined in place: a join of two plain exchanges is one whose hot grams can be split
-    again = drop_finished(materialize(entries.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams"))
-    shared = drop_finished(materialize(entries.join(again, "gram", "left_semi"), "shared-grams"))
+    shared = []
+    for k in range(SLICES):  # a slice of the buckets at a time, so their shuffles are not all on disk at once
+        part = entries.filter(F.pmod("gram", F.lit(SLICES)) == k)
+        # written, not joined in place: a join of two plain exchanges is one whose hot grams can be split
+        again = materialize(part.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams")
+        shared.append(drop_finished(materialize(part.join(again, "gram", "left_semi"), "shared-grams")))
+    shared = reduce(DataFrame.union, shared)
     release(entries)
     span = ["gram", "span"]
     least = shared.groupBy(*span).agg(F.min(F.struct("key", "first", "last", "at")).alias("least"), F.count("*").alias("n"))
