@@ -120,9 +120,10 @@ RULES = (
     Rule("cut_lines", lambda f: 10 * f.n_cut_lines > 3 * len(f.lines)),
 )
 
-#: Rows of the sample on which costs and rejection rates are estimated, and rows at the head of every partition among
-#: which they are drawn.
+#: Rows of the sample on which costs and rejection rates are estimated, and how many a partition gives at most, out of
+#: so many rows at its head.
 SAMPLE_ROWS = 400
+PER_PARTITION = 16
 HEAD_ROWS = 256
 
 
@@ -138,29 +139,41 @@ def estimate_order(texts: list[str | None], rules: tuple[Rule, ...] = RULES) ->
     return tuple(rule for _, _, rule in sorted(scored, key=lambda x: x[:2]))
 
 
-def _heads(rows: int):
-    """The first rows of a partition, each with a digest of its partition and place."""
+def _heads(most: int | None = None):
+    """Of the first HEAD_ROWS rows of a partition the PER_PARTITION of least rank, a digest of partition and place.
+
+    Only their ranks, or ranks and texts of those of at most the given rank. The task stops there.
+    """
 
     def run(batches):
         seed = TaskContext.get().partitionId()
         for batch in batches:
-            part = batch.slice(0, rows)
+            part = batch.slice(0, HEAD_ROWS)
             if not part.num_rows:
                 continue
-            rank = mix(np.arange(part.num_rows, dtype=U64) + U64(seed << 32))
-            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), part.column(0)], ["rank", "text"])
+            rank = mix(np.arange(part.num_rows, dtype=U64) + U64(seed << 32)).view(np.int64)
+            chosen = np.argsort(rank)[:PER_PARTITION]
+            if most is None:
+                yield pa.RecordBatch.from_arrays([pa.array(rank[chosen])], ["rank"])
+            else:
+                chosen = chosen[rank[chosen] <= most]
+                yield pa.RecordBatch.from_arrays([pa.array(rank[chosen]), part.column(0).take(pa.array(chosen))], ["rank", "text"])
             return
 
     return run
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The order of the cascade, estimated on at most sample_rows rows, drawn by a digest from the heads of all partitions.
+    """The order of the cascade, estimated on at most sample_rows rows from the heads of partitions all over the table.
 
-    A task stops after its first rows, so the sample reads a little of every partition and not the whole table.
+    Ranks are drawn in every partition; the texts of the least of them are fetched, so the driver gets PER_PARTITION
+    numbers of a partition and sample_rows texts in all.
     """
-    heads = docs.select(column(text_col)).mapInArrow(_heads(HEAD_ROWS), "rank long, text string")
-    drawn = heads.orderBy("rank").limit(sample_rows).collect()
+    texts = docs.select(column(text_col))
+    ranks = sorted(r[0] for r in texts.mapInArrow(_heads(), "rank long").orderBy("rank").limit(sample_rows).collect())
+    if not ranks:
+        return tuple(rules)
+    drawn = texts.mapInArrow(_heads(ranks[-1]), "rank long, text string").limit(sample_rows).collect()
     return estimate_order([r[1] for r in drawn], rules)
 
 

@@ -228,8 +228,9 @@ def test_the_order_changes_the_work_and_not_the_verdict():
 
 def test_the_sample_comes_from_every_partition(spark):
     rows = spark.range(0, 4000, 1, 8).selectExpr("cast(id as string) as text")
-    drawn = rows.mapInArrow(quality._heads(quality.HEAD_ROWS), "rank long, text string").collect()
-    assert {int(r.text) // 500 for r in drawn} == set(range(8)) and len(drawn) == 8 * quality.HEAD_ROWS
+    drawn = rows.mapInArrow(quality._heads(2**63 - 1), "rank long, text string").collect()
+    assert {int(r.text) // 500 for r in drawn} == set(range(8)) and len(drawn) == 8 * quality.PER_PARTITION
+    assert sorted(r.rank for r in drawn) == sorted(r.rank for r in rows.mapInArrow(quality._heads(), "rank long").collect())
     assert len(quality.plan_cascade(rows, sample_rows=10)) == len(quality.RULES)
 
 
