@@ -128,12 +128,15 @@ def assign(cost: np.ndarray) -> np.ndarray:
 
 
 def match_atoms(cell: np.ndarray, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """For every atom of a its partner in b of the same label, and the sum of their least distances."""
+    """For every atom of a its partner in b of the same label, and the sum of their squared distances.
+
+    Differences are taken to the nearest whole cell along each edge.
+    """
     partner, total = np.zeros(len(a), int), 0.0
     for label in np.unique(labels):
         at = np.flatnonzero(labels == label)
-        apart = (b[at][None] - a[at][:, None])[:, :, None] + _IMAGES
-        cost = np.linalg.norm(apart @ cell, axis=3).min(2)
+        apart = b[at][None] - a[at][:, None]
+        cost = (((apart - np.rint(apart)) @ cell) ** 2).sum(2)
         to = assign(cost)
         partner[at] = at[to]
         total += float(cost[np.arange(len(at)), to].sum())

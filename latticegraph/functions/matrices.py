@@ -107,3 +107,33 @@ def weighted_manhattan(a: Column, b: Column) -> Column:
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
     n = F.size(a) - 7
     return (total(F.slice(gaps, 1, 7)) + F.when(n > 0, total(F.slice(gaps, F.lit(8), F.greatest(n, F.lit(1)))) * 7 / n).otherwise(0.0)) * 2
+
+
+def about_equal(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """Whether lists agree entry by entry, each within absolute plus relative times the second; other lengths never do."""
+    near = F.zip_with(a, b, lambda x, y: F.abs(x - y) <= F.abs(y) * relative + absolute)
+    return (F.size(a) == F.size(b)) & F.forall(near, lambda x: x)
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """Whether lists hold the same entries in any order."""
+    return F.array_sort(a) == F.array_sort(b)
+
+
+def mended_vonorms(v: Column, xi) -> Column:
+    """Whole numbers of xi nearest to real vonorms (halves to even), mended a unit at a time until the two sums agree.
+
+    A unit goes to the entry at which it adds the least error, the first of equals. The error of a unit compares xi times
+    the real value with the whole number, as stored keys do.
+    """
+    total = lambda w: w[0] + w[1] + w[2] + w[3] - w[4] - w[5] - w[6]
+
+    def mend(w: Column, _: Column) -> Column:
+        gap = F.signum(total(w)).cast("long")
+        units = F.array(*(-gap if k < 4 else gap for k in range(7)))
+        cost = F.array(*(F.round(F.abs((v[k] + units[k]) * xi - w[k]) - F.abs(v[k] * xi - w[k]), 5) for k in range(7)))
+        at = F.array_position(cost, F.array_min(cost))
+        return F.when(gap == 0, w).otherwise(F.transform(w, lambda x, k: F.when(k + 1 == at, x + F.element_at(units, k + 1)).otherwise(x)))
+
+    first = discretized(v, xi)
+    return F.aggregate(F.sequence(F.lit(0), F.abs(total(first))), first, mend)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crystal, geometry, pathfinding
+from ..functions.calculators import PairCalculator, Provider
 from ..storage import scratch, written
 from .search import appended, united
 
@@ -102,13 +103,14 @@ def geometry_of(keys: DataFrame, xi: float, delta: int, k: int = 20) -> DataFram
     return spread(keys.filter("key is not null").select("key").distinct(), "key").mapInPandas(each, "key array<bigint>, volume double, bond double, energy double, amd array<double>")
 
 
-def relax(keys: DataFrame, xi: float, delta: int, max_steps: int = 1000) -> DataFrame:
+def relax(keys: DataFrame, xi: float, delta: int, max_steps: int = 1000, provider: Provider = PairCalculator) -> DataFrame:
     """key, labels, the path of falling energy from it and the energy at its end, for distinct keys."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calculator = provider()
         for batch in batches:
             for key, labels in zip(batch["key"], batch["labels"]):
-                energies = pathfinding.Energies(xi, delta)
+                energies = pathfinding.Energies(xi, delta, calculator.energy)
                 path = pathfinding.descend(tuple(key), labels, delta, energies, max_steps)
                 yield pd.DataFrame({"key": [key], "labels": [labels], "path": [[list(k) for k in path]], "energy": [energies(path[-1])]})
 
@@ -133,18 +135,19 @@ def endpoint_keys(structures: DataFrame, xi: float, delta: int) -> DataFrame:
     return spread(structures.select("id", "cell", "fractions", "labels", "index"), "id").mapInPandas(each, KEYS).distinct()
 
 
-def energies_of(keys: DataFrame, xi: float, delta: int) -> DataFrame:
-    """key and energy of distinct keys."""
+def energies_of(keys: DataFrame, xi: float, delta: int, provider: Provider = PairCalculator) -> DataFrame:
+    """key and energy of distinct keys; each task has a calculator of its own, which gets a batch at a time."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calculator = provider()
         for batch in batches:
-            energies = pathfinding.Energies(xi, delta)
-            yield pd.DataFrame({"key": batch["key"], "energy": [energies(tuple(k)) for k in batch["key"]]})
+            structures = [(geometry.cell_from_vonorms(k[:7], xi), crystal.atoms_of(k) / delta) for k in map(tuple, batch["key"])]
+            yield pd.DataFrame({"key": batch["key"], "energy": calculator.energies(structures)})
 
     return spread(keys.select("key").distinct(), "key").mapInPandas(each, "key array<bigint>, energy double")
 
 
-def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, width: float = 0.0, batch: int = 1000, max_steps: int = 50) -> DataFrame:
+def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, width: float = 0.0, batch: int = 1000, max_steps: int = 50, provider: Provider = PairCalculator) -> DataFrame:
     """key, parent, energy and step of the points flooded from start (key, labels), over computed neighbours.
 
     A step explores the open points at most width above the lowest open energy, batch of them at most, lowest first.
@@ -155,7 +158,7 @@ def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, wid
     wanted = goals.select("key").distinct()
     columns = ["key", "labels", F.lit(None).cast("array<bigint>").alias("parent"), "energy", F.lit(0).alias("step")]
     with scratch() as keep:
-        fresh = front = written(first.join(energies_of(first, xi, delta), "key").select(*columns), "flood")
+        fresh = front = written(first.join(energies_of(first, xi, delta, provider), "key").select(*columns), "flood")
         seen = [fresh]
         for step in range(1, max_steps + 1):
             if not fresh.join(wanted, "key", "left_semi").isEmpty():
@@ -166,7 +169,7 @@ def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, wid
             now = written(front.filter(F.col("energy") <= level + width).orderBy("energy", "key").limit(batch).select("key", "labels"), "now")
             reached = neighbour_keys(now, delta).groupBy(F.col("neighbour").alias("to")).agg(F.min("key").alias("parent"), F.first("labels").alias("labels")).withColumnRenamed("to", "key")
             entered = written(reached.join(united(seen).select("key"), "key", "left_anti"), "entered")
-            fresh = written(entered.join(energies_of(entered, xi, delta), "key").select("key", "labels", "parent", "energy", F.lit(step).alias("step")), "flood")
+            fresh = written(entered.join(energies_of(entered, xi, delta, provider), "key").select("key", "labels", "parent", "energy", F.lit(step).alias("step")), "flood")
             front = written(front.join(now.select("key"), "key", "left_anti").select("key", "labels", "energy").unionByName(fresh.select("key", "labels", "energy")), "front")
             seen = appended(seen, fresh)
         return united([keep(p) for p in seen]).select("key", "parent", "energy", "step")
