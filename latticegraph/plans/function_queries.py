@@ -241,7 +241,7 @@ def wave_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k28_aligned_pairs")
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance left after every crystal of three atoms was aligned with itself in other axes."""
+    """Distance left after every crystal was aligned with itself in other axes."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = np.array(_TURN_ROWS)
@@ -252,28 +252,28 @@ def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 left.append(geometry.align(cell, at, turn @ cell, at @ np.linalg.inv(turn), labels)[2])
             yield pd.DataFrame({"key": batch["key"], "left": left})
 
-    keys = _keys(spark, sf_dir).filter("size(labels) = 3").select("key", "labels").distinct()
+    keys = _keys(spark, sf_dir).select("key", "labels").distinct()
     rows = canonical.spread(keys, "key").mapInPandas(each, "key array<bigint>, left double")
     return rows.select(_text(F.col("key")).alias("key"), F.round("left", 6).alias("left"))
 
 
 @query("x28_variant_distances")
 def variant_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distance of every key of one atom to a variant of one goal, for each spread."""
+    """Least distance of every key to a variant of the smallest key with its labels, for each spread."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("light", "partial", "full")
         for batch in batches:
             far = {}
             for r in batch.itertuples(index=False):
-                goal = tuple(r.goal)
+                goal = (tuple(r.goal), tuple(r.labels))
                 if goal not in far:
-                    far[goal] = [pathfinding.goal_distance(f"unimodular_{n}", [goal], [0], 1.0, T.DELTA, 1.0) for n in names]
+                    far[goal] = [pathfinding.goal_distance(f"unimodular_{n}", [goal[0]], r.labels, 1.0, T.DELTA, 1.0) for n in names]
                 yield pd.DataFrame([(r.key, *(f(tuple(r.key)) for f in far[goal]))], columns=["key", *names])
 
-    keys = _keys(spark, sf_dir).filter("size(labels) = 1").select("key").distinct()
-    goal = keys.agg(F.min("key").alias("goal"))
-    rows = canonical.spread(keys, "key").crossJoin(F.broadcast(goal)).mapInPandas(each, "key array<bigint>, light double, partial double, full double")
+    keys = _keys(spark, sf_dir).select("key", "labels").distinct()
+    goals = keys.groupBy("labels").agg(F.min("key").alias("goal"))
+    rows = canonical.spread(keys.join(F.broadcast(goals), "labels"), "key").mapInPandas(each, "key array<bigint>, light double, partial double, full double")
     return rows.withColumn("key", _text(F.col("key")))
 
 

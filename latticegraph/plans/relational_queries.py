@@ -150,15 +150,15 @@ def matrix_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.array_join(F.transform(flat, lambda x: x.cast("string")), " ").alias("matrix")).distinct()
 
 
-@query("j16_nearest_end_pair", f"""WITH {_KEYS}, p AS (SELECT s.id AS first, g.id AS last, list_sum(list_transform(range(1, 9), lambda j: abs(s.key[j] - g.key[j])))::BIGINT AS apart FROM k s, k g WHERE s.id < 20 AND g.id >= 20 AND g.id < 40)
-SELECT first, last, apart FROM p ORDER BY apart, first, last LIMIT 1""")
+@query("j16_nearest_end_pair", f"""WITH {_LATTICE}, {_EDGE}, p AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst),
+q AS (SELECT src AS first, dst AS last, list_sum(list_transform(range(1, 8), lambda j: abs(s.v[j] - g.v[j])))::BIGINT AS apart FROM p JOIN con s ON s.id = src JOIN con g ON g.id = dst)
+SELECT first, last, apart FROM q QUALIFY row_number() OVER (PARTITION BY first ORDER BY apart, last) = 1""")
 def nearest_end_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The start and the goal, of the twenty of each, that are nearest to each other."""
-    rows = _keys(spark, sf_dir)
-    starts = rows.filter("id < 20").select(F.col("id").alias("first"), F.col("key").alias("a"))
-    goals = rows.filter("id >= 20 and id < 40").select(F.col("id").alias("last"), F.col("key").alias("b"))
-    pairs = starts.crossJoin(F.broadcast(goals)).select("first", "last", distance.manhattan(F.col("a"), F.col("b"), 1).alias("apart"))
-    return pairs.agg(F.min(F.struct("apart", "first", "last")).alias("p")).select("p.first", "p.last", "p.apart")
+    """For the start of every search (the source of edges) the nearest of its goals (their ends), by vonorms."""
+    keys = _conorms(spark, sf_dir).select("id", "v")
+    pairs = T.edges(spark, sf_dir).filter("src <> dst").distinct()
+    pairs = pairs.join(keys.toDF("src", "a"), "src").join(keys.toDF("dst", "b"), "dst").select("src", "dst", distance.manhattan(F.col("a"), F.col("b"), 1).alias("apart"))
+    return pairs.groupBy(F.col("src").alias("first")).agg(F.min(F.struct("apart", "dst")).alias("p")).select("first", F.col("p.dst").alias("last"), "p.apart")
 
 
 @query("v12_end_point_check", f"""WITH {_EDGE}, {_STATUS}, {_END}, t AS (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge), g AS (SELECT id, count(*) AS degree FROM t GROUP BY id)

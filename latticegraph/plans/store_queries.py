@@ -253,10 +253,11 @@ def frontier_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.frontier(T.points(spark, sf_dir), 100, 90000).select("search", "id", "energy", "rank")
 
 
-@query("e3_end_points_reached", f"WITH {_POINT} SELECT id FROM point WHERE id % 97 = 0 INTERSECT SELECT id FROM point WHERE status IS NOT NULL")
-def reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = T.points(spark, sf_dir)
-    return points.filter("id % 97 = 0").select("id").intersect(points.filter("status is not null").select("id"))
+@query("e3_end_points_reached", f"WITH {_POINT} SELECT s_suppkey AS id FROM supplier INTERSECT SELECT id FROM point WHERE status IS NOT NULL")
+def end_points_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End points (the suppliers' numbers) that have a status."""
+    ends = T.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return ends.intersect(T.points(spark, sf_dir).filter("status is not null").select("id"))
 
 
 @query("e4_difference", f"WITH {_EDGE} SELECT dst AS id FROM edge EXCEPT SELECT src FROM edge")
