@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import barrier, canonical
 from .sources import cif, points, structures
+from .sources import results as results_source
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +31,9 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--attempts", type=int, default=10)
         sub.add_argument("--rounds", type=int, default=3)
         sub.add_argument("--step", type=float, default=0.01, help="least fall of a barrier")
+        sub.add_argument("--xi-factor", type=float, default=0.8, help="xi of a finer resolution, by that before")
+        sub.add_argument("--delta-factor", type=float, default=1.2, help="delta of a finer resolution, by that before")
+        sub.add_argument("--from", dest="previous", help="file of results whose resolution and best barrier are taken over")
     flood = commands.add_parser("flood").add_subparsers(dest="action", required=True)
     setup = flood.add_parser("setup")
     for name in ("store", "start", "end"):
@@ -65,20 +69,31 @@ def searches(spark: SparkSession, args) -> DataFrame:
 
 
 def results(spark: SparkSession, args) -> DataFrame:
+    ceiling = None
+    if args.previous:
+        before = results_source.previous(spark, args.previous).first()
+        if before is None:
+            raise ValueError(f"no barrier in {args.previous}")
+        args.xi, args.delta, ceiling = before.xi or args.xi, before.delta or args.delta, before.ceiling
     rows, bounds = searches(spark, args), {"max_iterations": args.iterations, "beam": args.beam}
+    finer = {"xi_factor": args.xi_factor, "delta_factor": args.delta_factor}
     if args.command == "astar":
         return barrier.run(barrier.tasks(rows, **bounds))
     if args.command == "parameters":
         return barrier.parameter_search(rows, **bounds)
     if args.command == "sample":
         return barrier.sample(rows, args.attempts, **bounds)
-    known = canonical._written(barrier.sample(rows, args.attempts, **bounds), "sampled")
-    if args.command == "sweep":
-        return known.union(barrier.sweep(rows, known, args.attempts, args.rounds, **bounds))
+    known = canonical.written(barrier.sample(rows, args.attempts, **bounds), "sampled")
+    top = known
+    if ceiling is not None:  # the phases go on from the lower of both barriers
+        top = known.withColumn("barrier", F.when(F.col("found"), F.least("barrier", F.lit(ceiling))))
     if args.command == "ratchet":
-        return barrier.ratchet(rows, known, args.step, rounds=args.rounds, **bounds)
-    swept = canonical._written(known.union(barrier.sweep(rows, known, args.attempts, args.rounds, **bounds)), "swept")
-    return barrier.ratchet(rows, swept, args.step, rounds=args.rounds, **bounds)
+        return barrier.ratchet(rows, top, args.step, rounds=args.rounds, **finer, **bounds)
+    swept = known.union(barrier.sweep(rows, top, args.attempts, args.rounds, **finer, **bounds))
+    if args.command == "sweep":
+        return swept
+    swept = canonical.written(swept, "swept")
+    return barrier.ratchet(rows, swept, args.step, rounds=args.rounds, **finer, **bounds)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:

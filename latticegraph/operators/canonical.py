@@ -147,6 +147,27 @@ def energies_of(keys: DataFrame, xi: float, delta: int, provider: Provider = Pai
     return spread(keys.select("key").distinct(), "key").mapInPandas(each, "key array<bigint>, energy double")
 
 
+def resolution_rows(structures: DataFrame, k: int = 20) -> DataFrame:
+    """id, xi, delta, number of neighbours of the key and distance to the crystal rebuilt from it.
+
+    structures has id, cell (three vectors), fractions (flat), labels (sorted) and the resolution (xi, delta).
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                cell, at = np.array([list(v) for v in r.cell]), np.array(r.fractions).reshape(-1, 3)
+                key = crystal.real_key(cell, at, r.labels, r.xi, int(r.delta))
+                again = geometry.near_distances(geometry.cell_from_vonorms(key[:7], r.xi), crystal.atoms_of(key) / r.delta, k)
+                apart = geometry.pdd_distance(geometry.near_distances(cell, at, k), again)
+                rows.append((r.id, r.xi, r.delta, len(crystal.neighbours(key, r.labels, int(r.delta))), apart))
+            yield pd.DataFrame(rows, columns=["id", "xi", "delta", "neighbours", "pdd"])
+
+    rows = spread(structures.select("id", "cell", "fractions", "labels", "xi", "delta"), "id", "xi", "delta")
+    return rows.mapInPandas(each, "id bigint, xi double, delta int, neighbours int, pdd double")
+
+
 def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, width: float = 0.0, batch: int = 1000, max_steps: int = 50, provider: Provider = PairCalculator) -> DataFrame:
     """key, parent, energy and step of the points flooded from start (key, labels), over computed neighbours.
 

@@ -269,7 +269,7 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(rows.select("search", F.array("key").alias("starts"), F.array("end").alias("goals"), "labels", F.lit(1.0).alias("xi"), F.lit(T.DELTA).alias("delta")), "searches")
 
 
-_BOUNDS = {"max_iterations": 30, "beam": 200}
+_BOUNDS = {"max_iterations": 200, "beam": 1000}  # the operators' defaults
 
 
 @query("g1_paths")
@@ -300,8 +300,8 @@ def ceiling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratcheted(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches = _searches(spark, sf_dir)
     known = _written(barrier.run(barrier.tasks(searches, **_BOUNDS)), "known")
-    rows = barrier.ratchet(searches, known, 0.05, rounds=2, failures=2, max_iterations=20, beam=100)
-    return rows.select("search", F.round("barrier", 6).alias("barrier"), "rounds")
+    rows = barrier.ratchet(searches, known, 0.05, rounds=2, failures=2, **_BOUNDS)
+    return rows.select("search", F.round("barrier", 6).alias("barrier"), "rounds", "adaptations")
 
 
 @query("g17_parameter_search")
@@ -312,10 +312,14 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g10_computed_flood")
 def computed_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three steps of flooding from the keys of two atoms of one kind, 100 points a step at most."""
-    start = _keys(spark, sf_dir).filter("size(labels) = 2 and labels[1] = 0").select("key", "labels")
-    rows = canonical.flood_keys(start, start.select("key").limit(0), 1.0, T.DELTA, width=0.5, batch=100, max_steps=3)
-    return rows.select(_text(F.col("key")).alias("key"), _text(F.col("parent")).alias("parent"), F.round("energy", 6).alias("energy"), "step")
+    """Three steps of flooding from all keys, a flood for each list of labels, 100 points a step at most."""
+    keys, out = _keys(spark, sf_dir).filter("key is not null").select("key", "labels").distinct(), None
+    for row in keys.select("labels").distinct().orderBy("labels").collect():  # a few compositions
+        start = keys.filter(F.col("labels") == F.array(*map(F.lit, row.labels)))
+        rows = canonical.flood_keys(start, start.select("key").limit(0), 1.0, T.DELTA, width=0.5, batch=100, max_steps=3)
+        rows = rows.select(F.lit(" ".join(map(str, row.labels))).alias("labels"), _text(F.col("key")).alias("key"), _text(F.col("parent")).alias("parent"), F.round("energy", 6).alias("energy"), "step")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query("w3_resampled_paths", """WITH s AS (SELECT l_orderkey AS path, l_linenumber AS n, min(l_partkey) AS x FROM lineitem GROUP BY ALL),

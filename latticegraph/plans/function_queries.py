@@ -292,4 +292,4 @@ def parallel_ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g22_iteration_estimate")
 def iteration_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return barrier.estimate_iterations(_searches(spark, sf_dir), first=4, tries=3, beam=100)
+    return barrier.estimate_iterations(_searches(spark, sf_dir), first=4, tries=10)

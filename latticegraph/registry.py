@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import crystal_queries, function_queries, object_queries, relational_queries, store_queries
+from .plans import crystal_queries, function_queries, object_queries, partition_queries, relational_queries, store_queries
 
-PLANS = (store_queries, crystal_queries, relational_queries, function_queries, object_queries)
+PLANS = (store_queries, crystal_queries, relational_queries, function_queries, object_queries, partition_queries)
 QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
 
