@@ -136,6 +136,13 @@ class TreeBpe:
                 out += self.encode_long(part)
         return out
 
+    def encode_array(self, text: str | None):
+        """Token ids of the whole text as a NumPy array, without lists in between; long texts as encode() does."""
+        text = text or ""
+        if len(text) <= self.leaf:
+            return self.core.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+        return self.encode(text)
+
     # ---- tree concatenation of text
 
     def _plain(self, text: str) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, quality, sharding, simhash, substring, suffix, tokencount, warc
+from . import alignment, bpe, changepoints, decontam, html, quality, sharding, simhash, substring, suffix, tokencount, tokenfile, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.file_digests(spark, tokenfile.write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op12_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "sale_lines").filter(F.col("flag").isin("kept", "swapped") & F.col("quantity").isNotNull() & F.col("shipped_at").isNotNull())
+    return changepoints.segments(lines.select("vendor_id", F.unix_date(F.col("shipped_at").cast("date")).cast("long").alias("day"), "quantity"), key="vendor_id", day="day", value="quantity")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_digests(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -71,9 +84,42 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_files": op11_token_files,
+    "op12_change_points": op12_change_points,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL = {
+    "op12_change_points": r"""
+WITH RECURSIVE d AS (
+  SELECT vendor_id, (shipped_at::DATE - DATE '1970-01-01')::BIGINT AS day, sum(quantity)::BIGINT AS q
+  FROM sale_lines WHERE flag IN ('kept', 'swapped') AND quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL),
+v AS (SELECT vendor_id, min(day) AS first, max(day) - min(day) + 1 AS n FROM d GROUP BY vendor_id),
+f AS (SELECT v.vendor_id, first, n, i, coalesce(q, 0) AS q
+      FROM (SELECT *, unnest(range(n)) AS i FROM v) v LEFT JOIN d ON d.vendor_id IS NOT DISTINCT FROM v.vendor_id AND d.day = first + i),
+c AS (SELECT vendor_id, first, n, i + 1 AS e, sum(q) OVER w::HUGEINT AS s, sum(q::HUGEINT * q) OVER w::HUGEINT AS r
+      FROM f WINDOW w AS (PARTITION BY vendor_id, first ORDER BY i)),
+p AS (SELECT vendor_id, first, n, [0::HUGEINT] || list(s ORDER BY e) AS s, [0::HUGEINT] || list(r ORDER BY e) AS r FROM c GROUP BY ALL),
+-- g: for each end its least cost, number of segments and start of the last segment, one end more at each step
+g AS (
+  SELECT vendor_id, first, n, s, r, 0 AS e, [{'c': 0::BIGINT, 'k': 0::BIGINT, 'a': 0::BIGINT}] AS best FROM p
+  UNION ALL
+  SELECT vendor_id, first, n, s, r, e + 1, best || [list_min(list_transform(
+      list_filter(range(e + 1), lambda a: a = 0 OR (a >= 5 AND e + 1 - a >= 5)),
+      lambda a: {'c': best[a + 1].c + CASE WHEN a = 0 THEN 0 ELSE 10000 END + (e + 1 - a) * floor(1000 * ln((1 +
+          ((e + 1 - a) * (r[e + 2] - r[a + 1]) - (s[e + 2] - s[a + 1]) * (s[e + 2] - s[a + 1])) // ((e + 1 - a) * (e + 1 - a)))::DOUBLE))::BIGINT,
+        'k': best[a + 1].k + 1, 'a': a}))]
+  FROM g WHERE e < n),
+t AS (
+  SELECT vendor_id, first, n, s, r, best, n AS e, best[n + 1].a AS a FROM g WHERE e = n
+  UNION ALL
+  SELECT vendor_id, first, n, s, r, best, a, best[a + 1].a FROM t WHERE a > 0),
+x AS (SELECT *, e - a AS days, s[e + 1] - s[a + 1] AS total,
+             1 + ((e - a) * (r[e + 1] - r[a + 1]) - (s[e + 1] - s[a + 1]) * (s[e + 1] - s[a + 1])) // ((e - a) * (e - a)) AS spread FROM t)
+SELECT vendor_id, row_number() OVER (PARTITION BY vendor_id, first ORDER BY a) AS segment_no, (first + a)::BIGINT AS first_day, days::BIGINT AS n_days,
+       total::BIGINT AS total, spread::BIGINT AS spread, days::BIGINT * floor(1000 * ln(spread::DOUBLE))::BIGINT AS cost,
+       best[n + 1].k AS n_segments, best[n + 1].c AS best_cost
+FROM x""",
     "op8_warc_revisits": r"""
 WITH a AS (
   SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,

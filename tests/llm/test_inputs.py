@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from latticegraph.llm import bpe, decontam, html, quality, sharding, simhash, substring, suffix, tokencount
+from latticegraph.llm import alignment, bpe, decontam, html, quality, sharding, simhash, substring, suffix, tokencount, tokenfile
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,8 @@ READERS = {
     "documents": lambda d, b: bpe.encode_documents(d, BPE),
     "sharding": lambda d, b: sharding.shuffle_into_shards(d).select("doc_id", "size", "text_crc32"),
     "tokens": lambda d, b: tokencount.token_counts(d, PIECES),
+    "files": lambda d, b: tokenfile.file_digests(d.sparkSession, tokenfile.write_tokens(d, BPE)).drop("start"),
+    "alignment": lambda d, b: alignment.link_digests(d, BPE, PIECES),
     "quality": lambda d, b: quality.judge(d).drop("rejected_by"),
 }
 FILTERS = {
