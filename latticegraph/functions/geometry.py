@@ -160,37 +160,100 @@ def unimodular(largest: int = 1) -> np.ndarray:
     return np.stack([rows[i], rows[j], rows[k]], 1)
 
 
-def align(cell, fractions, next_cell, next_fractions, labels, largest: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
+def lattice_vectors(gram: np.ndarray, radius: float) -> np.ndarray:
+    """All whole coordinates but zero whose vector is at most radius long, by Fincke and Pohst: the last coordinate first,
+    each within what the ones behind it leave."""
+    low = np.linalg.cholesky(np.asarray(gram, float))
+    found, rest = np.zeros((1, 0)), np.array([radius * radius * (1 + 1e-12)])
+    for k in (2, 1, 0):
+        shift = found @ low[k + 1 :, k]
+        reach = np.sqrt(np.maximum(rest, 0))
+        least = np.ceil((-reach - shift) / low[k, k])
+        many = np.maximum(np.floor((reach - shift) / low[k, k]) - least + 1, 0).astype(int)
+        row = np.repeat(np.arange(len(found)), many)
+        x = least[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        rest = rest[row] - (x * low[k, k] + shift[row]) ** 2
+        found = np.concatenate([x[:, None], found[row]], 1)
+    found = found.astype(int)
+    return found[found.any(1)]
+
+
+#: Triples of vectors looked at together.
+_TRIPLES = 1 << 20
+
+
+def changes_of_axes(first: np.ndarray, gram: np.ndarray, over: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrices of determinant one that bring a lattice (by its dot products) within reach of a lower triangular cell, but
+    not within over: them, the lower triangular cells they give and how far off these are (Frobenius norm), nearest first.
+
+    No entry is bounded: a row can only lie within reach of a target row if its length does, and all lattice vectors of
+    such lengths are listed. Pairs and triples are kept while what they fix of the cell is within reach.
+    """
+    vectors = lattice_vectors(gram, np.linalg.norm(first, axis=1).max() + reach)
+    dots = vectors @ gram @ vectors.T
+    size = np.sqrt(np.diag(dots))
+    rows = [np.flatnonzero(np.abs(size - np.linalg.norm(t)) <= reach) for t in first]
+    i, j = (x.ravel() for x in np.meshgrid(rows[0], rows[1], indexing="ij"))
+    b1 = dots[i, j] / size[i]
+    b2 = np.sqrt(np.maximum(dots[j, j] - b1 * b1, 0))
+    gap = (size[i] - first[0, 0]) ** 2 + (b1 - first[1, 0]) ** 2 + (b2 - first[1, 1]) ** 2
+    keep = (gap <= reach * reach) & (b2 > 1e-9)
+    i, j, b1, b2, gap = (x[keep] for x in (i, j, b1, b2, gap))
+    third, volume = rows[2], math.sqrt(max(np.linalg.det(gram), 0))
+    out = [(np.zeros((0, 3, 3), int), np.zeros((0, 3, 3)), np.zeros(0))]
+    block = max(1, _TRIPLES // max(len(third), 1))
+    for at in range(0, len(i), block):
+        p, q, x1, x2, so_far = (x[at : at + block, None] for x in (i, j, b1, b2, gap))
+        c1 = dots[p, third] / size[p]
+        c2 = (dots[q, third] - x1 * c1) / x2
+        c3 = volume / (size[p] * x2)
+        whole = so_far + (c1 - first[2, 0]) ** 2 + (c2 - first[2, 1]) ** 2 + (c3 - first[2, 2]) ** 2
+        m, k = np.nonzero((whole <= reach * reach) & (whole > over * over if over else whole >= 0))
+        turns = np.stack([vectors[p[m, 0]], vectors[q[m, 0]], vectors[third[k]]], 1)
+        right = np.rint(np.linalg.det(turns)) == 1
+        m, k = m[right], k[right]
+        cells = np.zeros((len(m), 3, 3))
+        cells[:, 0, 0], cells[:, 1, 0], cells[:, 1, 1] = size[p[m, 0]], x1[m, 0], x2[m, 0]
+        cells[:, 2, 0], cells[:, 2, 1], cells[:, 2, 2] = c1[m, k], c2[m, k], c3[m, 0]
+        out.append((turns[right], cells, np.sqrt(whole[m, k])))
+    turns, cells, gaps = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(gaps, kind="stable")
+    return turns[order], cells[order], gaps[order]
+
+
+def align(cell, fractions, next_cell, next_fractions, labels) -> tuple[np.ndarray, np.ndarray, float]:
     """The second crystal in the axes and the order of atoms that bring it nearest to the first, and the distance left.
 
-    The distance is the Frobenius norm of the difference of the cells plus the sum of the distances of matched atoms. All changes of axes of determinant one with entries up to largest are tried, and all
-    shifts that take an atom of the first label to the first atom. Orders of increasing cell difference end the search
-    exactly, since atoms only add to it.
+    The distance is the Frobenius norm of the difference of the cells plus the sum of the squared distances of matched
+    atoms. All changes of axes of determinant one count, and all shifts that take an atom of the first label to the first
+    atom. Changes of axes are listed within a reach that doubles until the best distance lies within it, which no change
+    outside can beat; orders of increasing cell difference end the search inside it, since atoms only add to it.
     """
     first, labels = lower_triangular(cell), np.asarray(labels)
     at, to = np.asarray(fractions, float), np.asarray(next_fractions, float)
-    turns = unimodular(largest)
     gram = np.asarray(next_cell, float) @ np.asarray(next_cell, float).T
-    cells = np.linalg.cholesky(np.einsum("tij,jk,tlk->til", turns, gram, turns))
-    gaps = np.linalg.norm(cells - first, axis=(1, 2))
-    best = (math.inf, None, None)
-    for k in np.argsort(gaps, kind="stable"):
-        if gaps[k] >= best[0]:
-            break
-        moved = to @ np.rint(np.linalg.inv(turns[k]))
-        for o in np.flatnonzero(labels == labels[0]):
-            shifted = (moved - moved[o] + at[0]) % 1
-            partner, cost = match_atoms(first, at, shifted, labels)
-            if gaps[k] + cost < best[0]:
-                best = (float(gaps[k] + cost), cells[k], shifted[partner])
-    return best[1], best[2], best[0]
-
-
-def align_path(cells, fractions, labels, largest: int = 1) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
+    best, over, reach = (math.inf, None, None), 0.0, 0.05 * np.linalg.norm(first, axis=1).min()
+    while True:
+        turns, cells, gaps = changes_of_axes(first, gram, over, reach)
+        for turn, new, gap in zip(turns, cells, gaps):
+            if gap >= best[0]:
+                break
+            moved = to @ np.rint(np.linalg.inv(turn))
+            for o in np.flatnonzero(labels == labels[0]):
+                shifted = (moved - moved[o] + at[0]) % 1
+                partner, cost = match_atoms(first, at, shifted, labels)
+                if gap + cost < best[0]:
+                    best = (float(gap + cost), new, shifted[partner])
+        if best[0] <= reach:
+            return best[1], best[2], best[0]
+        over, reach = reach, min(2 * reach, best[0])
+
+
+def align_path(cells, fractions, labels) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
     """Every crystal of a path in axes near those of the one before it, with the distance left at every step."""
     out_cells, out_at, left = [lower_triangular(cells[0])], [np.asarray(fractions[0], float)], [0.0]
     for cell, at in zip(cells[1:], fractions[1:]):
-        cell, at, gap = align(out_cells[-1], out_at[-1], cell, at, labels, largest)
+        cell, at, gap = align(out_cells[-1], out_at[-1], cell, at, labels)
         out_cells.append(cell)
         out_at.append(at)
         left.append(gap)

@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crystal, geometry, pathfinding
 from ..functions.calculators import PairCalculator, Provider
 from ..storage import scratch, written
 from .search import appended, united
+from .supersteps import Listener, Progress, observed, tell
 
 KEYS = "id bigint, key array<bigint>, labels array<int>"
 PAIRS = "key array<bigint>, labels array<int>, neighbour array<bigint>"
@@ -168,29 +169,47 @@ def resolution_rows(structures: DataFrame, k: int = 20) -> DataFrame:
     return rows.mapInPandas(each, "id bigint, xi double, delta int, neighbours int, pdd double")
 
 
-def flood_keys(start: DataFrame, goals: DataFrame, xi: float, delta: int, *, width: float = 0.0, batch: int = 1000, max_steps: int = 50, provider: Provider = PairCalculator) -> DataFrame:
-    """key, parent, energy and step of the points flooded from start (key, labels), over computed neighbours.
+def flood_keys(
+    start: DataFrame, goals: DataFrame, xi: float, delta: int, *, width: float = 0.0, batch: int = 1000, max_steps: int = 50, provider: Provider = PairCalculator, folder: str | None = None, listener: Listener | None = None
+) -> DataFrame:
+    """key, labels, parent, energy and step of the points flooded from start (key, labels), over computed neighbours.
 
-    A step explores the open points at most width above the lowest open energy, batch of them at most, lowest first.
-    Energies are computed for points not seen before alone. It ends when a goal (key) is seen, nothing is open, or after
-    max_steps steps. All starts share one list of labels; no start gives no rows.
+    Each list of labels is a flood of its own; all go through a step together. A step explores the open points at most
+    width above the lowest open energy of their labels, batch of them at most, lowest first. Energies are computed for
+    points not seen before alone. A flood ends when a goal (key) is seen or nothing is open, all end after max_steps steps.
+    No start gives no rows. folder keeps progress, so that a run that was lost goes on; a listener is told the new and the
+    open points, the floods and the lowest level of every step.
     """
+    spark = start.sparkSession
     first = start.select("key", "labels").distinct()
     wanted = goals.select("key").distinct()
     columns = ["key", "labels", F.lit(None).cast("array<bigint>").alias("parent"), "energy", F.lit(0).alias("step")]
+    progress = Progress(spark, folder, (xi, delta, width, batch))
+    progress.recover()
     with scratch() as keep:
-        fresh = front = written(first.join(energies_of(first, xi, delta, provider), "key").select(*columns), "flood")
-        seen = [fresh]
-        for step in range(1, max_steps + 1):
-            if not fresh.join(wanted, "key", "left_semi").isEmpty():
+        hold = keep if folder else lambda df: df
+        if (kept := progress.load()) is None:
+            fresh = front = hold(written(first.join(energies_of(first, xi, delta, provider), "key").select(*columns), "flood"))
+            seen, step = [fresh], 0
+        else:
+            step, tables, _ = kept
+            seen, front = tables["seen"], tables["front"][0]
+        while step < max_steps:
+            step += 1
+            reached = united(seen).join(wanted, "key", "left_semi").select("labels").distinct()
+            open_now = front.join(reached, "labels", "left_anti")
+            levels = open_now.groupBy("labels").agg(F.min("energy").alias("level"), F.count("*").alias("n"))
+            levels, plan = observed(levels, "levels", floods=F.count(F.lit(1)), level=F.min("level"), open=F.coalesce(F.sum("n"), F.lit(0)))
+            if not plan["floods"]:
                 break
-            level = front.agg(F.min("energy")).first()[0]
-            if level is None:
-                break
-            now = written(front.filter(F.col("energy") <= level + width).orderBy("energy", "key").limit(batch).select("key", "labels"), "now")
-            reached = neighbour_keys(now, delta).groupBy(F.col("neighbour").alias("to")).agg(F.min("key").alias("parent"), F.first("labels").alias("labels")).withColumnRenamed("to", "key")
-            entered = written(reached.join(united(seen).select("key"), "key", "left_anti"), "entered")
-            fresh = written(entered.join(energies_of(entered, xi, delta, provider), "key").select("key", "labels", "parent", "energy", F.lit(step).alias("step")), "flood")
-            front = written(front.join(now.select("key"), "key", "left_anti").select("key", "labels", "energy").unionByName(fresh.select("key", "labels", "energy")), "front")
+            near = open_now.join(levels, "labels").filter(F.col("energy") <= F.col("level") + width)
+            lowest = Window.partitionBy("labels").orderBy("energy", "key")
+            now = written(near.withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= batch).select("key", "labels"), "now")
+            arrived = neighbour_keys(now, delta).groupBy(F.col("neighbour"), "labels").agg(F.min("key").alias("parent")).withColumnRenamed("neighbour", "key")
+            entered = written(arrived.join(united(seen).select("key", "labels"), ["key", "labels"], "left_anti"), "entered")
+            fresh, new = observed(entered.join(energies_of(entered, xi, delta, provider), "key").select("key", "labels", "parent", "energy", F.lit(step).alias("step")), "flood", new=F.count(F.lit(1)))
+            front = written(front.join(now, ["key", "labels"], "left_anti").select("key", "labels", "energy").unionByName(fresh.select("key", "labels", "energy")), "front")
             seen = appended(seen, fresh)
-        return united([keep(p) for p in seen]).select("key", "parent", "energy", "step")
+            progress.save(step, {"seen": [hold(p) for p in seen], "front": [hold(front)]}, {**plan, **new})
+            tell(listener, step, {**plan, **new})
+        return united([keep(p) for p in seen]).select("key", "labels", "parent", "energy", "step")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import scratch, written
+from .supersteps import paths_along
 
 #: Parts of an append-only table after which they are rewritten as one.
 PARTS = 8
@@ -71,13 +72,11 @@ def barrier(flooded: DataFrame) -> DataFrame:
     return flooded.agg(F.max("energy").alias("barrier"), F.count("*").alias("n_points"))
 
 
-def path_to(flooded: DataFrame, goal: int, max_length: int = 1000) -> DataFrame:
+def path_to(flooded: DataFrame, goal: int) -> DataFrame:
     """hop and id along the parents from a goal back to the start."""
-    step = flooded.filter(F.col("id") == goal).select(F.lit(0).alias("hop"), "id", "parent")
-    out = step = written(step, "path")
-    for hop in range(1, max_length):
-        step = written(step.select(F.col("parent").alias("id")).join(flooded, "id").select(F.lit(hop).alias("hop"), "id", "parent"), "path")
-        if step.isEmpty():
-            break
-        out = out.union(step)
-    return out.select("hop", "id")
+    return paths_to(flooded, flooded.filter(F.col("id") == goal)).select("hop", "id")
+
+
+def paths_to(flooded: DataFrame, goals: DataFrame) -> DataFrame:
+    """goal, hop and id along the parents from every goal (id) back to its start."""
+    return paths_along(flooded.select("id", "parent"), goals.select("id"))

@@ -7,6 +7,7 @@ make an obtuse superbasis and keeps the smallest vonorms and motif.
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import crystal, lattice
-from ..operators import barrier, canonical, sublattice
-from ..sources import cif
+from ..operators import barrier, bestfirst, canonical, sublattice
+from ..sources import cif, cif_source
 from ..sources import tables as T
+from ..storage import shared_dir
 from ..storage import written as _written
 from .store_queries import _LATTICE
 
@@ -240,14 +242,31 @@ def subsampled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s1_cif_round_trip", f"""WITH {_LATTICE}, {_ATOMS} SELECT p_partkey AS id, (p_partkey % 3 + 1)::INT AS n_atoms, round(abs(a[1] * b[2] * c[3])::DOUBLE, 2) AS volume FROM part JOIN lat ON id = p_partkey""")
 def cif_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crystals written as text of crystal files and read again: their number of atoms and volume."""
+    back = cif.parse_texts(cif.text(_cif_rows(spark, sf_dir)))
+    return back.select(F.col("structure_id").cast("long").alias("id"), F.size("atoms").alias("n_atoms"), F.round(_cif_volume(), 2).alias("volume"))
+
+
+def _cif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every crystal in the columns of crystal files."""
     norm = lambda i: F.sqrt(lattice.dot(F.col("vectors")[i], F.col("vectors")[i]))
     angle = lambda i, j: F.degrees(F.acos(lattice.dot(F.col("vectors")[i], F.col("vectors")[j]) / norm(i) / norm(j)))
     atoms = F.expr(f"transform(sequence(0, size(labels) - 1), k -> named_struct('element', if(labels[k] = 0, 'Zr', 'O'), 'x', coords[3 * k] / {T.DELTA}D, 'y', coords[3 * k + 1] / {T.DELTA}D, 'z', coords[3 * k + 2] / {T.DELTA}D, 'occupancy', 1D))")
-    rows = T.crystals(spark, sf_dir).select(F.col("id").cast("string").alias("structure_id"), *(norm(k).alias(n) for k, n in enumerate("abc")), angle(1, 2).alias("alpha"), angle(0, 2).alias("beta"), angle(0, 1).alias("gamma"), F.lit("Zr O").alias("formula"), atoms.alias("atoms"))
-    back = cif.parse_texts(cif.text(rows))
+    return T.crystals(spark, sf_dir).select(F.col("id").cast("string").alias("structure_id"), *(norm(k).alias(n) for k, n in enumerate("abc")), angle(1, 2).alias("alpha"), angle(0, 2).alias("beta"), angle(0, 1).alias("gamma"), F.lit("Zr O").alias("formula"), atoms.alias("atoms"))
+
+
+def _cif_volume() -> Column:
     cos = {n: F.cos(F.radians(n)) for n in ("alpha", "beta", "gamma")}
-    volume = F.col("a") * F.col("b") * F.col("c") * F.sqrt(1 + cos["alpha"] * cos["beta"] * cos["gamma"] * 2 - sum(x * x for x in cos.values()))
-    return back.select(F.col("structure_id").cast("long").alias("id"), F.size("atoms").alias("n_atoms"), F.round(volume, 2).alias("volume"))
+    return F.col("a") * F.col("b") * F.col("c") * F.sqrt(1 + cos["alpha"] * cos["beta"] * cos["gamma"] * 2 - sum(x * x for x in cos.values()))
+
+
+@query("s3_cif_source", ORACLE_SQL["s1_cif_round_trip"] + " WHERE p_partkey::VARCHAR LIKE '1%'")
+def cif_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crystals written and read through the format cif; files whose names do not begin with 1 are not opened."""
+    cif_source.register(spark)
+    folder = f"{shared_dir(spark)}/cif-{uuid.uuid4().hex}"
+    _cif_rows(spark, sf_dir).write.format("cif").mode("append").save(folder)
+    back = spark.read.format("cif").load(folder).filter(F.col("structure_id").startswith("1"))
+    return back.select(F.col("structure_id").cast("long").alias("id"), F.size("atoms").alias("n_atoms"), F.round(_cif_volume(), 2).alias("volume"))
 
 
 # ---------------------------------------------------------------- searches
@@ -279,6 +298,14 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("search", "step", _text(F.col("key")).alias("key"), F.round("energy", 6).alias("energy"), "kind")
 
 
+@query("g2_large_search")
+def large_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the path of every search, found by supersteps over one frontier of all searches instead of inside tasks."""
+    searches = _searches(spark, sf_dir)
+    reached = bestfirst.best_first(searches, heuristic="none", width=10_000)
+    return bestfirst.best_paths(searches, reached).select("search", "step", _text(F.col("key")).alias("key"))
+
+
 def _summary(rows: DataFrame) -> DataFrame:
     return barrier.summary(rows).select("search", "n", "n_found", F.round("rate", 6).alias("rate"), "most_iterations", F.round("barrier", 6).alias("barrier"))
 
@@ -313,13 +340,9 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g10_computed_flood")
 def computed_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three steps of flooding from all keys, a flood for each list of labels, 100 points a step at most."""
-    keys, out = _keys(spark, sf_dir).filter("key is not null").select("key", "labels").distinct(), None
-    for row in keys.select("labels").distinct().orderBy("labels").collect():  # a few compositions
-        start = keys.filter(F.col("labels") == F.array(*map(F.lit, row.labels)))
-        rows = canonical.flood_keys(start, start.select("key").limit(0), 1.0, T.DELTA, width=0.5, batch=100, max_steps=3)
-        rows = rows.select(F.lit(" ".join(map(str, row.labels))).alias("labels"), _text(F.col("key")).alias("key"), _text(F.col("parent")).alias("parent"), F.round("energy", 6).alias("energy"), "step")
-        out = rows if out is None else out.union(rows)
-    return out
+    keys = _keys(spark, sf_dir).filter("key is not null").select("key", "labels").distinct()
+    rows = canonical.flood_keys(keys, keys.select("key").limit(0), 1.0, T.DELTA, width=0.5, batch=100, max_steps=3)
+    return rows.select(F.array_join(F.transform("labels", lambda x: x.cast("string")), " ").alias("labels"), _text(F.col("key")).alias("key"), _text(F.col("parent")).alias("parent"), F.round("energy", 6).alias("energy"), "step")
 
 
 @query("w3_resampled_paths", """WITH s AS (SELECT l_orderkey AS path, l_linenumber AS n, min(l_partkey) AS x FROM lineitem GROUP BY ALL),

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crystal, geometry, kvectors, lattice, matrices, pathfinding
-from ..operators import barrier, canonical, sublattice
+from ..operators import barrier, canonical, continuous, sublattice, tablefunctions
 from ..sources import tables as T
-from .crystal_queries import _ATOMS, _BOUNDS, _keys, _searches, _text
+from .crystal_queries import _ATOMS, _BOUNDS, _MOTIF, _keys, _keys_sql, _searches, _text
 from .relational_queries import _HERMITE, _PERMS
 from .store_queries import _KEYS, _LATTICE, _conorms
 from .store_queries import _keys as _vector_keys
@@ -239,17 +239,21 @@ def wave_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- kernels
 
 
-@query("k28_aligned_pairs")
+_FAR_TURN = ((1, 3, 0), (2, 7, 0), (9, -4, 1))  # a change of axes of determinant one that no small entries undo
+
+
+@query("k28_aligned_pairs", _keys_sql(_MOTIF[: _MOTIF.rindex("SELECT id")] + "SELECT DISTINCT trim(array_to_string(v, ' ') || ' ' || coalesce(array_to_string(flatten(list_transform(m[2:], lambda a: a[2:])), ' '), '')) AS key, 0.0::DOUBLE AS left FROM key"))
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance left after every crystal was aligned with itself in other axes."""
+    """Distance left after every crystal was aligned with itself in axes far from its own, its atoms in reverse order."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = np.array(_TURN_ROWS)
+        turn = np.array(_FAR_TURN)
         for batch in batches:
             left = []
             for key, labels in zip(batch["key"], batch["labels"]):
-                cell, at = geometry.cell_from_vonorms(key[:7]), crystal.atoms_of(key) / T.DELTA
-                left.append(geometry.align(cell, at, turn @ cell, at @ np.linalg.inv(turn), labels)[2])
+                cell, at, labels = geometry.cell_from_vonorms(key[:7]), crystal.atoms_of(key) / T.DELTA, np.array(labels)
+                order = np.lexsort((-np.arange(len(labels)), labels))  # reversed inside each label
+                left.append(geometry.align(cell, at, turn @ cell, (at @ np.linalg.inv(turn))[order], labels)[2])
             yield pd.DataFrame({"key": batch["key"], "left": left})
 
     keys = _keys(spark, sf_dir).select("key", "labels").distinct()
@@ -257,6 +261,28 @@ def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_text(F.col("key")).alias("key"), F.round("left", 6).alias("left"))
 
 
+@query("k28_aligned_paths")
+def aligned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance left between neighbouring crystals of the path of every search, after each was aligned to the one before."""
+    rows = continuous.aligned_paths(_paths(spark, sf_dir))
+    return rows.select(F.col("path").alias("search"), "step", F.round("left", 6).alias("left"))
+
+
+@query("v5_relaxed_cells")
+def relaxed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every crystal with its atoms and cell relaxed by forces: energies before and after, volume, whether forces are small."""
+    rows = T.crystals(spark, sf_dir).select("id", F.transform("vectors", lambda v: v.cast("array<double>")).alias("cell"), F.transform("coords", lambda x: x / T.DELTA).alias("fractions"), "labels")
+    done = continuous.relax_cells(rows, force=0.05, max_steps=200)
+    return done.select("id", F.round("energy_before", 6).alias("energy_before"), F.round("energy", 4).alias("energy"), F.round("volume", 3).alias("volume"), (F.col("energy") <= F.col("energy_before")).alias("lower"), (F.col("force") <= 0.05).alias("settled"))
+
+
+@query("g25_elastic_bands")
+def elastic_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barrier of the elastic band between the ends of every path that a search found."""
+    rows = continuous.barriers(continuous.elastic_bands(_paths(spark, sf_dir)))
+    return rows.select(F.col("path").alias("search"), F.round("barrier", 4).alias("barrier"), "top", "images", "settled")
+
+
 @query("x28_variant_distances")
 def variant_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least distance of every key to a variant of the smallest key with its labels, for each spread."""
@@ -277,6 +303,22 @@ def variant_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("key", _text(F.col("key")))
 
 
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths found by all searches."""
+    searches = _searches(spark, sf_dir)
+    found = barrier.run(barrier.tasks(searches, **_BOUNDS)).filter("found")
+    return found.join(searches.select("search", "labels"), "search").select(F.col("search").alias("path"), F.col("path").alias("keys"), "labels", "xi", "delta")
+
+
+@query("v8_neighbours_in_sql")
+def neighbours_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every key by a table function in SQL."""
+    tablefunctions.register(spark)
+    keys = _keys(spark, sf_dir).filter("key is not null").select("key", "labels", F.lit(T.DELTA).alias("delta")).distinct()
+    rows = spark.sql("SELECT key, neighbour FROM neighbours_of(TABLE({keys}))", keys=canonical.spread(keys, "key"))
+    return rows.select(_text(F.col("key")).alias("key"), _text(F.col("neighbour")).alias("neighbour"))
+
+
 @query("a21_mean_neighbours")
 def mean_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean number of neighbours by the number of atoms."""

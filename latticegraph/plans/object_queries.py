@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import elements, filters, lattice, matrices
+from ..operators import motifs
 from ..sources import structures
 from ..sources import tables as T
 from . import crystal_queries, store_queries
@@ -103,6 +104,26 @@ def equal_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(classes, "motif").select("id", "first", "n")
 
 
+_NEAR = "list_bool_and(list_transform([1, 2, 3], lambda c: least(({0}[c] - {1}[c] + 24) % 12, ({1}[c] - {0}[c] + 24) % 12) <= 1))"
+
+
+@query("x17_matching_motifs", f"""WITH {_ATOMS}, a AS (SELECT id, k, label, list_transform(f, lambda x: (x % {T.DELTA} + {T.DELTA}) % {T.DELTA}) AS f, count(*) OVER (PARTITION BY id, label) AS m FROM atom),
+-- one row for each motif and anchor: the other atoms as seen from it
+o AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY m, label) AS r FROM a),
+seen AS (SELECT o.id, o.k, list_sort(list([a.label, (a.f[1] - o.f[1] + 12) % 12, (a.f[2] - o.f[2] + 12) % 12, (a.f[3] - o.f[3] + 12) % 12]) FILTER (a.k <> o.k)) AS rest,
+  list_sort(list(a.label)) AS labels FROM o JOIN a USING (id) WHERE o.r = 1 GROUP BY o.id, o.k),
+form AS (SELECT id, labels, min(coalesce(rest, [])) AS form FROM seen GROUP BY id, labels),
+head AS (SELECT min(id) AS id FROM form GROUP BY labels, form),
+s AS (SELECT id, labels, [x.l for x in rest] AS ls, [x.c for x in rest] AS cs FROM (SELECT id, labels, list_transform(coalesce(rest, []), lambda x: {{'l': x[1], 'c': x[2:4]}}) AS rest FROM seen JOIN head USING (id))),
+pair AS (SELECT p.id AS a, q.id AS b, p.ls AS l, q.ls AS m, p.cs AS c, q.cs AS d FROM s p JOIN s q ON p.labels = q.labels AND p.id < q.id)
+SELECT DISTINCT a, b FROM pair WHERE CASE len(c) WHEN 0 THEN true WHEN 1 THEN {_NEAR.format('c[1]', 'd[1]')}
+  ELSE (l[1] = m[1] AND l[2] = m[2] AND {_NEAR.format('c[1]', 'd[1]')} AND {_NEAR.format('c[2]', 'd[2]')}) OR (l[1] = m[2] AND l[2] = m[1] AND {_NEAR.format('c[1]', 'd[2]')} AND {_NEAR.format('c[2]', 'd[1]')}) END""")
+def matching_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of unlike motifs that match, one atom laid on another, within a twelfth of a cell in every coordinate."""
+    rows = T.crystals(spark, sf_dir).select("id", "labels", F.transform("coords", lambda x: x / T.DELTA).alias("coords"))
+    return motifs.motif_matches(rows, 1.0 / T.DELTA)
+
+
 _TURNED = "[v[1] * 1.000001, v[2], v[3], v[4], v[5], v[6], v[7] + (id % 2) * 0.001]"
 
 

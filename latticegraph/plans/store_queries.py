@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, lattice
 from ..operators import search, store, sublattice
+from ..sources import bucketed
 from ..sources import tables as T
+from ..storage import shared_dir, written
 from ..streaming import mailbox
 
 QUERIES: dict = {}
@@ -157,6 +161,28 @@ def undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.neighbours(T.edges(spark, sf_dir))
 
 
+@query("s10_bucketed_store", f"WITH {_PAIR}, {_POINT} SELECT id, nb, status FROM pair LEFT JOIN point USING (id)")
+def bucketed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every point and its status, joined bucket by bucket over a store of bucketed tables."""
+    name = f"points_{uuid.uuid4().hex}"
+    points = T.points(spark, sf_dir)
+    held = bucketed.BucketedStore.create(spark, name, points, T.edges(spark, sf_dir), points, buckets=16)
+    try:
+        return written(held.neighbours().join(held.table("status"), "id", "left").select("id", "nb", "status"), "bucketed")
+    finally:
+        held.drop()
+
+
+@query("g3_paths", """WITH RECURSIVE w AS (SELECT s_suppkey AS goal, 0 AS hop, s_suppkey AS id FROM supplier JOIN part ON p_partkey = s_suppkey
+  UNION ALL SELECT goal, hop + 1, id - 1 - id % 3 FROM w JOIN part ON p_partkey = id WHERE id - 1 - id % 3 >= 1) SELECT goal, hop::INT AS hop, id FROM w WHERE id IN (SELECT p_partkey FROM part)""")
+def paths_by_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points on the ways back from many ends at once, over links that lead one to three numbers down."""
+    parent = F.col("id") - 1 - F.col("id") % 3
+    links = T.nodes(spark, sf_dir).select("id").withColumn("parent", F.when(parent >= 1, parent))
+    ends = T.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).join(links.select("id"), "id", "left_semi")
+    return search.paths_to(links, ends).select("goal", "hop", "id")
+
+
 @query("j2_neighbour_keys", f"WITH {_EDGE}, {_NODE} SELECT DISTINCT src, dst, energy FROM edge LEFT JOIN node ON dst = id")
 def directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.neighbour_keys(T.edges(spark, sf_dir), T.nodes(spark, sf_dir))
@@ -327,8 +353,10 @@ def flooded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m16_mailbox", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
 def mailbox_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch form of the mailbox: the first letter of every key."""
-    return T.read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    """The mailbox as a stream with state: every key is taken once, with its first letter."""
+    letters = spark.readStream.schema(T.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    taken = mailbox.deliver(letters, "user_id", "event_id", f"{shared_dir(spark)}/mailbox-{uuid.uuid4().hex}")
+    return taken.select(F.col("key").alias("user_id"), F.col("letter").alias("event_id"))
 
 
 @query("m17_arrivals", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1")

@@ -86,6 +86,15 @@ def text(structures: DataFrame) -> DataFrame:
     return structures.select("structure_id", F.concat_ws("\n", *head, *map(F.lit, loop), F.array_join(sites, "\n")).alias("text"))
 
 
+def text_of(row: dict) -> str:
+    """Text of one structure, as text() makes it."""
+    head = [f"data_{row['structure_id']}", "_symmetry_space_group_name_H-M 'P 1'"]
+    head += [f"{tag} {row[c]:.8f}" for tag, c in zip(_LENGTHS, "a b c alpha beta gamma".split())]
+    head += [f"_chemical_formula_sum '{row['formula'] or ''}'", "loop_", "_atom_site_type_symbol", *(f"_atom_site_fract_{k}" for k in "xyz"), "_atom_site_occupancy"]
+    sites = [" ".join([a["element"], *(f"{a[k]:.8f}" for k in "xyz"), f"{a['occupancy']:.4f}"]) for a in row["atoms"]]
+    return "\n".join([*head, *sites])
+
+
 def write(structures: DataFrame, path: str) -> None:
     """One file per structure, named by its id, in a partition folder each."""
     text(structures).write.partitionBy("structure_id").text(os.path.join(path, ""))
