@@ -39,10 +39,9 @@ def _parts(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _form(labels: np.ndarray, at: np.ndarray) -> list[int]:
     """The same numbers for all shifts and orders of a motif, in FINE-ths."""
-    whole = np.rint(at * FINE).astype(np.int64)
     best = None
     for o in _parts(labels)[0]:
-        x = np.mod(whole - whole[o], FINE)
+        x = np.mod(np.rint((at - at[o]) * FINE).astype(np.int64), FINE)
         rows = sorted(zip(labels.tolist(), *x.T.tolist()))
         best = rows if best is None or rows < best else best
     return list(itertools.chain.from_iterable(best))

@@ -1,8 +1,9 @@
-"""Table functions for SQL: neighbours of keys, with Arrow in and out.
+"""Table functions for SQL: neighbours of keys.
 
 register(spark) makes two names known: neighbours(key, labels, delta) for LATERAL joins, a row of neighbour for each key
 that is one step away, and neighbours_of(TABLE(..)), which takes whole Arrow batches of a table with columns key, labels
-and delta and gives (key, labels, delta, neighbour). A null in the input gives no rows.
+and delta and gives (key, labels, delta, neighbour). A null in the input gives no rows. Spark allows no Arrow function in a
+LATERAL join, so the first goes a row at a time; the second is the form for many keys.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import arrow_udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from ..functions import crystal
 from .canonical import _NEIGHBOUR_PART, _by_shape
@@ -38,9 +39,10 @@ def _lists(near: np.ndarray) -> pa.Array:
 class Neighbours:
     """neighbours(key, labels, delta) -> neighbour."""
 
-    def eval(self, key: pa.Array, labels: pa.Array, delta: pa.Array) -> Iterator[pa.Table]:
-        for _, near in _found(key, labels, delta):
-            yield pa.table({"neighbour": _lists(near)})
+    def eval(self, key: list[int] | None, labels: list[int] | None, delta: int | None) -> Iterator[tuple[list[int]]]:
+        if key and labels and delta and None not in key and None not in labels:
+            for near in crystal.neighbours(key, labels, delta):
+                yield (list(near),)
 
 
 class NeighboursOf:
@@ -54,5 +56,5 @@ class NeighboursOf:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("neighbours", arrow_udtf(Neighbours, returnType="neighbour array<bigint>"))
+    spark.udtf.register("neighbours", udtf(Neighbours, returnType="neighbour array<bigint>", useArrow=False))
     spark.udtf.register("neighbours_of", arrow_udtf(NeighboursOf, returnType="key array<bigint>, labels array<int>, delta int, neighbour array<bigint>"))

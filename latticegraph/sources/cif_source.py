@@ -1,8 +1,8 @@
 """Crystal files as a data source: spark.read.format("cif").load(path) and df.write.format("cif").save(path).
 
-Reading lists the files of a folder on the driver and deals them out, FILES to a task; a condition on structure_id (equal,
-one of, begins with) leaves out files by their name before any is opened, if spark.sql.python.filterPushdown.enabled is
-set. Writing takes place in two phases: a task writes its files to a folder of its own below _drafts, and when all tasks
+Reading lists the files of a folder on the driver and deals them out, FILES to a task; the option names (patterns, parted
+by commas) leaves out files by their name before any is opened. Conditions are not pushed down: in Spark 4.1.2 a source in
+Python that takes them keeps them for later reads of the same DataFrame, which then lack rows. Writing takes place in two phases: a task writes its files to a folder of its own below _drafts, and when all tasks
 have ended each of these folders is renamed into place; if one fails, all drafts are deleted and the target is as before.
 Folders are reached by pyarrow's file systems, so local, HDFS and object stores will do. Columns are those of cif.SCHEMA.
 """
@@ -13,12 +13,13 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -57,22 +58,11 @@ class _Written(WriterCommitMessage):
 
 
 class CifReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.schema, self.conditions = path, schema, []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith)) and f.attribute == ("structure_id",):
-                self.conditions.append(f)
-            else:
-                yield f
+    def __init__(self, path: str, names: str, schema: StructType):
+        self.path, self.names, self.schema = path, [n.strip() for n in names.split(",")], schema
 
     def _wanted(self, stem: str) -> bool:
-        for f in self.conditions:
-            ok = stem == f.value if isinstance(f, EqualTo) else stem in f.value if isinstance(f, In) else stem.startswith(f.value)
-            if not ok:
-                return False
-        return True
+        return any(fnmatchcase(stem, n) for n in self.names)
 
     def partitions(self):
         files = [f for f in _files(self.path) if self._wanted(_stem(f))]
@@ -136,7 +126,7 @@ class CifSource(DataSource):
         return cif.SCHEMA
 
     def reader(self, schema: StructType) -> CifReader:
-        return CifReader(self.options["path"], schema)
+        return CifReader(self.options["path"], self.options.get("names", "*"), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> CifWriter:
         return CifWriter(self.options["path"], overwrite)

@@ -1,7 +1,7 @@
 """The flooding mailbox as a stream: letters with keys arrive, each key is taken once, and windows count arrivals.
 
 take_once() keeps, for every key, the letter that it was taken with. A letter of a key that was taken is dropped; a key
-that got no letter for KEEP is forgotten by a timer, so state stays bounded by the keys of that time. deliver() runs the
+that got no letter for KEEP is forgotten by a timeout, so state stays bounded by the keys of that time. deliver() runs the
 stream into a folder: a micro-batch is written to a folder of its number, replacing what a lost run of the same batch
 left, so letters arrive at least once at the sink and stand in it exactly once after a restart.
 """
@@ -9,16 +9,14 @@ left, so letters arrive at least once at the sink and stand in it exactly once a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Time after its last letter for which a key is remembered, in milliseconds of processing time.
 KEEP = 7 * 24 * 3600 * 1000
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def first_arrivals(inbox: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
@@ -33,52 +31,26 @@ def arrivals_per_window(inbox: DataFrame, time: str, width: str = "1 hour", dela
     return counted.select(F.col("w.start").alias("start"), F.col("count").alias("n"))
 
 
-class TakeOnce(StatefulProcessor):
-    """State of one key: the letter it was taken with, and a timer that is set anew by every letter."""
-
-    def __init__(self, keep: int = KEEP):
-        self.keep = keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.taken = handle.getValueState("taken", "letter bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = min(int(part["letter"].min()) for part in rows)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep)
-        if not self.taken.exists():
-            self.taken.update((first,))
-            yield pd.DataFrame({"key": [key[0]], "letter": [first]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.taken.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
 def take_once(inbox: DataFrame, key: str, letter: str, keep: int = KEEP) -> DataFrame:
     """key and letter of a stream of letters (whole numbers): the smallest letter of the first batch that has the key.
 
-    Letters without key or number are dropped. The session must keep state in RocksDB, as deliver() sees to.
+    The state of a key is the letter it was taken with; every batch with a letter sets its timeout anew. Letters without
+    key or number are dropped.
     """
     rows = inbox.select(F.col(key).alias("key"), F.col(letter).cast("long").alias("letter")).filter("key is not null and letter is not null")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").transformWithStateInPandas(TakeOnce(keep), f"key {kind}, letter bigint", "Append", "ProcessingTime")
 
+    def each(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = min(int(part["letter"].min()) for part in parts)
+        if not state.exists:
+            state.update((first,))
+            yield pd.DataFrame({"key": [name[0]], "letter": [first]})
+        state.setTimeoutDuration(keep)
 
-@contextmanager
-def _rocks(spark: SparkSession):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, _ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return rows.groupBy("key").applyInPandasWithState(each, f"key {kind}, letter bigint", "taken bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def deliver(inbox: DataFrame, key: str, letter: str, folder: str, keep: int = KEEP) -> DataFrame:
@@ -86,13 +58,18 @@ def deliver(inbox: DataFrame, key: str, letter: str, folder: str, keep: int = KE
 
     The folder holds the stream's checkpoint and a folder of what every batch took.
     """
-    spark = inbox.sparkSession
+    taken = take_once(inbox, key, letter, keep)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/taken/batch={number}")
 
-    with _rocks(spark):
-        taken = take_once(inbox, key, letter, keep)
+    spark, name = inbox.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    # timeouts ask for batches without data for ever; a stream that ends with its letters looks at them with the next letters
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
         query = taken.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(taken.schema).parquet(f"{folder}/taken").select("key", "letter")
