@@ -6,15 +6,16 @@ status 200) of the same canonical URL. The reference holds if a validator that b
 compared weakly, Last-Modified literally) and none that both carry differs. A revisit that resolves gets the payload of
 the full response and its headers, with those that a 304 answer may update taken from the revisit.
 
-The as-of join is done on ids alone, in blocks of rank: rows are dealt out by ranges of (URL, time, id), so a block holds
+The as-of join is done on (URL, time, id) alone, in blocks of rank: distinct ones are dealt out by ranges, so a block holds
 its share of rows even where one URL or one time holds most of them. The latest full response inside a block comes from
 a window over (URL, block), the one before it from a map-side combined maximum per (URL, block) that is carried over the
 blocks of a URL, of which there are no more than shuffle partitions. Payloads are joined last, for referenced responses
 only.
 
-Defined results: a null URL never resolves; records with one time are ordered by id; a null time is earliest; if full
-responses share an id, one of them (the smallest payload) is the source; every record of the input appears once; an
-empty table gives an empty result; other columns are ignored.
+Defined results: a null URL never resolves; records with one time are ordered by id; a null time is earliest, and of one
+time a null id; a response is no source for a revisit of its own time and id; if full responses share URL, time and id,
+the one with the smallest payload is the source; ids may repeat across URLs and times; every record of the input appears
+once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,24 +50,37 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def latest_full(records: DataFrame, blocks: int | None = None) -> DataFrame:
-    """id, canonical and source_id (null if there is none) of every revisit, written.
+    """canonical, at and id of revisits that have an earlier full response, each once, with its source_at and source_id;
+    written.
 
-    records has id, canonical, at (long), is_full; blocks is the number of shuffle partitions unless given.
+    records has canonical, at (long), id and is_full; blocks is the number of shuffle partitions unless given. A response
+    is earlier if its (at, id) is smaller; nulls are smallest.
     """
     n = blocks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch() as keep:
-        rows = records.filter("canonical is not null").select("id", "canonical", "is_full", "at")
-        dealt = rows.repartitionByRange(n, "canonical", F.col("at").asc_nulls_first(), "id")
+        # records that agree in all of these have one answer
+        rows = records.filter("canonical is not null").select("canonical", "at", "id", "is_full").distinct()
+        dealt = rows.repartitionByRange(n, "canonical", F.col("at").asc_nulls_first(), F.col("id").asc_nulls_first())
         # written with the block's number, which a task that runs again could otherwise change
         rows = materialize(dealt.withColumn("block", F.spark_partition_id()), "ranked-records")
         full = F.when(F.col("is_full"), F.struct("at", "id"))
         ends = rows.groupBy("canonical", "block").agg(F.max(full).alias("end"))
         earlier = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select("canonical", "block", F.max("end").over(earlier).alias("carried"))
-        inside = Window.partitionBy("canonical", "block").orderBy(F.col("at").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, -1)
+        # a revisit before a response of the same time and id
+        inside = Window.partitionBy("canonical", "block").orderBy(F.col("at").asc_nulls_first(), F.col("id").asc_nulls_first(), "is_full").rowsBetween(Window.unboundedPreceding, -1)
         found = rows.withColumn("inside", F.max(full).over(inside)).filter(~F.col("is_full")).join(carried, ["canonical", "block"])
-        found = found.select("id", "canonical", F.coalesce("inside", "carried")["id"].alias("source_id"))
-        return keep(materialize(found, "latest-full"))
+        found = found.withColumn("source", F.coalesce("inside", "carried")).filter("source is not null")
+        return keep(materialize(found.select("canonical", "at", "id", F.col("source.at").alias("source_at"), F.col("source.id").alias("source_id")), "latest-full"))
+
+
+def _joined(left: DataFrame, right: DataFrame, names: dict[str, str], how: str) -> DataFrame:
+    """left joined where its columns equal, or are null like, those of right, which go."""
+    own = {name: f"_{k}" for k, name in enumerate(names.values())}
+    right = right.withColumnsRenamed(own)
+    on = [F.col(a).eqNullSafe(F.col(own[b])) for a, b in names.items()]
+    out = left.join(right, on, how)
+    return out if how == "left_semi" else out.drop(*own.values())
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -79,12 +93,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     r = records.select("id", "url", "at", "type", "status", "etag", "last_modified", "headers", "payload").withColumn("canonical_url", canonical_url(F.col("url")))
     is_full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
     is_revisit = F.coalesce(F.col("type") == "revisit", F.lit(False))
-    slim = r.filter(is_full | is_revisit).select("id", F.col("canonical_url").alias("canonical"), "at", is_full.alias("is_full"))
-    refs = latest_full(slim).filter("source_id is not null").select("id", "source_id").distinct()
-    wanted = refs.select(F.col("source_id").alias("id")).distinct()
+    slim = r.filter(is_full | is_revisit).select(F.col("canonical_url").alias("canonical"), "at", "id", is_full.alias("is_full"))
+    refs = latest_full(slim)
+    # a source is named by URL, time and id, so one of another URL or time never stands in for it
+    wanted = refs.select("canonical", "source_at", "source_id").distinct()
     order = F.struct("payload", "etag", "last_modified", F.to_json("headers").alias("h"))
-    sources = r.filter(is_full).join(wanted, "id", "left_semi").groupBy(F.col("id").alias("source_id")).agg(F.min_by(F.struct("etag", "last_modified", "headers", "payload"), order).alias("s"))
-    revisits = r.filter(is_revisit).drop("payload").join(refs, "id", "left").join(sources, "source_id", "left")
+    named = {"canonical_url": "canonical", "at": "source_at", "id": "source_id"}
+    sources = _joined(r.filter(is_full), wanted, named, "left_semi").groupBy(F.col("canonical_url").alias("canonical"), F.col("at").alias("source_at"), F.col("id").alias("source_id"))
+    sources = sources.agg(F.min_by(F.struct("etag", "last_modified", "headers", "payload"), order).alias("s"))
+    found = _joined(refs, sources, {"canonical": "canonical", "source_at": "source_at", "source_id": "source_id"}, "inner").withColumnRenamed("at", "revisit_at").withColumnRenamed("id", "revisit_id")
+    revisits = _joined(r.filter(is_revisit).drop("payload"), found.drop("source_at"), {"canonical_url": "canonical", "at": "revisit_at", "id": "revisit_id"}, "left")
     etag, modified = _same(F.col("etag"), F.col("s.etag")), F.col("last_modified") == F.col("s.last_modified")
     agrees = F.coalesce(etag, F.lit(True)) & F.coalesce(modified, F.lit(True))
     outcome = F.when(F.col("s").isNull(), "missing").when(~agrees, "changed").when(etag.isNull() & modified.isNull(), "unchecked").otherwise("resolved")

@@ -207,6 +207,54 @@ def test_revisits_with_repeated_ids_and_null_times(spark):
     assert len(got) == 4 and [r.payload for r in got if r.type == "revisit"] == ["a", "a"]
 
 
+def brute_rows(rows):
+    """Outcome, source id and payload of every record by the definition, ids being no names."""
+    small = lambda x: (x is not None, x if x is not None else 0)
+    when = lambda r: (small(r[2]), small(r[0]))
+    out = []
+    for r in rows:
+        if r[3] != "revisit":
+            out.append((r[0], r[1], r[2], "full" if r[3] == "response" and r[4] == 200 else "other", None, r[8]))
+            continue
+        earlier = [f for f in rows if f[3] == "response" and f[4] == 200 and f[1] == r[1] and r[1] is not None and when(f) < when(r)]
+        if not earlier:
+            out.append((r[0], r[1], r[2], "missing", None, None))
+            continue
+        last = max(map(when, earlier))
+        f = min((f for f in earlier if when(f) == last), key=lambda f: f[8])
+        outcome = "unchecked" if r[5] is None or f[5] is None else "resolved" if r[5] == f[5] else "changed"
+        out.append((r[0], r[1], r[2], outcome, *((f[0], f[8]) if outcome == "resolved" else (None, None))))
+    return sorted(map(repr, out))
+
+
+def resolved(spark, rows, extra=False):
+    df = spark.createDataFrame(rows, RECORDS).repartition(4)
+    if extra:
+        df = df.selectExpr("*", "'z' AS canonical_url", "1 AS source_id", "'y' AS canonical", "2 AS block", "3 AS `_0`")
+    return sorted(repr((r.id, r.url, r.at, r.outcome, r.source_id, r.payload)) for r in warc.resolve_revisits(df).collect())
+
+
+def test_ids_that_repeat_across_urls_and_times(spark):
+    row = lambda i, url, at, kind, p=None: (i, url, at, kind, 200 if kind == "response" else 304, '"1"', None, None, p)
+    rows = [row(5, "a.com", 9, "revisit"), row(5, "b.com", 9, "revisit"), row(1, "a.com", 1, "response", "zzz"), row(1, "b.com", 1, "response", "aaa"), row(None, "a.com", 9, "revisit"), row(None, "c.com", 0, "response", "n"), row(None, "c.com", 1, "revisit")]
+    rows += [row(7, "a.com", 3, "response", "later"), row(7, "a.com", 4, "revisit"), row(7, "a.com", 2, "revisit"), row(7, "a.com", 3, "revisit")]
+    got = resolved(spark, rows)
+    assert got == brute_rows(rows) and len(got) == len(rows)
+    assert got == resolved(spark, rows, extra=True)
+
+
+def test_random_repeated_ids_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(600):
+        kind = rng.choice(["response", "revisit"])
+        rows.append((rng.choice([None, 1, 2, 3]), rng.choice(["h.com/a"] * 3 + ["h.com/b", None]), rng.choice([None, *range(12)]), kind, rng.choice([200, 200, 404]) if kind == "response" else 304, rng.choice(['"1"', '"2"', None]), None, None, f"p{k}" if kind == "response" else None))
+    rows += rows[:40]
+    # payloads of one (url, time, id) come with one tag, so the smallest payload decides alone
+    rows = [(*r[:5], f'"{(r[2] or 0) % 2}"' if r[5] else None, *r[6:]) for r in rows]
+    assert resolved(spark, rows) == brute_rows(rows)
+
+
 # ---------------------------------------------------------------- HTML
 
 
