@@ -104,7 +104,7 @@ def equal_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(classes, "motif").select("id", "first", "n")
 
 
-_NEAR = "list_bool_and(list_transform([1, 2, 3], lambda c: least(({0}[c] - {1}[c] + 24) % 12, ({1}[c] - {0}[c] + 24) % 12) <= 1))"
+_NEAR = "list_bool_and(list_transform([1, 2, 3], lambda ax: least(({0}[ax] - {1}[ax] + 24) % 12, ({1}[ax] - {0}[ax] + 24) % 12) <= 1))"
 
 
 @query("x17_matching_motifs", f"""WITH {_ATOMS}, a AS (SELECT id, k, label, list_transform(f, lambda x: (x % {T.DELTA} + {T.DELTA}) % {T.DELTA}) AS f, count(*) OVER (PARTITION BY id, label) AS m FROM atom),

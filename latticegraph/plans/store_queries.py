@@ -354,7 +354,7 @@ def flooded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m16_mailbox", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
 def mailbox_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mailbox as a stream with state: every key is taken once, with its first letter."""
-    letters = spark.readStream.schema(T.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    letters = spark.readStream.schema(T.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a stream takes a file by a pattern only
     taken = mailbox.deliver(letters, "user_id", "event_id", f"{shared_dir(spark)}/mailbox-{uuid.uuid4().hex}")
     return taken.select(F.col("key").alias("user_id"), F.col("letter").alias("event_id"))
 
