@@ -14,7 +14,9 @@ driver and the model, a few thousand numbers, is sent with the task.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one space in page order. Elements that are never rendered as text (scripts, styles, the head, form controls) and
-comments of the markup are left out by the parser.
+comments of the markup are left out by the parser. So is what hidden or display:none keeps from being shown. The header of
+the article itself (headline, standfirst, byline) belongs to it, that of the page does not; reader comments go, also those
+that no attribute marks as such: items of one shape with short names, dates and links.
 
 Defined results: a null or empty page has an empty text; broken markup (unclosed elements, stray end tags, a cut tag or
 script at the end) is parsed as far as it goes, and an element of hidden content that is never closed hides nothing; a
@@ -37,7 +39,9 @@ from pyspark.sql import DataFrame
 from .common import column, ddl_name, thrifty
 
 TRAIN_PAGES = 1200
-TREES = 60
+TREES = 50
+#: Share of the features that a tree may split by; which ones is drawn anew for each tree.
+COLUMNS = 0.5
 DEPTH = 5
 SEED = 10
 
@@ -50,8 +54,12 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 #: Start tags that close an open element of their own kind, up to the element that bounds them.
 CLOSES_OWN = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
+#: Blocks of one line: what is inline in them, links apart, is judged as they are.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote figcaption summary pre".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)(?!\s*=\s*[\"']?until-found)|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?]")
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in HIDDEN}
@@ -71,13 +79,14 @@ TAGS = {t: k for k, t in enumerate("article main section div p h1 h2 h3 h4 ul ol
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "good", "bad", "depth", "text", "own", "links", "tags", "paras", "punct", "label", "block")
+    __slots__ = ("tag", "parent", "children", "parts", "good", "bad", "depth", "text", "own", "links", "tags", "paras", "punct", "label", "block", "unseen", "names", "alike")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.children, self.parts = tag, parent, [], []
         self.block = parent.block if parent is not None and tag in INLINE else self  # the nearest that is not inline
         self.depth = parent.depth + 1 if parent else 0
         self.good = self.bad = 0
+        self.unseen = parent is not None and parent.unseen or bool(attrs) and _UNSEEN.search(attrs) is not None
         self.label = None
         if attrs and "=" in attrs:
             for m in _ATTR.finditer(attrs):
@@ -169,13 +178,13 @@ def parse(page: str | None) -> list[Node]:
     return nodes
 
 
-N_FEATURES = 35
+N_FEATURES = 42
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row of features per element."""
     for n in reversed(nodes):
-        n.text = n.links = n.punct = n.paras = 0
+        n.text = n.links = n.punct = n.paras = n.names = 0
         n.tags = 1
         for p in n.parts:
             if type(p) is str:
@@ -190,20 +199,26 @@ def features(nodes: list[Node]) -> np.ndarray:
             n.tags += c.tags
             n.paras += c.paras + (c.tag == "p")
             n.punct += c.punct
+            n.names += c.names
         if n.tag == "a":
             n.links = n.text
+        # names, dates and reply links of a comment are short elements of a line
+        n.names += n.tag in INLINE and 0 < n.text <= 40 or n.tag in ("h3", "h4", "h5", "h6", "summary") and 0 < n.text <= 40
+        shapes = Counter((c.tag, *(d.tag for d in c.children[:4])) for c in n.children if c.children)
+        n.alike = max(shapes.values(), default=0)
     total = max(nodes[0].text, 1)
     page_art = any(n.tag in ("article", "main") for n in nodes)
     page_good = any(n.good for n in nodes)
     page_paras = sum(n.tag == "p" for n in nodes)
     up: dict[int, tuple] = {}
+    done = 0  # characters of the page before an element
     out = np.zeros((len(nodes), N_FEATURES), np.float32)
     for k, n in enumerate(nodes):
         p = n.parent
-        a_good, a_bad, a_art, a_edge, place = up[id(p)] if p is not None else (0, 0, 0, 0, 0)
+        a_good, a_bad, a_art, a_edge, a_alike = up[id(p)] if p is not None else (0, 0, 0, 0, 0)
         own_art = n.tag in ("article", "main")
         own_edge = n.tag in ("nav", "header", "footer", "aside", "form", "dialog", "fieldset")
-        up[id(n)] = (a_good + n.good, a_bad | n.bad, a_art + own_art, a_edge + own_edge, 0)
+        up[id(n)] = (a_good + n.good, a_bad | n.bad, a_art + own_art, a_edge + own_edge, max(a_alike, n.alike))
         kin = p.children if p is not None else ()
         row = out[k]
         row[0] = TAGS.get(n.tag, -1)
@@ -229,6 +244,13 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[30] = n.own / n.text if n.text else 0
         row[31] = n.parts.count(None)
         row[32], row[33], row[34] = page_art, page_good, min(page_paras, 20)
+        row[35], row[36] = min(n.alike, 20), min(a_alike, 20)
+        row[37] = done / total
+        row[38] = n.names / n.tags
+        row[39] = min(p.names, 30) if p is not None else 0
+        row[40] = p.names / p.tags if p is not None else 0
+        row[41] = min(p.alike, 20) if p is not None else 0
+        done += n.own
     return out
 
 
@@ -245,7 +267,7 @@ class Boosted:
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         cuts = [np.unique(x[:, j])[:-1] if len(np.unique(x[:, j])) <= self.bins else c for j, c in enumerate(cuts)]
         binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
-        width = max(len(c) for c in cuts) + 1
+        width, rng = max(len(c) for c in cuts) + 1, np.random.default_rng(SEED)
         prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(prior / (1 - prior)))
         score = np.full(len(y), self.base)
@@ -256,12 +278,13 @@ class Boosted:
             g, h = y - p, p * (1 - p)
             feature, cut = np.zeros(inner, np.int32), np.full(inner, np.inf, np.float32)
             at = np.zeros(len(y), np.int64)
+            mine = np.sort(rng.permutation(x.shape[1])[: max(1, int(COLUMNS * x.shape[1]))])
             for level in range(self.depth):
                 first, count = 2**level - 1, 2**level
                 best = np.zeros(count)
                 pick = np.zeros((count, 2), np.int64)
                 pick[:, 1] = -1
-                for j in range(x.shape[1]):
+                for j in mine:
                     if not len(cuts[j]):
                         continue
                     slot = (at - first) * width + binned[:, j]
@@ -300,7 +323,7 @@ class Boosted:
 
 
 #: Kinds of pages by where the main text stands, and how often each is generated.
-KINDS = ("marked", "marked", "marked", "section", "div", "beside", "body", "table", "bare", "rootless")
+KINDS = ("marked", "marked", "marked", "headed", "thread", "section", "div", "beside", "body", "table", "bare", "rootless")
 
 
 def _training_page(rng: random.Random, kind: str) -> list[Node]:
@@ -346,6 +369,35 @@ def _training_page(rng: random.Random, kind: str) -> list[Node]:
             return block("comments discussion respond disqus", f"<h3>{words(1, 3)}</h3>{body}")
         return block("related share social recommended", f"<h4>{words(1, 3)}</h4>{item_list()}")
 
+    def thread(tags: str) -> str:
+        """Reader comments that no attribute marks: like items with a name, a date and something to press."""
+        outer, inner = rng.choice(tags.split()).split("/")
+        name = rng.choice(["<b>{}</b>", "<strong>{}</strong>", "<span>{}</span>", "<h4>{}</h4>", "<cite>{}</cite>", "<a href='/u'>{}</a>"])
+        date = rng.choice(["", " <time>{}</time>", " <span>{}</span>", " <small>{}</small>"])
+        press = rng.choice(["", "<a href='#'>{}</a>", "<p><a href='#'>{}</a></p>", "<span>{}</span>"])
+        line = rng.choice(["", "p"])
+        items = ""
+        for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 14])):
+            head = name.format(words(1, 2)) + date.format(words(1, 2))
+            said = f"<p>{prose(1, 3)}</p>" * 1 + (f"<p>{prose(1, 2)}</p>" if rng.random() < 0.2 else "")
+            items += f"<{inner}>{f'<p>{head}</p>' if line else head}{said}{press.format(word())}</{inner}>"
+        head = f"<h{rng.choice('2334')}>{rng.choice([words(1, 3), '3 ' + word(), word() + ' (12)'])}</h2>" if rng.random() < 0.85 else ""
+        own = rng.choice(["", f' class="{word()}"', f' id="{word()}-{word()}"'])
+        return f"<{outer}{own}>{head}{items}</{outer}>"
+
+    def heading() -> str:
+        """The header of the article itself: headline, standfirst and byline belong to it."""
+        out = f"<h{rng.choice('1112')} data-m>{words(2, 12)}</h1>"
+        if rng.random() < 0.4:
+            out += rng.choice([f"<p data-m>{prose(1, 2)}</p>", f'<p data-m class="standfirst {word()}">{sentence()}</p>', f"<h2 data-m>{sentence()}</h2>"])
+        if rng.random() < 0.4:
+            out += rng.choice([f'<p data-m class="byline">{words(2, 3)}</p>', f"<div data-m><span data-m>{words(1, 2)}</span> <time data-m>{words(1, 2)}</time></div>", f"<p data-m>{words(1, 2)} <a data-m href='/u'>{words(1, 2)}</a>, {words(1, 2)}</p>"])
+        if rng.random() < 0.1:
+            out = f"<hgroup data-m>{out}</hgroup>"
+        if rng.random() < 0.6:
+            return f"<header data-m{rng.choice(['', '', attr('entry-header article-header post-header header ' + word())])}>{out}</header>"
+        return f"<div data-m{rng.choice([attr('article-header entry-header post-header story-header headline'), ''])}>{out}</div>"
+
     kinds = "nav header footer aside ad notice form comments more".split()
 
     def mark(body: str) -> str:  # elements of good text carry a mark, others do not
@@ -354,14 +406,19 @@ def _training_page(rng: random.Random, kind: str) -> list[Node]:
 
     def content() -> str:
         out = []
-        if rng.random() < 0.85:
+        if kind == "headed" or rng.random() < 0.25 and kind not in ("rootless", "beside", "table"):
+            out.append(heading())
+        elif rng.random() < 0.85:
             out.append(f"<h1 data-m>{words(1, 12)}</h1>")
         for _ in range(rng.choice([1, 1, 2, 4, 8, 15])):
             r = rng.random()
             if r < 0.6:
                 out.append(f"<p data-m>{prose(1, rng.choice([1, 3, 10, 30]))}" + rng.choice(["</p>", "</p>", ""]))
-            elif r < 0.7:
-                out.append(f"<p data-m><b data-m>{prose(1, 2)}<br>")
+            elif r < 0.7:  # lines in bold, also short ones and the same again and again
+                bold = rng.choice([prose(1, 2), f"{words(1, 6)}.", f"{words(1, 3)}."])
+                out.append(f"<p data-m><b data-m>{bold}" + rng.choice(["<br>", "<br>", "</b></p>", ""]))
+                if rng.random() < 0.3:
+                    out += [f"<p data-m>{bold}</p>"] * rng.randint(1, 9) + out[-1:]
             elif r < 0.76:
                 out.append(f"<h2 data-m>{words(1, 6)}</h2>")
             elif r < 0.82:
@@ -372,6 +429,8 @@ def _training_page(rng: random.Random, kind: str) -> list[Node]:
                 out.append(f"<blockquote data-m><p data-m>{prose(1, 3)}</p></blockquote>")
             elif r < 0.93:
                 out.append("<table data-m>" + "".join(f"<tr data-m><td data-m>{words(1, 4)}</td><td data-m>{word()}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
+            elif r < 0.945:
+                out.append(f"<details data-m><summary data-m>{words(1, 5)}</summary><p data-m>{prose(1, 4)}</p></details>")
             elif r < 0.97:
                 out.append(f"<p data-m>{sentence()} <a data-m href='/{word()}'>{words(1, 3)}</a> <em data-m>{words(1, 3)}</em> {sentence()}</p>")
             else:
@@ -383,6 +442,10 @@ def _training_page(rng: random.Random, kind: str) -> list[Node]:
     names = "content post entry story article-body main-content post-content text"
     body = content()
     tail = boilerplate(rng.choice(["comments", "more"])) if rng.random() < 0.25 else ""
+    if kind == "thread":
+        tail = thread("section/div section/li aside/div div/blockquote section/article ol/li")
+    elif rng.random() < 0.2:
+        tail += thread("section/div div/div section/article ul/li")
     before = "".join(boilerplate(k) for k in rng.sample(["nav", "header", "ad", "notice", "form"], rng.randint(0, 4)))
     after = "".join(boilerplate(k) for k in rng.sample(["footer", "aside", "ad", "comments", "more", "form"], rng.randint(0, 4)))
 
@@ -391,10 +454,12 @@ def _training_page(rng: random.Random, kind: str) -> list[Node]:
         few = [link() for _ in range(rng.randint(2, 8))]
         return rng.choice([f"<div>{' '.join(few)}</div>", item_list(), f"<p>{' | '.join(few)}</p>", f"<div>{item_list()}</div>", f"<div>&copy; {words(1, 3)} {' '.join(few[:2])}</div>", f"<div><h4>{words(1, 2)}</h4>{item_list()}</div>", " ".join(few)])
 
-    if kind != "marked" and rng.random() < 0.7:
+    if kind not in ("marked", "headed", "thread") and rng.random() < 0.7:
         before, after = rng.choice([before, ""]) + (links() if rng.random() < 0.6 else ""), (links() if rng.random() < 0.6 else "") + rng.choice([after, ""])
+    elif tail and kind != "marked" and rng.random() < 0.4:  # comments behind the main element
+        tail, after = "", tail + after
     marked_root = False
-    if kind == "marked":
+    if kind in ("marked", "headed", "thread"):
         shell = rng.random()
         if shell < 0.55:
             main = f"<article data-m>{body}{tail}</article>"
@@ -556,6 +621,13 @@ def extract_pages(pages: list[str | None], model: Boosted) -> list[str]:
     x = [features(n) for n in parsed]
     scores = model.score(np.concatenate(x)) if x else np.zeros(0)
     at = np.cumsum([0, *map(len, parsed)])
+    for nodes, first in zip(parsed, at):
+        place = {id(n): first + k for k, n in enumerate(nodes)}
+        for k, n in enumerate(nodes):
+            if n.unseen:
+                scores[first + k] = -1e3
+            elif n.tag in INLINE and n.tag != "a" and n.block.tag in LINES:
+                scores[first + k] = scores[place[id(n.block)]]
     return [main_text(n, decode(n, scores[a:b])) for n, a, b in zip(parsed, at, at[1:])]
 
 

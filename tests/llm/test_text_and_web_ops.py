@@ -310,6 +310,34 @@ def test_pages_of_many_kinds(model):
     assert html.extract_pages([c[0] for c in cases], model) == [c[1] for c in cases]
 
 
+LONG = "This is a sentence of some length, with a clause and more. " * 6
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("head", ["header", 'header class="entry-header"', 'div class="article-header"', 'div class="entry-header"'])
+def test_the_header_of_an_article_belongs_to_it(model, tag, head):
+    for n in (1, 2, 6):
+        body = f"<{head}><h1>Headline of it</h1><p>A standfirst here.</p></{head.split()[0]}>" + f"<p>{LONG}</p>" * n
+        page = f"<html><body><header><h1>Site</h1><nav><ul><li><a href=/a>A</a></li></ul></nav></header><{tag}>{body}</{tag}><footer>c</footer></body></html>"
+        assert html.extract_page(page, model) == "Headline of it A standfirst here. " + " ".join([LONG.strip()] * n)
+
+
+@pytest.mark.parametrize("mark", [' class="responses"', ' class="feedback"', ' class="opinions"', ' class="user-posts"', ""])
+def test_comments_without_marks_go(model, mark):
+    for outer, inner in (("section", "div"), ("div", "div"), ("ul", "li")):
+        for n in (1, 3, 10):
+            items = "".join(f"<{inner}><b>Ann {k}</b> <time>2 May</time><p>I think that this was a very nice read, thank you {k}.</p><a href=#>Reply</a></{inner}>" for k in range(n))
+            talk = f"<{outer}{mark}><h2>Responses</h2>{items}</{outer}>"
+            for inside in (True, False):
+                page = f"<html><body><header><h1>Site</h1></header><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p>{talk if inside else ''}</article>{'' if inside else talk}</body></html>"
+                assert html.extract_page(page, model) == f"T {LONG.strip()} {LONG.strip()}"
+
+
+def test_hidden_elements_go_and_details_stay(model):
+    page = f"<article><h1>T</h1><p>{LONG}</p><p hidden>no</p><div style='display:none'><p>no</p></div><p data-hidden='x'>Yes, this.</p><details><summary>More</summary><p>{LONG}</p></details></article>"
+    assert html.extract_page(page, model) == f"T {LONG.strip()} Yes, this. More {LONG.strip()}"
+
+
 def test_decoding_is_consistent_and_best(model):
     nodes = html.parse("<body><div><p>a</p><p>b<b>c</b></p></div><nav><a>d</a></nav></body>")
     rng = np.random.default_rng(1)
