@@ -7,6 +7,7 @@ make an obtuse superbasis and keeps the smallest vonorms and motif.
 from __future__ import annotations
 
 import itertools
+import re
 import uuid
 
 import numpy as np
@@ -20,7 +21,7 @@ from ..sources import cif, cif_source
 from ..sources import tables as T
 from ..storage import shared_dir
 from ..storage import written as _written
-from .store_queries import _LATTICE
+from .store_queries import _LATTICE, _MASK, _STEPS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -138,17 +139,83 @@ def _neighbour_rows(spark: SparkSession, sf_dir: str, kind) -> DataFrame:
     return rows.select(_text(F.col("key")).alias("key"), _text(F.col("neighbour")).alias("neighbour"))
 
 
-@query("k17_lattice_neighbours")
+# ---------------------------------------------------------------- SQL of neighbours, by brute force over superbases
+
+
+def _placed(vectors: str) -> str:
+    """Coordinates f of an atom in the basis p, q, s of determinant one."""
+    return "[" + ", ".join(_dot(_cross(x, y), "f") for x, y in (("q", "s"), ("s", "p"), ("p", "q"))) + "]"
+
+
+_WRAP = "list_transform({0}, lambda z: (z % " + f"{T.DELTA} + {T.DELTA}) % {T.DELTA})"
+_KEY_TEXT = "trim(array_to_string({v}, ' ') || ' ' || coalesce(array_to_string(flatten(list_transform({m}[2:], lambda z: z[2:])), ' '), ''))"
+_APART = ", ".join(f"((a.f[{k}] - o.f[{k}]) % {T.DELTA} + {T.DELTA}) % {T.DELTA}" for k in (1, 2, 3))
+
+
+def _forms(name: str, variants: str, atoms: str, best: str, using: str) -> str:
+    """name(key, neighbour): the least motif of every variant over the orientations of its lattice and over origins."""
+    return f"""{name}_at AS (SELECT vid, v, p, q, s, k, label, {_placed('')} AS f FROM {variants} JOIN {best} USING ({using}) JOIN {atoms} USING (vid)),
+{name}_seen AS (SELECT a.vid, a.v, a.p, a.q, a.s, o.k AS o, list_sort(list([a.label, {_APART}]::BIGINT[])) AS m
+  FROM {name}_at a JOIN {name}_at o ON a.vid = o.vid AND a.p = o.p AND a.q = o.q AND a.s = o.s AND o.label = 0 GROUP BY ALL),
+{name}_form AS (SELECT vid, v, min(m) AS m FROM {name}_seen GROUP BY vid, v),
+{name} AS (SELECT DISTINCT key, {_KEY_TEXT.format(v='f.v', m='f.m')} AS neighbour FROM {name}_form f JOIN {variants} USING (vid) WHERE key.k <> {_KEY_TEXT.format(v='f.v', m='f.m')})"""
+
+
+def _neighbours_sql(tail: str) -> str:
+    """All superbases of a lattice are listed from short vectors, and again those of every moved lattice."""
+    base, pairs, norms = _superbases_sql()
+    again = re.sub(r"\b(gram|turned|obtuse|many|near|two)\b", r"\1_2", base[base.index("turned AS") :])
+    cross, moved = _cross("p", "q"), "[v[5] - v[1] - v[2], v[6] - v[1] - v[3], v[7] - v[1] - v[4], v[7] - v[2] - v[3], v[6] - v[2] - v[4], v[5] - v[3] - v[4]]"
+    three = lambda two, near: f"(SELECT id, g, p, q, s, [-(p[1] + q[1] + s[1]), -(p[2] + q[2] + s[2]), -(p[3] + q[3] + s[3])] AS e FROM (SELECT {two}.id, {two}.g, p, q, {near}.w AS s, {cross} AS pq FROM {two} JOIN {near} USING (id)) WHERE {_dot('pq', 's')} = 1)"
+    up = lambda x: f"CASE WHEN {x} > {_minus(x)} THEN {x} ELSE {_minus(x)} END"
+    keys = _MOTIF[: _MOTIF.rindex("SELECT id")]
+    move = " UNION ALL ".join(f"SELECT DISTINCT id, {v} AS w FROM best JOIN rep USING (id)" for x in ("p", "q", "s", _sum("p", "q", "s")) for v in (x, _minus(x)))
+    return f"""WITH RECURSIVE {_LATTICE}, {_ATOMS}, {base}
+three AS {three('two', 'near')},
+w AS (SELECT id, p, q, s, e, [{norms}]::BIGINT[] AS v FROM three WHERE {pairs('p', 'q', 's', 'e')}),
+best AS (SELECT id, v, p, q, s FROM w QUALIFY v = min(v) OVER (PARTITION BY id)),
+{keys.rstrip()},
+rep AS (SELECT min(id) AS id, key FROM (SELECT id, {{'k': {_KEY_TEXT.format(v='v', m='m')}, 'l': l}} AS key FROM key JOIN (SELECT id, list(label ORDER BY k) AS l FROM atom GROUP BY id) USING (id)) GROUP BY key),
+-- lattice steps: the least vonorms of every superbasis, all its orientations that show them, and the 42 moves
+start AS (SELECT DISTINCT id, key, v FROM (SELECT id, key, min(v) OVER (PARTITION BY id, list_sort([{up('p')}, {up('q')}, {up('s')}, {up('e')}])) AS v FROM w JOIN rep USING (id))),
+move_to AS (SELECT DISTINCT id, key, start.v AS v, list_transform(range(1, 8), lambda k: start.v[k] + t.s[k])::BIGINT[] AS to_v FROM start, (SELECT unnest({_STEPS}) AS s) t),
+valid AS (SELECT id, key, v, to_v FROM (SELECT id, key, v, to_v, {moved.replace('v[', 'to_v[')} AS d FROM move_to)
+  WHERE list_max(d) <= 0 AND to_v[1] + to_v[2] + to_v[3] + to_v[4] = to_v[5] + to_v[6] + to_v[7] AND bit_count({_MASK}) <= 3 AND {_MASK} NOT IN (7, 25, 42, 52)),
+gram_2 AS (SELECT to_v AS id, [2 * to_v[1], to_v[5] - to_v[1] - to_v[2], to_v[6] - to_v[1] - to_v[3], to_v[5] - to_v[1] - to_v[2], 2 * to_v[2], to_v[7] - to_v[2] - to_v[3],
+  to_v[6] - to_v[1] - to_v[3], to_v[7] - to_v[2] - to_v[3], 2 * to_v[3]]::BIGINT[] AS g FROM (SELECT DISTINCT to_v FROM valid)),
+{again}
+three_2 AS {three('two_2', 'near_2')},
+best_2 AS (SELECT id AS to_v, v, p, q, s FROM (SELECT id, p, q, s, list_transform([{norms}], lambda z: z // 2)::BIGINT[] AS v FROM three_2 WHERE {pairs('p', 'q', 's', 'e')}) QUALIFY v = min(v) OVER (PARTITION BY id)),
+shown AS (SELECT w.id, w.v, w.p, w.q, w.s, row_number() OVER (PARTITION BY w.id, w.v ORDER BY w.p, w.q, w.s) AS n FROM w JOIN start ON w.id = start.id AND w.v = start.v),
+lattice_variant AS (SELECT [x.id, x.n] || x.to_v || x.v AS vid, key, to_v, id, v0, n FROM (SELECT valid.id, key, to_v, valid.v, valid.v AS v0, n FROM valid JOIN shown ON valid.id = shown.id AND valid.v = shown.v) x),
+lattice_atom AS (SELECT vid, k, label, {_WRAP.format(_placed(''))} AS f FROM (SELECT vid, p, q, s, k, label, f FROM lattice_variant l JOIN shown h ON l.id = h.id AND l.v0 = h.v AND l.n = h.n JOIN atom ON atom.id = l.id)),
+lattice_use AS (SELECT vid, key, to_v FROM lattice_variant),
+{_forms('lattice_near', 'lattice_use', 'lattice_atom', 'best_2', 'to_v')},
+-- motif steps: one atom moved along an axis of any orientation that shows the form
+axis AS (SELECT DISTINCT id, w FROM ({move})),
+motif_use AS (SELECT [axis.id, k] || w AS vid, key, axis.id AS id, k AS k_moved, w FROM axis JOIN rep ON rep.id = axis.id JOIN atom ON atom.id = axis.id WHERE axis.id % 3 > 0),
+motif_atom AS (SELECT vid, k, label, list_transform([1, 2, 3], lambda c: f[c] + CASE WHEN k = k_moved THEN w[c] ELSE 0 END) AS f FROM motif_use JOIN atom USING (id)),
+motif_pick AS (SELECT vid, key, id FROM motif_use),
+{_forms('motif_near', 'motif_pick', 'motif_atom', 'best', 'id')}
+{tail}"""
+
+
+_ALL_NEAR = "(SELECT key, neighbour FROM lattice_near UNION SELECT key, neighbour FROM motif_near)"
+_NEAR_SQL = _neighbours_sql(f"SELECT key.k AS key, neighbour FROM {_ALL_NEAR}")
+_MEAN_SQL = _neighbours_sql(f"SELECT len(key.l)::INT AS n_atoms, count(*) AS n_points, round(avg(n), 6) AS mean FROM (SELECT key, count(*) AS n FROM {_ALL_NEAR} GROUP BY key) GROUP BY 1")
+
+
+@query("k17_lattice_neighbours", _neighbours_sql("SELECT key.k AS key, neighbour FROM lattice_near"))
 def lattice_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbour_rows(spark, sf_dir, "lattice")
 
 
-@query("k18_motif_neighbours")
+@query("k18_motif_neighbours", _neighbours_sql("SELECT key.k AS key, neighbour FROM motif_near"))
 def motif_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbour_rows(spark, sf_dir, "motif")
 
 
-@query("k19_neighbours")
+@query("k19_neighbours", _NEAR_SQL)
 def all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbour_rows(spark, sf_dir, "all")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import crystal, geometry, kvectors, lattice, matrices, pathfinding
 from ..operators import barrier, canonical, continuous, sublattice, tablefunctions
 from ..sources import tables as T
-from .crystal_queries import _ATOMS, _BOUNDS, _MOTIF, _keys, _keys_sql, _searches, _text
+from .crystal_queries import _ATOMS, _BOUNDS, _MEAN_SQL, _MOTIF, _NEAR_SQL, _keys, _keys_sql, _searches, _text
 from .relational_queries import _HERMITE, _PERMS
 from .store_queries import _KEYS, _LATTICE, _conorms
 from .store_queries import _keys as _vector_keys
@@ -310,7 +310,7 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(searches.select("search", "labels"), "search").select(F.col("search").alias("path"), F.col("path").alias("keys"), "labels", "xi", "delta")
 
 
-@query("v8_neighbours_in_sql")
+@query("v8_neighbours_in_sql", _NEAR_SQL)
 def neighbours_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbours of every key by a table function in SQL."""
     tablefunctions.register(spark)
@@ -319,7 +319,7 @@ def neighbours_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_text(F.col("key")).alias("key"), _text(F.col("neighbour")).alias("neighbour"))
 
 
-@query("a21_mean_neighbours")
+@query("a21_mean_neighbours", _MEAN_SQL)
 def mean_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean number of neighbours by the number of atoms."""
     n = canonical.neighbour_keys(_keys(spark, sf_dir), T.DELTA).groupBy("key", "labels").agg(F.count("*").alias("n"))
