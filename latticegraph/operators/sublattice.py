@@ -11,11 +11,17 @@ def hermite_matrices(spark: SparkSession, index: int) -> DataFrame:
 
     d and e run over 0 .. a - 1 and f over 0 .. b - 1, one matrix per sublattice.
     """
+    return sublattices(spark.range(1).select(F.lit(index).alias("n")), "n").drop("n")
+
+
+def sublattices(rows: DataFrame, index: str) -> DataFrame:
+    """rows with a, b, c, d, e, f of every sublattice of the index that stands in a column (a whole number of at least 1)."""
     span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    sides = spark.range(1, index + 1).select(F.col("id").cast("int").alias("a")).filter(F.lit(index) % F.col("a") == 0)
-    sides = sides.select("a", F.explode(F.sequence(F.lit(1), F.lit(index))).alias("b")).filter(F.lit(index) % (F.col("a") * F.col("b")) == 0)
-    sides = sides.select("a", "b", (F.lit(index) / (F.col("a") * F.col("b"))).cast("int").alias("c"))
-    return sides.select("*", span(F.col("a")).alias("d")).select("*", span(F.col("a")).alias("e")).select("*", span(F.col("b")).alias("f"))
+    divisors = lambda n: F.explode(F.filter(F.sequence(F.lit(1), n), lambda x: n % x == 0))
+    n = F.col(index).cast("int")
+    sides = rows.withColumn("a", divisors(n)).withColumn("c", (n / F.col("a")).cast("int")).withColumn("b", divisors(F.col("c")))
+    sides = sides.withColumn("c", (F.col("c") / F.col("b")).cast("int"))
+    return sides.withColumn("d", span(F.col("a"))).withColumn("e", span(F.col("a"))).withColumn("f", span(F.col("b"))).select(*rows.columns, *"abcdef")
 
 
 def supercell_atoms(atoms: DataFrame, index: int, delta: int) -> DataFrame:

@@ -76,13 +76,16 @@ def permuted_conorms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", _text(matrices.permuted(seven, F.col("p"))).alias("moved"))
 
 
-@query("x7_composed_permutations", "SELECT 168::BIGINT AS n_perms, 28224::BIGINT AS n_products, 168::BIGINT AS n_distinct")
+@query("x7_composed_permutations", f"""WITH {_PERMS}, k AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS n FROM perm),
+m AS (SELECT p_partkey AS id, list_transform(b.p, lambda x: a.p[x + 1]) AS m FROM part JOIN k a ON a.n = p_partkey % 168 JOIN k b ON b.n = (p_partkey // 168 + p_size * 7) % 168)
+SELECT id, array_to_string(m, ' ') AS product, m IN (SELECT p FROM perm) AS inside FROM m""")
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All products of two permutations are permutations of the same set."""
-    every = spark.createDataFrame([(list(p),) for p in lattice.automorphisms()], "p array<int>")
-    pairs = every.crossJoin(F.broadcast(every.withColumnRenamed("p", "q")))  # 168 of each
-    made = pairs.select(matrices.permuted(F.col("p"), F.col("q")).alias("p")).join(every, "p", "left_semi")
-    return made.agg(F.lit(168).cast("long").alias("n_perms"), F.count("*").alias("n_products"), F.count_distinct("p").alias("n_distinct"))
+    """The product of two permutations that a part's numbers name, and whether the set holds it."""
+    every = spark.createDataFrame([(k, list(p)) for k, p in enumerate(lattice.automorphisms())], "k int, p array<int>")  # 168 rows
+    named = lambda k, p: F.broadcast(every.toDF(k, p))
+    rows = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 168).cast("int").alias("i"), F.expr("cast((p_partkey div 168 + p_size * 7) % 168 as int)").alias("j"))
+    made = rows.join(named("i", "p"), "i").join(named("j", "q"), "j").select("id", matrices.permuted(F.col("p"), F.col("q")).alias("m"))
+    return made.join(named("k", "m"), "m", "left").select("id", _text(F.col("m")).alias("product"), F.col("k").isNotNull().alias("inside"))
 
 
 @query("x9_matrix_algebra", f"""WITH {_MATRIX}, d AS (SELECT *, a[1] * (b[2] * c[3] - b[3] * c[2]) - a[2] * (b[1] * c[3] - b[3] * c[1]) + a[3] * (b[1] * c[2] - b[2] * c[1]) AS det FROM mat)
@@ -99,12 +102,16 @@ def matrix_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 _X25 = "r AS (SELECT [x, y, z] AS v FROM range(-1, 2) a(x), range(-1, 2) b(y), range(-1, 2) c(z))"
 
 
-@query("k25_unimodular", f"""WITH {_X25} SELECT array_to_string(flatten([a.v, b.v, c.v]), ' ') AS matrix FROM r a, r b, r c
-WHERE a.v[1] * (b.v[2] * c.v[3] - b.v[3] * c.v[2]) - a.v[2] * (b.v[1] * c.v[3] - b.v[3] * c.v[1]) + a.v[3] * (b.v[1] * c.v[2] - b.v[2] * c.v[1]) = 1""")
+@query("k25_unimodular", f"""WITH {_X25}, a AS (SELECT p_partkey AS id, [p_partkey % 3 - 1, p_size % 3 - 1, (p_partkey + p_size) % 2] AS v FROM part)
+SELECT a.id, count(*) AS n, min(array_to_string(flatten([b.v, c.v]), ' ')) AS first FROM a, r b, r c
+WHERE a.v[1] * (b.v[2] * c.v[3] - b.v[3] * c.v[2]) - a.v[2] * (b.v[1] * c.v[3] - b.v[3] * c.v[1]) + a.v[3] * (b.v[1] * c.v[2] - b.v[2] * c.v[1]) = 1 GROUP BY a.id""")
 def unimodular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matrices of determinant one with entries from -1 to 1."""
-    rows = spark.createDataFrame([(m.ravel().tolist(),) for m in geometry.unimodular(1)], "m array<bigint>")
-    return rows.select(_text(F.col("m")).alias("matrix"))
+    """How many pairs of rows with entries from -1 to 1 complete a part's row to determinant one, and the first of them."""
+    every = spark.createDataFrame([(*m[0].tolist(), m[1:].ravel().tolist()) for m in geometry.unimodular(1)], "x bigint, y bigint, z bigint, rest array<bigint>")
+    made = every.groupBy("x", "y", "z").agg(F.count("*").alias("n"), F.min(_text(F.col("rest"))).alias("first"))  # 26 rows at most
+    pk, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    rows = T.read(spark, sf_dir, "part").select(pk.alias("id"), (pk % 3 - 1).alias("x"), (size % 3 - 1).alias("y"), ((pk + size) % 2).alias("z"))
+    return rows.join(F.broadcast(made), ["x", "y", "z"]).select("id", "n", "first")
 
 
 @query("k2_reduced_vectors", f"WITH {_LATTICE} SELECT id, abs(a[1] * b[2] * c[3])::BIGINT AS volume, true AS obtuse FROM lat")
@@ -210,17 +217,19 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(n.alias("id"), common.alias("gcd"), divisors.alias("n_divisors"), F.expr("360L").alias("whole")).selectExpr("id", "gcd", "n_divisors", "whole div gcd as denominator")
 
 
-@query("x37_ordered_triples", "SELECT n, a, b, n // (a * b) AS c FROM range(1, 61) t(n), range(1, 61) x(a), range(1, 61) y(b) WHERE n % (a * b) = 0")
+@query("x37_ordered_triples", "SELECT p_partkey AS id, n, a, b, n // (a * b) AS c FROM (SELECT p_partkey, p_size::BIGINT + p_partkey % 11 AS n FROM part), range(1, 71) x(a), range(1, 71) y(b) WHERE n % (a * b) = 0")
 def ordered_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ways to write a number up to 60 as a product of three, in order."""
+    """All ways to write a number of each part as a product of three, in order."""
     divisors = lambda n: F.filter(F.sequence(F.lit(1).cast("long"), n), lambda d: n % d == 0)
-    rows = spark.range(1, 61).withColumnRenamed("id", "n").withColumn("a", F.explode(divisors(F.col("n")))).withColumn("rest", F.expr("n div a"))
-    return rows.withColumn("b", F.explode(divisors(F.col("rest")))).selectExpr("n", "a", "b", "rest div b as c")
+    rows = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size").cast("long") + F.col("p_partkey") % 11).alias("n"))
+    rows = rows.filter("n > 0").withColumn("a", F.explode(divisors(F.col("n")))).withColumn("rest", F.expr("n div a"))
+    return rows.withColumn("b", F.explode(divisors(F.col("rest")))).selectExpr("id", "n", "a", "b", "rest div b as c")
 
 
-@query("k22_wave_vectors", f"WITH {_HERMITE.replace('2 // (a * b)', '4 // (a * b)').replace('2 % (a * b)', '4 % (a * b)').replace('range(1, 3)', 'range(1, 5)').replace('range(0, 2)', 'range(0, 4)')} SELECT array_to_string(flatten(m), ' ') AS matrix, true AS back FROM h")
+@query("k22_wave_vectors", """SELECT p_partkey AS id, array_to_string([a, d, e, 0, b, f, 0, 0, n // (a * b)], ' ') AS matrix, true AS back
+FROM (SELECT p_partkey, p_size % 4 + 1 AS n FROM part), range(1, 5) x(a), range(1, 5) y(b), range(0, 4) u(d), range(0, 4) v(e), range(0, 4) w(f) WHERE n % (a * b) = 0 AND d < a AND e < a AND f < b""")
 def wave_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sublattices of index four, each found again from a smallest set of its wave vectors."""
+    """Sublattices of a part's index, each found again from a smallest set of its wave vectors."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,11 +238,12 @@ def wave_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                 m = np.array(flat).reshape(3, 3)
                 vectors, order = kvectors.vectors_of(m)
                 out.append(bool((kvectors.matrix_of(kvectors.generating_set(vectors, order), order) == m).all()))
-            yield pd.DataFrame({"m": batch["m"], "back": out})
+            yield pd.DataFrame({"id": batch["id"], "m": batch["m"], "back": out})
 
-    rows = sublattice.hermite_matrices(spark, 4).selectExpr("array(a, d, e, 0, b, f, 0, 0, c) as m")
-    rows = rows.mapInPandas(each, "m array<int>, back boolean")
-    return rows.select(_text(F.col("m")).alias("matrix"), "back")
+    rows = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).alias("n"))
+    rows = sublattice.sublattices(rows, "n").selectExpr("id", "array(a, d, e, 0, b, f, 0, 0, c) as m")
+    rows = rows.mapInPandas(each, "id bigint, m array<int>, back boolean")
+    return rows.select("id", _text(F.col("m")).alias("matrix"), "back")
 
 
 # ---------------------------------------------------------------- kernels

@@ -139,15 +139,18 @@ _HERMITE = """h AS (SELECT [[a, d, e], [0, b, f], [0, 0, 2 // (a * b)]] AS m FRO
  WHERE 2 % (a * b) = 0 AND d < a AND e < a AND f < b)"""
 
 
-@query("j14_matrix_products", f"""WITH {_HERMITE}, q AS (SELECT x.m AS x, y.m AS y FROM h x, h y)
-SELECT DISTINCT array_to_string(flatten(list_transform([1, 2, 3], lambda i: list_transform([1, 2, 3], lambda j: (x[i][1] * y[1][j] + x[i][2] * y[2][j] + x[i][3] * y[3][j])::BIGINT))), ' ') AS matrix FROM q""")
+@query("j14_matrix_products", f"""WITH {_HERMITE}, i AS (SELECT p_partkey AS id, p_size % 4 + 1 AS n FROM part),
+x AS (SELECT id, [[a, d, e], [0, b, f], [0, 0, n // (a * b)]] AS x FROM i, range(1, 5) x(a), range(1, 5) y(b), range(0, 4) u(d), range(0, 4) v(e), range(0, 4) w(f) WHERE n % (a * b) = 0 AND d < a AND e < a AND f < b),
+q AS (SELECT id, x, m AS y FROM x, h)
+SELECT DISTINCT id, array_to_string(flatten(list_transform([1, 2, 3], lambda i: list_transform([1, 2, 3], lambda j: (x[i][1] * y[1][j] + x[i][2] * y[2][j] + x[i][3] * y[3][j])::BIGINT))), ' ') AS matrix FROM q""")
 def matrix_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct products of two sublattice matrices of index two."""
-    rows = sublattice.hermite_matrices(spark, 2)
-    m = rows.select(F.expr("array(array(bigint(a), bigint(d), bigint(e)), array(0L, bigint(b), bigint(f)), array(0L, 0L, bigint(c)))").alias("m"))
-    both = m.select(F.col("m").alias("x")).crossJoin(F.broadcast(m.select(F.col("m").alias("y"))))  # seven matrices
+    """Distinct products of every sublattice matrix of a part's index with those of index two."""
+    matrix = F.expr("array(array(bigint(a), bigint(d), bigint(e)), array(0L, bigint(b), bigint(f)), array(0L, 0L, bigint(c)))")
+    rows = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).alias("n"))
+    second = sublattice.hermite_matrices(spark, 2).select(matrix.alias("y"))
+    both = sublattice.sublattices(rows, "n").select("id", matrix.alias("x")).crossJoin(F.broadcast(second))  # seven matrices
     flat = F.flatten(matrices.product(F.col("x"), F.col("y")))
-    return both.select(F.array_join(F.transform(flat, lambda x: x.cast("string")), " ").alias("matrix")).distinct()
+    return both.select("id", F.array_join(F.transform(flat, lambda x: x.cast("string")), " ").alias("matrix")).distinct()
 
 
 @query("j16_nearest_end_pair", f"""WITH {_LATTICE}, {_EDGE}, p AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst),
@@ -231,13 +234,14 @@ def ring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PERMS = "perm AS (SELECT unnest([" + ", ".join(str(list(p)) for p in lattice.automorphisms()) + "]) AS p)"
 
 
-@query("a22_primary_sets", f"WITH {_PERMS} SELECT array_to_string(list_sort(p[1:4]), ' ') AS places, count(*) AS n FROM perm GROUP BY 1")
+@query("a22_primary_sets", f"""WITH {_PERMS}, k AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS n FROM perm)
+SELECT array_to_string(list_sort(p[1:4]), ' ') AS places, count(*) AS n FROM part JOIN k ON k.n = p_partkey % 168 GROUP BY 1""")
 def primary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutations by the four conorms that come first."""
-    perms = lattice.catalog(spark).select(F.explode("perms").alias("p")).distinct()
-    every = spark.createDataFrame([(list(p),) for p in lattice.automorphisms()], "p array<int>")
+    """Parts by the four conorms that come first in the permutation of their number modulo 168."""
+    every = spark.createDataFrame([(k, list(p)) for k, p in enumerate(lattice.automorphisms())], "k int, p array<int>")
+    rows = T.read(spark, sf_dir, "part").select((F.col("p_partkey") % 168).cast("int").alias("k")).join(F.broadcast(every), "k")  # 168 rows
     places = F.array_join(F.transform(matrices.primary_set(F.col("p")), lambda x: x.cast("string")), " ")
-    return every.join(perms, "p", "left").groupBy(places.alias("places")).agg(F.count("*").alias("n"))
+    return rows.groupBy(places.alias("places")).agg(F.count("*").alias("n"))
 
 
 @query("a24_element_counts", f"WITH {_ATOMS} SELECT id, count(*) AS n, count(*) FILTER (label = 0) AS n_origin, count(DISTINCT label) AS n_elements FROM atom GROUP BY id")

@@ -136,19 +136,21 @@ def step_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.groupBy(lattice.voronoi_class(F.col("mask")).alias("voronoi")).agg(F.count("*").alias("n"))
 
 
-@query("k29_catalog_summary", "SELECT * FROM (VALUES (1, 1, 24), (2, 6, 48), (3, 3, 72), (4, 12, 72), (5, 16, 96)) t(voronoi, n_masks, n_perms)")
+@query("k29_catalog_summary", f"""WITH {_LATTICE}, m AS (SELECT {_MASK} AS mask FROM con WHERE list_max(d) <= 0), c AS (SELECT {_CLASS.format('mask')} AS voronoi FROM m)
+SELECT voronoi, count(*) AS n, CASE voronoi WHEN 1 THEN 24 WHEN 2 THEN 48 WHEN 5 THEN 96 ELSE 72 END AS n_perms FROM c GROUP BY voronoi""")
 def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.catalog(spark).groupBy("voronoi").agg(F.count("*").cast("int").alias("n_masks"), F.max(F.size("perms")).alias("n_perms"))
+    """Obtuse lattices by Voronoi class, and how many permutations the catalog permits them."""
+    entries = lattice.catalog(spark).select("mask", F.size("perms").alias("n_perms"))  # one row for each zero set
+    return voronoi_classes(spark, sf_dir).join(F.broadcast(entries), "mask").groupBy("voronoi").agg(F.count("*").alias("n"), F.max("n_perms").alias("n_perms"))
 
 
-@query("k21_sublattices", """SELECT a::INT AS a, b::INT AS b, (n // (a * b))::INT AS c, d::INT AS d, e::INT AS e, f::INT AS f
-FROM (SELECT 12 AS n), range(1, 13) x(a), range(1, 13) y(b), range(0, 12) u(d), range(0, 12) w(e), range(0, 12) z(f)
-WHERE n % a = 0 AND n % (a * b) = 0 AND d < a AND e < a AND f < b""")
+@query("k21_sublattices", """SELECT p_partkey AS id, a::INT AS a, b::INT AS b, (n // (a * b))::INT AS c, d::INT AS d, e::INT AS e, f::INT AS f
+FROM (SELECT p_partkey, p_size % 6 + 1 AS n FROM part), range(1, 7) x(a), range(1, 7) y(b), range(0, 6) u(d), range(0, 6) w(e), range(0, 6) z(f)
+WHERE n % (a * b) = 0 AND d < a AND e < a AND f < b""")
 def sublattices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sublattice.hermite_matrices(spark, 12)
-
-
-# ---------------------------------------------------------------- scans, filters, joins
+    """Every sublattice of every part's lattice, of an index of one to six that its size gives."""
+    rows = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 6 + 1).alias("n"))
+    return sublattice.sublattices(rows, "n").drop("n")
 
 
 @query("f7_energy_ceiling", f"WITH {_POINT} SELECT id, energy FROM point WHERE status = 'OPEN' AND energy <= 100000")
