@@ -384,17 +384,20 @@ def path_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g19_ceiling_sweep")
 def ceiling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First attempts and those under ceilings below their barriers; a path that only falls has no room for a ceiling."""
+    """First attempts and those under ceilings below their barriers, by resolution: the second pass has a finer one. A path
+    that only falls has no room for a ceiling."""
     searches = _searches(spark, sf_dir)
     known = _written(barrier.run(barrier.tasks(searches, **_BOUNDS)), "known")
-    return _summary(known.union(barrier.sweep(searches, known, 2, 1, **_BOUNDS)))
+    every = known.union(barrier.sweep(searches, known, 2, 2, **_BOUNDS))
+    rows = every.groupBy("search", "delta").agg(F.count("*").alias("n"), F.count_if("found").alias("n_found"), F.round(F.min("barrier"), 6).alias("barrier"))
+    return rows.select("search", "delta", "n", "n_found", "barrier")
 
 
 @query("g20_ratchet")
 def ratcheted(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches = _searches(spark, sf_dir)
     known = _written(barrier.run(barrier.tasks(searches, **_BOUNDS)), "known")
-    rows = barrier.ratchet(searches, known, 0.05, rounds=2, failures=2, **_BOUNDS)
+    rows = barrier.ratchet(searches, known, 0.05, rounds=6, failures=2, **_BOUNDS)
     return rows.select("search", F.round("barrier", 6).alias("barrier"), "rounds", "adaptations")
 
 

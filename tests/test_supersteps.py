@@ -10,8 +10,8 @@ from latticegraph.functions import crystal, pathfinding
 from latticegraph.operators import bestfirst, canonical, search, supersteps
 
 DELTA = 8
-LABELS = [0, 0, 1]
-KEY = crystal.canonical_key([9, 10, 12, 31, 19, 21, 22], [[0, 0, 0], [3, 1, 4], [2, 5, 6]], LABELS, DELTA)
+LABELS = [0, 1]
+KEY = crystal.canonical_key([9, 10, 12, 31, 19, 21, 22], [[0, 0, 0], [3, 1, 4]], LABELS, DELTA)
 SEARCH = "search bigint, starts array<array<bigint>>, goals array<array<bigint>>, labels array<int>, xi double, delta int"
 
 
@@ -24,7 +24,7 @@ def walk(seed, steps):
 
 @pytest.fixture(scope="module")
 def searches(spark):
-    rows = [(k, [list(KEY)], [list(walk(k, k % 3 + 1)), list(walk(k + 50, 3))], LABELS, 1.0, DELTA) for k in range(4)]
+    rows = [(k, [list(KEY)], [list(walk(k + 3, 3)), list(walk(k + 50, 3))], LABELS, 1.0, DELTA) for k in range(2)]
     rows.append((9, [list(KEY)], [list(KEY)], LABELS, 1.0, DELTA))
     return spark.createDataFrame(rows, SEARCH)
 
@@ -40,7 +40,7 @@ def shortest(row):
     return None
 
 
-@pytest.mark.parametrize(("heuristic", "weight", "width"), [("none", 1.0, 1), ("none", 1.0, 10_000), ("manhattan", 1e-3, 50)])
+@pytest.mark.parametrize(("heuristic", "weight", "width"), [("none", 1.0, 1), ("manhattan", 1e-3, 200)])
 def test_paths_are_shortest(searches, heuristic, weight, width):
     reached = bestfirst.best_first(searches, heuristic=heuristic, weight=weight, width=width)
     ways = {}
@@ -96,14 +96,14 @@ def test_a_lost_search_goes_on(searches, tmp_path, monkeypatch):
     rows = lambda df: sorted(map(repr, df.collect()))
     options = {"heuristic": "none", "width": 30}
     whole = rows(bestfirst.best_first(searches, **options))
-    mend = stop_after(monkeypatch, 2)
+    mend = stop_after(monkeypatch, 1)
     folder = f"file://{tmp_path}/search"
     with pytest.raises(Lost):
         bestfirst.best_first(searches, folder=folder, **options)
     mend()
     told = []
     assert rows(bestfirst.best_first(searches, folder=folder, listener=told.append, **options)) == whole
-    assert [t["step"] for t in told][0] == 3
+    assert [t["step"] for t in told][0] == 2
     with pytest.raises(ValueError):
         bestfirst.best_first(searches, folder=folder, heuristic="none", width=31)
     # a driver lost between two renames leaves a draft
@@ -115,24 +115,57 @@ def test_a_lost_search_goes_on(searches, tmp_path, monkeypatch):
 
 
 def test_a_lost_flood_goes_on_and_listeners_are_told(spark, tmp_path, monkeypatch):
-    start = spark.createDataFrame([(list(KEY), LABELS), (list(KEY[:10]), [0, 1])], "key array<bigint>, labels array<int>")
+    start = spark.createDataFrame([(list(KEY), LABELS), (list(KEY[:7]), [0])], "key array<bigint>, labels array<int>")
     none = start.select("key").limit(0)
     rows = lambda df: sorted(repr((r.key, r.labels, r.step, round(r.energy, 9))) for r in df.collect())
-    options = {"width": 0.3, "batch": 20, "max_steps": 4}
+    options = {"width": 0.3, "batch": 20, "max_steps": 3}
     told = []
     whole = rows(canonical.flood_keys(start, none, 1.0, DELTA, listener=told.append, **options))
-    assert [t["step"] for t in told] == [1, 2, 3, 4] and all(t["floods"] == 2 for t in told)
+    assert [t["step"] for t in told] == [1, 2, 3] and all(t["floods"] == 2 for t in told)
     assert 2 + sum(t["new"] for t in told) == len(whole)
-    mend = stop_after(monkeypatch, 3)
+    mend = stop_after(monkeypatch, 2)
     with pytest.raises(Lost):
         canonical.flood_keys(start, none, 1.0, DELTA, folder=str(tmp_path), **options)
     mend()
     assert rows(canonical.flood_keys(start, none, 1.0, DELTA, folder=str(tmp_path), **options)) == whole
     # floods of two compositions in one go are those of each alone
-    apart = [r for part in (start.filter("size(labels) = 2"), start.filter("size(labels) = 3")) for r in rows(canonical.flood_keys(part, none, 1.0, DELTA, **options))]
+    apart = [r for part in (start.filter("size(labels) = 1"), start.filter("size(labels) = 2")) for r in rows(canonical.flood_keys(part, none, 1.0, DELTA, **options))]
     assert sorted(apart) == whole
 
 
+def test_lost_sweeps_and_ratchets_go_on(searches, tmp_path, monkeypatch):
+    from latticegraph.operators import barrier
+
+    few = searches.filter("search < 2")
+    known = supersteps.written(barrier.run(barrier.tasks(few, max_iterations=50)), "known")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    plain = barrier.run
+    for name, call in (
+        ("sweep", lambda **o: barrier.sweep(few, known, 2, 2, attempts=1, max_iterations=20, beam=100, **o).drop("path", "energies")),
+        ("ratchet", lambda **o: barrier.ratchet(few, known, 0.05, rounds=3, failures=1, max_iterations=10, beam=100, **o)),
+    ):
+        told = []
+        whole = rows(call(listener=told.append))
+        assert [t["step"] for t in told] == list(range(1, len(told) + 1)) and len(told) > 1
+        calls = []
+
+        def lost(*args, **options):
+            calls.append(1)
+            if len(calls) > 1:
+                raise Lost
+            return plain(*args, **options)
+
+        monkeypatch.setattr(barrier, "run", lost)
+        with pytest.raises(Lost):
+            call(folder=f"{tmp_path}/{name}")
+        monkeypatch.setattr(barrier, "run", plain)
+        again = []
+        assert rows(call(folder=f"{tmp_path}/{name}", listener=again.append)) == whole
+        assert [t["step"] for t in again] == [t["step"] for t in told][1:]
+    # the ratchet reached finer resolutions
+    assert max(r.adaptations for r in barrier.ratchet(few, known, 100.0, rounds=2, failures=1, max_iterations=10, beam=100).collect()) == 2
+
+
 def test_a_failing_listener_loses_no_step(searches):
     def bad(metrics):
         raise RuntimeError("no")
