@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from ..storage import shared_dir
+from ..storage import _delete, shared_dir
 from .bpe import tokenizer
-from .common import column, materialize, thrifty, utf8_views
+from .common import column, thrifty, utf8_views
 
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK = 1 << 16
@@ -149,7 +149,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     width = "<u2" if size <= 1 << 16 else "<u4"
     id_type = docs.schema[id_col].dataType
     schema = StructType([StructField("id", id_type), StructField("row", LongType()), StructField("check", LongType()), StructField("codes", BinaryType()), StructField("counts", BinaryType())])
-    encoded = materialize(docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(thrifty(_encode(tokenizer_path, end_id, size, width)), schema), "token-ids")
+    encoded = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(thrifty(_encode(tokenizer_path, end_id, size, width)), schema)
+    # ids have few bits to a byte, which a coder of single bytes leaves in; these are most of the disk
+    encoded.write.option("compression", "zstd").parquet(f"{folder}/ids")
+    encoded = spark.read.schema(schema).parquet(f"{folder}/ids")
     counts = encoded.filter("counts is not null").select("counts").mapInArrow(_id_counts, "token long, count long")
     # at most one row for each id of the vocabulary
     found = counts.groupBy("token").agg(F.sum("count").alias("count")).collect()
@@ -164,7 +167,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = encoded.filter("codes is not null").select("id", "check", "row", "codes").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     out = StructType([StructField("part", IntegerType()), StructField("block", IntegerType()), StructField("before", LongType()), StructField("ids", ArrayType(id_type)), StructField("sizes", ArrayType(LongType())), StructField("control", BinaryType()), StructField("data", BinaryType())])
-    dealt.select("id", "codes").mapInArrow(thrifty(_write_blocks(rank, width, block)), out).write.parquet(f"{folder}/blocks")
+    dealt.select("id", "codes").mapInArrow(thrifty(_write_blocks(rank, width, block)), out).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    _delete(spark, f"{folder}/ids")
     return folder
 
 
