@@ -67,6 +67,27 @@ def test_suffix_matches_brute_force(spark, corpus, dense):
     assert got == brute_repeats(rows)
 
 
+def test_refinement_of_every_suffix_covers_what_is_removed(spark, corpus):
+    from latticegraph.llm import pointers
+
+    rows = [(k, t) for k, (_, t) in enumerate(corpus)] + [(9001, None), (9002, "x" * 240), (9003, "ab" * 60)]
+    got = {(r.id, r.start) for r in pointers.repeated_starts(table(spark, rows)).collect()}
+    seen, want = set(), set()
+    for i, t in rows:
+        raw = (t or "").encode()
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                want.add((i, p))
+            seen.add(raw[p : p + 100])
+    assert got == want and got
+    removed = {r.doc_id: r.n_removed for r in suffix.removal_digests(table(spark, rows)).collect()}
+    for i, _ in rows:
+        assert removed[i] == len({b for k, p in got if k == i for b in range(p, p + 100)})
+    assert pointers.repeated_starts(table(spark, rows).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        pointers.repeated_starts(table(spark, [(1, "a"), (1, "b")]))
+
+
 def test_suffix_long_text_spans_chunks(spark):
     rng = random.Random(5)
     text = prose(rng, 60000)
