@@ -107,3 +107,37 @@ def test_parallel_ratchet_and_estimates(spark):
     low = barrier.relaxed_ends(rows.filter("search = 5")).first()
     energies = pathfinding.Energies(1.0, DELTA)
     assert energies(tuple(low.starts[0])) <= energies(START) and np.isfinite(energies(tuple(low.goals[0])))
+
+
+def test_metadata_make_a_store_and_come_back(spark, tmp_path):
+    from latticegraph.sources import metadata
+
+    goal = crystal.neighbours(START, [0, 1], DELTA)[0]
+    text = json.dumps({"description": "two", "xi": 1.0, "delta": DELTA, "atom_list": ["Zr", "O"], "calculator_model": "none", "time_created": "t", "search_processes": [
+        {"search_id": 7, "start_cnfs": [list(START)], "end_cnfs": [list(goal)], "time_created": "t"}, {"search_id": 9, "start_cnfs": [list(goal)], "end_cnfs": [list(START), list(goal)], "time_created": "t", "frontier_width": 0.5}]})
+    store = metadata.create(spark, f"file://{tmp_path}/store", text)
+    assert {r.search: r.width for r in store.table("search").collect()} == {1: metadata.WIDTH, 2: 0.5}
+    back = metadata.parse(metadata.of_store(store, "two"))
+    assert (back["xi"], back["delta"], back["atom_list"], back["description"]) == (1.0, DELTA, ["Zr", "O"], "two")
+    ends = [(p["search_id"], p["start_cnfs"], sorted(p["end_cnfs"])) for p in back["search_processes"]]
+    assert ends == [(1, [list(START)], [list(goal)]), (2, [list(goal)], sorted([list(START), list(goal)]))]
+    again = metadata.create(spark, f"file://{tmp_path}/again", metadata.of_store(store))
+    assert sorted(map(repr, again.table("end").collect())) == sorted(map(repr, store.table("end").collect()))
+    for bad in ({"xi": 1.0}, {"xi": 1.0, "delta": 2.5, "atom_list": ["Zr"]}, {"xi": 1.0, "delta": 3, "atom_list": []}):
+        with pytest.raises(ValueError):
+            metadata.parse(json.dumps(bad))
+    with pytest.raises(ValueError):
+        metadata.create(spark, f"file://{tmp_path}/odd", text.replace(f'"delta": {DELTA}', '"delta": 2'))
+
+
+def test_points_of_another_resolution_are_refused(spark, tmp_path):
+    from latticegraph.sources import metadata
+
+    store = points.PointStore.create(spark, f"file://{tmp_path}/store", 1.0, DELTA, ["Zr", "O"])
+    rows = spark.createDataFrame([(list(START), ["Zr", "O"])], "key array<bigint>, elements array<string>")
+    good = structures.to_json(rows, 1.0, DELTA).select("point")
+    assert metadata.keys_of_points(store, good).first().key == list(START)
+    assert store.create_search("", metadata.keys_of_points(store, good), metadata.keys_of_points(store, good)) == 1
+    for odd in (structures.to_json(rows, 1.5, DELTA), structures.to_json(rows, 1.0, DELTA + 1), spark.createDataFrame([("none",)], "point string")):
+        with pytest.raises(ValueError):
+            metadata.keys_of_points(store, odd.select("point"))
