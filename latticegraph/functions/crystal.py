@@ -335,6 +335,47 @@ def real_key(cell, fractions, labels, xi: float, delta: int) -> tuple[int, ...]:
     return canonical_key(discretize_vonorms(v[places[same.argmax()]], xi), rounded, labels, delta)
 
 
+#: Changes of a superbasis in a Selling step on each pair.
+_TURNS = np.stack([_turned(np.eye(4, dtype=np.int64), k) for k in range(6)])
+_LEFT, _RIGHT = (np.array([p[k] for p in lattice.PAIRS]) for k in (0, 1))
+
+
+def real_keys(cells: np.ndarray, fractions: np.ndarray, labels, xi: float, delta: int) -> np.ndarray:
+    """real_key() of crystals (b, 3, 3) and (b, n, 3) that share their labels, one row each."""
+    cells, b = np.asarray(cells, float), len(cells)
+    rows = np.tile(_FIRST, (b, 1, 1))
+    dots = lambda at: 2 * np.einsum("nki,nki->nk", (basis := rows[at] @ cells[at])[:, _LEFT], basis[:, _RIGHT])
+    d = dots(np.arange(b))
+    for _ in range(500):
+        at = np.flatnonzero(d.max(1) > TOLERANCE)
+        if not len(at):
+            break
+        rows[at] = _TURNS[np.round(d[at], 4).argmax(1)] @ rows[at]
+        d[at] = dots(at)
+    else:
+        raise ValueError("a lattice was not reduced in 500 steps")
+    m = np.swapaxes(rows[:, :3], 1, 2)
+    back = np.rint(np.linalg.inv(m * np.rint(np.linalg.det(m))[:, None, None])).astype(int)
+    d[np.abs(d) <= TOLERANCE] = 0
+    v = -(d @ _SUPPORT[:, :6].T) / 2
+    masks, row, turns, shown = forms.zero_masks(d), [], [], np.empty((b, 7))
+    for mask in np.unique(masks):
+        _, places, inverses = orientations(int(mask))
+        own = np.flatnonzero(masks == mask)
+        best = forms.smallest(np.rint(np.round(v[own][:, places], 4) * 1e4).astype(np.int64))
+        shown[own] = v[own[:, None], places[best.argmax(1)]]
+        r, t = np.nonzero(best)
+        row.append(own[r])
+        turns.append(inverses[t] @ back[own[r]])
+    row, turns = np.concatenate(row), np.concatenate(turns)
+    both = np.unique(np.concatenate([row[:, None], turns.reshape(-1, 9)], 1), axis=0)
+    fine = np.rint(np.asarray(fractions, float) * FINE).astype(int)
+    labels = np.asarray(labels, int)
+    motifs = motif_forms(fine, labels, both[:, 0], both[:, 1:].reshape(-1, 3, 3), FINE).reshape(b, -1, 3)
+    rounded = np.rint(np.concatenate([np.zeros((b, 1, 3), int), motifs], 1) * (delta / FINE)).astype(int) % delta
+    return canonical_keys(np.array([discretize_vonorms(x, xi) for x in shown]).reshape(-1, 7), rounded, labels, delta)
+
+
 def supercell(cell, fractions, labels, matrix: np.ndarray):
     """Cell, fractions and labels of the supercell of an upper triangular matrix of whole numbers."""
     inverse = np.linalg.inv(matrix)

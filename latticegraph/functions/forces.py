@@ -51,6 +51,14 @@ def neighbour_lists(cells: np.ndarray, fractions: np.ndarray, k: int) -> tuple[n
     return place, shift
 
 
+def near_distances(cells: np.ndarray, fractions: np.ndarray, k: int) -> np.ndarray:
+    """geometry.near_distances() of every crystal: (b, n, k)."""
+    b, n, _ = fractions.shape
+    place, shift = neighbour_lists(cells, fractions, k)
+    others = np.take_along_axis(fractions, place.reshape(b, -1, 1), 1).reshape(b, n, k, 3)
+    return np.sqrt((((others + shift - fractions[:, :, None]) @ cells[:, None]) ** 2).sum(-1))
+
+
 def pair_gradients(cells: np.ndarray, fractions: np.ndarray, length: float = 3.0, k: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """geometry.pair_energy() of every crystal, and its gradients by fractions and by cell.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import crystal, geometry, pathfinding
+from ..functions import crystal, forces, geometry, pathfinding
 from ..functions.calculators import PairCalculator, Provider
 from ..storage import scratch, written
 from .search import appended, united
@@ -90,18 +90,28 @@ def neighbour_keys(keys: DataFrame, delta: int, kind: str = "all") -> DataFrame:
 
 
 def geometry_of(keys: DataFrame, xi: float, delta: int, k: int = 20) -> DataFrame:
-    """key, volume, shortest bond (null for one atom), pair energy and average minimum distances of distinct keys."""
+    """key, volume, shortest bond (null for one atom), pair energy and average minimum distances of distinct keys.
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Keys of one atom count go through the neighbour search together.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key in batch["key"]:
-                cell, at = geometry.cell_from_vonorms(key[:7], xi), crystal.atoms_of(key) / delta
-                bond = geometry.shortest_bond(cell, at)
-                rows.append((key, abs(float(np.linalg.det(cell))), bond if np.isfinite(bond) else None, geometry.pair_energy(cell, at), geometry.amd(cell, at, k).tolist()))
-            yield pd.DataFrame(rows, columns=["key", "volume", "bond", "energy", "amd"])
+            sizes = batch.column("key").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                places = np.flatnonzero(sizes == size)
+                for at in range(0, len(places), _PART):
+                    part = batch.column("key").take(pa.array(places[at : at + _PART]))
+                    rows = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), size)
+                    cells = np.array([geometry.cell_from_vonorms(v, xi) for v in rows[:, :7]])
+                    fractions = np.concatenate([np.zeros((len(rows), 1, 3)), rows[:, 7:].reshape(len(rows), -1, 3)], 1) / delta
+                    near = forces.near_distances(cells, fractions, max(k, 12))
+                    bonds = np.array([geometry.shortest_bond(c, f) for c, f in zip(cells, fractions)]) if size > 7 else np.full(len(rows), np.inf)
+                    q = (3.0 / np.maximum(near[:, :, :12], 1.5)) ** 3
+                    made = [part, pa.array(np.abs(np.linalg.det(cells))), pa.array(bonds, mask=~np.isfinite(bonds)), pa.array((q * q - 2 * q).sum((1, 2)) / 2), pa.array(near[:, :, :k].mean(1).tolist(), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(made, ["key", "volume", "bond", "energy", "amd"])
 
-    return spread(keys.filter("key is not null").select("key").distinct(), "key").mapInPandas(each, "key array<bigint>, volume double, bond double, energy double, amd array<double>")
+    return spread(keys.filter("key is not null").select("key").distinct(), "key").mapInArrow(each, "key array<bigint>, volume double, bond double, energy double, amd array<double>")
 
 
 def relax(keys: DataFrame, xi: float, delta: int, max_steps: int = 1000, provider: Provider = PairCalculator) -> DataFrame:
@@ -124,16 +134,22 @@ def endpoint_keys(structures: DataFrame, xi: float, delta: int) -> DataFrame:
     cell is three vectors and fractions a flat array. A structure gives one row per supercell form.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                cell, at = np.array([list(v) for v in r.cell]), np.array(r.fractions).reshape(-1, 3)
-                for matrix in crystal.hermite_matrices(int(r.index)):
-                    big, places, labels = crystal.supercell(cell, at, np.asarray(r.labels), matrix)
-                    key = crystal.real_key(big, places, labels, xi, delta)
-                    yield pd.DataFrame({"id": [r.id], "key": [list(key)], "labels": [labels.tolist()]})
-
-    return spread(structures.select("id", "cell", "fractions", "labels", "index"), "id").mapInPandas(each, KEYS).distinct()
+            made: dict[tuple, list] = {}  # supercells of one list of labels, which go through the forms together
+            for r in batch.to_pylist():
+                cell, at = np.array(r["cell"]), np.array(r["fractions"]).reshape(-1, 3)
+                for matrix in crystal.hermite_matrices(int(r["index"])):
+                    big, places, labels = crystal.supercell(cell, at, np.asarray(r["labels"]), matrix)
+                    made.setdefault(tuple(labels.tolist()), []).append((r["id"], big, places))
+            for labels, rows in made.items():
+                for k in range(0, len(rows), _PART):
+                    ids, cells, places = zip(*rows[k : k + _PART])
+                    keys = crystal.real_keys(np.array(cells), np.array(places), labels, xi, delta)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array([labels] * len(ids), pa.list_(pa.int32()))], ["id", "key", "labels"])
+
+    rows = structures.select(F.col("id").cast("long"), "cell", "fractions", F.col("labels").cast("array<int>"), "index")
+    return spread(rows, "id").mapInArrow(each, KEYS).distinct()
 
 
 def energies_of(keys: DataFrame, xi: float, delta: int, provider: Provider = PairCalculator) -> DataFrame:
@@ -154,19 +170,27 @@ def resolution_rows(structures: DataFrame, k: int = 20) -> DataFrame:
     structures has id, cell (three vectors), fractions (flat), labels (sorted) and the resolution (xi, delta).
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                cell, at = np.array([list(v) for v in r.cell]), np.array(r.fractions).reshape(-1, 3)
-                key = crystal.real_key(cell, at, r.labels, r.xi, int(r.delta))
-                again = geometry.near_distances(geometry.cell_from_vonorms(key[:7], r.xi), crystal.atoms_of(key) / r.delta, k)
-                apart = geometry.pdd_distance(geometry.near_distances(cell, at, k), again)
-                rows.append((r.id, r.xi, r.delta, len(crystal.neighbours(key, r.labels, int(r.delta))), apart))
-            yield pd.DataFrame(rows, columns=["id", "xi", "delta", "neighbours", "pdd"])
+            alike: dict[tuple, list] = {}  # structures of one list of labels and one resolution
+            for r in batch.to_pylist():
+                alike.setdefault((tuple(r["labels"]), r["xi"], int(r["delta"])), []).append(r)
+            for (labels, xi, delta), rows in alike.items():
+                for at in range(0, len(rows), _NEIGHBOUR_PART):
+                    part = rows[at : at + _NEIGHBOUR_PART]
+                    cells, fractions = np.array([r["cell"] for r in part]), np.array([r["fractions"] for r in part]).reshape(len(part), -1, 3)
+                    keys = crystal.real_keys(cells, fractions, labels, xi, delta)
+                    n = np.bincount(crystal.neighbour_rows(keys, np.array(labels), delta)[0], minlength=len(part))
+                    again = np.concatenate([np.zeros((len(part), 1, 3)), keys[:, 7:].reshape(len(part), -1, 3)], 1) / delta
+                    before = forces.near_distances(cells, fractions, k)
+                    after = forces.near_distances(np.array([geometry.cell_from_vonorms(v, xi) for v in keys[:, :7]]), again, k)
+                    apart = [geometry.pdd_distance(a, b) for a, b in zip(before, after)]
+                    m = len(part)
+                    made = [pa.array([r["id"] for r in part], pa.int64()), pa.array([xi] * m), pa.array([delta] * m, pa.int32()), pa.array(n, pa.int32()), pa.array(apart, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(made, ["id", "xi", "delta", "neighbours", "pdd"])
 
     rows = spread(structures.select("id", "cell", "fractions", "labels", "xi", "delta"), "id", "xi", "delta")
-    return rows.mapInPandas(each, "id bigint, xi double, delta int, neighbours int, pdd double")
+    return rows.mapInArrow(each, "id bigint, xi double, delta int, neighbours int, pdd double")
 
 
 def flood_keys(

@@ -40,6 +40,18 @@ def test_neighbours_of_skewed_cells():
     assert np.allclose(a, b)
 
 
+def test_near_distances_and_keys_of_many_at_once():
+    cells, fractions = crystals(30, 3)
+    cells[::3] = np.diag([3.0, 3.0, 4.0])
+    fractions[::3] = np.round(fractions[::3] * 8) / 8
+    cells[1::4] = np.array([[1, 3, 0], [0, 1, 0], [-2, 0, 1]]) @ cells[1::4]
+    each = [geometry.near_distances(c, f, 20) for c, f in zip(cells, fractions)]
+    assert np.allclose(forces.near_distances(cells, fractions, 20), each)
+    for labels in ([0, 0, 1], [0, 0, 0], [0, 1, 2]):
+        want = [crystal.real_key(c, f, labels, 1.5, 12) for c, f in zip(cells, fractions)]
+        assert crystal.real_keys(cells, fractions, labels, 1.5, 12).tolist() == list(map(list, want))
+
+
 def test_energies_never_rise_and_forces_end_small():
     cells, fractions = crystals(20, 3)
     calculator = calculators.PairCalculator()
