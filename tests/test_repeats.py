@@ -1,9 +1,14 @@
 """Rows that ask for the same work: it is done once, however many of them there are."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from latticegraph.functions import crystal
+from latticegraph.operators import barrier, canonical, continuous
 from latticegraph.plans import function_queries
 
+KEY = crystal.canonical_key([9, 10, 12, 31, 19, 21, 22], [[0, 0, 0], [3, 1, 4]], [0, 1], 8)
+
 
 @pytest.fixture
 def handed(monkeypatch, spark):
@@ -26,3 +31,31 @@ def test_sublattices_are_looked_at_once_for_all_parts(spark, tmp_path, handed):
     many = {1: 1, 2: 7, 3: 13, 4: 35}
     assert rows.filter("back").count() == rows.distinct().count() == sum(many[(k % 50 + 1) % 4 + 1] for k in range(500))
     assert handed == [1 + 7 + 13 + 35]
+
+
+def test_equal_searches_run_once_unless_dropout_tells_them_apart(spark, handed):
+    goal = crystal.neighbours(KEY, [0, 1], 8)[0]
+    rows = [(k, [list(KEY)], [list(goal)], [0, 1], 1.0, 8) for k in range(20)] + [(20, [list(goal)], [list(KEY)], [0, 1], 1.0, 8)]
+    searches = spark.createDataFrame(rows, barrier.SEARCH)
+    found = barrier.run(barrier.tasks(searches)).collect()
+    assert sorted(r.search for r in found) == list(range(21)) and all(r.found and r.attempt == 0 for r in found)
+    assert all(r.path == ([list(KEY), list(goal)] if r.search < 20 else [list(goal), list(KEY)]) for r in found)
+    barrier.run(barrier.tasks(searches, dropout=0.1))
+    assert handed == [2, 21]
+
+
+def test_equal_paths_and_equal_crystals_are_worked_on_once(spark, handed):
+    keys = [list(KEY), list(crystal.neighbours(KEY, [0, 1], 8)[0])]
+    paths = spark.createDataFrame([(k, keys, [0, 1], 1.0, 8) for k in range(5)], "path long, keys array<array<bigint>>, labels array<int>, xi double, delta int")
+    band = continuous.elastic_bands(paths, images=3, max_steps=2).collect()
+    assert sorted((r.path, r.image) for r in band) == [(k, i) for k in range(5) for i in range(3)]
+    assert sorted((r.path, r.step) for r in continuous.aligned_paths(paths).collect()) == [(k, i) for k in range(5) for i in range(2)]
+    cell = [[3.0, 0.0, 0.0], [0.0, 3.0, 0.0], [0.0, 0.0, 3.0]]
+    crystals = spark.createDataFrame([(k, cell, [0.0, 0.0, 0.0], [0]) for k in range(7)], "id long, cell array<array<double>>, fractions array<double>, labels array<int>")
+    assert sorted(r.id for r in continuous.relax_cells(crystals, max_steps=3).collect()) == list(range(7))
+    assert handed == [1, 1, 1]
+
+
+def test_spread_rows_stay_apart_after_distinct(spark):
+    rows = canonical.spread(spark.range(200).select("id").distinct(), "id")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
