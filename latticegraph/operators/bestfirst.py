@@ -123,6 +123,12 @@ def best_first(
     return united(reached)
 
 
+def members(searches: DataFrame) -> DataFrame:
+    """search and first: the smallest number among the searches with its starts, goals, labels, xi and delta."""
+    rows = searches.select("search", F.sha2(F.to_json(F.struct("starts", "goals", "labels", "xi", "delta")), 256).alias("problem")).distinct()
+    return rows.join(rows.groupBy("problem").agg(F.min("search").alias("first")), "problem").select("search", "first")
+
+
 def best_paths(searches: DataFrame, reached: DataFrame) -> DataFrame:
     """search, step (0 at the start) and key of the cheapest path of every search that reached a goal.
 

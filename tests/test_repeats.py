@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticegraph.functions import crystal
-from latticegraph.operators import barrier, canonical, continuous
-from latticegraph.plans import function_queries
+from latticegraph.operators import barrier, bestfirst, canonical, continuous
+from latticegraph.plans import crystal_queries, function_queries
 
 KEY = crystal.canonical_key([9, 10, 12, 31, 19, 21, 22], [[0, 0, 0], [3, 1, 4]], [0, 1], 8)
 
@@ -59,3 +59,14 @@ def test_equal_paths_and_equal_crystals_are_worked_on_once(spark, handed):
 def test_spread_rows_stay_apart_after_distinct(spark):
     rows = canonical.spread(spark.range(200).select("id").distinct(), "id")
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_large_search_expands_equal_searches_once(spark, monkeypatch):
+    goal, asked, plain = list(crystal.neighbours(KEY, [0, 1], 8)[0]), [], bestfirst.best_first
+    rows = [(k, [list(KEY)], [goal], [0, 1], 1.0, 8) for k in (3, 5, 9)] + [(4, [goal], [list(KEY)], [0, 1], 1.0, 8)]
+    searches = spark.createDataFrame(rows, barrier.SEARCH)
+    monkeypatch.setattr(crystal_queries, "_searches", lambda *_: searches)
+    monkeypatch.setattr(bestfirst, "best_first", lambda rows, **more: asked.append(sorted(r.search for r in rows.collect())) or plain(rows, **more))
+    found = crystal_queries.large_search(spark, "").collect()
+    assert sorted((r.search, r.step) for r in found) == [(k, step) for k in (3, 4, 5, 9) for step in (0, 1)]
+    assert asked == [[3, 4]]
