@@ -146,11 +146,15 @@ SELECT DISTINCT id, array_to_string(flatten(list_transform([1, 2, 3], lambda i:
 def matrix_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct products of every sublattice matrix of a part's index with those of index two."""
     matrix = F.expr("array(array(bigint(a), bigint(d), bigint(e)), array(0L, bigint(b), bigint(f)), array(0L, 0L, bigint(c)))")
+    # the determinant of a product tells the index, so the products of one id under two of them are never equal
     rows = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).alias("n"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "n").distinct()
     second = sublattice.hermite_matrices(spark, 2).select(matrix.alias("y"))
-    both = sublattice.sublattices(rows, "n").select("id", matrix.alias("x")).crossJoin(F.broadcast(second))  # seven matrices
+    both = sublattice.sublattices(rows.select("n").distinct(), "n").select("n", matrix.alias("x")).crossJoin(F.broadcast(second))  # seven matrices
     flat = F.flatten(matrices.product(F.col("x"), F.col("y")))
-    return both.select("id", F.array_join(F.transform(flat, lambda x: x.cast("string")), " ").alias("matrix")).distinct()
+    made = both.select("n", F.array_join(F.transform(flat, lambda x: x.cast("string")), " ").alias("matrix"))
+    made = made.groupBy("n").agg(F.collect_set("matrix").alias("made"))  # a row for each of four indices
+    return rows.join(F.broadcast(made), "n").select("id", F.explode("made").alias("matrix"))
 
 
 @query("j16_nearest_end_pair", f"""WITH {_LATTICE}, {_EDGE}, p AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst),
