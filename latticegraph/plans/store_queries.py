@@ -128,12 +128,16 @@ m AS (SELECT id, {_MASK} AS mask FROM e WHERE list_max(d) <= 0 AND v[1] + v[2] +
 SELECT {_CLASS.format('mask')} AS voronoi, count(*) AS n FROM m WHERE bit_count(mask) <= 3 AND mask NOT IN (7, 25, 42, 52) GROUP BY 1""")
 def step_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moved vonorm lists of obtuse lattices that are obtuse superbases themselves, counted by Voronoi class."""
-    rows = _conorms(spark, sf_dir).filter(lattice.is_obtuse(F.col("d")))
+    rows = _conorms(spark, sf_dir).filter(lattice.is_obtuse(F.col("d"))).select("id", "v")
+    # ids with the same lists go together, and the lists of an id are told apart in its row
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").groupBy("id").agg(F.sort_array(F.collect_set("v")).alias("vs"))
+    alike = rows.groupBy("vs").agg(F.count("*").alias("ids"))
     steps = F.array(*(F.array(*map(F.lit, s)) for s in lattice.step_vectors()))
-    moved = rows.select("id", "v", F.explode(steps).alias("s")).select("id", F.zip_with("v", "s", lambda a, b: a + b).alias("v")).distinct()
+    moved = F.flatten(F.transform("vs", lambda v: F.transform(steps, lambda s: F.zip_with(v, s, lambda a, b: a + b))))
+    moved = alike.select("ids", F.explode(F.array_distinct(moved)).alias("v"))
     moved = moved.filter(lattice.is_superbasis(F.col("v"))).withColumn("d", lattice.doubled_conorms(F.col("v"))).filter(lattice.is_obtuse(F.col("d")))
     moved = moved.withColumn("mask", lattice.zero_mask(F.col("d"))).filter(F.col("mask").isin(lattice.possible_masks()))
-    return moved.groupBy(lattice.voronoi_class(F.col("mask")).alias("voronoi")).agg(F.count("*").alias("n"))
+    return moved.groupBy(lattice.voronoi_class(F.col("mask")).alias("voronoi")).agg(F.sum("ids").alias("n"))
 
 
 @query("k29_catalog_summary", f"""WITH {_LATTICE}, m AS (SELECT {_MASK} AS mask FROM con WHERE list_max(d) <= 0), c AS (SELECT {_CLASS.format('mask')} AS voronoi FROM m)
