@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from latticegraph.operators import sublattice
-from latticegraph.plans import relational_queries, store_queries
+from latticegraph.plans import crystal_queries, relational_queries, store_queries
 
 
 @pytest.fixture
@@ -40,3 +40,12 @@ def test_steps_are_told_apart_inside_the_row_of_an_id(spark, parts):
     rows = store_queries.step_candidates(spark, parts)
     assert sorted(map(tuple, rows.collect())) == answer(parts, store_queries.ORACLE_SQL["k16_step_candidates"], "part")
     assert above(rows, "Aggregate", "Generate explode") == 1  # the counts alone
+
+
+def test_paths_are_resampled_in_one_shuffle_without_tables_of_groups(spark, tmp_path):
+    rows = [(k % 17, k * 7 % 5, k * k % 23) for k in range(120)] + [(50, 1, 4), (51, 1, 4), (51, 2, 4), (51, 3, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = crystal_queries.resampled_paths(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == answer(tmp_path, crystal_queries.ORACLE_SQL["w3_resampled_paths"], "lineitem")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "HashAggregate" not in plan and plan.count("Exchange ") == 1
