@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..storage import written
 from .canonical import spread
 
 #: Fractions that a cell is divided into where motifs are compared exactly.
@@ -69,11 +70,13 @@ def motif_classes(motifs: DataFrame) -> DataFrame:
             for labels, coords in zip(batch.column("labels").to_pylist(), batch.column("coords").to_pylist()):
                 fit = labels and coords and None not in labels and None not in coords and len(coords) == 3 * len(labels)
                 forms.append(_form(np.array(labels), np.array(coords).reshape(-1, 3)) if fit else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(forms, pa.list_(pa.int64()))], ["id", "form"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "labels", "coords")), pa.array(forms, pa.list_(pa.int64()))], ["id", "labels", "coords", "form"])
 
     rows = motifs.select(F.col("id").cast("long"), F.col("labels").cast("array<int>"), F.col("coords").cast("array<double>"))
-    forms = rows.mapInArrow(each, "id bigint, form array<bigint>").filter("form is not null")
-    return forms.join(forms.groupBy("form").agg(F.min("id").alias("class")), "form").select("id", "class")
+    alone = spread(rows.groupBy("labels", "coords").agg(F.min("id").alias("id")), "labels", "coords")  # equal rows go once
+    forms = alone.mapInArrow(each, "id bigint, labels array<int>, coords array<double>, form array<bigint>").filter("form is not null")
+    forms = forms.join(forms.groupBy("form").agg(F.min("id").alias("class")), "form")
+    return rows.join(forms.select("labels", "coords", "class"), ["labels", "coords"]).filter("id is not null").select("id", "class")
 
 
 def _filed(tolerance: float, probe: bool):
@@ -104,12 +107,14 @@ def _filed(tolerance: float, probe: bool):
 def motif_matches(motifs: DataFrame, tolerance: float) -> DataFrame:
     """a and b, a below b, of all classes of motifs that match within a tolerance but are not equal."""
     rows = motifs.select(F.col("id").cast("long"), F.col("labels").cast("array<int>"), F.col("coords").cast("array<double>"))
+    rows = written(rows.groupBy("labels", "coords").agg(F.min("id").alias("id")), "motifs")
     heads = motif_classes(rows).filter("id = class").select("id")
     rows = rows.join(heads, "id").select("id", *(F.col(c) for c in ("labels", "coords")))
     # atoms in the order of their labels, so that equal compositions have equal arrays
     order = F.array_sort(F.transform("labels", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     rows = rows.withColumn("o", order)
     rows = rows.select("id", F.transform("o", lambda s: s["x"]).alias("labels"), F.flatten(F.transform("o", lambda s: F.slice("coords", s["i"] * 3 + 1, 3))).alias("coords"))
+    rows = written(rows, "heads")
     kind = "id bigint, labels array<int>, cell bigint"
     probes = rows.mapInArrow(_filed(tolerance, True), kind)
     entries = rows.mapInArrow(_filed(tolerance, False), kind)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticegraph.functions import crystal
-from latticegraph.operators import barrier, bestfirst, canonical, continuous
-from latticegraph.plans import crystal_queries, function_queries
+from latticegraph.operators import barrier, bestfirst, canonical, continuous, motifs
+from latticegraph.plans import crystal_queries, function_queries, partition_queries
 
 KEY = crystal.canonical_key([9, 10, 12, 31, 19, 21, 22], [[0, 0, 0], [3, 1, 4]], [0, 1], 8)
 
@@ -70,3 +70,28 @@ def test_large_search_expands_equal_searches_once(spark, monkeypatch):
     found = crystal_queries.large_search(spark, "").collect()
     assert sorted((r.search, r.step) for r in found) == [(k, step) for k in (3, 4, 5, 9) for step in (0, 1)]
     assert asked == [[3, 4]]
+
+
+def test_equal_motifs_get_their_form_once(spark, handed):
+    rows = [(k, [1, 0], [0.1 * (k % 2), 0.0, 0.0, 0.5, 0.5, 0.5]) for k in range(20)] + [(30, [0], None), (31, [1, 0], [0.0] * 6)]
+    crystals = spark.createDataFrame(rows, "id long, labels array<int>, coords array<double>")
+    classes = {r.id: r["class"] for r in motifs.motif_classes(crystals).collect()}
+    assert classes == {k: k % 2 for k in range(20)} | {31: 31}
+    assert handed == [4]
+    motifs.motif_matches(crystals, 0.1)
+    assert max(handed) == 4
+
+
+def _few_crystals(spark, folder):
+    spark.createDataFrame([(7 if k % 3 else 11, 4) for k in range(30)], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_equal_crystals_are_rebuilt_once_for_a_resolution(spark, tmp_path, handed):
+    rows = partition_queries.neighbours_by_resolution(spark, _few_crystals(spark, tmp_path)).collect()
+    assert handed == [2 * 4] and [r.n for r in rows] == [30] * 4
+
+
+def test_flooded_keys_are_found_once(spark, tmp_path, handed):
+    rows = partition_queries.partitioned_flood(spark, _few_crystals(spark, tmp_path))
+    assert handed[0] == 2 and rows.filter("step = 0").count() == 2
