@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import canonical, partitioned
 from ..sources import results
 from ..sources import tables as T
-from ..storage import shared_dir
-from .crystal_queries import _keys, _text
+from ..storage import shared_dir, written
+from .crystal_queries import _crystals, _text
 from .store_queries import _EDGE, _POINT
 
 QUERIES: dict = {}
@@ -109,7 +109,9 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g11_partitioned_flood")
 def partitioned_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps of flooding over sixteen partitions from every key, a flood for each list of labels."""
-    keys = _keys(spark, sf_dir).filter("key is not null").select("key", "labels").distinct()
+    alike = _crystals(spark, sf_dir).select(F.lit(0).alias("id"), "v", "labels", "coords").distinct()
+    keys = canonical.canonical_keys(canonical.spread(alike, "v", "labels", "coords"), T.DELTA)
+    keys = written(keys.filter("key is not null").select("key", "labels").distinct(), "keys")
     out = None
     for row in keys.select("labels").distinct().orderBy("labels").collect():  # a few compositions
         start = keys.filter(F.col("labels") == F.array(*map(F.lit, row.labels)))
@@ -127,5 +129,9 @@ def neighbours_by_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean number of neighbours and mean distance between a crystal and the one rebuilt from its key, by xi and delta."""
     rows = T.crystals(spark, sf_dir).select("id", F.transform("vectors", lambda v: v.cast("array<double>")).alias("cell"), F.transform("coords", lambda x: x / T.DELTA).alias("fractions"), "labels")
     grid = spark.createDataFrame(pd.DataFrame(_GRID, columns=["xi", "delta"]), "xi double, delta int")
-    found = canonical.resolution_rows(rows.crossJoin(F.broadcast(grid)))  # four resolutions
-    return found.groupBy("xi", "delta").agg(F.count("*").alias("n"), F.round(F.avg("neighbours"), 4).alias("neighbours"), F.round(F.avg("pdd"), 4).alias("pdd"))
+    # equal crystals are looked at once and count as often as they stand there
+    alike = rows.groupBy("cell", "fractions", "labels").agg(F.count("*").alias("crystals"))
+    alike = written(alike.withColumn("id", F.monotonically_increasing_id()), "crystals")
+    found = canonical.resolution_rows(alike.crossJoin(F.broadcast(grid))).join(alike.select("id", "crystals"), "id")  # four resolutions
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("crystals")) / F.sum("crystals"), 4).alias(c)
+    return found.groupBy("xi", "delta").agg(F.sum("crystals").alias("n"), mean("neighbours"), mean("pdd"))
