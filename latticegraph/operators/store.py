@@ -80,7 +80,7 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """edges without those that join a pair of gone, in either direction."""
-    both = gone.select("src", "dst").union(gone.select("dst", "src")).distinct()
+    both = gone.select("src", "dst").union(gone.select("dst", "src"))  # repeats do not matter to an anti-join
     return edges.join(both, ["src", "dst"], "left_anti")
 
 

@@ -49,3 +49,13 @@ def test_paths_are_resampled_in_one_shuffle_without_tables_of_groups(spark, tmp_
     assert sorted(map(tuple, got.collect())) == answer(tmp_path, crystal_queries.ORACLE_SQL["w3_resampled_paths"], "lineitem")
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "HashAggregate" not in plan and plan.count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("name", ["u4_deleted_edges", "j16_nearest_end_pair"])
+def test_edges_need_no_hash_table(spark, parts, name):
+    rows = [(k % 9 + 1, k * k % 13 + 1) for k in range(200)] + [(4, 4)] * 3
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{parts}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 7 + 1) for k in range(1, 14)], "p_partkey long, p_size int").write.mode("overwrite").parquet(f"{parts}/part.parquet")
+    got = relational_queries.QUERIES[name](spark, parts)
+    assert sorted(map(tuple, got.collect())) == answer(parts, relational_queries.ORACLE_SQL[name], "lineitem", "part")
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
