@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from latticegraph.operators import sublattice
+from latticegraph.operators import sublattice, supersteps
 from latticegraph.plans import crystal_queries, relational_queries, store_queries
 
 
@@ -59,3 +59,13 @@ def test_edges_need_no_hash_table(spark, parts, name):
     got = relational_queries.QUERIES[name](spark, parts)
     assert sorted(map(tuple, got.collect())) == answer(parts, relational_queries.ORACLE_SQL[name], "lineitem", "part")
     assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+def test_ways_are_put_together_from_leaps(spark, monkeypatch):
+    rows, plain = {}, supersteps.written
+    monkeypatch.setattr(supersteps, "written", lambda df, name="step": rows.setdefault(name, []).append(df.count()) or plain(df, name))
+    links = spark.createDataFrame([(k, k - 1 if k % 1000 else None) for k in range(2000)], "id long, parent long")
+    ends = [999, 998, 700, 1300, 0]
+    got = supersteps.paths_along(links, spark.createDataFrame([(k,) for k in ends], "id long")).collect()
+    assert sorted((r.goal, r.hop, r.id) for r in got) == sorted((e, h, e - h) for e in ends for h in range(e % 1000 + 1))
+    assert max(rows["ways"]) == sum(e % 1000 // 256 + 1 for e in ends)
