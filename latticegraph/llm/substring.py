@@ -1,23 +1,28 @@
 """Near-duplicate passages with compact windows.
 
-A text is a sequence of five-word shingles. For each of HASHES hash functions, all subsequences of at least WINDOW
-shingles (50 words) whose smallest hash stands at the same place form one compact window (l, c, r): every start in
-[l, c] with every end in [c, r]. The windows are the nodes of the Cartesian tree of the hash values whose spans are
-long enough; only places that are the minimum of some stretch of WINDOW shingles have one, and the nearest smaller
-place on either side of such a place is another such place, so the tree is built over those alone.
-
-Windows of different documents with one signature (hash function and value) link their passages. Each window links to
-the earliest window of its signature and to the nearest one before it in the order of ids, so a group of any size gives
-at most twice as many links as it has members. The links of a pair of documents are interval-joined: stretches on which
-at least AGREE hash functions collide, on diagonals that follow each other within GAP words, are candidates. A candidate
-is verified on the shingles themselves: equal shingles of both sides are chained in order, whatever words were inserted,
+A text is a sequence of five-word shingles. All subsequences of at least RUN shingles whose smallest hash stands at the
+same place form one compact window (l, c, r): every start in [l, c] with every end in [c, r]. The windows are the nodes
+of the Cartesian tree of the hash values whose spans are long enough; only places that are the minimum of some stretch
+of RUN shingles have one, and the nearest smaller place on either side of such a place is another such place, so the
+tree is built over those alone. Two texts that share RUN shingles in a row share the smallest of them, so they have a
+window with one value at the same word. Passages of 50 words at a Jaccard similarity of 0.8 differ by at most one edit
+for every 45 shingles, so they share 21 in a row unless shingles repeat inside the passage; RUN is that.
+
+The places of windows that more than one document has are anchors. The surroundings of an anchor are the shingles within
+REACH of it that another document has near an anchor too, with their distances; all others match nothing, whatever they
+are. Occurrences of one anchor with equal surroundings are a class, so a passage between different texts is one class
+however many documents hold it. Every member of a class is compared with its earliest and with the earliest holder of
+the anchor, and different classes of an anchor are compared all with all by their earliest members. So two documents
+with a similar passage are compared, or are members of two classes that are. The anchors of a pair of documents are
+interval-joined: stretches around them on diagonals that follow each other closely are candidates. A candidate is verified on the shingles themselves: equal shingles of both sides are chained in order, whatever words were inserted,
 deleted or replaced between them. Maximal stretches of the chain, bridged over short gaps, count if they hold at least
 50 words on both sides and their shingle sets have a Jaccard similarity of at least SIMILARITY. Of a stretch that is not
 similar enough as a whole, the maximal parts that are count.
 
 Documents with equal texts are a class: the earliest stands for it in all this, and each other one of 50 words or more
-is reported once, as a whole, against it. Passages shared by many documents are reported for every document but the
-earliest; two documents that share a passage only through an earlier third are in one class by way of it.
+is reported once, as a whole, against it. Passages with equal surroundings are reported for every document but the
+earliest, against it; their other pairs follow from that. The work is in proportion to the text but for passages that
+many documents hold in many different forms: their forms are compared all with all.
 
 Defined results: null texts count as empty; texts of fewer than 50 words have no passage; repeats inside one document
 are not reported; rows with a null or repeated id are told apart by their text, and copies of one id are not passages
@@ -33,14 +38,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column, doc_chunks, has_repeated_ids, materialize, mix, release, rows_with, scratch, shingle_hashes, sliding_min, small_side, thrifty, utf8_views, word_table
+from .common import _BASE, _BASE_INV, U64, column, doc_chunks, has_repeated_ids, materialize, mix, powers, release, rows_with, scratch, shingle_hashes, sliding_min, small_side, thrifty, utf8_views, word_table
 
 SHINGLE = 5
 WORDS = 50
 WINDOW = WORDS - SHINGLE + 1
-HASHES = 4
-AGREE = 2
+#: Shingles in a row that any two similar passages have in common.
+RUN = 21
+#: Shingles on either side of an anchor that tell its surroundings; a similar part with one edit lies within.
+REACH = 2 * WINDOW
 SIMILARITY = 0.8
+#: Of equal anchors of a document, one for so many places is enough: REACH is wider by more than that than a part with one edit.
+THIN = 32
+#: Shingles that similar passages of WINDOW shingles have in common.
+FEWEST = 37
 #: Words without a match that a passage may bridge.
 GAP = 12
 
@@ -91,7 +102,7 @@ def compact_windows(sh: np.ndarray, seed: int, window: int = WINDOW) -> tuple[np
 
 
 def _window_table(keyed: DataFrame, key_type: str) -> DataFrame:
-    names = ["signature", "key", "c", "l", "r"]
+    """signature, key and c of all compact windows."""
 
     def run(batches):
         for batch in batches:
@@ -102,14 +113,60 @@ def _window_table(keyed: DataFrame, key_type: str) -> DataFrame:
                     a, b = first[i], first[j]
                     own = first[i : j + 1] - a
                     sh = _doc_shingles(words[a:b], own)
-                    for f in range(HASHES):
-                        value, c, left, right = compact_windows(sh, f + 1)
-                        doc = np.searchsorted(own, c, side="right") - 1
-                        signature = (value & ~U64(HASHES - 1)) | U64(f)
-                        ints = [pa.array((x - own[doc]).astype(np.int32)) for x in (c, left, right)]
-                        yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), part.column(0).take(pa.array(doc + i)), *ints], names)
+                    c = compact_windows(sh, 1, RUN)[1]
+                    doc = np.searchsorted(own, c, side="right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(sh[c].view(np.int64)), part.column(0).take(pa.array(doc + i)), pa.array((c - own[doc]).astype(np.int32))], ["signature", "key", "c"])
 
-    return keyed.mapInArrow(thrifty(run), f"signature long, key {key_type}, c int, l int, r int")
+    return keyed.mapInArrow(thrifty(run), f"signature long, key {key_type}, c int")
+
+
+def _near_shingles(batches):
+    """Rows (key, text, anchors): the shingles within REACH of an anchor; the bit below the place tells anchors."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            words, first = word_table(*utf8_views(part.column(1)))
+            sh = _doc_shingles(words, first)
+            lists = part.column(2)
+            offsets = np.asarray(lists.offsets)
+            doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+            c = np.asarray(lists.flatten()).astype(np.int64) + first[doc]
+            step = np.zeros(len(sh) + 1, np.int64)
+            np.add.at(step, np.maximum(c - REACH, first[doc]), 1)
+            np.add.at(step, np.minimum(c + REACH + 1, first[doc + 1]), -1)
+            at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (sh != 0))
+            marked = np.zeros(len(sh), np.int64)
+            marked[c] = 1
+            doc = np.searchsorted(first, at, side="right") - 1
+            place = (at - first[doc]) << 1 | marked[at]
+            yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place)], ["signature", "key", "place"])
+
+
+def _surroundings(batches):
+    """Rows (key, shared shingles): signature, key, c and a hash of the surroundings of each anchor with enough of them."""
+    for batch in batches:
+        lists = batch.column(1)
+        offsets = np.asarray(lists.offsets)
+        rows = lists.flatten()
+        places, values = (np.asarray(rows.field(k)).astype(np.int64) for k in ("place", "signature"))
+        out = []
+        for k, (a, b) in enumerate(zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])):
+            order = np.argsort(places[a:b])
+            at, own = places[a:b][order] >> 1, values[a:b][order].view(U64)
+            anchor = np.flatnonzero(places[a:b][order] & 1)
+            base = int(at[0])
+            total = np.zeros(len(at) + 1, U64)
+            np.cumsum(mix(own) * powers(_BASE, int(at[-1]) - base + 1)[at - base], out=total[1:])
+            c = at[anchor]
+            i, j = np.searchsorted(at, c - REACH), np.searchsorted(at, c + REACH, side="right")
+            around = mix((total[j] - total[i]) * powers(_BASE_INV, int(at[-1]) - base + 1)[c - base])
+            keep = np.flatnonzero(j - i >= FEWEST)
+            _, one = np.unique(np.stack([own[anchor][keep], (c[keep] // THIN).astype(U64)]), axis=1, return_index=True)
+            keep = keep[one]
+            out.append((np.full(len(keep), k), own[anchor][keep], c[keep], around[keep]))
+        if out:
+            row, own, c, around = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(around.view(np.int64))], ["signature", "key", "c", "around"])
 
 
 def _previous(batches):
@@ -147,7 +204,7 @@ def _previous(batches):
 
 
 def _candidates(key_type: str):
-    """Rows (key, source, links): stretches of near diagonals on which enough hash functions collide."""
+    """Rows (key, source, links): stretches of near diagonals around anchors."""
     names = ["key", "source", "low", "high", "source_low", "source_high", "n_hashes"]
 
     def run(batches):
@@ -155,16 +212,15 @@ def _candidates(key_type: str):
             lists = batch.column(2)
             counts = np.diff(np.asarray(lists.offsets))
             links = lists.flatten()
-            c, left, right, sc, sl, sr, f = (np.asarray(links.field(k)).astype(np.int64) for k in ("c", "l", "r", "sc", "sl", "sr", "f"))
+            c, sc = (np.asarray(links.field(k)).astype(np.int64) for k in ("c", "sc"))
             row, d = np.repeat(np.arange(len(counts)), counts), c - sc
-            low = c - np.minimum(np.minimum(c - left, sc - sl), WINDOW)
-            high = c + np.minimum(np.minimum(right - c, sr - sc), WINDOW)
-            # diagonals that follow each other within GAP are one band
+            low, high = c - np.minimum(np.minimum(c, sc), REACH), c + REACH
+            # diagonals that follow each other within GAP, and those that thinning has moved, are one band
             order = np.lexsort((d, row))
             band = np.zeros(len(row), np.int64)
-            band[order] = np.cumsum(np.concatenate([[0], (np.diff(row[order]) != 0) | (np.diff(d[order]) > GAP)])[: len(row)])
+            band[order] = np.cumsum(np.concatenate([[0], (np.diff(row[order]) != 0) | (np.diff(d[order]) > GAP + THIN)])[: len(row)])
             order = np.lexsort((low, band))
-            row, d, low, high, f, band = (x[order] for x in (row, d, low, high, f, band))
+            row, d, low, high, band = (x[order] for x in (row, d, low, high, band))
             fresh = np.ones(len(row), bool)
             fresh[1:] = np.diff(band) != 0
             base = band << 32
@@ -174,13 +230,11 @@ def _candidates(key_type: str):
             agree = np.zeros(0, np.int64)
             if len(begin):
                 end = np.append(begin[1:], len(row)) - 1
-                agree = np.bitwise_count(np.bitwise_or.reduceat(1 << f, begin))
-                keep = np.flatnonzero(agree >= AGREE)
+                agree = np.diff(np.append(begin, len(row)))
                 lowest, nearest = np.minimum.reduceat(low, begin), np.minimum.reduceat(low - d, begin)
                 highest = np.maximum.reduceat(high - d, begin) + 1
                 # both sides reach GAP further, where an insertion may have moved the ends
                 columns = (np.maximum(lowest - GAP, 0), furthest[end] + 1 + GAP, np.maximum(nearest - GAP, 0), highest + GAP, agree)
-                begin, columns = begin[keep], [x[keep] for x in columns]
             else:
                 columns = [agree] * 5
             index = pa.array(row[begin])
@@ -348,7 +402,7 @@ def _verify(batches):
 
 def duplicate_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start_word, end_word, source_<id>, source_start, source_end, n_hashes and similarity of each passage that an
-    earlier document holds too (ends are exclusive)."""
+    earlier document holds too (ends are exclusive); n_hashes counts the anchors that led to it, one for a whole text."""
     by_text = has_repeated_ids(docs, id_col)
     sha = F.sha2(F.coalesce(column(text_col), F.lit("")), 256)
     if by_text:
@@ -360,7 +414,7 @@ def duplicate_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     with scratch() as keep:
         copies = keep(materialize(_copies(keyed), "copies"))
         whole = copies.filter((F.col("n_words") >= WORDS) & ~out_id("key").eqNullSafe(out_id("source")))
-        whole = whole.select(out_id("key"), F.lit(0), "n_words", out_id("source"), F.lit(0), "n_words", F.lit(HASHES), F.lit(1.0))
+        whole = whole.select(out_id("key"), F.lit(0), "n_words", out_id("source"), F.lit(0), "n_words", F.lit(1), F.lit(1.0))
         found = keep(materialize(_passages(rows_with(keyed, "key", small_side(copies.select("key")), "left_anti")), "passages"))
         found = found.filter(~out_id("key").eqNullSafe(out_id("source")))
         found = found.select(out_id("key"), "start", "end", out_id("source"), "source_start", "source_end", "n_hashes", "similarity")
@@ -380,19 +434,32 @@ def _passages(keyed: DataFrame) -> DataFrame:
     key_type = keyed.schema["key"].dataType.simpleString()
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = materialize(_window_table(keyed, key_type), "windows")
-    again = materialize(windows.groupBy("signature").count().filter("count > 1").select("signature"), "signatures")
-    shared = materialize(windows.join(again, "signature", "left_semi"), "shared-windows")
+    held_by_two = lambda rows: rows.groupBy("signature").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("signature")
+    again = materialize(held_by_two(windows), "signatures")
+    # lists of a document are bounded by its words
+    anchors = windows.join(again, "signature", "left_semi").groupBy("key").agg(F.collect_list("c").alias("anchors"))
+    near = keyed.join(anchors, "key").select("key", "text", "anchors").mapInArrow(thrifty(_near_shingles), f"signature long, key {key_type}, place long")
+    near = materialize(near, "near-shingles")
     release(windows)
-    hub = shared.groupBy("signature").agg(F.min(F.struct("key", "c", "l", "r")).alias("hub"), F.max("key").alias("last"))
-    hub = materialize(hub.filter("hub.key < last").select("signature", "hub"), "earliest-windows")
-    f = F.col("signature").bitwiseAND(F.lit(HASHES - 1))
-    first = shared.join(hub, "signature").filter(F.col("key") != F.col("hub.key"))
-    first = first.select("key", F.col("hub.key").alias("source"), F.struct("c", "l", "r", F.col("hub.c").alias("sc"), F.col("hub.l").alias("sl"), F.col("hub.r").alias("sr"), f.alias("f")).alias("link"))
-    # ranges of (signature, key) split even a signature that most documents have
-    dealt = shared.repartitionByRange(n, "signature", "key").sortWithinPartitions("signature", "key", "c")
-    before = dealt.mapInArrow(thrifty(_previous), f"signature long, key {key_type}, source {key_type}, c int, l int, r int, sc int, sl int, sr int")
-    before = before.select("key", "source", F.struct("c", "l", "r", "sc", "sl", "sr", f.alias("f")).alias("link"))
-    pairs = first.union(before).groupBy("key", "source").agg(F.collect_set("link").alias("links"))
+    shared = near.join(materialize(held_by_two(near), "shared-shingles"), "signature", "left_semi")
+    shared = shared.groupBy("key").agg(F.collect_list(F.struct("place", "signature")).alias("shared"))
+    placed = shared.mapInArrow(thrifty(_surroundings), f"signature long, key {key_type}, c int, around long")
+    placed = materialize(placed.groupBy("signature", "around", "key").agg(F.min("c").alias("c")), "anchors")
+    release(near)
+    here = F.struct("key", "c")
+    classes = materialize(placed.groupBy("signature", "around").agg(F.min(here).alias("first"), F.max(here).alias("last")), "classes")
+    link = lambda a, b: [F.col(f"{a}.key").alias("key"), F.col(f"{b}.key").alias("source"), F.struct(F.col(f"{a}.c").alias("c"), F.col(f"{b}.c").alias("sc")).alias("link")]
+    own = placed.withColumn("own", here)
+    to_class = own.join(classes.filter("first.key < last.key"), ["signature", "around"]).filter("own.key > first.key").select(*link("own", "first"))
+    hub = materialize(classes.groupBy("signature").agg(F.min("first").alias("hub"), F.max("last").alias("end"), F.count("*").alias("n")).filter("n > 1 and hub.key < end.key").select("signature", "hub"), "earliest")
+    to_hub = own.join(hub, "signature").filter("own.key > hub.key").select(*link("own", "hub"))
+    # two classes of one anchor by their first members; by a last one where both begin in the same document
+    many = classes.join(hub, "signature", "left_semi")
+    a, b = (many.select("signature", *(F.col(c).alias(f"{c}_{k}") for c in ("around", "first", "last"))) for k in "ab")
+    both = a.join(b, "signature").filter("around_a < around_b")
+    both = both.withColumn("y", F.expr("if(first_a.key = first_b.key, last_b, first_b)")).withColumn("x", F.expr("if(first_a.key = y.key, last_a, first_a)"))
+    between = both.filter("x.key > y.key").select(*link("x", "y")).union(both.filter("x.key < y.key").select(*link("y", "x")))
+    pairs = to_class.union(to_hub).union(between).groupBy("key", "source").agg(F.collect_set("link").alias("links"))
     found = pairs.mapInArrow(thrifty(_candidates(key_type)), f"key {key_type}, source {key_type}, low int, high int, source_low int, source_high int, n_hashes int")
     found = materialize(found.withColumn("pid", F.monotonically_increasing_id()), "candidates")
     sides = found.select("key", "pid", F.lit(0).alias("side"), "low", "high").union(found.select("source", "pid", F.lit(1), "source_low", "source_high"))

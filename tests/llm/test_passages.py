@@ -105,3 +105,30 @@ def test_similar_parts_of_a_bridged_stretch():
                 if len(at) and at[0] == 0 and at[-1] == q - p - 1 and (np.diff(at) <= substring.GAP + substring.SHINGLE).all() and len(x & y) >= 0.8 * len(x | y):
                     ok.append((p, q))
         assert sorted(found) == [(p, q) for p, q in ok if not any((u, v) != (p, q) and u <= p and q <= v for u, v in ok)]
+
+
+def test_every_similar_pair_is_linked_or_in_linked_classes(spark):
+    """Against brute force over all pairs, with a common line inside the passages and other documents between their holders."""
+    rng = random.Random(11)
+    line, rows = words(rng, 36), {}
+    order = rng.sample(range(150), 150)
+    for k in range(25):
+        own = words(rng, 24)
+        passage = own[:8] + line + own[8:]
+        for place, kind in zip(order[2 * k : 2 * k + 2], ("exact", "substituted" if k % 2 else "inserted")):
+            rows[place] = words(rng, 25) + (edited(rng, passage, kind) if kind != "exact" else passage) + words(rng, 25)
+    chain, passage = sorted(order[50:56]), words(rng, 90)
+    for place in chain:
+        rows[place] = words(rng, 20) + passage + words(rng, 20)
+        passage = edited(rng, passage, "substituted")
+    for place in order[56:]:
+        rows[place] = words(rng, 20) + line + words(rng, 20)
+    text = {i: " ".join(w) for i, w in rows.items()}
+    shingles = {}
+    for i, w in rows.items():
+        hashes = np.array([hash(x) for x in w], np.int64).view(np.uint64)
+        shingles[i] = substring.shingle_hashes(hashes, substring.SHINGLE)
+    want = {(i, j) for j, i in itertools.combinations(sorted(rows), 2) if any(True for _ in substring.matching_stretches(shingles[i], shingles[j]))}
+    assert len(want) > 30
+    got = {(r.doc_id, r.source_doc_id) for r in substring.duplicate_passages(spark.createDataFrame(list(text.items()), SCHEMA)).collect()}
+    assert want == got
