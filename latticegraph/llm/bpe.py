@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import threading
 import unicodedata
 from concurrent.futures import ThreadPoolExecutor
@@ -70,6 +71,11 @@ def _read(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}, special
 
 
+#: Characters of a run of white space or of anything else that the encoder takes as one piece, quadratic in its length.
+RUN = 1024
+_BLANK = re.compile(r"\s{%d}" % (RUN + 1))
+
+
 def _kind(c: str) -> str:
     """L, N, O (other) or S (white space) by the pattern, or ? where editions of Unicode may differ."""
     if c.isascii():
@@ -137,9 +143,9 @@ class TreeBpe:
         return out
 
     def encode_array(self, text: str | None):
-        """Token ids of the whole text as a NumPy array, without lists in between; long texts as encode() does."""
+        """Token ids of the whole text as a NumPy array, without lists in between; texts with very long runs as encode() does."""
         text = text or ""
-        if len(text) <= self.leaf:
+        if len(text) <= self.leaf or max(map(len, text.split()), default=0) <= RUN and not _BLANK.search(text):
             return self.core.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
         return self.encode(text)
 

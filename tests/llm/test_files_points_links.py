@@ -49,6 +49,19 @@ def library_ids(texts):
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_long_texts_are_encoded_at_once_but_for_very_long_runs():
+    from latticegraph.llm import bpe
+
+    t = bpe.TreeBpe(BPE)
+    text = "Ein Satz, it's 12 <|endoftext|>  \n\n\u00e9t\u00e9! " * 400
+    for long, halved in ((text, False), (text + "x" * 5000 + " " + text, True), (text + " " * 5000 + text, True)):
+        t.joins = t.token_joins = t.windows = 0
+        got = list(t.encode_array(long))
+        assert (t.joins + t.token_joins + t.windows > 0) == halved
+        assert got == t.encode(long)
+
+
+
 @pytest.mark.parametrize("block", [1, 50, 1 << 16])
 def test_files_give_the_ids_of_the_library(spark, block):
     rows, docs = documents(spark, 60)
