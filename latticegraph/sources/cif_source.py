@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,6 +28,10 @@ from . import cif
 
 #: Files that a task reads.
 FILES = 500
+#: Data blocks of a packed file.
+BLOCKS = 5000
+#: Rows of a batch that is read.
+ROWS = 1000
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -40,7 +45,7 @@ def _files(path: str) -> list[str]:
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(top, recursive=True))
-    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".cif") and "/_drafts/" not in f.path)
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith((".cif", ".cifs")) and "/_drafts/" not in f.path)
 
 
 def _stem(file: str) -> str:
@@ -64,24 +69,44 @@ class CifReader(DataSourceReader):
     def _wanted(self, stem: str) -> bool:
         return any(fnmatchcase(stem, n) for n in self.names)
 
+    def _may_hold(self, file: str) -> bool:
+        """Whether a packed file may have blocks of a wanted name, by the first character of its blocks."""
+        first = unquote(file.rsplit("/", 1)[-1].removesuffix(".cifs").split("-", 1)[-1])
+        return any(n[:1] == first or n[:1] in ("*", "?", "[") for n in self.names)
+
     def partitions(self):
-        files = [f for f in _files(self.path) if self._wanted(_stem(f))]
-        return [_Files(files[k : k + FILES]) for k in range(0, len(files), FILES)] or [_Files([])]
+        found = _files(self.path)
+        files = [f for f in found if f.endswith(".cif") and self._wanted(_stem(f))]
+        packed = [_Files([f]) for f in found if f.endswith(".cifs") and self._may_hold(f)]
+        return [_Files(files[k : k + FILES]) for k in range(0, len(files), FILES)] + packed or [_Files([])]
 
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+    def _texts(self, files: list[str]) -> Iterator[tuple[str, str]]:
+        """Name and text of every wanted crystal."""
         store, _ = _place(self.path)
-        schema, rows = to_arrow_schema(self.schema), []
-        for file in partition.files:
+        for file in files:
             with store.open_input_stream(file) as stream:
-                row = {"structure_id": _stem(file), **cif.parse(stream.read().decode())}
+                text = stream.read().decode()
+            if file.endswith(".cif"):
+                yield _stem(file), text
+                continue
+            blocks = re.split(r"^data_(.*)\n", text, flags=re.M)[1:]
+            yield from ((name, block) for name, block in zip(blocks[::2], blocks[1::2]) if self._wanted(name))
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        schema, rows = to_arrow_schema(self.schema), []
+        for name, text in self._texts(partition.files):
+            row = {"structure_id": name, **cif.parse(text)}
             row["atoms"] = [dict(zip(("element", "x", "y", "z", "occupancy"), a)) for a in row["atoms"]]
             rows.append(row)
+            if len(rows) == ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 class CifWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+    def __init__(self, path: str, overwrite: bool, packed: bool = False):
+        self.path, self.overwrite, self.packed, self.job = path, overwrite, packed, uuid.uuid4().hex
 
     def write(self, iterator) -> _Written:
         store, top = _place(self.path)
@@ -89,11 +114,29 @@ class CifWriter(DataSourceWriter):
         name = f"part-{context.partitionId()}-{self.job}"
         folder = f"{top}/_drafts/{self.job}/{context.taskAttemptId()}/{name}"
         store.create_dir(folder, recursive=True)
+        held: dict[str, list[str]] = {}
+        number = 0
+
+        def flush(first):
+            nonlocal number
+            with store.open_output_stream(f"{folder}/{number:06d}-{quote(first, safe='')}.cifs") as stream:
+                stream.write("\n".join(held.pop(first) + [""]).encode())
+            number += 1
+
         for row in iterator:
-            if not row.structure_id or "/" in row.structure_id:
-                raise ValueError(f"no name for a file: {row.structure_id!r}")
-            with store.open_output_stream(f"{folder}/{row.structure_id}.cif") as stream:
-                stream.write(cif.text_of(row.asDict(recursive=True)).encode())
+            name = row.structure_id
+            if not name or "/" in name or self.packed and len(name.splitlines()) > 1:
+                raise ValueError(f"no name for a file: {name!r}")
+            text = cif.text_of(row.asDict(recursive=True))
+            if self.packed:
+                held.setdefault(name[0], []).append(text)
+                if len(held[name[0]]) == BLOCKS:
+                    flush(name[0])
+                continue
+            with store.open_output_stream(f"{folder}/{name}.cif") as stream:
+                stream.write(text.encode())
+        for first in list(held):
+            flush(first)
         return _Written(folder)
 
     def commit(self, messages) -> None:
@@ -129,7 +172,7 @@ class CifSource(DataSource):
         return CifReader(self.options["path"], self.options.get("names", "*"), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> CifWriter:
-        return CifWriter(self.options["path"], overwrite)
+        return CifWriter(self.options["path"], overwrite, self.options.get("packed", "false").lower() == "true")
 
 
 def register(spark: SparkSession) -> None:

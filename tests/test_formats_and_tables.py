@@ -47,6 +47,22 @@ def test_files_come_back_and_names_prune(spark, tmp_path):
         rows().collect()
 
 
+def test_packed_files_come_back_and_names_prune(spark, tmp_path):
+    cif_source.register(spark)
+    folder = f"{tmp_path}/packed"
+    want = structures(spark, [f"{p}{k}" for p in ("a", "b", "-", "%", "1 data_") for k in range(12)]).repartition(3)
+    want.write.format("cif").option("packed", "true").mode("append").save(folder)
+    assert len(list((tmp_path / "packed").rglob("*.cif*"))) <= 15
+    rows = lambda names="*": spark.read.format("cif").option("names", names).load(folder)
+    same(rows(), want)
+    (tmp_path / "packed" / "000000-c.cifs").write_text("data_c1\nbroken\n")
+    for p in "ab-%1":
+        same(rows(f"{p}*"), want.filter(F.col("structure_id").startswith(p)))
+    same(rows("a1, b2"), want.filter("structure_id in ('a1', 'b2')"))
+    with pytest.raises(Exception, match="missing"):
+        rows().collect()
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     cif_source.register(spark)
     folder = tmp_path / "out"
