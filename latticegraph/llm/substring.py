@@ -19,6 +19,9 @@ deleted or replaced between them. Maximal stretches of the chain, bridged over s
 50 words on both sides and their shingle sets have a Jaccard similarity of at least SIMILARITY. Of a stretch that is not
 similar enough as a whole, the maximal parts that are count.
 
+The pairs of passages of n edited copies of one text are n squared over two. passage_classes() therefore gives the classes
+that all pairs lead to, without comparing those that are in one class already: see _class_links().
+
 Documents with equal texts are a class: the earliest stands for it in all this, and each other one of 50 words or more
 is reported once, as a whole, against it. Passages with equal surroundings are reported for every document but the
 earliest, against it; their other pairs follow from that. The work is in proportion to the text but for passages that
@@ -32,13 +35,15 @@ of each other; an empty table gives an empty result; other columns are ignored,
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BASE, _BASE_INV, U64, column, doc_chunks, has_repeated_ids, materialize, mix, powers, release, rows_with, scratch, shingle_hashes, sliding_min, small_side, thrifty, utf8_views, word_table
+from .components import connected_components
 
 SHINGLE = 5
 WORDS = 50
@@ -52,6 +57,8 @@ SIMILARITY = 0.8
 THIN = 32
 #: Shingles that similar passages of WINDOW shingles have in common.
 FEWEST = 37
+#: Anchors in common with an earliest holder from which on a row is held against it before all others.
+AGREE = 3
 #: Words without a match that a passage may bridge.
 GAP = 12
 
@@ -121,7 +128,7 @@ def _window_table(keyed: DataFrame, key_type: str) -> DataFrame:
 
 
 def _near_shingles(batches):
-    """Rows (key, text, anchors): the shingles within REACH of an anchor; the bit below the place tells anchors."""
+    """Rows (key, text, anchors, owner): the shingles within REACH of an anchor; the bit below the place tells anchors."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -139,11 +146,13 @@ def _near_shingles(batches):
             marked[c] = 1
             doc = np.searchsorted(first, at, side="right") - 1
             place = (at - first[doc]) << 1 | marked[at]
-            yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place)], ["signature", "key", "place"])
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), part.column(0).take(doc), part.column(3).take(doc), pa.array(place)], ["signature", "key", "owner", "place"])
 
 
 def _surroundings(batches):
-    """Rows (key, shared shingles): signature, key, c and a hash of the surroundings of each anchor with enough of them."""
+    """Rows (key, shared shingles): signature, key, c, a hash of the surroundings of each anchor with enough of them, and
+    the shingles in these with their numbers."""
     for batch in batches:
         lists = batch.column(1)
         offsets = np.asarray(lists.offsets)
@@ -163,10 +172,14 @@ def _surroundings(batches):
             keep = np.flatnonzero(j - i >= FEWEST)
             _, one = np.unique(np.stack([own[anchor][keep], (c[keep] // THIN).astype(U64)]), axis=1, return_index=True)
             keep = keep[one]
-            out.append((np.full(len(keep), k), own[anchor][keep], c[keep], around[keep]))
+            kinds = [np.unique(own[x:y], return_counts=True) for x, y in zip(i[keep].tolist(), j[keep].tolist())]
+            sizes = np.fromiter((len(x) for x, _ in kinds), np.int64, len(kinds))
+            out.append((np.full(len(keep), k), own[anchor][keep], c[keep], around[keep], sizes, *(np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*kinds) if kinds else ((), ()), (U64, np.int64)))))
         if out:
-            row, own, c, around = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(around.view(np.int64))], ["signature", "key", "c", "around"])
+            row, own, c, around, sizes, kind, number = (np.concatenate(x) for x in zip(*out))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            shingles = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(kind.view(np.int64)), pa.array(number.astype(np.int32))], ["shingle", "number"]))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(around.view(np.int64)), shingles], ["signature", "key", "c", "around", "shingles"])
 
 
 def _previous(batches):
@@ -382,8 +395,17 @@ def matching_stretches(a: np.ndarray, b: np.ndarray, similarity: float = SIMILAR
                 yield int(i[s + u]), int(i[s + v]) + 1, int(j[s + u]), int(j[s + v]) + 1, part
 
 
-def _verify(batches):
-    """Rows sorted by (pid, side), two for each pid."""
+def _too_few(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no parts of a and b can be similar: without repeats inside a, a part has FEWEST shingles of b."""
+    return int(np.isin(a, b).sum()) < FEWEST and len(np.unique(a)) == len(a)
+
+
+def _verify_one(batches):
+    return _verify(batches, True)
+
+
+def _verify(batches, one: bool = False):
+    """Rows sorted by (pid, side), two for each pid; of each pid all passages or one, if there is one."""
     names = ["pid", "start", "end", "source_start", "source_end", "similarity"]
     held = None
     for batch in batches:
@@ -393,22 +415,27 @@ def _verify(batches):
                 held = (pid, low, cut)
                 continue
             a, b = np.frombuffer(held[2], U64), np.frombuffer(cut, U64)
-            for i, j, k, m, s in matching_stretches(a, b):
+            met = matching_stretches(a, b) if not one else () if _too_few(a, b) else itertools.islice(matching_stretches(a, b), 1)
+            for i, j, k, m, s in met:
                 for c, v in zip(out, (pid, held[1] + i, held[1] + j + SHINGLE - 1, low + k, low + m + SHINGLE - 1, s)):
                     c.append(v)
             held = None
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.int32()) for c in out[1:5]), pa.array(out[5], pa.float64())], names)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """key and text of the rows, and whether a key is an id with the digest of its text."""
+    by_text = has_repeated_ids(docs, id_col)
+    if not by_text:
+        return docs.select(column(id_col).alias("key"), column(text_col).alias("text")), False
+    sha = F.sha2(F.coalesce(column(text_col), F.lit("")), 256)
+    return docs.select(F.struct(column(id_col).alias("id"), sha.alias("sha")).alias("key"), column(text_col).alias("text")).dropDuplicates(["key"]), True
+
+
 def duplicate_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start_word, end_word, source_<id>, source_start, source_end, n_hashes and similarity of each passage that an
     earlier document holds too (ends are exclusive); n_hashes counts the anchors that led to it, one for a whole text."""
-    by_text = has_repeated_ids(docs, id_col)
-    sha = F.sha2(F.coalesce(column(text_col), F.lit("")), 256)
-    if by_text:
-        keyed = docs.select(F.struct(column(id_col).alias("id"), sha.alias("sha")).alias("key"), column(text_col).alias("text")).dropDuplicates(["key"])
-    else:
-        keyed = docs.select(column(id_col).alias("key"), column(text_col).alias("text"))
+    keyed, by_text = _keyed(docs, id_col, text_col)
     out_id = lambda c: F.col(c)["id"] if by_text else F.col(c)
     names = [id_col, "start_word", "end_word", f"source_{id_col}", "source_start", "source_end", "n_hashes", "similarity"]
     with scratch() as keep:
@@ -421,6 +448,30 @@ def duplicate_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return found.toDF(*names).union(whole.toDF(*names))
 
 
+def passage_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and class_id (the smallest id that similar passages lead to) of each document but the first of its class.
+
+    The classes are those of all links of duplicate_passages(). Each row has one of the passages that link the document:
+    start_word, end_word, source_<id>, source_start, source_end and similarity; its source may be later in order.
+    """
+    keyed, by_text = _keyed(docs, id_col, text_col)
+    out_id = lambda c: F.col(c)["id"] if by_text else F.col(c)
+    sides = ["start", "end", "source_start", "source_end"]
+    with scratch() as keep:
+        copies = materialize(_copies(keyed), "copies")
+        whole = copies.filter(F.col("n_words") >= WORDS).select("key", F.lit(0).alias("start"), F.col("n_words").alias("end"), "source", F.lit(0).alias("source_start"), F.col("n_words").alias("source_end"), F.lit(1.0).alias("similarity"))
+        other = ~out_id("key").eqNullSafe(out_id("source"))
+        found = _class_links(rows_with(keyed, "key", small_side(copies.select("key")), "left_anti"), other)
+        links = keep(materialize(found.union(whole.filter(other)), "links"))
+        classes = keep(materialize(connected_components(links, "key", "source"), "classes"))
+    turned = links.select(F.col("source").alias("key"), F.col("source_start").alias("start"), F.col("source_end").alias("end"), F.col("key").alias("source"), F.col("start").alias("source_start"), F.col("end").alias("source_end"), "similarity")
+    # the longest, then the earliest source
+    best = F.max_by(F.struct("source", *sides, "similarity"), F.struct(F.col("end") - F.col("start"), "similarity", -F.col("start"), -F.col("source_start"), "source"))
+    rows = links.union(turned).groupBy("key").agg(best.alias("best")).join(classes.filter("node > component"), F.col("key") == F.col("node"))
+    rows = rows.filter(~out_id("key").eqNullSafe(out_id("component"))).select("key", "component", "best.*")
+    return rows.select(out_id("key"), out_id("component"), "start", "end", out_id("source"), "source_start", "source_end", "similarity").toDF(id_col, "class_id", "start_word", "end_word", f"source_{id_col}", "source_start", "source_end", "similarity")
+
+
 def _copies(keyed: DataFrame) -> DataFrame:
     """key, source and n_words of the rows whose text an earlier row (source, the first of them) has too."""
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
@@ -429,42 +480,127 @@ def _copies(keyed: DataFrame) -> DataFrame:
     return rows.join(first, "sha").filter("key <> source").select("key", "source", "n_words")
 
 
-def _passages(keyed: DataFrame) -> DataFrame:
-    """key, start, end, source, source_start, source_end, n_hashes and similarity of passages of rows (key, text)."""
-    key_type = keyed.schema["key"].dataType.simpleString()
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _anchors(keyed: DataFrame, key_type: str) -> DataFrame:
+    """signature, key and c of the windows whose signature another row has too."""
     windows = materialize(_window_table(keyed, key_type), "windows")
-    held_by_two = lambda rows: rows.groupBy("signature").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("signature")
-    again = materialize(held_by_two(windows), "signatures")
-    # lists of a document are bounded by its words
-    anchors = windows.join(again, "signature", "left_semi").groupBy("key").agg(F.collect_list("c").alias("anchors"))
-    near = keyed.join(anchors, "key").select("key", "text", "anchors").mapInArrow(thrifty(_near_shingles), f"signature long, key {key_type}, place long")
-    near = materialize(near, "near-shingles")
+    again = windows.groupBy("signature").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("signature")
+    out = materialize(windows.join(materialize(again, "signatures"), "signature", "left_semi"), "anchors")
     release(windows)
-    shared = near.join(materialize(held_by_two(near), "shared-shingles"), "signature", "left_semi")
+    return out
+
+
+def _placed(keyed: DataFrame, anchors: DataFrame, key_type: str) -> DataFrame:
+    """signature, key, c, hash of the surroundings and the shingles in them, of anchors (signature, key, owner, c) that have
+    FEWEST shingles in common with other owners near theirs."""
+    # lists of a document are bounded by its words
+    lists = anchors.groupBy("key").agg(F.collect_list("c").alias("anchors"), F.first("owner").alias("owner"))
+    near = keyed.join(lists, "key").select("key", "text", "anchors", "owner").mapInArrow(thrifty(_near_shingles), f"signature long, key {key_type}, owner {key_type}, place long")
+    same = Window.partitionBy("signature")
+    shared = near.withColumn("a", F.min("owner").over(same)).withColumn("b", F.max("owner").over(same)).filter("a < b")
     shared = shared.groupBy("key").agg(F.collect_list(F.struct("place", "signature")).alias("shared"))
-    placed = shared.mapInArrow(thrifty(_surroundings), f"signature long, key {key_type}, c int, around long")
-    placed = materialize(placed.groupBy("signature", "around", "key").agg(F.min("c").alias("c")), "anchors")
-    release(near)
+    placed = shared.mapInArrow(thrifty(_surroundings), f"signature long, key {key_type}, c int, around long, shingles array<struct<shingle: long, number: int>>")
+    return placed
+
+
+def _link(a: str, b: str) -> list:
+    return [F.col(f"{a}.key").alias("key"), F.col(f"{b}.key").alias("source"), F.struct(F.col(f"{a}.c").alias("c"), F.col(f"{b}.c").alias("sc")).alias("link")]
+
+
+def _passages(keyed: DataFrame) -> DataFrame:
+    """key, start, end, source, source_start, source_end, n_hashes and similarity of passages of rows (key, text)."""
+    key_type = keyed.schema["key"].dataType.simpleString()
+    placed = _placed(keyed, _anchors(keyed, key_type).withColumn("owner", F.col("key")), key_type)
+    placed = materialize(placed.groupBy("signature", "around", "key").agg(F.min("c").alias("c")), "placed")
     here = F.struct("key", "c")
     classes = materialize(placed.groupBy("signature", "around").agg(F.min(here).alias("first"), F.max(here).alias("last")), "classes")
-    link = lambda a, b: [F.col(f"{a}.key").alias("key"), F.col(f"{b}.key").alias("source"), F.struct(F.col(f"{a}.c").alias("c"), F.col(f"{b}.c").alias("sc")).alias("link")]
     own = placed.withColumn("own", here)
-    to_class = own.join(classes.filter("first.key < last.key"), ["signature", "around"]).filter("own.key > first.key").select(*link("own", "first"))
+    to_class = own.join(classes.filter("first.key < last.key"), ["signature", "around"]).filter("own.key > first.key").select(*_link("own", "first"))
     hub = materialize(classes.groupBy("signature").agg(F.min("first").alias("hub"), F.max("last").alias("end"), F.count("*").alias("n")).filter("n > 1 and hub.key < end.key").select("signature", "hub"), "earliest")
-    to_hub = own.join(hub, "signature").filter("own.key > hub.key").select(*link("own", "hub"))
+    to_hub = own.join(hub, "signature").filter("own.key > hub.key").select(*_link("own", "hub"))
     # two classes of one anchor by their first members; by a last one where both begin in the same document
     many = classes.join(hub, "signature", "left_semi")
     a, b = (many.select("signature", *(F.col(c).alias(f"{c}_{k}") for c in ("around", "first", "last"))) for k in "ab")
     both = a.join(b, "signature").filter("around_a < around_b")
     both = both.withColumn("y", F.expr("if(first_a.key = first_b.key, last_b, first_b)")).withColumn("x", F.expr("if(first_a.key = y.key, last_a, first_a)"))
-    between = both.filter("x.key > y.key").select(*link("x", "y")).union(both.filter("x.key < y.key").select(*link("y", "x")))
+    between = both.filter("x.key > y.key").select(*_link("x", "y")).union(both.filter("x.key < y.key").select(*_link("y", "x")))
     pairs = to_class.union(to_hub).union(between).groupBy("key", "source").agg(F.collect_set("link").alias("links"))
+    return _verified(keyed, pairs, key_type, _verify)
+
+
+def _class_links(keyed: DataFrame, other) -> DataFrame:
+    """key, start, end, source, source_start, source_end and similarity of passages that join all rows (key, text) which
+    passages lead to from one another; other is the condition on key and source for a link.
+
+    The owner of a row is the earliest row that it is joined with so far. First each row is held against the two earliest
+    holders that it has most anchors with. Surroundings are then told by what other owners have there, so whether rows of
+    two owners match at an anchor follows from their surroundings: one pair of rows decides for two classes.
+    """
+    key_type = keyed.schema["key"].dataType.simpleString()
+    anchors = _anchors(keyed, key_type)
+    own = anchors.withColumn("own", F.struct("key", "c"))
+    hub = own.groupBy("signature").agg(F.min("own").alias("hub"))
+    pairs = own.join(hub, "signature").filter("own.key > hub.key").select(*_link("own", "hub")).groupBy("key", "source").agg(F.collect_set("link").alias("links"))
+    nearest = Window.partitionBy("key").orderBy(F.size("links").desc(), "source")
+    pairs = pairs.filter(F.size("links") >= AGREE).withColumn("n", F.row_number().over(nearest)).filter("n <= 2").drop("n")
+
+    def links(pairs, name):
+        return materialize(_verified(keyed, pairs, key_type, _verify_one).filter(other).select("key", "start", "end", "source", "source_start", "source_end", "similarity"), name)
+
+    def owned(rows, key, links):
+        """The rows of anchors that more than one owner has, with their owners by links."""
+        joined = connected_components(links, "key", "source").toDF(key, "joined")
+        rows = materialize(rows.join(joined, key, "left").withColumn("owner", F.coalesce("joined", key)).drop("joined"), "owned")
+        return rows.join(rows.groupBy("signature").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).filter("a < b").select("signature"), "signature", "left_semi")
+
+    def collected(rows, x, y):
+        """Pairs with their links, of rows with two places x and y of different owners."""
+        rows = rows.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"))
+        return rows.select(*_link("x", "y")).groupBy("key", "source").agg(F.collect_set("link").alias("links"))
+
+    found = links(pairs, "links-to-holders")
+    apart = materialize(owned(anchors, "key", found), "apart")
+    placed = _placed(keyed, apart, key_type).join(apart.select("key", "owner").distinct(), "key")
+    forms = materialize(placed.groupBy("signature", "around", "owner").agg(F.min(F.struct("key", "c")).alias("first"), F.first("shingles").alias("shingles")), "forms")
+    # the rows of a class against its earliest, and that against the earliest of the anchor
+    heads = materialize(forms.groupBy("signature", "around").agg(F.min(F.struct("first", "owner")).alias("head")), "heads")
+    hubs = heads.groupBy("signature").agg(F.min("head").alias("hub"))
+    near = forms.join(heads, ["signature", "around"]).filter("owner <> head.owner").select(F.col("first").alias("x"), F.col("head.first").alias("y"))
+    near = near.union(heads.join(hubs, "signature").filter("head.owner <> hub.owner").select("head.first", "hub.first"))
+    found = found.union(links(collected(near, "x", "y"), "links-to-classes"))
+    # different classes of an anchor, by rows of different owners
+    forms = materialize(owned(forms.withColumnRenamed("owner", "node"), "node", found), "open-forms")
+    by_owner = F.struct("owner", "first")
+    classes = forms.groupBy("signature", "around").agg(F.min(by_owner).alias("low"), F.max(by_owner).alias("high"), F.first("shingles").alias("shingles"))
+    # of two classes with FEWEST shingles in common, the rarest of these is in either not among the commonest FEWEST - 1
+    rare = classes.select("signature", "around", "low", "high", F.inline("shingles"))
+    same = Window.partitionBy("signature", "shingle")
+    rare = rare.withColumn("held", F.count("*").over(same)).withColumn("a", F.min("low.owner").over(same)).withColumn("b", F.max("high.owner").over(same)).filter("a < b")
+    commonest = Window.partitionBy("signature", "around").orderBy(F.col("held").desc(), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = materialize(rare.withColumn("so_far", F.sum("number").over(commonest)).filter(F.col("so_far") >= FEWEST).select("signature", "shingle", "around", "low", "high"), "rare-shingles")
+    a, b = (rare.select("signature", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("around", "low", "high"))) for k in "ab")
+    both = a.join(b, ["signature", "shingle"]).filter("around_a < around_b and not (low_a.owner = high_b.owner and high_a.owner = low_b.owner)")
+    both = both.drop("shingle").dropDuplicates(["signature", "around_a", "around_b"])
+    both = both.withColumn("x", F.expr("if(low_a.owner = low_b.owner and low_a.owner = high_b.owner, high_a, low_a)"))
+    both = both.withColumn("y", F.expr("if(x.owner = low_b.owner, high_b, low_b)")).select("signature", "around_a", "around_b", "x.first", "y.first").toDF("signature", "around_a", "around_b", "x", "y")
+    both = materialize(both, "class-pairs")
+    met = links(collected(both, "x", "y"), "links-between-classes")
+    found = found.union(met)
+    # what holds for two rows of two classes holds for all their rows
+    both = both.join(met.select(F.col("key").alias("k"), F.col("source").alias("s")), (F.greatest("x", "y")["key"] == F.col("k")) & (F.least("x", "y")["key"] == F.col("s")), "left_semi")
+    forms = materialize(owned(forms.withColumn("node", F.col("owner")).drop("owner"), "node", found), "last-forms")
+    ends = both.select("signature", F.col("around_a").alias("around"), F.col("y").alias("end")).union(both.select("signature", "around_b", "x"))
+    rest = forms.join(ends, ["signature", "around"])
+    return found.union(links(collected(rest.filter("first.key <> end.key"), "first", "end"), "links-of-the-rest"))
+
+
+def _verified(keyed: DataFrame, pairs: DataFrame, key_type: str, verify) -> DataFrame:
+    """key, start, end, source, source_start, source_end, n_hashes and similarity of the passages of pairs (key, source, links)."""
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pairs.mapInArrow(thrifty(_candidates(key_type)), f"key {key_type}, source {key_type}, low int, high int, source_low int, source_high int, n_hashes int")
     found = materialize(found.withColumn("pid", F.monotonically_increasing_id()), "candidates")
     sides = found.select("key", "pid", F.lit(0).alias("side"), "low", "high").union(found.select("source", "pid", F.lit(1), "source_low", "source_high"))
     # lists of bounded length, however many candidates a document has
     lists = sides.groupBy("key", F.shiftright("pid", 12)).agg(F.collect_list(F.struct("pid", "side", "low", "high")).alias("wanted")).select("key", "wanted")
     cut = keyed.join(lists, "key").select("text", "wanted").mapInArrow(thrifty(_cut_shingles), "pid long, side int, low int, cut binary")
-    met = cut.repartition(n, "pid").sortWithinPartitions("pid", "side").mapInArrow(thrifty(_verify), "pid long, start int, end int, source_start int, source_end int, similarity double")
+    met = cut.repartition(n, "pid").sortWithinPartitions("pid", "side").mapInArrow(thrifty(verify), "pid long, start int, end int, source_start int, source_end int, similarity double")
     return met.join(found.select("pid", "key", "source", "n_hashes"), "pid").drop("pid")

@@ -132,3 +132,53 @@ def test_every_similar_pair_is_linked_or_in_linked_classes(spark):
     assert len(want) > 30
     got = {(r.doc_id, r.source_doc_id) for r in substring.duplicate_passages(spark.createDataFrame(list(text.items()), SCHEMA)).collect()}
     assert want == got
+
+
+def classes_of(pairs):
+    head = {}
+    find = lambda x: x if head.get(x, x) == x else find(head[x])
+    for pair in pairs:
+        low, high = sorted(map(find, pair))
+        head[high] = low
+    return {(x, find(x)) for x in head if find(x) != x}
+
+
+def test_classes_are_those_of_all_similar_pairs(spark, monkeypatch):
+    """Against brute force over all pairs: edited copies, chains of edits, a common line, runs of one word; and no more is compared than grows with the rows."""
+    rng = random.Random(12)
+    passage, line, texts = words(rng, 90), words(rng, 36), []
+    for _ in range(60):
+        texts.append(words(rng, 20) + edited(rng, passage, rng.choice(("substituted", "inserted", "deleted"))) + words(rng, 20))
+    for kind in ("exact", "substituted", "inserted") * 4:
+        own = words(rng, 24)
+        own = own[:8] + line + own[8:]
+        texts += [words(rng, 25) + own + words(rng, 25), words(rng, 25) + edited(rng, own, kind) + words(rng, 25)]
+    moved = words(rng, 80)
+    for _ in range(8):
+        texts.append(words(rng, 20) + moved + words(rng, 20))
+        moved = edited(rng, moved, "substituted")
+    texts += [words(rng, 20) + line + words(rng, 20) for _ in range(40)]
+    texts += [words(rng, 30) + ["of"] * n + ["and"] * m + words(rng, 30) for n, m in ((30, 10), (30, 30), (49, 5), (60, 5), (140, 0), (20, 51), (33, 31))]
+    rng.shuffle(texts)
+    shingles = [substring.shingle_hashes(np.array([hash(x) for x in w], np.int64).view(np.uint64), substring.SHINGLE) for w in texts]
+    pairs = [(j, i) for j, i in itertools.combinations(range(len(texts)), 2) if any(True for _ in substring.matching_stretches(shingles[i], shingles[j]))]
+    compared, real = [], substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, name: [out := real(df, name), name == "candidates" and compared.append(out.count())][0])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, " ".join(texts[3])), (901, "of " * 9), (902, "of " * 9), (903, None)], SCHEMA)
+    got = substring.passage_classes(docs).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == classes_of([*pairs, (3, 900)]) and len(got) == len({r.doc_id for r in got})
+    assert len(pairs) > 1500 and sum(compared) < 4 * len(texts)
+    for r in got:
+        own, other = texts[r.doc_id % 897], texts[r.source_doc_id % 897]
+        assert 50 <= r.end_word - r.start_word and r.end_word <= len(own) and 50 <= r.source_end - r.source_start and r.source_end <= len(other)
+
+
+def test_classes_of_odd_tables(spark):
+    rng = random.Random(13)
+    p = " ".join(words(rng, 90))
+    rows = [(5, p), (5, p), (None, p + " tail"), (9, p), (7, "x"), (7, p + " end")]
+    got = {(r.doc_id, r.class_id) for r in substring.passage_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(5, None), (7, None), (9, None)}
+    named = spark.createDataFrame([("a", p), ("b", p + " tail")], "`key` string, `owner` string")
+    assert [tuple(r)[:2] for r in substring.passage_classes(named, id_col="key", text_col="owner").collect()] == [("b", "a")]
+    assert substring.passage_classes(spark.createDataFrame([], SCHEMA)).count() == 0
