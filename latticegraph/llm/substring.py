@@ -50,13 +50,18 @@ WORDS = 50
 WINDOW = WORDS - SHINGLE + 1
 #: Shingles in a row that any two similar passages have in common.
 RUN = 21
-#: Shingles on either side of an anchor that tell its surroundings; a similar part with one edit lies within.
+#: Shingles on either side of an anchor that are compared; a similar part with one edit lies within.
 REACH = 2 * WINDOW
+#: Shingles on either side that tell the surroundings of an anchor, FEWEST common ones among them: the run of the anchor,
+#: if shorter than FEWEST, has the rest beyond one edit, which takes at most 14 places of a text.
+NEAR = 58
 SIMILARITY = 0.8
-#: Of equal anchors of a document, one for so many places is enough: REACH is wider by more than that than a part with one edit.
+#: Of equal anchors of a document, one for so many places is enough; its surroundings reach to REACH, which is wider than NEAR by more than that.
 THIN = 32
 #: Shingles that similar passages of WINDOW shingles have in common.
 FEWEST = 37
+#: Turns of at most so many shingles that fill a window are linked by the window itself.
+CYCLE = WINDOW // 2
 #: Anchors in common with an earliest holder from which on a row is held against it before all others.
 AGREE = 3
 #: Words without a match that a passage may bridge.
@@ -108,8 +113,25 @@ def compact_windows(sh: np.ndarray, seed: int, window: int = WINDOW) -> tuple[np
     return value[c], c, left, right
 
 
+def cyclic_windows(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all windows of WINDOW shingles in which CYCLE shingles or fewer come again and again."""
+    n = len(sh) - WINDOW + 1
+    held = np.zeros(max(n, 0), bool)
+    for k in range(1, CYCLE + 1 if n > 0 else 1):
+        same = (sh[k:] == sh[:-k]) & (sh[k:] != 0)
+        if np.count_nonzero(same) >= WINDOW - k:
+            total = np.concatenate([[0], np.cumsum(same)])
+            held |= total[WINDOW - k :][:n] - total[:n] == WINDOW - k
+    at = np.flatnonzero(held)
+    if not len(at):
+        return at, np.zeros(0, U64)
+    total = np.zeros(len(sh) + 1, U64)
+    np.cumsum(mix(sh) * powers(_BASE, len(sh)), out=total[1:])
+    return at, mix((total[at + WINDOW] - total[at]) * powers(_BASE_INV, len(sh))[at])
+
+
 def _window_table(keyed: DataFrame, key_type: str) -> DataFrame:
-    """signature, key and c of all compact windows."""
+    """signature, key and c of all compact windows; and of cyclic windows, each once for a text, with -1 - c for c."""
 
     def run(batches):
         for batch in batches:
@@ -122,13 +144,25 @@ def _window_table(keyed: DataFrame, key_type: str) -> DataFrame:
                     sh = _doc_shingles(words[a:b], own)
                     c = compact_windows(sh, 1, RUN)[1]
                     doc = np.searchsorted(own, c, side="right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(sh[c].view(np.int64)), part.column(0).take(pa.array(doc + i)), pa.array((c - own[doc]).astype(np.int32))], ["signature", "key", "c"])
+                    value, place = sh[c], c - own[doc]
+                    c, turns = cyclic_windows(sh)
+                    if len(c):
+                        of = np.searchsorted(own, c, side="right") - 1
+                        _, one = np.unique(np.stack([of.astype(U64), turns]), axis=1, return_index=True)
+                        value, doc, place = (np.concatenate(x) for x in ((value, turns[one]), (doc, of[one]), (place, -1 - (c - own[of])[one])))
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(pa.array(doc + i)), pa.array(place.astype(np.int32))], ["signature", "key", "c"])
 
     return keyed.mapInArrow(thrifty(run), f"signature long, key {key_type}, c int")
 
 
+def _reaches(doc: np.ndarray, values: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of anchors without those that thinning leaves out, and how far the surroundings of each that is left reach."""
+    _, one, number = np.unique(np.stack([doc.astype(U64), values, (c // THIN).astype(U64)]), axis=1, return_index=True, return_counts=True)
+    return one, np.where(number > 1, REACH, NEAR)
+
+
 def _near_shingles(batches):
-    """Rows (key, text, anchors, owner): the shingles within REACH of an anchor; the bit below the place tells anchors."""
+    """Rows (key, text, anchors, owner): the shingles in the surroundings of an anchor; the bit below the place tells anchors."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -138,9 +172,10 @@ def _near_shingles(batches):
             offsets = np.asarray(lists.offsets)
             doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
             c = np.asarray(lists.flatten()).astype(np.int64) + first[doc]
+            one, reach = _reaches(doc, sh[c], c - first[doc])
             step = np.zeros(len(sh) + 1, np.int64)
-            np.add.at(step, np.maximum(c - REACH, first[doc]), 1)
-            np.add.at(step, np.minimum(c + REACH + 1, first[doc + 1]), -1)
+            np.add.at(step, np.maximum(c[one] - reach, first[doc[one]]), 1)
+            np.add.at(step, np.minimum(c[one] + reach + 1, first[doc[one] + 1]), -1)
             at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (sh != 0))
             marked = np.zeros(len(sh), np.int64)
             marked[c] = 1
@@ -150,9 +185,30 @@ def _near_shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), part.column(0).take(doc), part.column(3).take(doc), pa.array(place)], ["signature", "key", "owner", "place"])
 
 
+def _fewest_kinds(at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Different shingles that a passage which begins at a place, and is no cyclic window, has in common with a similar one.
+
+    at and own are the places and values of the shared shingles. All that a passage has are at most 5/4 of the common ones;
+    those of its first WINDOW places are among them, and one more if some of these are not shared.
+    """
+    n = len(at)
+    order = np.lexsort((np.arange(n), own))
+    before = np.full(n, -1)
+    again = np.flatnonzero(own[order][1:] == own[order][:-1])
+    before[order[again + 1]] = order[again]
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(before + 1, np.searchsorted(at, at - (WINDOW - 1))), 1)
+    step[1:] -= 1
+    kinds = np.cumsum(step[:-1]) + (np.searchsorted(at, at + WINDOW) - np.arange(n) < WINDOW)
+    # a chain bridges no longer gaps, so it must come as far
+    ends = np.append(np.flatnonzero(np.diff(at) > GAP + SHINGLE), n - 1)
+    last = at[ends[np.searchsorted(ends, np.arange(n))]]
+    return np.where(last - at >= WINDOW - 1, np.maximum(2, -(-4 * kinds // 5)), np.iinfo(np.int32).max)
+
+
 def _surroundings(batches):
-    """Rows (key, shared shingles): signature, key, c, a hash of the surroundings of each anchor with enough of them, and
-    the shingles in these with their numbers."""
+    """Rows (key, shared shingles): signature, key, c, a hash of the surroundings of each anchor with enough of them, the
+    least number of different shingles in common with similar ones, and the shingles in these with their numbers."""
     for batch in batches:
         lists = batch.column(1)
         offsets = np.asarray(lists.offsets)
@@ -167,19 +223,21 @@ def _surroundings(batches):
             total = np.zeros(len(at) + 1, U64)
             np.cumsum(mix(own) * powers(_BASE, int(at[-1]) - base + 1)[at - base], out=total[1:])
             c = at[anchor]
-            i, j = np.searchsorted(at, c - REACH), np.searchsorted(at, c + REACH, side="right")
+            one, reach = _reaches(np.zeros(len(c)), own[anchor], c)
+            anchor, c = anchor[one], c[one]
+            i, j = np.searchsorted(at, c - reach), np.searchsorted(at, c + reach, side="right")
             around = mix((total[j] - total[i]) * powers(_BASE_INV, int(at[-1]) - base + 1)[c - base])
             keep = np.flatnonzero(j - i >= FEWEST)
-            _, one = np.unique(np.stack([own[anchor][keep], (c[keep] // THIN).astype(U64)]), axis=1, return_index=True)
-            keep = keep[one]
+            least = _fewest_kinds(at, own)
+            fewest = np.fromiter((least[x:y].min() for x, y in zip(i[keep].tolist(), np.searchsorted(at, c[keep] + THIN, side="right").tolist())), np.int64, len(keep))
             kinds = [np.unique(own[x:y], return_counts=True) for x, y in zip(i[keep].tolist(), j[keep].tolist())]
             sizes = np.fromiter((len(x) for x, _ in kinds), np.int64, len(kinds))
-            out.append((np.full(len(keep), k), own[anchor][keep], c[keep], around[keep], sizes, *(np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*kinds) if kinds else ((), ()), (U64, np.int64)))))
+            out.append((np.full(len(keep), k), own[anchor][keep], c[keep], around[keep], fewest, sizes, *(np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*kinds) if kinds else ((), ()), (U64, np.int64)))))
         if out:
-            row, own, c, around, sizes, kind, number = (np.concatenate(x) for x in zip(*out))
+            row, own, c, around, fewest, sizes, kind, number = (np.concatenate(x) for x in zip(*out))
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             shingles = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(kind.view(np.int64)), pa.array(number.astype(np.int32))], ["shingle", "number"]))
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(around.view(np.int64)), shingles], ["signature", "key", "c", "around", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(around.view(np.int64)), pa.array(fewest.astype(np.int32)), shingles], ["signature", "key", "c", "around", "fewest", "shingles"])
 
 
 def _previous(batches):
@@ -480,13 +538,11 @@ def _copies(keyed: DataFrame) -> DataFrame:
     return rows.join(first, "sha").filter("key <> source").select("key", "source", "n_words")
 
 
-def _anchors(keyed: DataFrame, key_type: str) -> DataFrame:
-    """signature, key and c of the windows whose signature another row has too."""
-    windows = materialize(_window_table(keyed, key_type), "windows")
+def _anchors(windows: DataFrame) -> DataFrame:
+    """signature, key and c of the compact windows whose signature another row has too."""
+    windows = windows.filter("c >= 0")
     again = windows.groupBy("signature").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("signature")
-    out = materialize(windows.join(materialize(again, "signatures"), "signature", "left_semi"), "anchors")
-    release(windows)
-    return out
+    return materialize(windows.join(materialize(again, "signatures"), "signature", "left_semi"), "anchors")
 
 
 def _placed(keyed: DataFrame, anchors: DataFrame, key_type: str) -> DataFrame:
@@ -498,7 +554,7 @@ def _placed(keyed: DataFrame, anchors: DataFrame, key_type: str) -> DataFrame:
     same = Window.partitionBy("signature")
     shared = near.withColumn("a", F.min("owner").over(same)).withColumn("b", F.max("owner").over(same)).filter("a < b")
     shared = shared.groupBy("key").agg(F.collect_list(F.struct("place", "signature")).alias("shared"))
-    placed = shared.mapInArrow(thrifty(_surroundings), f"signature long, key {key_type}, c int, around long, shingles array<struct<shingle: long, number: int>>")
+    placed = shared.mapInArrow(thrifty(_surroundings), f"signature long, key {key_type}, c int, around long, fewest int, shingles array<struct<shingle: long, number: int>>")
     return placed
 
 
@@ -509,7 +565,10 @@ def _link(a: str, b: str) -> list:
 def _passages(keyed: DataFrame) -> DataFrame:
     """key, start, end, source, source_start, source_end, n_hashes and similarity of passages of rows (key, text)."""
     key_type = keyed.schema["key"].dataType.simpleString()
-    placed = _placed(keyed, _anchors(keyed, key_type).withColumn("owner", F.col("key")), key_type)
+    windows = materialize(_window_table(keyed, key_type), "windows")
+    anchors = _anchors(windows)
+    release(windows)
+    placed = _placed(keyed, anchors.withColumn("owner", F.col("key")), key_type)
     placed = materialize(placed.groupBy("signature", "around", "key").agg(F.min("c").alias("c")), "placed")
     here = F.struct("key", "c")
     classes = materialize(placed.groupBy("signature", "around").agg(F.min(here).alias("first"), F.max(here).alias("last")), "classes")
@@ -536,7 +595,13 @@ def _class_links(keyed: DataFrame, other) -> DataFrame:
     two owners match at an anchor follows from their surroundings: one pair of rows decides for two classes.
     """
     key_type = keyed.schema["key"].dataType.simpleString()
-    anchors = _anchors(keyed, key_type)
+    windows = materialize(_window_table(keyed, key_type), "windows")
+    turns = windows.filter("c < 0").select("signature", F.struct("key", (-1 - F.col("c")).alias("c")).alias("own"))
+    turns = turns.join(turns.groupBy("signature").agg(F.min("own").alias("hub")), "signature").filter("own.key > hub.key")
+    whole = [(F.col("own.c") + WORDS).alias("end"), F.col("hub.key").alias("source"), F.col("hub.c").alias("source_start"), (F.col("hub.c") + WORDS).alias("source_end"), F.lit(1.0).alias("similarity")]
+    turns = materialize(turns.select(F.col("own.key").alias("key"), F.col("own.c").alias("start"), *whole).filter(other).dropDuplicates(["key", "source"]), "links-of-turns")
+    anchors = _anchors(windows)
+    release(windows)
     own = anchors.withColumn("own", F.struct("key", "c"))
     hub = own.groupBy("signature").agg(F.min("own").alias("hub"))
     pairs = own.join(hub, "signature").filter("own.key > hub.key").select(*_link("own", "hub")).groupBy("key", "source").agg(F.collect_set("link").alias("links"))
@@ -557,10 +622,10 @@ def _class_links(keyed: DataFrame, other) -> DataFrame:
         rows = rows.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"))
         return rows.select(*_link("x", "y")).groupBy("key", "source").agg(F.collect_set("link").alias("links"))
 
-    found = links(pairs, "links-to-holders")
+    found = turns.union(links(pairs, "links-to-holders"))
     apart = materialize(owned(anchors, "key", found), "apart")
     placed = _placed(keyed, apart, key_type).join(apart.select("key", "owner").distinct(), "key")
-    forms = materialize(placed.groupBy("signature", "around", "owner").agg(F.min(F.struct("key", "c")).alias("first"), F.first("shingles").alias("shingles")), "forms")
+    forms = materialize(placed.groupBy("signature", "around", "owner").agg(F.min(F.struct("key", "c")).alias("first"), F.min("fewest").alias("fewest"), F.first("shingles").alias("shingles")), "forms")
     # the rows of a class against its earliest, and that against the earliest of the anchor
     heads = materialize(forms.groupBy("signature", "around").agg(F.min(F.struct("first", "owner")).alias("head")), "heads")
     hubs = heads.groupBy("signature").agg(F.min("head").alias("hub"))
@@ -570,15 +635,20 @@ def _class_links(keyed: DataFrame, other) -> DataFrame:
     # different classes of an anchor, by rows of different owners
     forms = materialize(owned(forms.withColumnRenamed("owner", "node"), "node", found), "open-forms")
     by_owner = F.struct("owner", "first")
-    classes = forms.groupBy("signature", "around").agg(F.min(by_owner).alias("low"), F.max(by_owner).alias("high"), F.first("shingles").alias("shingles"))
-    # of two classes with FEWEST shingles in common, the rarest of these is in either not among the commonest FEWEST - 1
-    rare = classes.select("signature", "around", "low", "high", F.inline("shingles"))
+    classes = forms.groupBy("signature", "around").agg(F.min(by_owner).alias("low"), F.max(by_owner).alias("high"), F.min("fewest").alias("fewest"), F.first("shingles").alias("shingles"))
+    # the classes of the owner that has most of an anchor are not compared with each other
+    alone = classes.filter("low.owner = high.owner").groupBy("signature", "low.owner").count()
+    most = alone.groupBy("signature").agg(F.max_by("owner", F.struct("count", "owner")).alias("most"))
+    classes = classes.join(most, "signature", "left").withColumn("main", F.coalesce((F.col("low.owner") == F.col("most")) & (F.col("high.owner") == F.col("most")), F.lit(False)))
+    # of two classes with FEWEST shingles in common, fewest of them different, the rarest of these is in either not among the commonest
+    rare = classes.select("signature", "around", "low", "high", "main", "fewest", F.inline("shingles"))
     same = Window.partitionBy("signature", "shingle")
     rare = rare.withColumn("held", F.count("*").over(same)).withColumn("a", F.min("low.owner").over(same)).withColumn("b", F.max("high.owner").over(same)).filter("a < b")
     commonest = Window.partitionBy("signature", "around").orderBy(F.col("held").desc(), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rare = materialize(rare.withColumn("so_far", F.sum("number").over(commonest)).filter(F.col("so_far") >= FEWEST).select("signature", "shingle", "around", "low", "high"), "rare-shingles")
-    a, b = (rare.select("signature", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("around", "low", "high"))) for k in "ab")
-    both = a.join(b, ["signature", "shingle"]).filter("around_a < around_b and not (low_a.owner = high_b.owner and high_a.owner = low_b.owner)")
+    rare = rare.withColumn("so_far", F.sum("number").over(commonest)).withColumn("kinds", F.count("*").over(commonest))
+    rare = materialize(rare.filter((F.col("so_far") >= FEWEST) & (F.col("kinds") >= F.col("fewest"))).select("signature", "shingle", "around", "low", "high", "main"), "rare-shingles")
+    a, b = (rare.select("signature", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("around", "low", "high", "main"))) for k in "ab")
+    both = a.filter("not main_a").join(b, ["signature", "shingle"]).filter("(main_b or around_a < around_b) and not (low_a.owner = high_b.owner and high_a.owner = low_b.owner)")
     both = both.drop("shingle").dropDuplicates(["signature", "around_a", "around_b"])
     both = both.withColumn("x", F.expr("if(low_a.owner = low_b.owner and low_a.owner = high_b.owner, high_a, low_a)"))
     both = both.withColumn("y", F.expr("if(x.owner = low_b.owner, high_b, low_b)")).select("signature", "around_a", "around_b", "x.first", "y.first").toDF("signature", "around_a", "around_b", "x", "y")

@@ -182,3 +182,24 @@ def test_classes_of_odd_tables(spark):
     named = spark.createDataFrame([("a", p), ("b", p + " tail")], "`key` string, `owner` string")
     assert [tuple(r)[:2] for r in substring.passage_classes(named, id_col="key", text_col="owner").collect()] == [("b", "a")]
     assert substring.passage_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_cyclic_windows():
+    rng = np.random.default_rng(8)
+    sh = np.concatenate([rng.integers(1, 9**9, 30), np.full(60, 7), np.tile([4, 5, 6], 19), [0, 0], np.full(50, 7), [0], np.tile(rng.integers(1, 99, substring.CYCLE + 1), 4), np.tile([5, 6, 4], 16), np.full(45, 3)]).astype(np.uint64)
+    at, hashes = substring.cyclic_windows(sh)
+    windows = {k: tuple(sh[k : k + substring.WINDOW].tolist()) for k in range(len(sh) - substring.WINDOW + 1)}
+    want = {k: w for k, w in windows.items() if 0 not in w and any(w[t:] == w[:-t] for t in range(1, substring.CYCLE + 1))}
+    assert at.tolist() == sorted(want) and len(want) > 30
+    assert len(set(hashes.tolist())) == len(set(want.values())) == len(set(zip(hashes.tolist(), want.values())))
+    assert not len(substring.cyclic_windows(sh[:45])[0])
+
+
+def test_runs_of_one_word_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = [words(rng, 30) + ["of"] * n + words(rng, 30) for n in range(50, 120)] + [words(rng, 30) + ["of"] * n + words(rng, 30) for n in range(40, 50)]
+    made, real = [], substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, name: [out := real(df, name), name in ("class-pairs", "candidates") and made.append(out.count())][0])
+    got = substring.passage_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], SCHEMA)).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(i, 0) for i in range(1, 70)}
+    assert sum(made) < 4 * len(texts)
