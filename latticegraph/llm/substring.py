@@ -62,6 +62,13 @@ THIN = 32
 FEWEST = 37
 #: Turns of at most so many shingles that fill a window are linked by the window itself.
 CYCLE = WINDOW // 2
+#: Places of a window without repeats at an anchor that similar passages have in common: one edit takes at most 14 of a text.
+LEAST = WINDOW - 14
+#: Shingles in a row that similar passages without repeats have in common if they are not alike in 4/9 of the places of
+#: both in some stretch of fewer than NEAR.
+LONG = 27
+#: Classes of an anchor that are compared in one group, of those held against others and of the others.
+BLOCK = (128, 512)
 #: Anchors in common with an earliest holder from which on a row is held against it before all others.
 AGREE = 3
 #: Words without a match that a passage may bridge.
@@ -162,7 +169,8 @@ def _reaches(doc: np.ndarray, values: np.ndarray, c: np.ndarray) -> tuple[np.nda
 
 
 def _near_shingles(batches):
-    """Rows (key, text, anchors, owner): the shingles in the surroundings of an anchor; the bit below the place tells anchors."""
+    """Rows (key, text, anchors, owner): the shingles in the surroundings of an anchor; of the two bits below the place, the
+    lower tells anchors, the upper those near which no shingle of these comes again."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -177,10 +185,15 @@ def _near_shingles(batches):
             np.add.at(step, np.maximum(c[one] - reach, first[doc[one]]), 1)
             np.add.at(step, np.minimum(c[one] + reach + 1, first[doc[one] + 1]), -1)
             at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (sh != 0))
+            doc_of = np.searchsorted(first, at, side="right") - 1
+            _, kind, number = np.unique(np.stack([doc_of.astype(U64), sh[at]]), axis=1, return_inverse=True, return_counts=True)
+            again = np.zeros(len(sh) + 1, np.int64)
+            again[at + 1] = number[kind.ravel()] > 1
+            again = np.cumsum(again)
             marked = np.zeros(len(sh), np.int64)
-            marked[c] = 1
-            doc = np.searchsorted(first, at, side="right") - 1
-            place = (at - first[doc]) << 1 | marked[at]
+            marked[c] = 1 | (again[np.minimum(c + REACH + 1, first[doc + 1])] == again[np.maximum(c - REACH, first[doc])]) << 1
+            doc = doc_of
+            place = (at - first[doc]) << 2 | marked[at]
             doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), part.column(0).take(doc), part.column(3).take(doc), pa.array(place)], ["signature", "key", "owner", "place"])
 
@@ -208,36 +221,85 @@ def _fewest_kinds(at: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def _surroundings(batches):
     """Rows (key, shared shingles): signature, key, c, a hash of the surroundings of each anchor with enough of them, the
-    least number of different shingles in common with similar ones, and the shingles in these with their numbers."""
+    least number of different shingles in common with similar ones, whether none comes again there, and the shingles in
+    these (eight bytes each) with their places from the anchor (one byte each)."""
     for batch in batches:
         lists = batch.column(1)
         offsets = np.asarray(lists.offsets)
         rows = lists.flatten()
         places, values = (np.asarray(rows.field(k)).astype(np.int64) for k in ("place", "signature"))
-        out = []
+        out, shingles, apart = [], [], []
         for k, (a, b) in enumerate(zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])):
             order = np.argsort(places[a:b])
-            at, own = places[a:b][order] >> 1, values[a:b][order].view(U64)
+            at, own = places[a:b][order] >> 2, values[a:b][order].view(U64)
             anchor = np.flatnonzero(places[a:b][order] & 1)
+            plain = places[a:b][order][anchor] & 2 > 0
             base = int(at[0])
             total = np.zeros(len(at) + 1, U64)
             np.cumsum(mix(own) * powers(_BASE, int(at[-1]) - base + 1)[at - base], out=total[1:])
             c = at[anchor]
             one, reach = _reaches(np.zeros(len(c)), own[anchor], c)
-            anchor, c = anchor[one], c[one]
+            anchor, c, plain = anchor[one], c[one], plain[one]
             i, j = np.searchsorted(at, c - reach), np.searchsorted(at, c + reach, side="right")
             around = mix((total[j] - total[i]) * powers(_BASE_INV, int(at[-1]) - base + 1)[c - base])
             keep = np.flatnonzero(j - i >= FEWEST)
             least = _fewest_kinds(at, own)
             fewest = np.fromiter((least[x:y].min() for x, y in zip(i[keep].tolist(), np.searchsorted(at, c[keep] + THIN, side="right").tolist())), np.int64, len(keep))
-            kinds = [np.unique(own[x:y], return_counts=True) for x, y in zip(i[keep].tolist(), j[keep].tolist())]
-            sizes = np.fromiter((len(x) for x, _ in kinds), np.int64, len(kinds))
-            out.append((np.full(len(keep), k), own[anchor][keep], c[keep], around[keep], fewest, sizes, *(np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*kinds) if kinds else ((), ()), (U64, np.int64)))))
+            cuts = list(zip(c[keep].tolist(), i[keep].tolist(), j[keep].tolist()))
+            out.append((np.full(len(keep), k), own[anchor][keep], c[keep], around[keep], fewest, plain[keep]))
+            shingles += [own[x:y].tobytes() for _, x, y in cuts]
+            apart += [(at[x:y] - m).astype(np.int8).tobytes() for m, x, y in cuts]
         if out:
-            row, own, c, around, fewest, sizes, kind, number = (np.concatenate(x) for x in zip(*out))
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            shingles = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(kind.view(np.int64)), pa.array(number.astype(np.int32))], ["shingle", "number"]))
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(around.view(np.int64)), pa.array(fewest.astype(np.int32)), shingles], ["signature", "key", "c", "around", "fewest", "shingles"])
+            row, own, c, around, fewest, plain = (np.concatenate(x) for x in zip(*out))
+            columns = [pa.array(own.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(around.view(np.int64)), pa.array(fewest.astype(np.int32)), pa.array(plain), pa.array(shingles, pa.binary()), pa.array(apart, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["signature", "key", "c", "around", "fewest", "plain", "shingles", "places"])
+
+
+def _may_be_similar(table: pa.Table) -> pa.Table:
+    """signature, around_a and around_b of classes of one anchor whose surroundings may hold similar parts.
+
+    Those with role 1 or 3 are held against those with role 2 or 3, but for two that have the same owner alone. Of two
+    that are not main the one with the smaller hash is a.
+    """
+    role, around, main = (table.column(k).to_numpy() for k in ("role", "around", "main"))
+    fewest, plain = table.column("fewest").to_numpy(), table.column("plain").to_numpy()
+    lone = table.column("lone").fill_null(0).to_numpy()
+    alone = table.column("lone").is_valid().to_numpy()
+    shingles = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+    left, right = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    codes = np.unique(np.concatenate([shingles[k] for k in left] or [np.zeros(0, U64)]))
+    held = np.zeros((len(right), len(codes)), bool)
+    if len(codes) and len(right):
+        of = np.repeat(np.arange(len(right)), [len(shingles[k]) for k in right])
+        values = np.concatenate([shingles[k] for k in right])
+        code = np.minimum(np.searchsorted(codes, values), len(codes) - 1)
+        same = codes[code] == values
+        held[of[same], code[same]] = True
+    out = []
+    for k in left if len(right) else ():
+        ok = (main[right] | (around[k] < around[right])) & ~(alone[k] & alone[right] & (lone[k] == lone[right]))
+        to = np.flatnonzero(ok)
+        code = np.searchsorted(codes, shingles[k])
+        both = held[np.ix_(to, code)]
+        keep = np.count_nonzero(both, axis=1) >= FEWEST
+        to, both = to[keep], both[keep]
+        if len(to) and plain[k]:
+            at = np.frombuffer(table.column("places")[int(k)].as_py(), np.int8).astype(np.int64)
+            total = np.zeros((len(to), len(at) + 1), np.int16)
+            np.cumsum(both, axis=1, out=total[:, 1:])
+            most = lambda n: (total[:, np.searchsorted(at, at + n)] - total[:, :-1]).max(axis=1)  # noqa: B023, E731
+            # without repeats on either side: up to 11 places lost within so many, or else a long run
+            keep = most(LONG) == LONG
+            for n in range(WINDOW, NEAR):
+                keep |= most(n) >= -(-4 * (n + WINDOW) // 9)
+            keep = np.where(plain[right[to]], keep, most(WINDOW) >= LEAST)
+            to, both = to[keep], both[keep]
+        if len(to):
+            _, one = np.unique(code, return_index=True)
+            to = to[np.count_nonzero(both[:, one], axis=1) >= np.maximum(fewest[k], fewest[right[to]])]
+        out.append((np.full(len(to), around[k]), around[right[to]]))
+    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+    return pa.table({"signature": pa.array(np.full(len(a), table.column("signature")[0].as_py()), pa.int64()), "around_a": pa.array(a, pa.int64()), "around_b": pa.array(b, pa.int64())})
 
 
 def _previous(batches):
@@ -554,7 +616,7 @@ def _placed(keyed: DataFrame, anchors: DataFrame, key_type: str) -> DataFrame:
     same = Window.partitionBy("signature")
     shared = near.withColumn("a", F.min("owner").over(same)).withColumn("b", F.max("owner").over(same)).filter("a < b")
     shared = shared.groupBy("key").agg(F.collect_list(F.struct("place", "signature")).alias("shared"))
-    placed = shared.mapInArrow(thrifty(_surroundings), f"signature long, key {key_type}, c int, around long, fewest int, shingles array<struct<shingle: long, number: int>>")
+    placed = shared.mapInArrow(thrifty(_surroundings), f"signature long, key {key_type}, c int, around long, fewest int, plain boolean, shingles binary, places binary")
     return placed
 
 
@@ -625,7 +687,9 @@ def _class_links(keyed: DataFrame, other) -> DataFrame:
     found = turns.union(links(pairs, "links-to-holders"))
     apart = materialize(owned(anchors, "key", found), "apart")
     placed = _placed(keyed, apart, key_type).join(apart.select("key", "owner").distinct(), "key")
-    forms = materialize(placed.groupBy("signature", "around", "owner").agg(F.min(F.struct("key", "c")).alias("first"), F.min("fewest").alias("fewest"), F.first("shingles").alias("shingles")), "forms")
+    # equal surroundings have the same shingles at the same places
+    seen = [F.min("fewest").alias("fewest"), F.min("plain").alias("plain"), F.first("shingles").alias("shingles"), F.first("places").alias("places")]
+    forms = materialize(placed.groupBy("signature", "around", "owner").agg(F.min(F.struct("key", "c")).alias("first"), *seen), "forms")
     # the rows of a class against its earliest, and that against the earliest of the anchor
     heads = materialize(forms.groupBy("signature", "around").agg(F.min(F.struct("first", "owner")).alias("head")), "heads")
     hubs = heads.groupBy("signature").agg(F.min("head").alias("hub"))
@@ -635,21 +699,21 @@ def _class_links(keyed: DataFrame, other) -> DataFrame:
     # different classes of an anchor, by rows of different owners
     forms = materialize(owned(forms.withColumnRenamed("owner", "node"), "node", found), "open-forms")
     by_owner = F.struct("owner", "first")
-    classes = forms.groupBy("signature", "around").agg(F.min(by_owner).alias("low"), F.max(by_owner).alias("high"), F.min("fewest").alias("fewest"), F.first("shingles").alias("shingles"))
-    # the classes of the owner that has most of an anchor are not compared with each other
+    classes = materialize(forms.groupBy("signature", "around").agg(F.min(by_owner).alias("low"), F.max(by_owner).alias("high"), *seen), "open-classes")
+    # those of the owner that has most of an anchor are not compared with each other; the others are held against all
     alone = classes.filter("low.owner = high.owner").groupBy("signature", "low.owner").count()
     most = alone.groupBy("signature").agg(F.max_by("owner", F.struct("count", "owner")).alias("most"))
-    classes = classes.join(most, "signature", "left").withColumn("main", F.coalesce((F.col("low.owner") == F.col("most")) & (F.col("high.owner") == F.col("most")), F.lit(False)))
-    # of two classes with FEWEST shingles in common, fewest of them different, the rarest of these is in either not among the commonest
-    rare = classes.select("signature", "around", "low", "high", "main", "fewest", F.inline("shingles"))
-    same = Window.partitionBy("signature", "shingle")
-    rare = rare.withColumn("held", F.count("*").over(same)).withColumn("a", F.min("low.owner").over(same)).withColumn("b", F.max("high.owner").over(same)).filter("a < b")
-    commonest = Window.partitionBy("signature", "around").orderBy(F.col("held").desc(), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rare = rare.withColumn("so_far", F.sum("number").over(commonest)).withColumn("kinds", F.count("*").over(commonest))
-    rare = materialize(rare.filter((F.col("so_far") >= FEWEST) & (F.col("kinds") >= F.col("fewest"))).select("signature", "shingle", "around", "low", "high", "main"), "rare-shingles")
-    a, b = (rare.select("signature", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("around", "low", "high", "main"))) for k in "ab")
-    both = a.filter("not main_a").join(b, ["signature", "shingle"]).filter("(main_b or around_a < around_b) and not (low_a.owner = high_b.owner and high_a.owner = low_b.owner)")
-    both = both.drop("shingle").dropDuplicates(["signature", "around_a", "around_b"])
+    rows = classes.join(most, "signature", "left").withColumn("main", F.coalesce((F.col("low.owner") == F.col("most")) & (F.col("high.owner") == F.col("most")), F.lit(False)))
+    rows = rows.withColumn("lone", F.when(F.col("low.owner") == F.col("high.owner"), F.xxhash64("low.owner")))
+    rows = materialize(rows.select("signature", "around", "main", "lone", "fewest", "plain", "shingles", "places"), "sides")
+    number = rows.groupBy("signature").agg(*(F.ceil(F.count_if(c) / n).cast("int").alias(k) for k, c, n in zip(("lefts", "rights"), (~F.col("main"), F.lit(True)), BLOCK))).filter("lefts > 0")
+    rows = rows.join(number, "signature").withColumn("l", F.expr("cast(pmod(xxhash64(around), lefts) as int)")).withColumn("r", F.expr("cast(pmod(xxhash64(around, 1), rights) as int)"))
+    roles = """if(lefts = 1 and rights = 1, array(struct(0 as l, 0 as r, if(main, 2, 3) as role)), concat(
+        if(main, array(), transform(sequence(0, rights - 1), k -> struct(l, k as r, 1 as role))), transform(sequence(0, lefts - 1), k -> struct(k as l, r, 2 as role))))"""
+    rows = rows.withColumn("roles", F.expr(roles)).drop("l", "r").select("signature", "around", "main", "lone", "fewest", "plain", "shingles", "places", F.inline("roles"))
+    both = rows.groupBy("signature", "l", "r").applyInArrow(_may_be_similar, "signature long, around_a long, around_b long")
+    a, b = (classes.select("signature", *(F.col(c).alias(f"{c}_{k}") for c in ("around", "low", "high"))) for k in "ab")
+    both = both.join(a, ["signature", "around_a"]).join(b, ["signature", "around_b"])
     both = both.withColumn("x", F.expr("if(low_a.owner = low_b.owner and low_a.owner = high_b.owner, high_a, low_a)"))
     both = both.withColumn("y", F.expr("if(x.owner = low_b.owner, high_b, low_b)")).select("signature", "around_a", "around_b", "x.first", "y.first").toDF("signature", "around_a", "around_b", "x", "y")
     both = materialize(both, "class-pairs")

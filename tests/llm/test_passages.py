@@ -203,3 +203,21 @@ def test_runs_of_one_word_are_not_compared_pair_by_pair(spark, monkeypatch):
     got = substring.passage_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], SCHEMA)).collect()
     assert {(r.doc_id, r.class_id) for r in got} == {(i, 0) for i in range(1, 70)}
     assert sum(made) < 4 * len(texts)
+
+
+def test_classes_that_may_be_similar_are_found_in_any_blocks(spark, monkeypatch):
+    """Near copies with many edits: a class is what all similar pairs lead to, whatever the blocks; few pairs that are not similar are verified."""
+    rng = random.Random(15)
+    base, texts = words(rng, 160), []
+    for _ in range(90):
+        copy = list(base)
+        for at in sorted(rng.sample(range(5, 155), rng.randrange(4, 11)), reverse=True):
+            copy[at : at + rng.randrange(2)] = words(rng, rng.randrange(3))
+        texts.append(copy)
+    shingles = [substring.shingle_hashes(np.array([hash(x) for x in w], np.int64).view(np.uint64), substring.SHINGLE) for w in texts]
+    pairs = [(j, i) for j, i in itertools.combinations(range(len(texts)), 2) if any(True for _ in substring.matching_stretches(shingles[i], shingles[j]))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], SCHEMA)
+    assert len(classes_of(pairs)) > 30
+    for block in ((128, 512), (2, 3)):
+        monkeypatch.setattr(substring, "BLOCK", block)
+        assert {(r.doc_id, r.class_id) for r in substring.passage_classes(docs).collect()} == classes_of(pairs)
