@@ -9,7 +9,7 @@ window with one value at the same word. Passages of 50 words at a Jaccard simila
 for every 45 shingles, so they share 21 in a row unless shingles repeat inside the passage; RUN is that.
 
 The places of windows that more than one document has are anchors. The surroundings of an anchor are the shingles within
-REACH of it that another document has near an anchor too, with their distances; all others match nothing, whatever they
+NEAR of it (REACH if shingles come again there) that another document has near an anchor too, with their distances; all others match nothing, whatever they
 are. Occurrences of one anchor with equal surroundings are a class, so a passage between different texts is one class
 however many documents hold it. Every member of a class is compared with its earliest and with the earliest holder of
 the anchor, and different classes of an anchor are compared all with all by their earliest members. So two documents
@@ -52,18 +52,16 @@ WINDOW = WORDS - SHINGLE + 1
 RUN = 21
 #: Shingles on either side of an anchor that are compared; a similar part with one edit lies within.
 REACH = 2 * WINDOW
-#: Shingles on either side that tell the surroundings of an anchor, FEWEST common ones among them: the run of the anchor,
+#: Shingles on either side that tell the surroundings of an anchor if none comes again within REACH, FEWEST common ones among them: the run of the anchor,
 #: if shorter than FEWEST, has the rest beyond one edit, which takes at most 14 places of a text.
 NEAR = 58
 SIMILARITY = 0.8
-#: Of equal anchors of a document, one for so many places is enough; its surroundings reach to REACH, which is wider than NEAR by more than that.
+#: Of equal anchors of a document, one for so many places is enough; REACH is wider by more than that than a part with one edit.
 THIN = 32
 #: Shingles that similar passages of WINDOW shingles have in common.
 FEWEST = 37
 #: Turns of at most so many shingles that fill a window are linked by the window itself.
 CYCLE = WINDOW // 2
-#: Places of a window without repeats at an anchor that similar passages have in common: one edit takes at most 14 of a text.
-LEAST = WINDOW - 14
 #: Shingles in a row that similar passages without repeats have in common if they are not alike in 4/9 of the places of
 #: both in some stretch of fewer than NEAR.
 LONG = 27
@@ -162,10 +160,12 @@ def _window_table(keyed: DataFrame, key_type: str) -> DataFrame:
     return keyed.mapInArrow(thrifty(run), f"signature long, key {key_type}, c int")
 
 
-def _reaches(doc: np.ndarray, values: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of anchors without those that thinning leaves out, and how far the surroundings of each that is left reach."""
-    _, one, number = np.unique(np.stack([doc.astype(U64), values, (c // THIN).astype(U64)]), axis=1, return_index=True, return_counts=True)
-    return one, np.where(number > 1, REACH, NEAR)
+def _near(c: np.ndarray, reach, begin, end, size: int) -> np.ndarray:
+    """Whether each of size places is within reach of a place c of its text, which goes from begin to end."""
+    step = np.zeros(size + 1, np.int64)
+    np.add.at(step, np.maximum(c - reach, begin), 1)
+    np.add.at(step, np.minimum(c + reach + 1, end), -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def _near_shingles(batches):
@@ -180,19 +180,17 @@ def _near_shingles(batches):
             offsets = np.asarray(lists.offsets)
             doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
             c = np.asarray(lists.flatten()).astype(np.int64) + first[doc]
-            one, reach = _reaches(doc, sh[c], c - first[doc])
-            step = np.zeros(len(sh) + 1, np.int64)
-            np.add.at(step, np.maximum(c[one] - reach, first[doc[one]]), 1)
-            np.add.at(step, np.minimum(c[one] + reach + 1, first[doc[one] + 1]), -1)
-            at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (sh != 0))
-            doc_of = np.searchsorted(first, at, side="right") - 1
-            _, kind, number = np.unique(np.stack([doc_of.astype(U64), sh[at]]), axis=1, return_inverse=True, return_counts=True)
+            begin, end = first[doc], first[doc + 1]
+            at = np.flatnonzero(_near(c, REACH, begin, end, len(sh)) & (sh != 0))
+            _, kind, number = np.unique(np.stack([(np.searchsorted(first, at, side="right") - 1).astype(U64), sh[at]]), axis=1, return_inverse=True, return_counts=True)
             again = np.zeros(len(sh) + 1, np.int64)
             again[at + 1] = number[kind.ravel()] > 1
             again = np.cumsum(again)
+            plain = again[np.minimum(c + REACH + 1, end)] == again[np.maximum(c - REACH, begin)]
+            at = np.flatnonzero(_near(c, np.where(plain, NEAR, REACH), begin, end, len(sh)) & (sh != 0))
             marked = np.zeros(len(sh), np.int64)
-            marked[c] = 1 | (again[np.minimum(c + REACH + 1, first[doc + 1])] == again[np.maximum(c - REACH, first[doc])]) << 1
-            doc = doc_of
+            marked[c] = 1 | plain << 1
+            doc = np.searchsorted(first, at, side="right") - 1
             place = (at - first[doc]) << 2 | marked[at]
             doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(sh[at].view(np.int64)), part.column(0).take(doc), part.column(3).take(doc), pa.array(place)], ["signature", "key", "owner", "place"])
@@ -238,8 +236,9 @@ def _surroundings(batches):
             total = np.zeros(len(at) + 1, U64)
             np.cumsum(mix(own) * powers(_BASE, int(at[-1]) - base + 1)[at - base], out=total[1:])
             c = at[anchor]
-            one, reach = _reaches(np.zeros(len(c)), own[anchor], c)
+            _, one = np.unique(np.stack([own[anchor], (c // THIN).astype(U64)]), axis=1, return_index=True)
             anchor, c, plain = anchor[one], c[one], plain[one]
+            reach = np.where(plain, NEAR, REACH)
             i, j = np.searchsorted(at, c - reach), np.searchsorted(at, c + reach, side="right")
             around = mix((total[j] - total[i]) * powers(_BASE_INV, int(at[-1]) - base + 1)[c - base])
             keep = np.flatnonzero(j - i >= FEWEST)
@@ -283,7 +282,7 @@ def _may_be_similar(table: pa.Table) -> pa.Table:
         both = held[np.ix_(to, code)]
         keep = np.count_nonzero(both, axis=1) >= FEWEST
         to, both = to[keep], both[keep]
-        if len(to) and plain[k]:
+        if len(to) and plain[k] and plain[right[to]].any():
             at = np.frombuffer(table.column("places")[int(k)].as_py(), np.int8).astype(np.int64)
             total = np.zeros((len(to), len(at) + 1), np.int16)
             np.cumsum(both, axis=1, out=total[:, 1:])
@@ -292,7 +291,7 @@ def _may_be_similar(table: pa.Table) -> pa.Table:
             keep = most(LONG) == LONG
             for n in range(WINDOW, NEAR):
                 keep |= most(n) >= -(-4 * (n + WINDOW) // 9)
-            keep = np.where(plain[right[to]], keep, most(WINDOW) >= LEAST)
+            keep |= ~plain[right[to]]
             to, both = to[keep], both[keep]
         if len(to):
             _, one = np.unique(code, return_index=True)
